@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaitwork.llm import bpe, decontaminate, line_dedup, sharding, token_files
+from plaitwork.llm import bpe, decontaminate, jaccard, line_dedup, sharding, token_files, toxicity
 from plaitwork.llm._util import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,37 @@ from d left join n using (r) left join t using (r)
 """
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = f"""
+with recursive d as (select doc_id, {_WORDS.format("text")} w from documents),
+g as (select distinct doc_id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) gram from d where len(w) > 0),
+n as (select doc_id, count(*) n from g group by doc_id),
+p as (select a.doc_id x, b.doc_id y, count(*) c from g a join g b using (gram) where a.doc_id <> b.doc_id group by 1, 2),
+l as (select x, y from p join n u on u.doc_id = x join n v on v.doc_id = y where c * 10 >= (u.n + v.n - c) * 8),
+r(doc_id, c) as (select doc_id, doc_id from d union select r.doc_id, l.y from r join l on l.x = r.c),
+m as (select doc_id, min(c) component_id from r group by doc_id),
+k as (select x doc_id, count(*) n_links from l group by x)
+select doc_id, cast(coalesce(n_links, 0) as bigint) n_links, component_id, doc_id = component_id kept
+from d join m using (doc_id) left join k using (doc_id)
+"""
+
+
+def learnable() -> Column:
+    """The rows whose labels may be learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), learnable())
+    return toxicity.score(docs, model).select(
+        "doc_id", (~learnable()).alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokens
 
@@ -111,12 +142,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_line_dedup": OP9_SQL}
 
 
 def queries() -> dict[str, Query]:
