@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaitwork.llm import bpe, decontaminate, jaccard, line_dedup, sharding, token_files, toxicity
+from plaitwork.llm import bpe, decontaminate, jaccard, line_dedup, sharding, suffix_dedup, token_files, toxicity
 from plaitwork.llm._util import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,26 @@ from d left join n using (r) left join t using (r)
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+with d as (select row_number() over () r, doc_id, hex(coalesce(text, '')) h from documents),
+w as (select r, i, md5(substr(h, 2 * i + 1, 400)) k from (select r, h, unnest(range(0, cast(len(h) / 2 as bigint) - 199)) i from d where len(h) >= 400)),
+g as (select k from w group by k having count(*) > 1),
+s as (select r, i, case when i > lag(i) over (partition by r order by i) + 200 then 1 else 0 end new from w join g using (k)),
+t as (select r, i, sum(new) over (partition by r order by i) island from s),
+u as (select r, min(i) a, max(i) + 200 b from t group by r, island),
+v as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) p from u),
+x as (select r, cast(sum(b - a) as bigint) n_removed, count(*) n_spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) kept, max(b) e from v join d using (r) group by r)
+select doc_id, cast(len(h) / 2 as bigint) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans,
+  sha256(unhex(case when x.r is null then h else kept || substr(h, 2 * e + 1) end)) kept_sha256
+from d left join x using (r)
+"""
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -142,6 +162,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_toxicity": op7_toxicity,
     "op8_token_files": op8_token_files,
@@ -149,7 +170,7 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_line_dedup": OP9_SQL}
 
 
 def queries() -> dict[str, Query]:
