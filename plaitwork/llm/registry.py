@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaitwork.llm import bpe, decontaminate, jaccard, line_dedup, sharding, suffix_dedup, token_files, toxicity
+from plaitwork.llm import bpe, decontaminate, embedding_dedup, jaccard, line_dedup, sharding, suffix_dedup, token_files, toxicity
 from plaitwork.llm._util import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+with recursive e as (select vec_id, cast(embedding as double[]) v from embeddings),
+f as (select vec_id, v from e where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+l as (select a.vec_id x, b.vec_id y from f a join f b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.9),
+r(vec_id, c) as (select vec_id, vec_id from e union select r.vec_id, l.y from r join l on l.x = r.c),
+m as (select vec_id, min(c) component_id from r group by vec_id),
+k as (select x vec_id, count(*) n_links from l group by x)
+select vec_id, cast(coalesce(n_links, 0) as bigint) n_links, component_id, vec_id = component_id kept
+from e join m using (vec_id) left join k using (vec_id)
+"""
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokens
 
@@ -160,6 +176,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
@@ -170,7 +187,7 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_line_dedup": OP9_SQL}
 
 
 def queries() -> dict[str, Query]:
