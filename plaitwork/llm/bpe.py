@@ -81,12 +81,14 @@ def _ids(values: list[int]) -> bytes:
     return array.array("I", values).tobytes()
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """(``id_col``, ids binary): the ids of each text as little-endian unsigned 32-bit integers."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(``id_col``, ``carry``, ids binary): each text's ids as little-endian unsigned 32-bit integers."""
     spark = df.sparkSession
     prepare(spark)
-    id_type = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = {f"c{k}": c for k, c in enumerate((id_col, *carry))}
+    own = [*named]
+    types = ", ".join(f"{k} {df.schema[c].dataType.simpleString()}" for k, c in named.items())
+    src = df.select(*[F.col(c).alias(k) for k, c in named.items()], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chunk = int(chunk_chars)
     overlap = min(OVERLAP_CHARS, chunk // 2)
 
@@ -95,17 +97,18 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
                 part = pdf.iloc[at : at + BATCH]
-                yield pd.DataFrame({"id": part["id"], "ids": [_ids(enc.encode_ordinary(t)) for t in part["text"]]})
+                yield part[own].assign(ids=[_ids(enc.encode_ordinary(t)) for t in part["text"]])
 
-    short = src.where(F.length("text") <= chunk).mapInPandas(whole, f"id {id_type}, ids binary")
+    short = src.where(F.length("text") <= chunk).mapInPandas(whole, f"{types}, ids binary")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, i, text in zip(pdf["row"], pdf["id"], pdf["text"], strict=True):
+            for at, text in enumerate(pdf["text"]):
                 starts = range(0, max(len(text), 1), chunk)
                 for a in range(0, len(starts), 64):
                     ks = range(a, min(a + 64, len(starts)))
-                    yield pd.DataFrame({"row": key, "id": pd.Series([i] * len(ks), dtype=pdf["id"].dtype), "k": [*ks], "last": [k == len(starts) - 1 for k in ks], "text": [text[starts[k] : starts[k] + chunk + overlap] for k in ks]})
+                    same = pdf[["row", *own]].iloc[[at] * len(ks)].reset_index(drop=True)
+                    yield same.assign(k=[*ks], last=[k == len(starts) - 1 for k in ks], text=[text[starts[k] : starts[k] + chunk + overlap] for k in ks])
 
     def pretokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -118,14 +121,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoding(ranks_path, pattern)
         for pdf in batches:
-            ids = []
-            for text, lo, hi in zip(pdf["text"], pdf["lo"], pdf["hi"], strict=True):
-                ids.append(_ids(enc.encode_ordinary(text[int(lo) : int(hi)])))
-            yield pd.DataFrame({"row": pdf["row"], "id": pdf["id"], "k": pdf["k"], "ids": ids})
+            ids = [_ids(enc.encode_ordinary(text[lo:hi])) for text, lo, hi in zip(pdf["text"], pdf["lo"], pdf["hi"], strict=True)]
+            yield pdf[["row", *own, "k"]].assign(ids=ids)
 
     long = src.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    dealt = long.mapInPandas(windows, f"row long, id {id_type}, k int, last boolean, text string").repartition(F.col("row"), F.col("k"))
-    seen = staged(dealt.mapInPandas(pretokenise, f"row long, id {id_type}, k int, last boolean, text string, heads array<int>, tails array<int>"), "bpe-chunks")
+    dealt = long.mapInPandas(windows, f"row long, {types}, k int, last boolean, text string").repartition(F.col("row"), F.col("k"))
+    seen = staged(dealt.mapInPandas(pretokenise, f"row long, {types}, k int, last boolean, text string, heads array<int>, tails array<int>"), "bpe-chunks")
     # The seam before chunk k: the first place that chunk k - 1 (tails) and chunk k (heads) both list.
     seam = (
         seen.select("row", (F.col("k") + 1).alias("k"), "tails")
@@ -141,30 +142,30 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         .select("row", "k", "seam", F.sum(F.when((F.col("k") == 0) | F.col("seam").isNotNull(), 1).otherwise(0)).over(by_row).alias("run"), F.lead("seam").over(by_row).alias("next_seam"))
     )
     whole_runs = (
-        cut.select("row", "id", "k", F.substring("text", 1, chunk).alias("body"), "text")
+        cut.select("row", *own, "k", F.substring("text", 1, chunk).alias("body"), "text")
         .join(runs, ["row", "k"])
         .groupBy("row", "run")
         .agg(
-            F.first("id").alias("id"),
+            *[F.first(c).alias(c) for c in own],
             F.min("k").alias("k"),
             F.sort_array(F.collect_list(F.struct("k", "body", F.substring("text", chunk + 1, overlap).alias("over"), "seam", "next_seam"))).alias("parts"),
         )
         .select(
             "row",
-            "id",
+            *own,
             "k",
             F.concat(F.concat_ws("", F.col("parts.body")), F.element_at("parts", -1)["over"]).alias("text"),
             F.coalesce(F.col("parts")[0]["seam"], F.lit(0)).alias("lo"),
             (F.lit(chunk) * (F.size("parts") - 1) + F.coalesce(F.element_at("parts", -1)["next_seam"] + chunk, F.lit(chunk + overlap))).alias("hi"),
         )
     )
-    encoded = whole_runs.mapInPandas(pieces, f"row long, id {id_type}, k int, ids binary")
+    encoded = whole_runs.mapInPandas(pieces, f"row long, {types}, k int, ids binary")
     joined = (
         encoded.groupBy("row")
-        .agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-        .select("id", F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["ids"])).alias("ids"))
+        .agg(*[F.first(c).alias(c) for c in own], F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+        .select(*own, F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["ids"])).alias("ids"))
     )
-    return short.unionByName(joined).select(F.col("id").alias(id_col), "ids")
+    return short.unionByName(joined).select(*[F.col(k).alias(c) for k, c in named.items()], "ids")
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

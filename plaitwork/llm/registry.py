@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaitwork.llm import bpe, decontaminate, embedding_dedup, jaccard, line_dedup, sharding, suffix_dedup, token_files, toxicity
+from plaitwork.llm import bpe, decontaminate, embedding_dedup, jaccard, line_dedup, sharding, suffix_dedup, token_counts, token_files, toxicity
 from plaitwork.llm._util import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,22 @@ from d left join n using (r) left join t using (r)
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts all documents under two tokenizer versions, revises the counts of texts whose runs of spaces
+    are closed up, deletes exact copies, and commits the deletion a second time, which changes nothing."""
+    import public_tokenizers as tokens
+
+    docs, ranks = table(spark, sf_dir, "documents"), tokens.path("byte_bpe_multi_50k.tiktoken")
+    totals = token_counts.Totals(spark, scratch_path(spark, "token-totals"))
+    counted = token_counts.count_bpe(docs, "bpe-multi-50k", ranks, tokens.PATTERN)
+    totals.apply("1-insert", counted.unionByName(token_counts.count_words(docs, "words-1")))
+    closed = docs.withColumn("text", F.regexp_replace("text", "[ \t]{2,}", " ")).where(docs["text"].rlike("[ \t]{2,}"))
+    totals.apply("2-revise", token_counts.count_bpe(closed, "bpe-multi-50k", ranks, tokens.PATTERN).withColumn("change", F.lit("revise")))
+    totals.apply("3-delete", token_counts.copies(docs))
+    totals.apply("3-delete", token_counts.copies(docs))
+    return totals.totals()
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -179,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
+    "op4_token_counts": op4_token_counts,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_toxicity": op7_toxicity,
