@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import held
+from plaitwork.llm._util import held, staged
 
 LONG_WORDS = 30
 
@@ -49,7 +49,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, long_words: int) -> Dat
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
     """(id, gone): for each id with later repeated runs, the sorted numbers of its deleted lines."""
-    all_windows = windows(docs, id_col, text_col, long_words)
+    all_windows = staged(windows(docs, id_col, text_col, long_words), "line-windows")
     prints = all_windows.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
     matched = all_windows.join(prints, "print").select("id", "a", "b", "win")
     first = matched.groupBy("win").agg(F.min(F.struct("id", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
