@@ -1,4 +1,293 @@
 """Every query of the alignment engine, and SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plaitwork.functions import prep
+from plaitwork.operators import align, chain, checks, schedule
+from plaitwork.plans import oracle as O
+from plaitwork.plans.workload import event_anchors, part_pairs, record_pairs, table, turn_pairs
+from plaitwork.sources import generators, records, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+RECORD, TURN, PART = ["doc_id", "rec"], ["conv_id", "turn"], ["p_partkey"]
+#: Parameters of the length queries, as the tests of the fixed sizes use them.
+LENGTHS = {"n": 8, "lo": 64, "hi": 512, "quantum": 8}
+TILES, THRESHOLD = 128, 8
+
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@_query(O.sw_sql(O.RECORD_PAIRS, O.RECORD_KEYS))
+def sw_score_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.sw_scores(record_pairs(spark, sf_dir)).select(*RECORD, "score")
+
+
+@_query(O.sw_sql(O.RECORD_PAIRS, O.RECORD_KEYS))
+def sw_score_wavefront(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.sw_scores(record_pairs(spark, sf_dir), method="wavefront").select(*RECORD, "score")
+
+
+@_query(O.sw_sql(O.TURN_PAIRS, O.TURN_KEYS))
+def sw_score_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.sw_scores(turn_pairs(spark, sf_dir)).select(*TURN, "score")
+
+
+@_query(
+    f"{O.sw_cte(O.TURN_PAIRS)} select conv_id, turn, cast(best as int) score, cast(least(greatest((n + {THRESHOLD - 1}) // {THRESHOLD}, 1), {TILES}) as int) team_size from w join p using (id) where w.k = m + n"
+)
+def sw_score_scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = schedule.team_sizes(turn_pairs(spark, sf_dir), F.length("ref"), THRESHOLD, TILES)
+    dealt = schedule.by_cost(pairs, 4 * spark.sparkContext.defaultParallelism)
+    return align.sw_scores(dealt).select(*TURN, "score", "team_size")
+
+
+@_query(O.sw_sql(O.PART_PAIRS, O.PART_KEYS))
+def sw_score_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.sw_scores(part_pairs(spark, sf_dir)).select(*PART, "score")
+
+
+@_query(O.sw_sql(O.PART_PAIRS, O.PART_KEYS))
+def sw_score_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.sw_scores(part_pairs(spark, sf_dir), method="native").select(*PART, "score")
+
+
+def _banded(band: int) -> Query:
+    return lambda spark, sf_dir: align.sw_banded_scores(record_pairs(spark, sf_dir), band).select(*RECORD, "score")
+
+
+for _band in (8, 16, 64):
+    QUERIES[f"sw_banded_b{_band}"], SQL[f"sw_banded_b{_band}"] = _banded(_band), O.banded_sql(O.RECORD_PAIRS, O.RECORD_KEYS, _band)
+
+
+@_query(O.argmax_sql(O.RECORD_PAIRS, O.RECORD_KEYS))
+def sw_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.sw_argmax(record_pairs(spark, sf_dir)).select(*RECORD, "score", "i", "j")
+
+
+@_query(O.nw_sql(O.RECORD_PAIRS, O.RECORD_KEYS))
+def nw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.nw_scores(record_pairs(spark, sf_dir)).select(*RECORD, "score")
+
+
+@_query(O.nw_sql(O.PART_PAIRS, O.PART_KEYS))
+def nw_score_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.nw_scores(part_pairs(spark, sf_dir), method="native").select(*PART, "score")
+
+
+@_query(O.matrix_sql(O.PART_PAIRS, O.PART_KEYS))
+def nw_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.cells(align.nw_matrix(part_pairs(spark, sf_dir)), PART)
+
+
+@_query(O.suffix_sql(O.PART_PAIRS, O.PART_KEYS))
+def nw_suffix_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.cells(align.nw_suffix_matrix(part_pairs(spark, sf_dir)), PART)
+
+
+@_query(O.path_sql(O.PART_PAIRS, O.PART_KEYS))
+def nw_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = align.nw_paths(part_pairs(spark, sf_dir))
+    return paths.select(*PART, "score", F.posexplode("path").alias("ref_idx", "query_idx"))
+
+
+@_query(O.split_sql(O.PART_PAIRS, O.PART_KEYS))
+def nw_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.nw_split(part_pairs(spark, sf_dir)).select(*PART, "score", "split")
+
+
+_SEGMENTS = f"""{O.PART_PAIRS.replace('p0', 'p1')},
+p0 as (select p_partkey, substr(query, length(query) // 2 + 1) query, substr(ref, 1, length(ref) // 2) ref from p1)"""
+
+
+@_query(O.nw_sql(_SEGMENTS, O.PART_KEYS))
+def nw_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of each name with the first half of each type."""
+    m, n = F.length("query"), F.length("ref")
+    half = lambda x: F.floor(x / 2).cast("int")
+    return align.nw_segment_scores(part_pairs(spark, sf_dir), half(m), m, F.lit(0), half(n)).select(*PART, "score")
+
+
+def _chain(lookback: int) -> Query:
+    return lambda spark, sf_dir: chain.chain_scores(event_anchors(spark, sf_dir), lookback)
+
+
+for _lookback in (2, 4, 8, 16):
+    QUERIES[f"chain_lb{_lookback}"], SQL[f"chain_lb{_lookback}"] = _chain(_lookback), O.chain_sql(_lookback)
+
+
+@_query(O.edges_sql(8))
+def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain.chain_edges(event_anchors(spark, sf_dir), 8)
+
+
+_QUANTISED = "cast(greatest(64, least(((len + 7) // 8) * 8, 512)) as int)"
+
+
+@_query(
+    f"""with recursive g(c_custkey, nr, s) as (select c_custkey, -1, cast(xor(c_custkey, {prep.SEED_MASK}) as ubigint) from customer
+  union all select c_custkey, nr + 1, (s * {prep.LCG_A} + {prep.LCG_C}) % {prep.LCG_M} from g where nr < 7),
+l as (select c_custkey, cast(nr as int) nr, 64 + s % 449 len from g where nr >= 0) select c_custkey, nr, {_QUANTISED} len from l"""
+)
+def lcg_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight lengths for each customer, whose key is the seed."""
+    return generators.lengths(table(spark, sf_dir, "customer"), "c_custkey", "c_custkey", **LENGTHS)
+
+
+@_query(
+    "select doc_id, cast(greatest(1, least(((n + 31) // 32) * 32, greatest(32, (4096 // 32) * 32))) as int) padded from (select doc_id, length(text) n from documents)"
+)
+def quantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's length rounded up to whole records, between 1 and 4,096."""
+    lo, hi = prep.clamp_bounds(F.lit(0), F.lit(4_096))
+    return table(spark, sf_dir, "documents").select("doc_id", prep.quantise(F.length("text"), F.lit(32), lo, hi).cast("int").alias("padded"))
+
+
+_PADDED = O.PART_PAIRS.replace("p_name query, lower(p_type) ref", "rpad(p_name, 40, chr(1)) query, rpad(lower(p_type), 40, chr(2)) ref")
+
+
+@_query(f"""{O.sw_cte(_PADDED)} select p_partkey, cast(best as int) score, cast(best as int) padded_score from w join p using (id) where w.k = m + n""")
+def pad_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of the parts' pairs, and of the same pairs padded to one length by symbols that match nothing."""
+    pairs = part_pairs(spark, sf_dir).withColumn("q", prep.pad_tail(F.col("query"), F.lit(40), "\x01")).withColumn("r", prep.pad_tail(F.col("ref"), F.lit(40), "\x02"))
+    both = align.sw_scores(align.sw_scores(pairs), "q", "r", "padded_score")
+    return both.select(*PART, "score", "padded_score")
+
+
+@_query("select doc_id, cast(length(text) as int) len, doc_id * length(text) pack_offset from documents")
+def pack_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("len"), (F.col("doc_id") * F.length("text")).alias("pack_offset"))
+
+
+@_query("select doc_id, cast(length(text) as int) len, row_number() over (order by length(text), doc_id) - 1 rank from documents")
+def sort_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("len"))
+    return schedule.ranked_by_length(docs, F.col("len"), "doc_id")
+
+
+@_query(f"with {O.TURN_PAIRS} select conv_id, turn, cast(length(query) as int) qry_len, cast(length(ref) as int) ref_len from p0")
+def zip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_pairs(spark, sf_dir).select(*TURN, F.length("query").alias("qry_len"), F.length("ref").alias("ref_len"))
+
+
+@_query(f"select doc_id, cast(least(greatest((length(text) + {THRESHOLD - 1}) // {THRESHOLD}, 1), {TILES}) as int) team_size from documents")
+def team_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.team_sizes(table(spark, sf_dir, "documents"), F.length("text"), THRESHOLD, TILES).select("doc_id", "team_size")
+
+
+@_query(
+    f"""with t as (select doc_id, length(text) n, greatest({THRESHOLD}, (length(text) + {TILES - 1}) // {TILES}) w, least(greatest((length(text) + {THRESHOLD - 1}) // {THRESHOLD}, 1), {TILES}) team from documents)
+select doc_id, cast(lane as int) lane, cast(least(lane * w, n) as int) lo, cast(least((lane + 1) * w, n) as int) hi from (select *, unnest(range(0, team)) lane from t)"""
+)
+def chunk_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.chunks(table(spark, sf_dir, "documents"), F.length("text"), THRESHOLD, TILES, ["doc_id"])
+
+
+@_query(
+    f"""with {O.PART_PAIRS} select p_partkey, cast(i as int) i, cast(least(i, n) as int) lo, cast(least(n, i + 4) as int) hi
+from (select p_partkey, length(ref) n, unnest(range(0, length(query))) i from p0)"""
+)
+def band_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = part_pairs(spark, sf_dir).select(*PART, F.length("ref").alias("n"), F.posexplode(F.split("query", "")).alias("i", "_"))
+    own = prep.band_limits(F.col("i"), F.col("n"), 4)
+    return each.select(*PART, "i", own["lo"].alias("lo"), own["hi"].alias("hi"))
+
+
+_TOKENS = r"""t as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') t from documents),
+r as (select doc_id, cast(k as int) rec_no, t[2 * k + 1] label, substr(t[2 * k + 2], 1, 32) seq from (select doc_id, t, unnest(range(0, len(t) // 2)) k from t))"""
+
+
+@_query(f"with {_TOKENS} select doc_id, rec_no, label, seq from r")
+def records_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.records(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query(f"with {_TOKENS} select doc_id, cast(rec_no // 4 as int) seq_no, substr(string_agg(seq, '' order by rec_no), 1, 100) seq from r group by doc_id, rec_no // 4")
+def records_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each four records of a text as one sequence of at most 100 symbols."""
+    return records.concat_records(records.records(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", 4, 100)
+
+
+@_query(
+    f"""with {_TOKENS}, n as (select doc_id, count(*) n from r group by doc_id)
+select doc_id, cast(s as int) slot, rec_no, seq from (select doc_id, n, unnest(range(0, 64)) s from n) join r using (doc_id) where s % n = rec_no"""
+)
+def records_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty-four records of each text, read cyclically."""
+    docs = table(spark, sf_dir, "documents")
+    held = docs.select("doc_id", F.explode(F.array(records.token_records(F.col("text")))).alias("r")).withColumn("n", F.size("r"))
+    recs = held.select("doc_id", "n", F.posexplode("r").alias("rec_no", "r")).select("doc_id", "n", "rec_no", "r.seq")
+    return records.wrap_records(recs, "doc_id", F.col("n"), 64)
+
+
+@_query(
+    f"""{O.sw_cte(O.PART_PAIRS)}, {O.diagonals(O.banded_cell(4), '0', ', greatest(w.best, coalesce(list_max(x.h), 0))', 'best:0', name='v')}
+select p_partkey, cast(v.best as int) actual, cast(w.best as int) expected from w join p using (id) join v using (id) where w.k = m + n and v.k = m + n and v.best <> w.best"""
+)
+def check_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts whose banded score isn't their full one."""
+    pairs = part_pairs(spark, sf_dir)
+    return checks.mismatches(align.sw_banded_scores(pairs, 4), align.sw_scores(pairs, method="native"), PART, "score")
+
+
+@_query(f"{O.both_cte(O.PART_PAIRS)} select p_partkey, i, j, s.h actual, f.h expected from f join s using (id, i, j) join p using (id) where f.h <> s.h")
+def check_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells where the suffix matrix isn't the prefix matrix."""
+    pairs = part_pairs(spark, sf_dir)
+    own = lambda m: align.cells(m, PART)
+    return checks.mismatches(own(align.nw_suffix_matrix(pairs)), own(align.nw_matrix(pairs)), [*PART, "i", "j"], "h")
+
+
+@_query(O.check_path_sql(O.PART_PAIRS, O.PART_KEYS))
+def check_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = checks.check_paths(align.nw_paths(part_pairs(spark, sf_dir)))
+    return checked.select(*PART, *[F.col(f"check.{c}").alias(c) for c in ("valid", "point_count", "score", "error")])
+
+
+@_query(
+    f"""with recursive {O.ANCHORS}, {O.chain_cte(2)}, {O.chain_cte(8, 'e')}
+select chain_id, idx, cast(cs.score as int) actual, cast(es.score as int) expected from cs join es using (chain_id, idx) where cs.score <> es.score"""
+)
+def check_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors whose score with a look back of 2 isn't the one with 8."""
+    anchors = event_anchors(spark, sf_dir)
+    return checks.mismatches(chain.chain_scores(anchors, 2), chain.chain_scores(anchors, 8), ["chain_id", "idx"], "score")
+
+
+_BAD = "case when n = 0 then 'passed' else 'failed(' || n || ')' end"
+
+
+@_query(
+    f"""with recursive {O.ANCHORS}, {O.chain_cte(2)}, {O.chain_cte(8, 'e')},
+n as (select count(*) n from cs join es using (chain_id, idx) where cs.score <> es.score)
+select 'local' batch, 'chain' app, 'lb8' test, 'passed' status, '0 differences' log
+union all select 'local', 'chain', 'lb2', {_BAD}, n || ' differences' from n
+union all select 'local', 'sw', 'rect', 'passed', '0 differences'"""
+)
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a run: the look back of 8 against itself, of 2 against it, and both ways of scoring the parts' pairs."""
+    anchors, pairs = event_anchors(spark, sf_dir), part_pairs(spark, sf_dir)
+    expected = chain.chain_scores(anchors, 8)
+    runs = [
+        ("chain", "lb8", checks.verdict(chain.chain_scores(anchors, 8), expected, ["chain_id", "idx"], "score")),
+        ("chain", "lb2", checks.verdict(chain.chain_scores(anchors, 2), expected, ["chain_id", "idx"], "score")),
+        ("sw", "rect", checks.verdict(align.sw_scores(pairs), align.sw_scores(pairs, method="native"), PART, "score")),
+    ]
+    log = F.concat(F.col("n_bad").cast("string"), F.lit(" differences"))
+    rows = [df.select(F.lit("local").alias("batch"), F.lit(app).alias("app"), F.lit(test).alias("test"), sinks.run_status().alias("status"), log.alias("log")) for app, test, df in runs]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
