@@ -6,18 +6,21 @@ together. One row a suffix would be some ten times the text, so the suffixes are
 
 * The first digit is the window's anchor: of its runs of ``GRAM`` bytes the one of least hash. Equal windows have equal
   anchors at equal offsets, and neighbouring windows mostly share theirs, so a row stands for a run of windows
-  with one anchor, about 1 for each 90 bytes. Pass 1 keeps the rows whose anchor occurs in another row.
-* Pass 2 compares the whole runs of windows, by 128 bits and their offsets: a run that occurs again is
+  with one anchor, about 1 for each 70 bytes. Rows are dealt by anchor once, and pass 1 drops an anchor's
+  only row.
+* Pass 2, on the same deal, compares the whole runs of windows, by hash and length: a run that occurs again is
   repeated throughout. This settles the insides of copies.
 * Pass 3 takes the last digits: what is left, the edges where copies part, is compared window by window
   inside each anchor's group, with the bytes themselves at hand. One copy of each different run is enough
   there. A group with over ``BIG_GROUP`` of them is dealt to several tasks by window hash.
 
-Passes 1 and 2 count with aggregates and join the result, so a passage in a third of all texts is no hot
-task. A run ends where another place in the text becomes the (last) least one, so no two windows of one run
-are equal, and copies inside one text, overlapping or not, are found like any other. Matches never
-cross texts. Windows are compared by 128-bit polynomial hashes over random odd bases, drawn once and fixed.
-Long texts are hashed in segments; a run cut there is settled in pass 3.
+Before the deal, a task settles the runs that it holds twice: it sends one of them under their anchor, marked
+as repeated, and the others under keys of their own, so a passage in a third of all texts gives its
+anchor a row for each lot of texts only. A run ends where another place in the text becomes the (last) least one, so no two
+windows of one run are equal, and copies inside one text, overlapping or not, are found like any other.
+Matches never cross texts. Runs are compared by 64 bits of anchor and 64 of content, windows by 128-bit polynomial
+hashes over random odd bases, drawn once and fixed. Long texts are hashed in segments; a run cut there
+is settled in pass 3.
 
 Null counts as empty; texts under ``span`` bytes have no windows. Rows that repeat an id are texts of
 their own: rows are told apart by 96 bits of hash of id and text, and equal rows repeat each other. Text is handled as UTF-8 bytes: kept bytes can end inside a character.
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plaitwork.llm._util import prepare, staged
@@ -96,48 +99,71 @@ def segments(texts: list[bytes], span: int, most: int = SEGMENT) -> Iterator[lis
 
 
 def runs(parts: list[bytes], span: int) -> dict[str, np.ndarray] | None:
-    """The runs of windows with one anchor: part (its place in the list), first, count, anchor, u1, u2."""
+    """The runs of windows with one anchor: part (its place in the list), first, count, anchor, u, seen."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     if len(data) < span:
         return None
     sizes = np.array([len(t) for t in parts], np.int64)
     ends = np.cumsum(sizes)
     got = hashes_of(data, (GRAM, span), 0)
-    win, win2, grams = got[span], hashes_of(data, (span,), 1)[span], _mix(got[GRAM])
+    win, grams = got[span], _mix(got[GRAM])
     low, newest = sliding_min(grams, span - GRAM + 1), grams[span - GRAM :]
     part = np.repeat(np.arange(len(parts)), sizes)[: len(win)]
     at = np.flatnonzero(np.arange(len(win)) + span <= ends[part])
     if not len(at):
         return None
-    part, low, newest, win, win2 = part[at], low[at], newest[at], win[at], win2[at]
+    part, low, newest, win = part[at], low[at], newest[at], win[at]
     new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (part[1:] != part[:-1]) | (newest[1:] == low[1:])])
     count = np.diff(np.r_[new, len(at)])
     # The windows' mixed hashes, summed with their places in the run: equal runs have equal sums.
     place = np.arange(len(at)) - np.repeat(new, count)
     weight = _mix(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-    u1, u2 = (np.add.reduceat(_mix(w) * weight, new).view(np.int64) for w in (win, win2))
+    u = np.add.reduceat(_mix(win) * weight, new)
     first = at[new] - (ends - sizes)[part[new]]
-    return {"part": part[new], "first": first, "count": count, "anchor": low[new].view(np.int64), "u1": u1, "u2": u2}
+    # Of equal runs here, one speaks for all under their anchor; the others are settled and get keys of their own.
+    anchor = low[new].copy()
+    _, lead, code, n = np.unique(_mix(anchor) ^ u ^ count.astype(np.uint64), return_index=True, return_inverse=True, return_counts=True)
+    seen = np.minimum(n[code], 2)
+    other = lead[code] != np.arange(len(new))
+    anchor[other] = _mix(anchor[other] + _mix(part[new][other].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * first[other].astype(np.uint64) + u[other]))
+    return {"part": part[new], "first": first, "count": count, "anchor": anchor.view(np.int64), "u": u.view(np.int64), "seen": seen}
 
 
-def repeated_windows(blobs: list[bytes], copies: np.ndarray, span: int, salt: int, salts: int) -> list[np.ndarray]:
-    """For each blob, a mask of its windows that are there again, in it or another; copies: how often a blob is there."""
+def repeated_windows(blobs: list[bytes], copies: np.ndarray, span: int, salt: np.ndarray, salts: np.ndarray) -> list[np.ndarray]:
+    """For each blob, a mask of its windows that are there again, in it or another; copies: how often a blob is there.
+
+    A blob with several salts is there once for each, and only the windows of its salt count.
+    """
     data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs], np.int64)
     ends = np.cumsum(sizes)
     h, h2 = hashes_of(data, (span,), 0)[span], hashes_of(data, (span,), 1)[span]
     owner = np.repeat(np.arange(len(blobs)), sizes)[: len(h)]
     good = np.arange(len(h)) + span <= ends[owner]
-    if salts > 1:
-        good &= (_mix(h) % np.uint64(salts)).astype(np.int64) == salt
-    key, owner_k = h[good] ^ _mix(h2[good]), owner[good]
-    _, code = np.unique(key, return_inverse=True)
-    again = np.bincount(code, weights=copies[owner_k])[code] > 1 if len(code) else np.empty(0, bool)
+    if (salts > 1).any():
+        good &= (_mix(h) % salts[owner].astype(np.uint64)).astype(np.int64) == salt[owner]
+    _, code = np.unique(h[good] ^ _mix(h2[good]), return_inverse=True)
     mask = np.zeros(len(data), bool)
-    mask[np.flatnonzero(good)] = again
+    mask[np.flatnonzero(good)] = np.bincount(code, weights=copies[owner[good]])[code] > 1 if len(code) else False
     return [mask[e - n : e - span + 1] for e, n in zip(ends, sizes, strict=True)]
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Lots of about ``most`` rows of a sorted partition, which never part the rows of an anchor and salt."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        for at in range(0, len(pdf), most):
+            held.append(pdf.iloc[at : at + most])
+            lot = pd.concat(held, ignore_index=True)
+            last = (lot["anchor"] == lot["anchor"].iloc[-1]) & (lot["salt"] == lot["salt"].iloc[-1])
+            if not last.all():
+                yield lot[~last]
+                lot = lot[last]
+            held = [lot]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _intervals(mask: np.ndarray, start: int, span: int) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
     return [(start + int(a), start + int(b) - 1 + span) for a, b in zip(edge[::2], edge[1::2], strict=True)]
@@ -177,23 +203,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
                 r = runs([x[2] for x in lot], span)
                 if r is not None:
                     own, offset = np.array([x[0] for x in lot])[r["part"]], np.array([x[1] for x in lot])[r["part"]]
-                    yield pd.DataFrame({"row": keys[0][own], "row2": keys[1][own], "first": (r["first"] + offset).astype(np.int32), "count": r["count"].astype(np.int32), "anchor": r["anchor"], "u1": r["u1"], "u2": r["u2"]})
-
-    schema = "row long, row2 int, first int, count int, anchor long, u1 long, u2 long"
-    long_enough = keyed.where(F.octet_length("text") >= span).select(*row, "text")
-    found = staged(long_enough.mapInPandas(find, schema), "runs")
-    common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    left = staged(found.join(common, "anchor"), "runs-1")
-    whole = left.groupBy("anchor", "u1", "u2", "count").agg(F.count(F.lit(1)).alias("copies"))
-    # An anchor of which all runs are one run, over and over, is settled; so is every run seen twice.
-    kinds = whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    left = staged(left.join(whole, ["anchor", "u1", "u2", "count"]), "runs-2")
+                    yield pd.DataFrame({"row": keys[0][own], "row2": keys[1][own], "first": (r["first"] + offset).astype(np.int32), "count": r["count"].astype(np.int32), "anchor": r["anchor"], "u": r["u"], "seen": r["seen"].astype(np.int32)})
+
+    schema = "row long, row2 int, first int, count int, anchor long, u long, seen int"
+    found = keyed.where(F.octet_length("text") >= span).select(*row, "text").mapInPandas(find, schema)
+    # All windows are over one deal by anchor. A kind: the equal runs of one anchor.
+    group, kind = Window.partitionBy("anchor"), Window.partitionBy("anchor", "u", "count")
+    again = found.withColumn("n", F.sum("seen").over(group)).where("n > 1")
+    counted = again.withColumn("nr", F.row_number().over(kind.orderBy(*row, "first"))).withColumn("copies", F.sum("seen").over(kind))
+    told = counted.withColumn("least", F.min("copies").over(group)).withColumn("kinds", F.sum(F.when(F.col("nr") == 1, 1).otherwise(0)).over(group))
+    # Pass 3 gets one row of each kind of the anchors with several kinds of which one isn't settled.
+    open_ = (F.col("kinds") > 1) & (F.col("least") == 1) & (F.col("nr") == 1)
+    told = told.where((F.col("copies") > 1) | open_).select(*row, "first", "count", F.when(open_, F.col("anchor")).alias("anchor"), "kinds", F.least("copies", F.lit(2)).alias("copies"))
+    left = staged(told, "runs")
     full = left.where("copies > 1").select(*row, F.col("first").alias("a"), (F.col("first") + F.col("count") - 1 + span).alias("b"))
-    # Pass 3: one row of each kind, of the anchors with several kinds of which one isn't settled.
-    single = whole.groupBy("anchor").agg(F.min("copies").alias("least")).where("least = 1").select("anchor")
-    mixed = kinds.where("kinds > 1").join(single, "anchor")
-    one = left.groupBy("anchor", "u1", "u2", "count", "copies").agg(F.min(F.struct(*row, "first")).alias("m"))
-    edges = one.join(mixed, "anchor").select("anchor", "kinds", "copies", "m.*", "count")
+    edges = left.where("anchor is not null")
     by_row = edges.groupBy(*row).agg(F.collect_list(F.struct("first", "count", "anchor", "kinds", "copies")).alias("runs"))  # as many as the text has
     bytes_of = lambda e: F.substring("text", e["first"] + 1, e["count"] - 1 + span).alias("blob")
     cut = F.transform("runs", lambda e: F.struct(*[e[c].alias(c) for c in ("first", "count", "anchor", "kinds", "copies")], bytes_of(e)))
@@ -201,12 +225,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     salts = F.when(F.col("kinds") > big_group, F.least(F.lit(SALTS), F.ceil(F.col("kinds") / big_group))).otherwise(1).cast("int")
     dealt = blobs.withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
-    def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        masks = repeated_windows(pdf["blob"].tolist(), pdf["copies"].to_numpy(), span, int(key[1]), int(pdf["salts"].iloc[0]))
-        out = [(r, r2, a, b) for r, r2, f, c, m in zip(pdf["row"], pdf["row2"], pdf["first"], pdf["copies"], masks, strict=True) if c == 1 for a, b in _intervals(m, int(f), span)]
-        return pd.DataFrame(out, columns=[*row, "a", "b"])
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, 8_192):
+            masks = repeated_windows(pdf["blob"].tolist(), pdf["copies"].to_numpy(), span, pdf["salt"].to_numpy(), pdf["salts"].to_numpy())
+            out = [(r, r2, a, b) for r, r2, f, c, m in zip(pdf["row"], pdf["row2"], pdf["first"], pdf["copies"], masks, strict=True) if c == 1 for a, b in _intervals(m, int(f), span)]
+            yield pd.DataFrame(out, columns=[*row, "a", "b"])
 
-    edge = dealt.groupBy("anchor", "salt").applyInPandas(settle, "row long, row2 int, a int, b int")
+    edge = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInPandas(settle, "row long, row2 int, a int, b int")
     spans = full.unionByName(edge).groupBy(*row).agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by the text
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
