@@ -71,6 +71,14 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have yet."""
+    taken, name = {c.lower() for c in df.columns}, f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of ``words(text)``, in order."""
     return F.transform(words(text), lambda w: F.xxhash64(w))

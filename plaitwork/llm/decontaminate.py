@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import WORD_PATTERN, held, words
+from plaitwork.llm._util import WORD_PATTERN, fresh, held, words
 
 WINDOW, MAX_SET = 10, 50_000
 
@@ -108,17 +108,16 @@ def _find_by_join(src: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def remove_spans(text: Column, spans: Column) -> Column:
-    """``text`` without the characters of the words inside ``spans`` and what stands between them.
+    """``text`` without the words inside ``spans``, what stands between them and what follows them up to the next word.
 
     The text is cut at its words (case kept), so that separators outside the spans stay as they were.
     """
     gaps = F.split(text, _ANY_CASE, -1)
     w = F.regexp_extract_all(text, F.lit(_ANY_CASE), F.lit(0))
     hit = lambda i: F.exists(spans, lambda s: (s["at"] <= i) & (i < s["at"] + s["size"]))
-    kept = F.transform(
-        w,
-        lambda x, i: F.when(hit(i), F.lit("")).otherwise(F.concat(F.when((i > 0) & hit(i - 1), F.lit(" ")).otherwise(F.get(gaps, i)), x)),
-    )
+    after = lambda i: (i > 0) & hit(i - 1)
+    gap = lambda i: F.when(after(i), F.lit("")).otherwise(F.get(gaps, i))
+    kept = F.transform(w, lambda x, i: F.concat(gap(i), F.when(hit(i), F.lit("")).otherwise(x)))
     return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
 
 
@@ -132,9 +131,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Clean rows come back unchanged, with null and empty texts. Rows that share an id are one
     case: their spans are found row by row on equal texts, and the id goes if any of them must.
     """
-    hits = find_hits(docs, benchmark, id_col, text_col, n).where("n_hit > 0").groupBy(F.col(id_col).alias("__id")).agg(
-        F.max(F.col("n_hit") / F.col("n_words")).alias("__share"), F.first("spans").alias("__spans")
-    )
-    joined = docs.join(hits, docs[id_col].eqNullSafe(F.col("__id")), "left").where(f"__share is null or __share <= {float(max_share)}")
-    text = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(remove_spans(F.col(text_col), F.col("__spans")))
-    return joined.withColumn(text_col, text).select(*docs.columns)
+    own, share, spans = (fresh(docs, x) for x in ("id", "share", "spans"))
+    found = find_hits(docs, benchmark, id_col, text_col, n).where("n_hit > 0")
+    hits = found.groupBy(F.col(id_col).alias(own)).agg(F.max(F.col("n_hit") / F.col("n_words")).alias(share), F.first("spans").alias(spans))
+    joined = docs.join(hits, docs[id_col].eqNullSafe(hits[own]), "left").where(F.col(share).isNull() | (F.col(share) <= max_share))
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(remove_spans(F.col(text_col), F.col(spans)))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import held, staged
+from plaitwork.llm._util import fresh, held, staged
 
 LONG_WORDS = 30
 
@@ -58,14 +58,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
-    """``docs`` with later repeated runs of lines deleted from the text, and __n_lines and __n_removed."""
-    gone = repeated_lines(docs, id_col, text_col, long_words).select(F.col("id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")), "left")
+    """``docs`` with later repeated runs of lines deleted from the text, and the numbers of its lines and of those deleted.
+
+    The numbers' columns are __n_lines and __n_removed, or the same with more underscores if ``docs`` has those.
+    """
+    own, away = fresh(docs, "id"), fresh(docs, "away")
+    gone = repeated_lines(docs, id_col, text_col, long_words).select(F.col("id").alias(own), F.col("gone").alias(away))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[own]), "left")
     lines = text_lines(F.col(text_col))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(away, i))
+    text = F.when(F.col(away).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__n_removed"),
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias(fresh(docs, "n_lines")),
+        F.coalesce(F.size(away), F.lit(0)).cast("long").alias(fresh(docs, "n_removed")),
     )
