@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), grams], names=[*keys, "grams"]).filter(mine)
 
     keys = ["component", "rep", "copies", "parts", "part"]
-    wanted = texts.join(members.withColumn("id", F.col("rep")), "id").select(*keys, "s1", "s2", word_hashes(F.col("text")).alias("wh"))
+    # Merged at every size: members grow with the texts, so they are never broadcast.
+    wanted = texts.join(members.withColumn("id", F.col("rep")).hint("merge"), "id").select(*keys, "s1", "s2", word_hashes(F.col("text")).alias("wh"))
     full = wanted.mapInArrow(sets_of, "component long, rep long, copies long, parts int, part int, grams binary")
     sides = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     blocks = sides.select(
