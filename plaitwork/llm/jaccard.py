@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import components, prepare, staged, word_hashes
+from plaitwork.llm._util import components, fresh, prepare, staged, word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK_DOCS, BLOCK_GRAMS = 128, 400_000
@@ -241,5 +241,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows that share a kept id all stay, and so do rows with a null id.
     """
-    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    name = fresh(docs, "away")
+    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

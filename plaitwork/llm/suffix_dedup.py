@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from plaitwork.llm._util import prepare, staged
 
-SPAN, GRAM, BIG_GROUP, SALTS, SEGMENT = 200, 32, 20_000, 16, 1_000_000
+SPAN, GRAM, BIG_GROUP, SEGMENT = 200, 32, 20_000, 1_000_000
 
 _RNG = np.random.default_rng(77)
 _TABLES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -222,7 +222,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     bytes_of = lambda e: F.substring("text", e["first"] + 1, e["count"] - 1 + span).alias("blob")
     cut = F.transform("runs", lambda e: F.struct(*[e[c].alias(c) for c in ("first", "count", "anchor", "kinds", "copies")], bytes_of(e)))
     blobs = keyed.select(*row, "text").join(by_row, row).select(*row, F.explode(cut).alias("e")).select(*row, "e.*")
-    salts = F.when(F.col("kinds") > big_group, F.least(F.lit(SALTS), F.ceil(F.col("kinds") / big_group))).otherwise(1).cast("int")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("kinds") / big_group)).cast("int")
     dealt = blobs.withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
