@@ -25,9 +25,9 @@ def diagonals(cell: str, edge: str, extra: str = "", extra_zero: str = "", name:
     return f"""{name}(id, k, h1, h2{extra_zero and ', ' + extra_zero.split(':')[0]}) as (
   select id, 0, [0], cast([] as int[]){extra_zero and ', ' + extra_zero.split(':')[1]} from {pairs}
   union all
-  select w.id, w.k + 1, x.h, w.h1{extra} from {name} w join {pairs} p using (id), lateral (select list_transform(range(0, least(w.k + 1, n) + 1), lambda j:
-    case when w.k + 1 - j > m then null when j = 0 or w.k + 1 = j then {edge} else {cell} end) h) x
-  where w.k < m + n)"""
+  select w.id, w.k + 1, w.h, w.h1{extra} from (select w.*, list_transform(range(0, least(w.k + 1, n) + 1), lambda j:
+    case when w.k + 1 - j > m then null when j = 0 or w.k + 1 = j then {edge} else {cell} end) h
+  from {name} w join {pairs} p using (id) where w.k < m + n) w)"""
 
 
 _STEP = "case when q[w.k + 1 - j] = r[j] then 1 else -1 end"
@@ -38,12 +38,12 @@ SW_CELL = f"cast(greatest(0, w.h2[j] + {_STEP}, w.h1[j + 1] - 1, w.h1[j] - 1) as
 
 
 def sw_sql(source: str, keys: str, out: str = "score") -> str:
-    best = ", greatest(w.best, coalesce(list_max(x.h), 0))"
+    best = ", greatest(w.best, coalesce(list_max(w.h), 0))"
     return f"with recursive {_pairs(source)}, {diagonals(SW_CELL, '0', best, 'best:0')} select {keys}, cast(best as int) {out} from w join p using (id) where w.k = m + n"
 
 
 def sw_cte(source: str, prefix: str = "with recursive ") -> str:
-    best = ", greatest(w.best, coalesce(list_max(x.h), 0))"
+    best = ", greatest(w.best, coalesce(list_max(w.h), 0))"
     return f"{prefix}{_pairs(source)}, {diagonals(SW_CELL, '0', best, 'best:0')}"
 
 
@@ -52,14 +52,14 @@ def banded_cell(band: int) -> str:
 
 
 def banded_sql(source: str, keys: str, band: int) -> str:
-    best = ", greatest(w.best, coalesce(list_max(x.h), 0))"
+    best = ", greatest(w.best, coalesce(list_max(w.h), 0))"
     return f"with recursive {_pairs(source)}, {diagonals(banded_cell(band), '0', best, 'best:0')} select {keys}, cast(best as int) score from w join p using (id) where w.k = m + n"
 
 
 def argmax_sql(source: str, keys: str) -> str:
     # On a diagonal the first best cell by rows is the one of the largest j.
-    top = "coalesce(list_max(x.h), 0)"
-    j = f"(len(x.h) - list_position(list_reverse(x.h), {top}))"
+    top = "coalesce(list_max(w.h), 0)"
+    j = f"(len(w.h) - list_position(list_reverse(w.h), {top}))"
     better = f"({top} > w.best or ({top} = w.best and {top} > 0 and w.k + 1 - {j} < w.bi))"
     extra = f", case when {better} then {top} else w.best end, case when {better} then w.k + 1 - {j} else w.bi end, case when {better} then {j} else w.bj end"
     sql = diagonals(SW_CELL, "0", extra, "best, bi, bj:0, cast(1 as bigint), cast(1 as bigint)")

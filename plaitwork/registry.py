@@ -236,7 +236,7 @@ def records_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"""{O.sw_cte(O.PART_PAIRS)}, {O.diagonals(O.banded_cell(4), '0', ', greatest(w.best, coalesce(list_max(x.h), 0))', 'best:0', name='v')}
+    f"""{O.sw_cte(O.PART_PAIRS)}, {O.diagonals(O.banded_cell(4), '0', ', greatest(w.best, coalesce(list_max(w.h), 0))', 'best:0', name='v')}
 select p_partkey, cast(v.best as int) actual, cast(w.best as int) expected from w join p using (id) join v using (id) where w.k = m + n and v.k = m + n and v.best <> w.best"""
 )
 def check_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
