@@ -112,13 +112,16 @@ def remove_spans(text: Column, spans: Column) -> Column:
 
     The text is cut at its words (case kept), so that separators outside the spans stay as they were.
     """
-    gaps = F.split(text, _ANY_CASE, -1)
-    w = F.regexp_extract_all(text, F.lit(_ANY_CASE), F.lit(0))
-    hit = lambda i: F.exists(spans, lambda s: (s["at"] <= i) & (i < s["at"] + s["size"]))
-    after = lambda i: (i > 0) & hit(i - 1)
-    gap = lambda i: F.when(after(i), F.lit("")).otherwise(F.get(gaps, i))
-    kept = F.transform(w, lambda x, i: F.concat(gap(i), F.when(hit(i), F.lit("")).otherwise(x)))
-    return F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
+    # Bound as one element, so that the text is cut once and not for every word.
+    parts = F.array(F.struct(F.split(text, _ANY_CASE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(_ANY_CASE), F.lit(0)).alias("w"), spans.alias("spans")))
+
+    def rebuilt(b: Column) -> Column:
+        hit = lambda i: F.exists(b["spans"], lambda s: (s["at"] <= i) & (i < s["at"] + s["size"]))
+        gap = lambda i: F.when((i > 0) & hit(i - 1), F.lit("")).otherwise(F.get(b["gaps"], i))
+        kept = F.transform(b["w"], lambda x, i: F.concat(gap(i), F.when(hit(i), F.lit("")).otherwise(x)))
+        return F.concat(F.array_join(kept, ""), F.element_at(b["gaps"], -1))
+
+    return F.get(F.transform(parts, rebuilt), 0)
 
 
 #: The words' pattern before the change to lower case.
