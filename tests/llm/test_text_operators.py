@@ -239,6 +239,15 @@ def test_fast_and_full_encoders_agree():
     assert fast([*made, "a<|endoftext|>b"]) == full([*made, "a<|endoftext|>b"])
 
 
+def test_encoders_agree_on_every_code_point():
+    options = file_options()
+    fast, full = token_files._encoder(options["json_path"], options["ranks_path"], options["pattern"]), token_files._encoder(options["json_path"], None, None)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(points), 65_536):
+        made = ["".join(f"a{c}1{c} {c}{c}\n" for c in points[k : k + 64]) for k in range(at, min(at + 65_536, len(points)), 64)]
+        assert fast(made) == full(made)
+
+
 def test_damaged_frames_are_found(tmp_path):
     from pyarrow import fs
 
