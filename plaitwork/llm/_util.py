@@ -87,8 +87,9 @@ def word_hashes(text: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges(a, b)``; component is the smallest node reached.
 
-    Each round hooks every node to its neighbour of least hashed priority, if that is below its
-    own, and contracts the graph; random priorities make a constant part of the nodes vanish a
+    Each round hooks every node to its neighbour of least priority, if that is below its own, twice
+    over, and contracts the graph. Priority is the node itself for two rounds, which settles stars
+    around their least node, then a hash, with which a constant part of the nodes of any graph vanishes a
     round. Minima are pre-aggregated, so a hub is no hot group; the edges of each round are staged.
     """
     e = staged(
@@ -98,9 +99,11 @@ def components(edges: DataFrame) -> DataFrame:
     labels, turn = None, 0
     while not e.isEmpty():
         both = e.select(F.col("a").alias("n"), F.col("b").alias("m")).unionAll(e.select(F.col("b").alias("n"), F.col("a").alias("m")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("v"))  # noqa: B023, E731
+        rank = lambda c: F.struct((F.lit(0).cast("long") if turn < 2 else F.xxhash64(F.col(c), F.lit(turn))).alias("r"), F.col(c).alias("v"))  # noqa: B023, E731
         best = both.groupBy("n").agg(F.min(rank("m")).alias("best"))
-        hook = staged(best.select("n", F.when(F.col("best") < rank("n"), F.col("best.v")).otherwise(F.col("n")).alias("p")), "hooks")
+        once = staged(best.select("n", F.when(F.col("best") < rank("n"), F.col("best.v")).otherwise(F.col("n")).alias("p")), "hooks")
+        hook = once.join(once.select(F.col("n").alias("p"), F.col("p").alias("pp")), "p").select("n", F.col("pp").alias("p"))
+        hook = staged(hook, "hooks")
         left, right = hook.select(F.col("n").alias("a"), F.col("p").alias("pa")), hook.select(F.col("n").alias("b"), F.col("p").alias("pb"))
         e = staged(
             e.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),

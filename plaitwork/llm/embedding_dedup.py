@@ -133,7 +133,7 @@ def compare_blocks(left: dict, right: dict, same: bool, threshold: float) -> pd.
         np.add.at(links[0], i, right["copies"][j])
         if not same:
             np.add.at(links[1], j, left["copies"][i])
-        for x, y in forest(left["rep"][i], right["rep"][j]):
+        for x, y in zip(*(z.tolist() for z in forest(left["rep"][i], right["rep"][j])), strict=True):
             p, q = find(x), find(y)
             if p != q:
                 tree[max(p, q)] = min(p, q)

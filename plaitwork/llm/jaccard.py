@@ -109,21 +109,18 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs ``a[i], b[i]``: every node with its root."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-    return [(x, find(x)) for x in [*root]]
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the pairs ``a[i], b[i]`` with the least node of its connected part."""
+    nodes, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = code[: len(a)], code[len(a) :], np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
 
 
 def compare(block: pd.DataFrame, same: bool, threshold: float) -> pd.DataFrame:
@@ -149,8 +146,8 @@ def compare(block: pd.DataFrame, same: bool, threshold: float) -> pd.DataFrame:
     if same:
         keep = i < j
         i, j = i[keep], j[keep]
-    tree = forest(ids[0][i], ids[1][j])
-    return pd.DataFrame({"rep": links.index.to_numpy(), "links": links.to_numpy()}).merge(pd.DataFrame(tree, columns=["rep", "root"]), on="rep", how="left") if len(links) else pd.DataFrame({"rep": [], "links": [], "root": []})
+    nodes, roots = forest(ids[0][i], ids[1][j])
+    return pd.DataFrame({"rep": links.index.to_numpy(), "links": links.to_numpy()}).merge(pd.DataFrame({"rep": nodes, "root": roots}), on="rep", how="left") if len(links) else pd.DataFrame({"rep": [], "links": [], "root": []})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block_docs: int = BLOCK_DOCS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
