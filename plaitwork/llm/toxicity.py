@@ -21,12 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import prepare, word_hashes
+from plaitwork.llm._util import fresh, prepare, word_hashes
 
-BITS, MAX_ROWS, SHARD_ROWS = 20, 16_384, 8_192
+BITS, MAX_ROWS, SHARD_ROWS, LOT_ROWS = 20, 16_384, 8_192, 256
 ALPHA, BETA, L1, L2, EPOCHS, THRESHOLD = 2.0, 1.0, 8.0, 0.0, 4, 0.7
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -85,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h")
         bias = np.array([1 << bits])
-        rows = [np.concatenate([np.unique(np.concatenate(features(np.asarray(x, np.int64), bits))), bias]) for x in pdf["wh"]]
+        rows = [np.concatenate([np.unique(np.concatenate(features(np.asarray(x, np.int64), bits))), bias]).astype(np.int32) for x in pdf["wh"]]
         w = fit(rows, pdf["y"].to_numpy(), bits)
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": at, "w": w[at]})
@@ -95,47 +96,50 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     return mean["slot"].to_numpy(np.int64), mean["w"].to_numpy(float)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(``id_col``, score): for each row, the probability that its whole text is toxic."""
-    spark = docs.sparkSession
-    prepare(spark)
+def scorer(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text_col: str, bits: int = BITS) -> Column:
+    """The score as a Column: only word hashes go to the Python workers, and they take a few rows at a time."""
+    prepare(docs.sparkSession)
     slots, w = model
-    sent = spark.sparkContext.broadcast((slots, w.astype(np.float64)))
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    sent = docs.sparkSession.sparkContext.broadcast((slots, w.astype(np.float64)))
 
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, values = sent.value
-        table, bias = np.zeros(1 << bits), 0.0
         inner = at < (1 << bits)
+        table = np.zeros(1 << bits)
         table[at[inner]] = values[inner]
         bias = float(values[~inner].sum()) if len(values) else -35.0
-        for batch in batches:
-            lists = batch.column("wh")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            hashes = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            row = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            total = np.full(len(lists), bias)
-            hits = []
-            for gap, got in enumerate(features(hashes, bits)):
-                first = row[: len(got)]
-                k = np.flatnonzero((table[got] != 0) & (first == row[gap:]))
-                hits.append((first[k] << bits) | got[k])
-            # A feature counts once a text, however often it is there.
-            pairs = np.unique(np.concatenate(hits))
-            np.add.at(total, pairs >> bits, table[pairs & ((1 << bits) - 1)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0))))], names=["id", "score"])
-
-    ready = docs.select(F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("wh"))
-    return ready.mapInArrow(run, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+        for lists in batches:
+            yield pa.concat_arrays([_score_lot(lists.slice(k, LOT_ROWS), table, bias, bits) for k in range(0, len(lists), LOT_ROWS)] or [pa.array([], pa.float64())])
+
+    return run(word_hashes(F.col(text_col)))
+
+
+def _score_lot(lists: pa.ListArray, table: np.ndarray, bias: float, bits: int) -> pa.Array:
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    hashes = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+    hits = []
+    for gap, got in enumerate(features(hashes, bits)):
+        first = row[: len(got)]
+        k = np.flatnonzero((table[got] != 0) & (first == row[gap:]))
+        hits.append((first[k] << bits) | got[k])
+    # A feature counts once a text, however often it is there.
+    pairs = np.unique(np.concatenate(hits))
+    total = np.full(len(lists), bias)
+    np.add.at(total, pairs >> bits, table[pairs & ((1 << bits) - 1)])
+    return pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0))))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """(``id_col``, score): for each row, the probability that its whole text is toxic."""
+    return docs.select(F.col(id_col), scorer(docs, model, text_col, bits).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more; null and empty texts get the bias.
 
-    The score travels beside the row, so nothing is joined and no text is shuffled.
+    The score is a column beside the row, so nothing is joined and no text is shuffled.
     """
-    scored = score(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text")), model, "__row", "__text")
-    return scored.where(F.col("score") < threshold).select("__row.*")
+    name = fresh(docs, "score")
+    return docs.withColumn(name, scorer(docs, model, text_col)).where(F.col(name) < threshold).select(*docs.columns)
