@@ -12,7 +12,8 @@ together. One row a suffix would be some ten times the text, so the suffixes are
   repeated throughout. This settles the insides of copies.
 * Pass 3 takes the last digits: what is left, the edges where copies part, is compared window by window
   inside each anchor's group, with the bytes themselves at hand. One copy of each different run is enough
-  there. A group with over ``BIG_GROUP`` of them is dealt to several tasks by window hash.
+  there. A group with over ``BIG_GROUP`` of them is never brought together: the task that cuts its runs from the
+  texts sends one row for each window, by window hash, and repeats are counted by that hash alone.
 
 Before the deal, a task settles the runs that it holds twice: it sends one of them under their anchor, marked
 as repeated, and the others under keys of their own, so a passage in a third of all texts gives its
@@ -129,33 +130,57 @@ def runs(parts: list[bytes], span: int) -> dict[str, np.ndarray] | None:
     return {"part": part[new], "first": first, "count": count, "anchor": anchor.view(np.int64), "u": u.view(np.int64), "seen": seen}
 
 
-def repeated_windows(blobs: list[bytes], copies: np.ndarray, span: int, salt: np.ndarray, salts: np.ndarray) -> list[np.ndarray]:
-    """For each blob, a mask of its windows that are there again, in it or another; copies: how often a blob is there.
-
-    A blob with several salts is there once for each, and only the windows of its salt count.
-    """
+def hashed_windows(blobs: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of the blobs: its blob, its offset there and the two halves of its hash."""
     data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs], np.int64)
     ends = np.cumsum(sizes)
     h, h2 = hashes_of(data, (span,), 0)[span], hashes_of(data, (span,), 1)[span]
     owner = np.repeat(np.arange(len(blobs)), sizes)[: len(h)]
-    good = np.arange(len(h)) + span <= ends[owner]
-    if (salts > 1).any():
-        good &= (_mix(h) % salts[owner].astype(np.uint64)).astype(np.int64) == salt[owner]
-    _, code = np.unique(h[good] ^ _mix(h2[good]), return_inverse=True)
-    mask = np.zeros(len(data), bool)
-    mask[np.flatnonzero(good)] = np.bincount(code, weights=copies[owner[good]])[code] > 1 if len(code) else False
-    return [mask[e - n : e - span + 1] for e, n in zip(ends, sizes, strict=True)]
+    at = np.flatnonzero(np.arange(len(h)) + span <= ends[owner])
+    owner = owner[at]
+    return owner, at - (ends - sizes)[owner], h[at], _mix(h2[at])
+
+
+def repeated_windows(blobs: list[bytes], copies: np.ndarray, span: int) -> list[np.ndarray]:
+    """For each blob, a mask of its windows that are there again, in it or another; copies: how often a blob is there."""
+    owner, _, h, h2 = hashed_windows(blobs, span)
+    _, code = np.unique(h ^ h2, return_inverse=True)
+    mask = np.bincount(code, weights=copies[owner])[code] > 1 if len(code) else np.empty(0, bool)
+    return np.split(mask, np.cumsum([len(b) - span + 1 for b in blobs])[:-1])
+
+
+def window_rows(pdf: pd.DataFrame, span: int) -> pd.DataFrame:
+    """A row for each different window of a lot of runs, by its hash, and one for each stretch repeated in the lot.
+
+    n is 1 for the only window of its kind here, which is open; 2 for one that speaks for settled windows; 3 for
+    a settled stretch of windows, which has a key of its own.
+    """
+    copies = pdf["copies"].to_numpy()
+    owner, offset, h, h2 = hashed_windows(pdf["blob"].tolist(), span)
+    _, lead, code = np.unique(h ^ h2, return_index=True, return_inverse=True)
+    n = np.minimum(np.bincount(code, weights=copies[owner]), 2).astype(np.int32)
+    row, row2 = (pdf[c].to_numpy()[owner] for c in ("row", "row2"))
+    a = pdf["first"].to_numpy()[owner] + offset
+    made = [pd.DataFrame({"h": h[lead], "h2": h2[lead], "row": row[lead], "row2": row2[lead], "a": a[lead], "b": a[lead] + span, "n": n})]
+    at = np.flatnonzero((n[code] > 1) & (copies[owner] == 1))
+    if len(at):
+        new = np.flatnonzero(np.r_[True, (owner[at][1:] != owner[at][:-1]) | (offset[at][1:] != offset[at][:-1] + 1)])
+        x, last = at[new], at[np.r_[new[1:] - 1, len(at) - 1]]
+        key = _mix(row[x].view(np.uint64) + _mix(a[x].astype(np.uint64)))
+        made.append(pd.DataFrame({"h": key, "h2": _mix(key + row2[x].astype(np.uint64)), "row": row[x], "row2": row2[x], "a": a[x], "b": a[last] + span, "n": 3}))
+    out = pd.concat(made, ignore_index=True)
+    return out.assign(h=out["h"].to_numpy(np.uint64).view(np.int64), h2=out["h2"].to_numpy(np.uint64).view(np.int64))
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Lots of about ``most`` rows of a sorted partition, which never part the rows of an anchor and salt."""
+    """Lots of about ``most`` rows of a sorted partition, which never part the rows of an anchor."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         for at in range(0, len(pdf), most):
             held.append(pdf.iloc[at : at + most])
             lot = pd.concat(held, ignore_index=True)
-            last = (lot["anchor"] == lot["anchor"].iloc[-1]) & (lot["salt"] == lot["salt"].iloc[-1])
+            last = lot["anchor"] == lot["anchor"].iloc[-1]
             if not last.all():
                 yield lot[~last]
                 lot = lot[last]
@@ -218,20 +243,31 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     left = staged(told, "runs")
     full = left.where("copies > 1").select(*row, F.col("first").alias("a"), (F.col("first") + F.col("count") - 1 + span).alias("b"))
     edges = left.where("anchor is not null")
-    by_row = edges.groupBy(*row).agg(F.collect_list(F.struct("first", "count", "anchor", "kinds", "copies")).alias("runs"))  # as many as the text has
+    columns = ["first", "count", "anchor", "copies"]
     bytes_of = lambda e: F.substring("text", e["first"] + 1, e["count"] - 1 + span).alias("blob")
-    cut = F.transform("runs", lambda e: F.struct(*[e[c].alias(c) for c in ("first", "count", "anchor", "kinds", "copies")], bytes_of(e)))
-    blobs = keyed.select(*row, "text").join(by_row, row).select(*row, F.explode(cut).alias("e")).select(*row, "e.*")
-    salts = F.greatest(F.lit(1), F.ceil(F.col("kinds") / big_group)).cast("int")
-    dealt = blobs.withColumn("salts", salts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    cut = F.transform("runs", lambda e: F.struct(*[e[c].alias(c) for c in columns], bytes_of(e)))
+
+    def blobs(some: DataFrame) -> DataFrame:
+        by_row = some.groupBy(*row).agg(F.collect_list(F.struct(*columns)).alias("runs"))  # as many as the text has
+        return keyed.select(*row, "text").join(by_row, row).select(*row, F.explode(cut).alias("e")).select(*row, "e.*")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, 8_192):
-            masks = repeated_windows(pdf["blob"].tolist(), pdf["copies"].to_numpy(), span, pdf["salt"].to_numpy(), pdf["salts"].to_numpy())
+            masks = repeated_windows(pdf["blob"].tolist(), pdf["copies"].to_numpy(), span)
             out = [(r, r2, a, b) for r, r2, f, c, m in zip(pdf["row"], pdf["row2"], pdf["first"], pdf["copies"], masks, strict=True) if c == 1 for a, b in _intervals(m, int(f), span)]
             yield pd.DataFrame(out, columns=[*row, "a", "b"])
 
-    edge = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInPandas(settle, "row long, row2 int, a int, b int")
+    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 2_048):
+                yield window_rows(pdf.iloc[at : at + 2_048], span)
+
+    edge = blobs(edges.where(F.col("kinds") <= big_group)).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(settle, "row long, row2 int, a int, b int")
+    big = edges.where(F.col("kinds") > big_group)
+    if not big.isEmpty():
+        sent = blobs(big).mapInPandas(scatter, "h long, h2 long, row long, row2 int, a int, b int, n int")
+        total = sent.withColumn("total", F.sum("n").over(Window.partitionBy("h", "h2")))
+        edge = edge.unionByName(total.where("n = 3 or n = 1 and total > 1").select(*row, "a", "b"))
     spans = full.unionByName(edge).groupBy(*row).agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by the text
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -132,6 +132,29 @@ def test_suffix_dedup_repeats_inside_texts(spark, monkeypatch):
     assert got == plain_removed(rows, 64)
 
 
+def test_suffix_dedup_never_gathers_a_big_group(spark, monkeypatch, tmp_path):
+    rng = random.Random(8)
+    passage, some = ("".join(rng.choices("abcdefgh", k=n)) for n in (400, 260))
+    own = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(150, 300)))
+    rows = [(k if k % 7 else None, own() + passage + own() + (some + own() if k < 4 else "")) for k in range(400)]
+    real = suffix_dedup.repeated_windows
+    folder = str(tmp_path)
+
+    def watched(blobs, *rest):
+        import os
+        import uuid
+
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+            f.write(str(len(blobs)))
+        return real(blobs, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", watched)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id int, text string"), big_group=20).collect())
+    assert got == plain_removed(rows, 200)
+    # The few edges of the rarer passage are compared in whole groups; the 400 of the common one never are.
+    assert 0 < sum(int(f.read_text()) for f in tmp_path.iterdir()) <= 40
+
+
 def plain_neighbours(rows, n=5, threshold=0.8):
     sets = {}
     for k, text, *_ in rows:
