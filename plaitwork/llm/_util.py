@@ -79,6 +79,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_key(id_col: str, text_col: str) -> list[Column]:
+    """96 bits of hash of a row's id and text, in two columns: what is found for a row is never put on another of its id."""
+    return [F.xxhash64(id_col, text_col), F.hash(id_col, text_col)]
+
+
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of ``words(text)``, in order."""
     return F.transform(words(text), lambda w: F.xxhash64(w))

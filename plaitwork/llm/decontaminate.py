@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import WORD_PATTERN, fresh, held, words
+from plaitwork.llm._util import WORD_PATTERN, fresh, held, text_key, words
 
 WINDOW, MAX_SET = 10, 50_000
 
@@ -131,12 +131,13 @@ _ANY_CASE = WORD_PATTERN.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.5, n: int = WINDOW) -> DataFrame:
     """``docs`` without contamination: hit spans are cut out; a text of which over ``max_share`` is hit goes.
 
-    Clean rows come back unchanged, with null and empty texts. Rows that share an id are one
-    case: their spans are found row by row on equal texts, and the id goes if any of them must.
+    Clean rows come back unchanged, with null and empty texts. Each row is judged by its own text: rows
+    that share an id, or have none, are told apart by 96 bits of hash of id and text.
     """
-    own, share, spans = (fresh(docs, x) for x in ("id", "share", "spans"))
-    found = find_hits(docs, benchmark, id_col, text_col, n).where("n_hit > 0")
-    hits = found.groupBy(F.col(id_col).alias(own)).agg(F.max(F.col("n_hit") / F.col("n_words")).alias(share), F.first("spans").alias(spans))
-    joined = docs.join(hits, docs[id_col].eqNullSafe(hits[own]), "left").where(F.col(share).isNull() | (F.col(share) <= max_share))
+    own, own2, share, spans = (fresh(docs, x) for x in ("row", "row2", "share", "spans"))
+    keyed = docs.withColumns(dict(zip((own, own2), text_key(id_col, text_col), strict=True)))
+    found = find_hits(keyed.select(F.struct(F.col(own), F.col(own2)).alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text", n).where("n_hit > 0")
+    hits = found.groupBy(F.col("key")[own].alias(own), F.col("key")[own2].alias(own2)).agg(F.first(F.col("n_hit") / F.col("n_words")).alias(share), F.first("spans").alias(spans))
+    joined = keyed.join(hits, [own, own2], "left").where(F.col(share).isNull() | (F.col(share) <= max_share))
     text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(remove_spans(F.col(text_col), F.col(spans)))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

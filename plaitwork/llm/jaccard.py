@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import components, fresh, prepare, staged, word_hashes
+from plaitwork.llm._util import components, fresh, prepare, staged, text_key, word_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK_DOCS, BLOCK_GRAMS = 128, 400_000
@@ -236,8 +236,14 @@ def _set_hash(grams: np.ndarray) -> tuple[int, int]:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the row of the least id of each group of near duplicates; others unchanged.
 
-    Rows that share a kept id all stay, and so do rows with a null id.
+    Rows with equal id and text are one and stay or go together. Rows that share an id, or have none, and
+    differ in text are told apart by 64 bits of hash of id and text. Null ids come last in the order.
     """
-    name = fresh(docs, "away")
-    gone = near_duplicates(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
-    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    key, own = fresh(docs, "key"), text_key(id_col, text_col)[0]
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), own.alias("key"))
+    found = near_duplicates(keyed, "key", "text", **options).where("n_links > 0").select("key", "component_id").distinct()
+    linked = staged(keyed.select("key", "id").distinct().join(found, "key"), "linked")
+    place = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
+    best = linked.groupBy("component_id").agg(F.min(place).alias("best"))
+    gone = linked.join(best, "component_id").where(~place.eqNullSafe(F.col("best"))).select(F.col("key").alias(key))
+    return docs.withColumn(key, own).join(gone, key, "left_anti").select(*docs.columns)

@@ -5,12 +5,13 @@ the other lines of a text, a window is two consecutive lines, or one line of at
 words. The fingerprint of a window is the least line hash in it, so a repeated run of two or more
 lines, or of one long line, has an equal fingerprint wherever it stands. Fingerprints seen once
 are dropped; around each position of the others the match is extended both ways by comparing the
-windows that the fingerprint stands for, by their md5. The first window of each kind, by document id and
-line, stays; all lines of later ones are deleted. Joins are on hashes with minima aggregated
+windows that the fingerprint stands for, by their md5. The first window of each kind, by document id, hash of
+the text and line, stays; all lines of later ones are deleted. Joins are on hashes with minima aggregated
 before the shuffle, so a line in a third of all texts is no hot group.
 
 A null text has no lines and stays null. Rows with equal id and equal text count as one text, so
-neither repeats the other. Null ids come first in the order.
+neither repeats the other; rows with equal or null ids and different texts are texts of their own, told apart by 96 bits
+of hash of id and text. Null ids come first in the order.
 """
 
 from __future__ import annotations
@@ -18,17 +19,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import fresh, held, staged
+from plaitwork.llm._util import fresh, held, staged, text_key
 
 LONG_WORDS = 30
 
+ROW = ["row", "row2"]
+
 
 def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, long_words: int) -> DataFrame:
-    """(id, a, b, print, win): windows from line a to line b (from 0), their fingerprint and md5."""
+    """(id, row, row2, a, b, print, win): windows from line a to line b (from 0), their fingerprint and md5; row, row2: the text's key."""
     units = F.filter(
         F.transform(text_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), x.alias("x"))),
         lambda u: F.length(F.trim(F.translate(u["x"], "\t\r", ""))) > 0,
@@ -39,22 +42,25 @@ def windows(docs: DataFrame, id_col: str, text_col: str, long_words: int) -> Dat
             p["x"]["i"].alias("a"),
             p["y"]["i"].alias("b"),
             F.least(p["x"]["h"], p["y"]["h"]).alias("print"),
-            F.md5(F.concat(p["x"]["x"], F.lit("\n"), p["y"]["x"])).alias("win"),
+            F.unhex(F.md5(F.concat(p["x"]["x"], F.lit("\n"), p["y"]["x"]))).alias("win"),
         ),
     )
     many = F.filter("u", lambda u: F.size(F.split(F.trim(u["x"]), " +")) >= long_words)
-    longs = F.transform(many, lambda u: F.struct(u["i"].alias("a"), u["i"].alias("b"), u["h"].alias("print"), F.md5(u["x"]).alias("win")))
-    return held(docs.select(F.col(id_col).alias("id"), F.col(text_col)), "u", units).select("id", F.explode(F.concat(pairs, longs)).alias("w")).select("id", "w.*")
+    longs = F.transform(many, lambda u: F.struct(u["i"].alias("a"), u["i"].alias("b"), u["h"].alias("print"), F.unhex(F.md5(u["x"])).alias("win")))
+    keys = [k.alias(c) for k, c in zip(text_key(id_col, text_col), ROW, strict=True)]
+    own = docs.select(F.struct(F.col(id_col).alias("id"), *keys).alias("own"), F.col(text_col))
+    return held(own, "u", units).select("own", F.explode(F.concat(pairs, longs)).alias("w")).select("own.*", "w.*")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
-    """(id, gone): for each id with later repeated runs, the sorted numbers of its deleted lines."""
+    """(row, row2, gone): for each text with later repeated runs, its key and the sorted numbers of its deleted lines."""
     all_windows = staged(windows(docs, id_col, text_col, long_words), "line-windows")
     prints = all_windows.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    matched = all_windows.join(prints, "print").select("id", "a", "b", "win")
-    first = matched.groupBy("win").agg(F.min(F.struct("id", "a")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = matched.join(first, "win").where(~F.struct("id", "a").eqNullSafe(F.col("first")))
-    return later.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("a", "b"))))).alias("gone"))
+    matched = all_windows.join(prints, "print").select("id", *ROW, "a", "b", "win")
+    place = F.struct("id", *ROW, "a")
+    first = matched.groupBy("win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = matched.join(first, "win").where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy(*ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("a", "b"))))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
@@ -62,9 +68,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The numbers' columns are __n_lines and __n_removed, or the same with more underscores if ``docs`` has those.
     """
-    own, away = fresh(docs, "id"), fresh(docs, "away")
-    gone = repeated_lines(docs, id_col, text_col, long_words).select(F.col("id").alias(own), F.col("gone").alias(away))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[own]), "left")
+    own, own2, away = (fresh(docs, x) for x in ("row", "row2", "away"))
+    gone = repeated_lines(docs, id_col, text_col, long_words).select(F.col("row").alias(own), F.col("row2").alias(own2), F.col("gone").alias(away))
+    joined = docs.withColumns(dict(zip((own, own2), text_key(id_col, text_col), strict=True))).join(gone, [own, own2], "left")
     lines = text_lines(F.col(text_col))
     kept = F.filter(lines, lambda x, i: ~F.array_contains(away, i))
     text = F.when(F.col(away).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))

@@ -101,6 +101,32 @@ def test_line_dedup(docs, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (corpus.prose(rng, 60) for _ in range(5))
+    lines = [x.split("\n") for x in (a, b, c, d, e)]
+    shared = "\n".join(lines[0][:3])
+    rows = [(1, a), (None, f"{shared}\n{b}"), (None, c), (None, None), (7, f"{shared}\n{d}"), (7, e), (7, e), (None, f"{b}\n{d}")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = [r["text"] for r in line_dedup.dedup_lines(df).collect()]
+    # Without a line of its own that another row's decision took, and with no copy left of any pair of lines.
+    left = Counter(x for t in got if t for x in t.split("\n"))
+    assert set(left) == {x for t in lines for x in t} and c in got and got.count(e) == 2 and None in got
+    once = [x for t in set(got) if t for x in zip(t.split("\n"), t.split("\n")[1:], strict=False)]
+    assert len(once) == len(set(once))
+
+    items = spark.createDataFrame([(1, " ".join(corpus.words(a)[:12])), (2, d)], "item_id int, text string")
+    clean = Counter(r["text"] for r in decontaminate.decontaminate(df, items).collect())
+    cut = lambda t: decontaminate.decontaminate(spark.createDataFrame([(1, t)], "doc_id int, text string"), items).collect()
+    want = Counter(r["text"] for _, t in rows for r in cut(t))
+    assert clean == want and clean[c] == 1 and clean[e] == 2 and d not in clean
+
+    near = b.replace(b.split(" ")[30], "changed", 1)
+    rows = [(1, a), (5, b), (5, c), (5, c), (None, d), (None, a), (None, e), (3, near), (None, None), (None, None)]
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert kept == Counter([(1, a), (5, c), (5, c), (None, d), (None, e), (3, near), (None, None), (None, None)])
+
+
 def plain_removed(rows, span):
     data = [(r[0], (r[1] or "").encode()) for r in rows]
     count = Counter(b[i : i + span] for _, b in data for i in range(len(b) - span + 1))
