@@ -1,11 +1,11 @@
-"""Line dedup with DataFrame functions only: winnowing over line hashes.
+"""Line dedup with DataFrame functions only: all windows of lines are compared by hash.
 
 A text's lines are split at ``\\n``; lines of nothing but white space are not looked at and stay. Among
 the other lines of a text, a window is two consecutive lines, or one line of at least ``long_words``
-words. The fingerprint of a window is the least line hash in it, so a repeated run of two or more
-lines, or of one long line, has an equal fingerprint wherever it stands. Fingerprints seen once
-are dropped; around each position of the others the match is extended both ways by comparing the
-windows that the fingerprint stands for, by their md5. The first window of each kind, by document id, hash of
+words. No window is left out, so this is not winnowing with a selection of minima: a repeated run of two or more
+lines is found by all of its windows, and nothing need be extended. The fingerprint of a window, the least line hash in
+it, only drops windows that can't be there again before the others are compared by their md5. A repeated line of
+fewer words whose neighbours differ stays. The first window of each kind, by document id, hash of
 the text and line, stays; all lines of later ones are deleted. Joins are on hashes with minima aggregated
 before the shuffle, so a line in a third of all texts is no hot group.
 
