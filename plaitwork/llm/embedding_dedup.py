@@ -3,7 +3,8 @@
 On unit vectors, cosine >= c is distance <= sqrt(2 - 2c). The tree's upper levels are nested nets
 with halving radii (1, 1/2, 1/4) over at most ``net_rows`` vectors, those of least hashed id; this documented
 sample only places the nodes. Every vector goes to its nearest leaf of the net, and each leaf's
-covering radius is the largest distance found among all its vectors, so the bounds hold for all rows.
+covering radius is the largest distance found among all its vectors, so the bounds hold for all rows. The levels above
+the leaves only order the leaves, so that blocks are tight; no pair of their nodes is visited or pruned.
 
 Pairs of leaves are pruned when d(p, q) - r_p - r_q exceeds the threshold's distance: first between all leaves (at
 most ``net_rows ** 2`` bounds), then, inside a task, between the nodes of the two blocks it compares, whose
