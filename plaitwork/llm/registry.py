@@ -147,9 +147,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokens
 
     folder = scratch_path(spark, "token-files")
-    token_files.write(
-        table(spark, sf_dir, "documents"), folder, tokens.path("byte_bpe_50k.json"), ranks_path=tokens.path("byte_bpe_50k.tiktoken"), pattern=tokens.PATTERN
-    )
+    token_files.write(table(spark, sf_dir, "documents"), folder, tokens.path("byte_bpe_50k.json"), pattern=tokens.PATTERN)
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -36,32 +36,63 @@ from plaitwork.llm._util import prepare
 #: Fixed values of the file format.
 SKIPPABLE, MAGIC, NULL_ID = 0x184D2A5E, b"TOKSEEK1", -(2**63)
 FRAME, DOC, FOOTER = struct.Struct("<III"), struct.Struct("<qI"), struct.Struct("<IIB8s")
-FRAME_IDS, BATCH = 65_536, 256
+FRAME_IDS, BATCH, MEMO = 65_536, 256, 300_000
+
+
+@lru_cache(maxsize=1)
+def _newer_letters():
+    """Letters and numbers younger than Python's tables: the libraries' own tables may not agree on them."""
+    import unicodedata
+
+    import regex
+
+    letter, runs = regex.compile(r"[\p{L}\p{N}]"), []
+    for i in range(0x110000):
+        if unicodedata.category(chr(i)) == "Cn" and letter.match(chr(i)):
+            if runs and runs[-1][1] == i - 1:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"), chr(runs[0][0])
 
 
 @lru_cache(maxsize=4)
-def _encoder(json_path: str, ranks_path: str | None, pattern: str | None):
-    """A function from texts to lists of ids, as the tokenizers library gives them for ``json_path``.
+def encoder(json_path: str, pattern: str | None, width: int):
+    """A function from texts to their packed ids, as the tokenizers library gives them for ``json_path``.
 
-    With ``ranks_path``, the same vocabulary as ranks, texts without a special token's string go through
-    the ranks' library: equal ids (a test compares both on every code point and on random texts) in a
-    quarter of the time.
+    With ``pattern``, the tokenizer's own pre-token pattern (for one without normaliser and prefix space), the
+    library encodes each different pre-token once, and a text's ids are its pre-tokens' ids in a row; up to
+    ``MEMO`` pre-tokens are kept. Texts with a special token's string, or with letters so new that the
+    pattern could cut them otherwise, go through the library whole, as all do without ``pattern``.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import regex
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(json_path)
-    slow = lambda texts: [e.ids for e in full.encode_batch_fast(texts, add_special_tokens=False)]
-    if ranks_path is None:
-        return slow
-    from plaitwork.llm.bpe import encoding
-
-    fast, special = encoding(ranks_path, pattern), [t.content for t in full.get_added_tokens_decoder().values()]
-
-    def run(texts: list[str]) -> list[list[int]]:
-        return [slow([t])[0] if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
+    full, kind = Tokenizer.from_file(json_path), {2: "H", 4: "I"}[width]
+    encode = lambda texts: [array.array(kind, e.ids).tobytes() for e in full.encode_batch_fast(texts, add_special_tokens=False)]
+    if pattern is None:
+        return encode
+    special = [t.content for t in full.get_added_tokens_decoder().values()]
+    # The library's white space is Unicode's.
+    pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+    newer, first = _newer_letters()
+    memo: dict[str, bytes] = {}
+
+    def plain(text: str) -> bool:
+        return (text.isascii() or max(text) < first or not newer.search(text)) and not any(s in text for s in special)
+
+    def run(texts: list[str]) -> list[bytes]:
+        cut = [pieces(t) if plain(t) else None for t in texts]
+        seen = set().union(*(c for c in cut if c))
+        new = [*(seen - memo.keys())]
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = [*seen]
+        memo.update(zip(new, encode(new), strict=True))
+        return [b"".join(map(memo.__getitem__, c)) if c is not None else encode([t])[0] for c, t in zip(cut, texts, strict=True)]
 
     return run
 
@@ -84,10 +115,11 @@ class Writer:
         self.frames, self.docs, self.held, self.n_held, self.n_docs = [], [], [], 0, 0
         self.total = 0
 
-    def add(self, doc_id: int, ids: list[int]) -> None:
-        self.held.append(np.asarray(ids, f"<u{self.width}").tobytes())
-        self.docs.append(DOC.pack(doc_id, len(ids)))
-        self.n_held, self.n_docs, self.total = self.n_held + len(ids), self.n_docs + 1, self.total + len(ids)
+    def add(self, doc_id: int, ids: bytes) -> None:
+        n = len(ids) // self.width
+        self.held.append(ids)
+        self.docs.append(DOC.pack(doc_id, n))
+        self.n_held, self.n_docs, self.total = self.n_held + n, self.n_docs + 1, self.total + n
         if self.n_held >= self.frame_ids:
             self.flush()
 
@@ -134,7 +166,7 @@ def read_frame(source, frame: tuple) -> bytes:
     return raw
 
 
-def write(df: DataFrame, folder: str, json_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def write(df: DataFrame, folder: str, json_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None) -> DataFrame:
     """Writes the files of ``df`` into ``folder`` and returns the manifest (file, n_docs, n_ids)."""
     spark = df.sparkSession
     prepare(spark)
@@ -143,9 +175,9 @@ def write(df: DataFrame, folder: str, json_path: str, end_id: int = 0, id_col: s
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
 
-        run, task = _encoder(json_path, ranks_path, pattern), TaskContext.get()
         with open(json_path, encoding="utf-8") as f:
             width = 2 if len(json.load(f)["model"]["vocab"]) + 16 < 65_536 else 4
+        run, task, end = encoder(json_path, pattern, width), TaskContext.get(), end_id.to_bytes(width, "little")
         fs, top = _open(folder)
         fs.create_dir(top, recursive=True)
         name = f"part-{task.partitionId():06d}.tok"
@@ -156,8 +188,7 @@ def write(df: DataFrame, folder: str, json_path: str, end_id: int = 0, id_col: s
                 for at in range(0, len(pdf), BATCH):
                     part = pdf.iloc[at : at + BATCH]
                     for doc, ids in zip(part["id"], run(part["text"].tolist()), strict=True):
-                        ids.append(end_id)
-                        out.add(doc, ids)
+                        out.add(doc, ids + end)
             out.close()
         fs.move(draft, f"{top}/{name}")
         yield pd.DataFrame({"file": [name], "n_docs": [len(out.docs)], "n_ids": [out.total]})
@@ -176,7 +207,8 @@ def read(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> D
     prepare(spark)
     manifest = spark.read.parquet(f"{folder}/manifest.parquet").where("n_docs > 0")
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.withColumn("before", before.cast("long")).select("file", "before").repartition("file")
+    # A task for each file: a stated number of partitions is kept.
+    files = manifest.withColumn("before", before.cast("long")).select("file", "before").repartition(max(1, manifest.count()), "file")
     out_schema = "doc_id long, start long, n_tokens long, ids binary"
 
     def rows(name: str, before: int, only) -> Iterator[pd.DataFrame]:

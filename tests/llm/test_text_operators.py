@@ -257,7 +257,7 @@ def test_token_totals_after_a_lost_driver(spark, docs, tmp_path):
 
 
 def file_options():
-    return {"json_path": tokens.path("byte_bpe_50k.json"), "ranks_path": tokens.path("byte_bpe_50k.tiktoken"), "pattern": tokens.PATTERN}
+    return {"json_path": tokens.path("byte_bpe_50k.json"), "pattern": tokens.PATTERN}
 
 
 def test_token_files(spark, docs, no_docs, tmp_path):
@@ -280,17 +280,20 @@ def test_token_files(spark, docs, no_docs, tmp_path):
     assert token_files.read(spark, f"{folder}-none").count() == 0
 
 
-def test_fast_and_full_encoders_agree():
+def test_fast_and_full_encoders_agree(monkeypatch):
     rng = random.Random(6)
     options = file_options()
-    fast, full = token_files._encoder(options["json_path"], options["ranks_path"], options["pattern"]), token_files._encoder(options["json_path"], None, None)
+    fast, full = token_files.encoder(options["json_path"], options["pattern"], 2), token_files.encoder(options["json_path"], None, 2)
     made = ["".join(rng.choices(["a", "the ", "é", " ", "\n", "\n\n", "12", "'s", "'ll", "!", " ", "漢", "\t", "𝄞", "́", "٣"], k=rng.randint(0, 80))) for _ in range(500)]
-    assert fast([*made, "a<|endoftext|>b"]) == full([*made, "a<|endoftext|>b"])
+    made += ["a<|endoftext|>b", "", "x\x1cy \x1f z\x85 \u2028w", "a\u088fb c", "'s's ''d 'Re"]
+    assert fast(made) == full(made) and fast([]) == []
+    monkeypatch.setattr(token_files, "MEMO", 50)
+    assert [x for t in made for x in fast([t])] == full(made)
 
 
 def test_encoders_agree_on_every_code_point():
     options = file_options()
-    fast, full = token_files._encoder(options["json_path"], options["ranks_path"], options["pattern"]), token_files._encoder(options["json_path"], None, None)
+    fast, full = token_files.encoder(options["json_path"], options["pattern"], 2), token_files.encoder(options["json_path"], None, 2)
     points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
     for at in range(0, len(points), 65_536):
         made = ["".join(f"a{c}1{c} {c}{c}\n" for c in points[k : k + 64]) for k in range(at, min(at + 65_536, len(points)), 64)]
@@ -304,7 +307,7 @@ def test_damaged_frames_are_found(tmp_path):
     with open(path, "wb") as f:
         writer = token_files.Writer(f, 2, frame_ids=8)
         for k in range(10):
-            writer.add(k, [k] * 5)
+            writer.add(k, bytes([k, 0]) * 5)
         writer.close()
     local = fs.LocalFileSystem()
     with local.open_input_file(path) as source:
