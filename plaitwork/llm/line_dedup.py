@@ -1,13 +1,21 @@
-"""Line dedup with DataFrame functions only: all windows of lines are compared by hash.
+"""Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A text's lines are split at ``\\n``; lines of nothing but white space are not looked at and stay. Among
-the other lines of a text, a window is two consecutive lines, or one line of at least ``long_words``
-words. No window is left out, so this is not winnowing with a selection of minima: a repeated run of two or more
-lines is found by all of its windows, and nothing need be extended. The fingerprint of a window, the least line hash in
-it, only drops windows that can't be there again before the others are compared by their md5. A repeated line of
-fewer words whose neighbours differ stays. The first window of each kind, by document id, hash of
-the text and line, stays; all lines of later ones are deleted. Joins are on hashes with minima aggregated
-before the shuffle, so a line in a third of all texts is no hot group.
+A text's lines are split at ``\\n``; lines of nothing but white space are left out of the windows. A window starts at
+every other line: it is the shortest run of lines from there on that has ``min_words`` words or ``max_lines`` lines; a text
+whose rest has neither has no window there. What is repeated is a run of lines that holds a whole window.
+
+1. Fingerprints: of each window the position of its least line hash is selected, and kept only where it differs from the
+   window before. Equal runs that hold a window have its least line at the same place, so no repeat is missed.
+2. Positions are joined by fingerprint: only lines selected at two or more places anywhere go on.
+3. Each matched position is extended both ways, over all windows of which it is the least line. These are compared by
+   128 bits of hash; overlapping windows that are there again make up the maximal repeated run. So no pair of
+   positions is ever made, and a line in a third of all texts costs a row for each of its places.
+4. The first window of each kind, by document id, hash of the text and line, stays; the lines of later ones are deleted,
+   with blank lines between them.
+
+A repeated run without a whole window, such as one short line whose neighbours differ, stays. With ``copy_share``, a text of
+which over that share of the words stands first in one single earlier text is a copy as a whole: it stays
+as it is, for a comparison of documents to judge.
 
 A null text has no lines and stays null. Rows with equal id and equal text count as one text, so
 neither repeats the other; rows with equal or null ids and different texts are texts of their own, told apart by 96 bits
@@ -21,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plaitwork.llm._util import fresh, held, staged, text_key
 
-LONG_WORDS = 30
+MIN_WORDS, MAX_LINES = 30, 4
 
 ROW = ["row", "row2"]
 
@@ -30,52 +38,85 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, long_words: int) -> DataFrame:
-    """(id, row, row2, a, b, print, win): windows from line a to line b (from 0), their fingerprint and md5; row, row2: the text's key."""
-    units = F.filter(
-        F.transform(text_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), x.alias("x"))),
-        lambda u: F.length(F.trim(F.translate(u["x"], "\t\r", ""))) > 0,
+def line_words(line: Column) -> Column:
+    """Words of a line, by its spaces; 0 for nothing but white space."""
+    return F.when(F.length(F.trim(F.translate(line, "\t\r", ""))) > 0, F.size(F.split(F.trim(line), " +"))).otherwise(0)
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, min_words: int, max_lines: int) -> DataFrame:
+    """(id, row, row2, a, b, print, new, w1, w2): windows from line a to line b (from 0), their least line's hash, whether its
+    position is another than that of the window before (1 or 0), and the two halves of the windows' hash; row, row2: the text's key."""
+    lines = F.transform(text_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), line_words(x).alias("n")))
+
+    def length(k: Column) -> Column:
+        """Lines of the window from the k-th line on; null where the text ends first."""
+        n, found = F.lit(0), None
+        for size in range(1, max_lines + 1):
+            n = n + F.get("u", k + (size - 1))["n"]
+            met = (n >= min_words) if size < max_lines else n.isNotNull()
+            found = F.when(met, size) if found is None else found.when(met, size)
+        return found
+
+    cut = F.transform(
+        F.filter(F.transform("u", lambda x, k: F.struct(k.alias("k"), length(k).alias("size"))), lambda p: p["size"].isNotNull()),
+        lambda p: F.struct(p["k"].alias("k"), F.slice("u", p["k"] + 1, p["size"]).alias("part")),
     )
-    pairs = F.transform(
-        F.filter(F.transform("u", lambda x, k: F.struct(x.alias("x"), F.get("u", k + 1).alias("y"))), lambda p: p["y"].isNotNull()),
+    made = F.transform(
+        cut,
         lambda p: F.struct(
-            p["x"]["i"].alias("a"),
-            p["y"]["i"].alias("b"),
-            F.least(p["x"]["h"], p["y"]["h"]).alias("print"),
-            F.unhex(F.md5(F.concat(p["x"]["x"], F.lit("\n"), p["y"]["x"]))).alias("win"),
+            p["part"][0]["i"].alias("a"),
+            F.element_at(p["part"], -1)["i"].alias("b"),
+            F.array_min(p["part"]["h"]).alias("print"),
+            (p["k"] + F.array_position(p["part"]["h"], F.array_min(p["part"]["h"]))).alias("at"),
+            F.xxhash64(p["part"]["h"]).alias("w1"),
+            F.xxhash64(F.lit(7), p["part"]["g"]).alias("w2"),
         ),
     )
-    many = F.filter("u", lambda u: F.size(F.split(F.trim(u["x"]), " +")) >= long_words)
-    longs = F.transform(many, lambda u: F.struct(u["i"].alias("a"), u["i"].alias("b"), u["h"].alias("print"), F.unhex(F.md5(u["x"])).alias("win")))
+    other = lambda w, k: F.when(w["at"].eqNullSafe(F.get("ws", k - 1)["at"]), 0).otherwise(1)
+    marked = F.transform("ws", lambda w, k: F.struct(*[w[c].alias(c) for c in ("a", "b", "print", "w1", "w2")], F.when(k == 0, 1).otherwise(other(w, k)).alias("new")))
     keys = [k.alias(c) for k, c in zip(text_key(id_col, text_col), ROW, strict=True)]
-    own = docs.select(F.struct(F.col(id_col).alias("id"), *keys).alias("own"), F.col(text_col))
-    return held(own, "u", units).select("own", F.explode(F.concat(pairs, longs)).alias("w")).select("own.*", "w.*")
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
-    """(row, row2, gone): for each text with later repeated runs, its key and the sorted numbers of its deleted lines."""
-    all_windows = staged(windows(docs, id_col, text_col, long_words), "line-windows")
-    prints = all_windows.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    matched = all_windows.join(prints, "print").select("id", *ROW, "a", "b", "win")
+    own = docs.select(F.struct(F.col(id_col).alias("id"), *keys).alias("own"), F.filter(lines, lambda u: u["n"] > 0).alias("units"))
+    units = held(own, "u", F.col("units")).select("own", "u")
+    return held(units, "ws", made).select("own", F.explode(marked).alias("w")).select("own.*", "w.*")
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_lines: int = MAX_LINES) -> DataFrame:
+    """(row, row2, spans, main): for each text with later repeated windows, its key, their array<struct<a, b>>, and those of
+    them that stand first in the earlier text with the most of them."""
+    all_windows = staged(windows(docs, id_col, text_col, min_words, max_lines), "line-windows")
+    # Written tables on one side of each join: what is on the other side of a hot key is then split.
+    prints = staged(all_windows.groupBy("print").agg(F.sum("new").alias("n")).where("n > 1").select("print"), "line-prints")
+    matched = staged(all_windows.join(prints, "print").drop("print", "new"), "line-matches")
     place = F.struct("id", *ROW, "a")
-    first = matched.groupBy("win").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = matched.join(first, "win").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy(*ROW).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.array("a", "b"))))).alias("gone"))
+    first = staged(matched.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-firsts")
+    later = matched.join(first, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
+    # A text's windows, so both groups are bounded by it.
+    by_source = later.groupBy(*ROW, F.col("first.row").alias("f"), F.col("first.row2").alias("f2")).agg(F.collect_set(F.struct("a", "b")).alias("own"))
+    return by_source.groupBy(*ROW).agg(F.flatten(F.collect_list("own")).alias("spans"), F.max_by("own", F.struct(F.size("own"), "f", "f2")).alias("main"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = LONG_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_lines: int = MAX_LINES, copy_share: float | None = None) -> DataFrame:
     """``docs`` with later repeated runs of lines deleted from the text, and the numbers of its lines and of those deleted.
 
     The numbers' columns are __n_lines and __n_removed, or the same with more underscores if ``docs`` has those.
     """
-    own, own2, away = (fresh(docs, x) for x in ("row", "row2", "away"))
-    gone = repeated_lines(docs, id_col, text_col, long_words).select(F.col("row").alias(own), F.col("row2").alias(own2), F.col("gone").alias(away))
+    own, own2, spans, main, done = (fresh(docs, x) for x in ("row", "row2", "spans", "main", "done"))
+    gone = repeated_lines(docs, id_col, text_col, min_words, max_lines).select(F.col("row").alias(own), F.col("row2").alias(own2), F.col("spans").alias(spans), F.col("main").alias(main))
     joined = docs.withColumns(dict(zip((own, own2), text_key(id_col, text_col), strict=True))).join(gone, [own, own2], "left")
-    lines = text_lines(F.col(text_col))
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(away, i))
-    text = F.when(F.col(away).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(
+    numbers = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda s: F.sequence(s["a"], s["b"]))))
+
+    def cut(b: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(b["lines"]) - 1), b["gone"])
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + line_words(x))
+        whole = F.lit(False) if copy_share is None else total(F.transform(b["main"], lambda i: F.get(b["lines"], i))) > total(b["lines"]) * copy_share
+        return F.when(~whole, F.struct(F.array_join(F.transform(kept, lambda i: F.get(b["lines"], i)), "\n").alias("text"), F.size(b["gone"]).alias("n")))
+
+    # Bound as one element, so that lines and numbers are made once.
+    bound = F.array(F.struct(text_lines(F.col(text_col)).alias("lines"), numbers(F.col(spans)).alias("gone"), numbers(F.col(main)).alias("main")))
+    ready = joined.withColumn(done, F.when(F.col(spans).isNotNull(), F.get(F.transform(bound, cut), 0)))
+    text = F.when(F.col(done).isNull(), F.col(text_col)).otherwise(F.col(done)["text"])
+    return ready.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias(fresh(docs, "n_lines")),
-        F.coalesce(F.size(away), F.lit(0)).cast("long").alias(fresh(docs, "n_removed")),
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(text_lines(F.col(text_col)))).cast("long").alias(fresh(docs, "n_lines")),
+        F.coalesce(F.col(done)["n"], F.lit(0)).cast("long").alias(fresh(docs, "n_removed")),
     )

@@ -72,32 +72,55 @@ def test_decontamination_cuts_spans(spark, docs, no_docs, benchmark):
     assert decontaminate.find_hits(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
-def plain_lines(rows, long_words=30):
-    rows = {(r[0], r[1]) for r in rows}
-    seen, gone = defaultdict(list), defaultdict(set)
-    for k, text in rows:
-        lines = (text or "").split("\n")
-        units = [i for i, x in enumerate(lines) if x.replace("\t", "").replace("\r", "").strip(" ")]
-        for a, b in zip(units, units[1:], strict=False):
-            seen[lines[a] + "\n" + lines[b]].append((k, a, b))
-        for i in units:
-            if len([x for x in lines[i].strip(" ").split(" ") if x]) >= long_words:
-                seen[lines[i]].append((k, i, i))
+def plain_windows(text, min_words=30, max_lines=4):
+    """(a, b, lines) of each window, by the rule."""
+    lines = (text or "").split("\n")
+    units = [i for i, x in enumerate(lines) if x.replace("\t", "").replace("\r", "").strip(" ")]
+    for k in range(len(units)):
+        words = 0
+        for j in range(k, min(k + max_lines, len(units))):
+            words += len([x for x in lines[units[j]].strip(" ").split(" ") if x])
+            if words >= min_words or j == k + max_lines - 1:
+                yield units[k], units[j], tuple(lines[i] for i in units[k : j + 1])
+                break
+
+
+def plain_lines(rows, copy_share=None):
+    """{(id, text): numbers of deleted lines}"""
+    seen, gone, main = defaultdict(list), defaultdict(set), defaultdict(lambda: defaultdict(set))
+    for k, text in {(r[0], r[1]) for r in rows}:
+        for a, b, own in plain_windows(text):
+            seen[own].append(((k is not None, k or 0), text, a, b, k))
     for places in seen.values():
-        for k, a, b in sorted(places)[1:]:
-            gone[k] |= {a, b}
+        first, *later = sorted(places)
+        for _, text, a, b, k in later:
+            gone[k, text] |= {*range(a, b + 1)}
+            main[k, text][first[4], first[1]] |= {(a, b)}
+    size = lambda x: len([w for w in x.strip(" ").split(" ") if w]) if x.replace("\t", "").replace("\r", "").strip(" ") else 0
+    for key in [*gone] if copy_share is not None else ():
+        lines = key[1].split("\n")
+        own = {i for a, b in max(main[key].values(), key=len) for i in range(a, b + 1)}
+        if sum(size(lines[i]) for i in own) > copy_share * sum(map(size, lines)):
+            del gone[key]
     return gone
 
 
+def plain_cut_lines(text, gone):
+    return text if not gone else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+
 def test_line_dedup(docs, no_docs):
     gone = plain_lines(corpus.rows())
     got = Counter((r["doc_id"], r["text"], r["__n_removed"]) for r in line_dedup.dedup_lines(docs).collect())
     want = Counter()
     for r in corpus.rows():
-        own = gone[r[0]]
-        kept = r[1] if not own else "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in own)
-        want[r[0], kept, len(own)] += 1
+        own = gone.get((r[0], r[1]), ())
+        want[r[0], plain_cut_lines(r[1], own), len(own)] += 1
     assert got == want and sum(map(bool, gone.values())) > 10
+    # Texts that stand mostly in one earlier text are left whole.
+    some = plain_lines(corpus.rows(), 0.5)
+    left = Counter((r["doc_id"], r["text"], r["__n_removed"]) for r in line_dedup.dedup_lines(docs, copy_share=0.5).collect())
+    assert left == Counter((r[0], plain_cut_lines(r[1], own := some.get((r[0], r[1]), ())), len(own)) for r in corpus.rows()) and 3 < len(some) < len(gone)
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
@@ -105,14 +128,14 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     rng = random.Random(12)
     a, b, c, d, e = (corpus.prose(rng, 60) for _ in range(5))
     lines = [x.split("\n") for x in (a, b, c, d, e)]
-    shared = "\n".join(lines[0][:3])
+    shared = "\n".join(lines[0][:6])
     rows = [(1, a), (None, f"{shared}\n{b}"), (None, c), (None, None), (7, f"{shared}\n{d}"), (7, e), (7, e), (None, f"{b}\n{d}")]
     df = spark.createDataFrame(rows, "doc_id int, text string")
     got = [r["text"] for r in line_dedup.dedup_lines(df).collect()]
-    # Without a line of its own that another row's decision took, and with no copy left of any pair of lines.
+    # Without a line of its own that another row's decision took, and with no copy left of any window.
     left = Counter(x for t in got if t for x in t.split("\n"))
     assert set(left) == {x for t in lines for x in t} and c in got and got.count(e) == 2 and None in got
-    once = [x for t in set(got) if t for x in zip(t.split("\n"), t.split("\n")[1:], strict=False)]
+    once = [x[2] for t in set(got) if t for x in plain_windows(t)]
     assert len(once) == len(set(once))
 
     items = spark.createDataFrame([(1, " ".join(corpus.words(a)[:12])), (2, d)], "item_id int, text string")
