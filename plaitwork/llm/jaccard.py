@@ -3,23 +3,24 @@
 A text's set holds the 64-bit hashes of its runs of ``n`` consecutive words (``_util.words``); a text of
 fewer words, but not none, has one run, and a text without words no set: it links with nothing.
 
-1. Texts with equal sets form a class; its least id stands for it, with the number of its rows.
+1. Texts with equal sets form a class, known by 128 bits of hash of the set, with the number of its documents.
 2. ``bands`` and ``rows`` are the cheapest pair that finds a pair of exactly the threshold with the target
-   recall (``plan``). Each representative has a hash for each band; the shuffle is on (band, hash), and only
-   the least id of each bucket is linked with the others, so a bucket of g rows gives g - 1 rows.
-3. Connected parts of these links are the candidate groups. A group is cut into blocks of a
-   bounded number of texts and n-grams, and each pair of blocks is a task's work: it compares all full sets of the
-   two blocks and returns, for each text, the number of its links and one link of a spanning
-   forest. No pair is left out by a cap, and no group of pairs is ever a table.
-4. Parts connected by true links are the classes of near duplicates.
-
-Every pair with a common bucket is compared on full sets, as are pairs that meet only through others, so
-nothing under the threshold is linked and recall is at least the target.
-Rows that repeat an id are one text's: the id's least set hash counts. Rows with a null id get no links.
+   recall (``plan``). Each class has a hash for each band; the shuffle is on (band, hash). Of a bucket of several
+   classes the least is the head.
+3. A class belongs to the least head of its buckets, so that near copies come together; the classes of a head are cut into
+   blocks of a bounded number of texts and n-grams. Two blocks are compared only if a bucket has classes of both; each
+   pair of blocks is a task's work: it compares all full sets of the two and returns, for each class, the number of its
+   links and one link of a spanning forest. No pair is left out by a cap, and pairs of texts are never a table.
+4. Parts connected by links are the groups of near duplicates.
+
+Every pair with a common bucket is compared on full sets, so nothing under the threshold is linked and recall
+is at least the target. A document is a row: rows that share an id, or have none, and differ in text are told apart by
+96 bits of hash of id and text; rows with equal id and text are one document. Null ids come last in the order.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -125,7 +126,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def compare(block: pd.DataFrame, same: bool, threshold: float) -> pd.DataFrame:
     """Links among the sets of one block (``same``), or between those of side 0 and of side 1."""
-    block = block.drop_duplicates("rep")  # rows that repeat an id and its text
+    block = block.drop_duplicates(["side", "rep"])  # rows that repeat an id and its text
     sides = [block[block["side"] == 0], block[block["side"] == 1]]
     left, right = sides[0], sides[0] if same else sides[1]
     sets = [[np.frombuffer(x, np.uint64) for x in s["grams"]] for s in (left, right)]
@@ -150,16 +151,12 @@ def compare(block: pd.DataFrame, same: bool, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"rep": links.index.to_numpy(), "links": links.to_numpy()}).merge(pd.DataFrame({"rep": nodes, "root": roots}), on="rep", how="left") if len(links) else pd.DataFrame({"rep": [], "links": [], "root": []})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block_docs: int = BLOCK_DOCS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """(``id_col``, n_links, component_id, kept) for each row of ``docs``; ids are whole numbers.
-
-    n_links counts the other documents, copies included, of similarity ``threshold`` or more;
-    component_id is the least id reached by links; kept marks it.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
+def judged(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block_docs: int = BLOCK_DOCS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """(key, key2, id, n_links, component_id, kept) for each row of ``docs``; key, key2: its id's and text's hash."""
+    prepare(docs.sparkSession)
     bands, rows = plan(threshold, recall)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keys = [k.alias(c) for k, c in zip(text_key(id_col, text_col), ("key", "key2"), strict=True)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), *keys, F.col(text_col).alias("text"))
 
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -169,23 +166,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [gram_set(x.values.to_numpy(zero_copy_only=False), n) for x in part.column("wh")]
-                own = [_set_hash(s) for s in sets]
+                # Texts without a set get a value of their own, so that they don't meet in one task.
+                own = [_digest(s if len(s) else np.array([k], np.int64)) for s, k in zip(sets, part.column("key").to_pylist(), strict=True)]
                 marks = [band_hashes(s, bands, rows, seeds) if len(s) else np.empty(0, np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([x[0] for x in own]), pa.array([x[1] for x in own]), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "s1", "s2", "n", "bands"])
-
-    sketched = texts.select("id", word_hashes(F.col("text")).alias("wh")).mapInArrow(sketch, "id long, s1 long, s2 long, n int, bands array<long>")
-    table = staged(sketched, "sketches")
-    # A class: equal sets. Null ids and empty sets belong to none; of a repeated id one set counts.
-    own = table.where("n > 0 and id is not null").groupBy("id").agg(F.min(F.struct("s1", "s2", "n", "bands")).alias("x")).select("id", "x.*")
-    classes = staged(own.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "h"))
-    heads = buckets.groupBy("band", "h").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    star = buckets.join(heads, ["band", "h"]).where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    groups = components(star)
-    sized = groups.join(classes.select(F.col("rep").alias("node"), "s1", "s2", "copies", "n"), "node")
-    totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_grams)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    members = staged(sized.join(totals, "component").select("component", F.col("node").alias("rep"), "s1", "s2", "copies", "parts", part.alias("part")), "members")
+                kept = [part.column(c) for c in ("id", "key", "key2")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(own, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=["id", "key", "key2", "set", "n", "bands"])
+
+    hashed = texts.select("id", "key", "key2", word_hashes(F.col("text")).alias("wh"))
+    table = staged(hashed.mapInArrow(sketch, "id long, key long, key2 int, set binary, n int, bands array<long>"), "sketches")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "key", "key2")
+    once = table.where("n > 0").groupBy("set", "key", "key2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = staged(once.groupBy("set").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    buckets = classes.select(F.col("set").alias("rep"), F.posexplode("bands").alias("band", "h"))
+    heads = staged(buckets.groupBy("band", "h").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "heads")
+    met = staged(buckets.join(heads, ["band", "h"]), "buckets")
+    cells = met.groupBy("rep").agg(F.min("head").alias("cell")).join(classes.select(F.col("set").alias("rep"), "least", "copies", "n"), "rep")
+    cells = staged(cells, "cells")
+    sizes = staged(cells.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_grams)).cast("int").alias("parts")), "cell-sizes")
+    block = F.concat("cell", F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64("rep"), F.col("parts"))), 8, "0")))
+    members = staged(cells.join(sizes, "cell").select("rep", block.alias("block"), "least.key", "least.key2", "copies"), "members")
+    # The blocks that share a bucket: a bucket's list has an entry for each block, not for each text.
+    shared = met.join(members.select("rep", "block"), "rep").groupBy("band", "h").agg(F.array_sort(F.collect_set("block")).alias("blocks")).where("size(blocks) > 1")
+    left = shared.select(F.posexplode("blocks").alias("at", "i"), "blocks")
+    pairs = left.select("i", F.explode(F.slice("blocks", F.col("at") + 2, F.size("blocks"))).alias("j")).distinct()
+    pairs = staged(members.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct().unionByName(pairs), "block-pairs")
+    side = lambda c, k: pairs.select(F.col(c).alias("block"), F.struct("i", "j", F.lit(k).alias("side")).alias("to"))
+    ends = side("i", 0).unionByName(side("j", 1).where("to.i <> to.j"))
+    asked = members.join(ends, "block").groupBy("rep", "key", "key2", "copies").agg(F.collect_list("to").alias("to"))
 
     def sets_of(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -193,57 +200,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                made = [gram_set(x.values.to_numpy(zero_copy_only=False), n) for x in part.column("wh")]
-                marks = [_set_hash(s) for s in made]
-                mine = pa.array([m == x for m, x in zip(marks, zip(part.column("s1").to_pylist(), part.column("s2").to_pylist(), strict=True), strict=True)])
-                grams = pa.array([s.tobytes() for s in made], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), grams], names=[*keys, "grams"]).filter(mine)
+                grams = pa.array([gram_set(x.values.to_numpy(zero_copy_only=False), n).tobytes() for x in part.column("wh")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "copies", "to")), grams], names=["rep", "copies", "to", "grams"])
 
-    keys = ["component", "rep", "copies", "parts", "part"]
     # Merged at every size: members grow with the texts, so they are never broadcast.
-    wanted = texts.join(members.withColumn("id", F.col("rep")).hint("merge"), "id").select(*keys, "s1", "s2", word_hashes(F.col("text")).alias("wh"))
-    full = wanted.mapInArrow(sets_of, "component long, rep long, copies long, parts int, part int, grams binary")
-    sides = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    blocks = sides.select(
-        "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "copies", "grams"
-    )
+    wanted = texts.drop("id").join(asked.hint("merge"), ["key", "key2"]).select("rep", "copies", "to", word_hashes(F.col("text")).alias("wh"))
+    full = wanted.mapInArrow(sets_of, "rep binary, copies long, to array<struct<i: binary, j: binary, side: int>>, grams binary")
+    sides = full.select("rep", "copies", "grams", F.explode("to").alias("to")).select("to.*", "rep", "copies", "grams")
 
     def verify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return compare(pdf, key[1] == key[2], threshold)
+        return compare(pdf, key[0] == key[1], threshold)
 
-    found = staged(blocks.groupBy("component", "i", "j").applyInPandas(verify, "rep long, links long, root long"), "links")
+    found = staged(sides.groupBy("i", "j").applyInPandas(verify, "rep binary, links long, root binary"), "links")
     degree = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    ranked = (
-        classes.select("rep", "s1", "s2", "copies")
-        .join(degree, "rep", "left")
-        .join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("s1", "s2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    by_id = own.select("id", "s1", "s2").join(ranked, ["s1", "s2"]).select(F.col("id").alias("__id"), "n_links", "component_id")
-    out = table.select("id").join(by_id, F.col("id") == F.col("__id"), "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
+    linked = staged(cells.select("rep", "least").join(degree, "rep").join(parts, "rep"), "linked")
+    best = staged(linked.groupBy("component").agg(F.min("least").alias("best")), "bests")
+    by_class = linked.join(best, "component").select(F.col("rep").alias("set"), "links", "best")
+    grouped = classes.select("set", "copies", "least").join(by_class, "set", "left").where("copies > 1 or links is not null")
+    ranked = staged(grouped.select("set", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("best", "least").alias("best")), "ranked")
+    out = table.select("id", "key", "key2", "set").join(ranked, "set", "left")
+    alone = F.col("best").isNull()
+    return out.select("key", "key2", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(alone, F.col("id")).otherwise(F.col("best.id")).alias("component_id"), (alone | (place == F.col("best"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(``id_col``, n_links, component_id, kept) for each row of ``docs``; ids are whole numbers.
 
+    n_links counts the other documents, copies included, of similarity ``threshold`` or more;
+    component_id is the least id reached by links; kept marks the document of least id. A row without links has its own id.
+    """
+    return judged(docs, id_col, text_col, **options).select(F.col("id").alias(id_col), "n_links", "component_id", "kept")
 
-def _set_hash(grams: np.ndarray) -> tuple[int, int]:
-    """128 bits of a sorted set, as two signed longs."""
-    import hashlib
 
-    return tuple(np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), np.int64).tolist())
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the row of the least id of each group of near duplicates; others unchanged.
+    """``docs`` with the document of the least id of each group of near duplicates; others unchanged.
 
-    Rows with equal id and text are one and stay or go together. Rows that share an id, or have none, and
-    differ in text are told apart by 64 bits of hash of id and text. Null ids come last in the order.
+    Rows with equal id and text are one document and stay or go together.
     """
-    key, own = fresh(docs, "key"), text_key(id_col, text_col)[0]
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), own.alias("key"))
-    found = near_duplicates(keyed, "key", "text", **options).where("n_links > 0").select("key", "component_id").distinct()
-    linked = staged(keyed.select("key", "id").distinct().join(found, "key"), "linked")
-    place = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
-    best = linked.groupBy("component_id").agg(F.min(place).alias("best"))
-    gone = linked.join(best, "component_id").where(~place.eqNullSafe(F.col("best"))).select(F.col("key").alias(key))
-    return docs.withColumn(key, own).join(gone, key, "left_anti").select(*docs.columns)
+    key, key2 = fresh(docs, "key"), fresh(docs, "key2")
+    gone = judged(docs, id_col, text_col, **options).where("not kept").select(F.col("key").alias(key), F.col("key2").alias(key2)).distinct()
+    return docs.withColumns(dict(zip((key, key2), text_key(id_col, text_col), strict=True))).join(gone, [key, key2], "left_anti").select(*docs.columns)

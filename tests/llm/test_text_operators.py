@@ -230,6 +230,27 @@ def test_jaccard(docs, no_docs, block):
     assert jaccard.near_duplicates(no_docs).count() == 0
 
 
+def test_jaccard_judges_rows_of_one_id_by_their_own_text(spark):
+    rng = random.Random(31)
+    t, u = corpus.prose(rng, 50), corpus.prose(rng, 60)
+    rows = [(1, t), (2, t), (2, u), (3, u), (None, u), (None, None), (4, ""), (2, u)]
+    got = Counter(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 1, 1, True), (2, 1, 1, False), (2, 2, 2, True), (2, 2, 2, True), (3, 2, 2, False), (None, 2, 2, False), (None, 0, None, True), (4, 0, 4, True)])
+
+
+def test_jaccard_compares_only_blocks_that_share_a_bucket(spark):
+    rng = random.Random(32)
+    own = [[str(rng.random()) for _ in range(40)] for _ in range(12)]
+    # A chain of near copies, each with the next, and one group that is split over blocks.
+    chain = [w[:] for w in own[:1]]
+    for _ in range(30):
+        chain.append(chain[-1][2:] + [str(rng.random()) for _ in range(2)])
+    group = [own[5][:k] + ["other"] + own[5][k:] for k in range(0, 40, 2)]
+    rows = [(k, " ".join(w)) for k, w in enumerate([*chain, *group, *own[6:]])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=3).collect()}
+    assert got == plain_neighbours(rows)
+
+
 def test_jaccard_plan():
     bands, rows = jaccard.plan(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 200
