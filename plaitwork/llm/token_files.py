@@ -36,7 +36,7 @@ from plaitwork.llm._util import prepare
 #: Fixed values of the file format.
 SKIPPABLE, MAGIC, NULL_ID = 0x184D2A5E, b"TOKSEEK1", -(2**63)
 FRAME, DOC, FOOTER = struct.Struct("<III"), struct.Struct("<qI"), struct.Struct("<IIB8s")
-FRAME_IDS, BATCH, MEMO = 65_536, 256, 300_000
+FRAME_IDS, BATCH, MEMO = 65_536, 256, 800_000
 
 
 @lru_cache(maxsize=1)
@@ -79,6 +79,10 @@ def encoder(json_path: str, pattern: str | None, width: int):
     # The library's white space is Unicode's.
     pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
     newer, first = _newer_letters()
+    # The byte-level alphabet: printable bytes stand for themselves, others for the code points from 256 on.
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    alphabet = dict(zip((x for x in range(256) if x not in shown), map(chr, range(256, 512)), strict=False))
+    model = full.model.tokenize
     memo: dict[str, bytes] = {}
 
     def plain(text: str) -> bool:
@@ -91,7 +95,8 @@ def encoder(json_path: str, pattern: str | None, width: int):
         if len(memo) + len(new) > MEMO:
             memo.clear()
             new = [*seen]
-        memo.update(zip(new, encode(new), strict=True))
+        for piece in new:
+            memo[piece] = array.array(kind, [x.id for x in model(piece.encode().decode("latin-1").translate(alphabet))]).tobytes()
         return [b"".join(map(memo.__getitem__, c)) if c is not None else encode([t])[0] for c, t in zip(cut, texts, strict=True)]
 
     return run
