@@ -1,14 +1,14 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Words are ``_util.words``. An item's windows are its runs of ``n`` consecutive words; an item with
-fewer words, but not none, is one shorter window. The windows' 64-bit hashes form a set that every
-task holds; each position of a text is hashed and looked up in it, and positions that pass
-are verified against the windows' full words. Words inside any verified window are hit.
-
-The set is built only while the benchmark has at most ``max_set`` different windows, which is
-checked; past that the texts' windows are exploded and joined by hash through a shuffle instead.
-Null or empty texts have no words. Rows with equal ids stay separate rows. The text's other columns
-are not touched.
+fewer words, but not none, is one shorter window. A text is cut into words once; the 64-bit hash of each of its windows
+is looked up in the set of the benchmark's hashes, and the windows that pass are verified against the items' full words.
+Words inside any verified window are hit.
+
+The set of hashes is broadcast while it has at most ``max_set`` values (16 bytes each), which is checked; past that,
+hashes of texts and benchmark meet in a shuffle, by the same rows and with the same result. Only windows that pass carry
+their words. Each row is judged by its own text: rows that share an id, or have none, are told apart by
+96 bits of hash of id and text. Null or empty texts have no words. The text's other columns are not touched.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import WORD_PATTERN, fresh, held, text_key, words
+from plaitwork.llm._util import WORD_PATTERN, fresh, held, staged, text_key, words
 
-WINDOW, MAX_SET = 10, 50_000
+WINDOW, MAX_SET = 10, 2_000_000
+
+ROW = ["row", "row2"]
 
 
 def item_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -32,112 +34,102 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item_id",
     )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
-    """A row for each document: ``id_col``, n_words, n_hit, items (sorted ids as strings), spans.
+def text_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int]) -> DataFrame:
+    """(id, row, row2, w, at, size, h): every window of the sizes of every text; at is its first word, from 0.
 
-    spans: array of struct(at, size), the verified windows by first word (from 0), in order.
+    A row of at -1 and h 0 stands for the text itself, so that texts without windows are there too.
     """
-    grams = item_windows(benchmark, n)
-    known = grams.select("size", "gram", "h").distinct()
-    listed = known.limit(max_set + 1).collect()  # at most max_set + 1 windows, whatever the benchmark's size
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.explode(F.array(words(F.col(text_col)))).alias("w"))
-    found = _find_by_join(src, known) if len(listed) > max_set else _find_by_set(src, listed)
-    # One row for each document and different window found in it; a text without any keeps one row.
-    one = found.select("row", "id", "n_words", "n_hit", "spans", F.explode_outer(F.when(F.size("grams") > 0, F.col("grams"))).alias("gram"))
-    named = grams.groupBy("gram").agg(F.collect_set("item").alias("its"))
-    return (
-        one.join(named, "gram", "left")
-        .groupBy("row")
-        .agg(*[F.first(c).alias(c) for c in ("id", "n_words", "n_hit", "spans")], F.array_sort(F.array_distinct(F.flatten(F.collect_set("its")))).alias("items"))
-        .select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans")
-    )
+    keys = [k.alias(c) for k, c in zip(text_key(id_col, text_col), ROW, strict=True)]
+    cut = docs.select(F.struct(F.col(id_col).alias("id"), *keys).alias("own"), words(F.col(text_col)).alias("words"))
+    src = held(held(cut, "w", F.col("words")).drop("words"), "wh", F.transform("w", lambda x: F.xxhash64(x)))
+    each = [F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("h")))]
+    for k in sizes:
+        starts = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k)).otherwise(F.array().cast("array<int>"))
+        each.append(F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(k).alias("size"), F.xxhash64(F.slice("wh", i + 1, k)).alias("h"))))  # noqa: B023
+    return src.select("own", "w", F.explode(F.concat(*each)).alias("p")).select("own.*", "w", "p.*")
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, n: int, max_set: int) -> tuple[DataFrame, DataFrame]:
+    """The texts (id, row, row2, n_words), a row each, and the verified windows (row, row2, at, size, items)."""
+    spark = docs.sparkSession
+    grams = staged(item_windows(benchmark, n), "benchmark-windows")
+    sizes = [r["size"] for r in grams.select("size").distinct().orderBy("size").collect()]  # at most n
+    known = grams.select("h").distinct()
+    each = text_windows(docs, id_col, text_col, sizes)
+    keep = [F.size("w").cast("long").alias("n_words"), F.when(F.col("at") >= 0, F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.greatest("size", F.lit(1))))).alias("gram")]
+    if known.count() <= max_set:
+        own = known.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("h"))).distinct()
+        passed = each.join(F.broadcast(own), "h").select("id", *ROW, "at", "size", *keep)
+    else:
+        rest = each.where("at < 0").select("id", *ROW, "at", "size", *keep)
+        # Windows meet without their words, which are fetched for those that pass.
+        met = each.where("at >= 0").select(*ROW, "at", "size", "h").join(known.hint("merge"), "h").groupBy(*ROW).agg(F.collect_set(F.struct("at", "size")).alias("own"))
+        texts = docs.select(F.col(id_col).alias("id"), *[k.alias(c) for k, c in zip(text_key(id_col, text_col), ROW, strict=True)], F.col(text_col).alias("text"))
+        asked = texts.join(met, ROW).select("id", *ROW, words(F.col("text")).alias("w"), F.explode("own").alias("p"))
+        passed = rest.unionByName(asked.select("id", *ROW, "w", "p.*").select("id", *ROW, "at", "size", *keep))
+    passed = staged(passed, "benchmark-hits")
+    items = staged(grams.groupBy("gram").agg(F.collect_set("item").alias("items")), "benchmark-items")
+    hits = passed.where("at >= 0").select(*ROW, "at", "size", "gram").join(items, "gram").drop("gram")
+    return passed.where("at < 0").select("id", *ROW, "n_words"), hits
+
+
+def gather(hits: DataFrame) -> DataFrame:
+    """(row, row2, hit, items): the sorted places of a text's hit words, and its items; bounded by text and benchmark."""
+    places = F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["size"] - 1))
+    by_text = hits.groupBy(*ROW).agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return by_text.select(*ROW, F.array_sort(F.array_distinct(F.flatten(places))).alias("hit"), "items")
 
 
-def _covered(spans: Column) -> Column:
-    """Words inside the windows of ``spans``, which are sorted by their start."""
-    zero = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("sum"))
-    add = lambda acc, s: F.struct(
-        F.greatest(acc["to"], s["at"] + s["size"]).alias("to"),
-        (acc["sum"] + F.greatest(F.lit(0), s["at"] + s["size"] - F.greatest(acc["to"], s["at"]))).cast("long").alias("sum"),
-    )
-    return F.aggregate(spans, zero, add, lambda acc: acc["sum"])
-
-
-def _find_by_set(src: DataFrame, listed: list) -> DataFrame:
-    hashed = held(src, "wh", F.transform("w", lambda x: F.xxhash64(x)))
-    spans = F.array().cast("array<struct<at:int,size:int>>")
-    for size in sorted({r["size"] for r in listed}):
-        own = [r for r in listed if r["size"] == size]
-        spans = F.concat(spans, _spans_of(size, [r["h"] for r in own], [r["gram"] for r in own]))
-    found = held(hashed, "spans", F.array_sort(spans))
-    return found.select(
-        "row",
-        "id",
-        F.size("w").cast("long").alias("n_words"),
-        _covered(F.col("spans")).alias("n_hit"),
-        "spans",
-        F.array_distinct(F.transform("spans", lambda s: F.concat_ws(" ", F.slice("w", s["at"] + 1, s["size"])))).alias("grams"),
-    )
-
-
-def _spans_of(size: int, hashes: list[int], grams: list[str]) -> Column:
-    """Windows of ``size`` words whose hash is in the set and whose words then are, too."""
-    starts = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1)).otherwise(F.array().cast("array<int>"))
-    near = F.filter(starts, lambda i: F.xxhash64(F.slice("wh", i, size)).isin(hashes))
-    sure = F.filter(near, lambda i: F.concat_ws(" ", F.slice("w", i, size)).isin(grams))
-    return F.transform(sure, lambda i: F.struct((i - 1).alias("at"), F.lit(size).alias("size")))
-
-
-def _find_by_join(src: DataFrame, known: DataFrame) -> DataFrame:
-    sizes = F.array_sort(F.collect_set("size"))
-    counted = src.join(F.broadcast(known.agg(sizes.alias("sizes"))))  # one row: at most as many sizes as a window has words
-    spans = F.flatten(
-        F.transform(
-            "sizes",
-            lambda k: F.transform(
-                F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - k + 1)).otherwise(F.array().cast("array<int>")),
-                lambda i: F.struct((i - 1).alias("at"), k.alias("size"), F.concat_ws(" ", F.slice("w", i, k)).alias("gram")),
-            ),
-        )
-    )
-    each = counted.select("row", "id", F.size("w").cast("long").alias("n_words"), F.explode_outer(spans).alias("s"))
-    hit = each.join(known.select(F.col("gram").alias("g")), F.col("s.gram") == F.col("g"), "left")
-    pair = F.when(F.col("g").isNotNull(), F.struct(F.col("s.at").alias("at"), F.col("s.size").alias("size")))
-    gathered = hit.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_sort(F.collect_list(pair)).alias("spans"), F.collect_set("g").alias("grams"))
-    return gathered.select("row", "id", "n_words", _covered(F.col("spans")).alias("n_hit"), "spans", "grams")
+def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
+    """A row for each document: ``id_col``, n_words, n_hit, items (sorted ids as strings), hit (sorted places of the hit words, from 0)."""
+    texts, hits = find_windows(docs, benchmark, id_col, text_col, n, max_set)
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    full = texts.join(gather(hits), ROW, "left").select(F.col("id").alias(id_col), "n_words", none("hit", "int"), none("items", "string"))
+    return full.select(id_col, "n_words", F.size("hit").cast("long").alias("n_hit"), "items", "hit")
 
 
-def remove_spans(text: Column, spans: Column) -> Column:
-    """``text`` without the words inside ``spans``, what stands between them and what follows them up to the next word.
+def remove_words(text: Column, hit: Column) -> Column:
+    """``text`` without the words at the sorted places ``hit``, what stands between them and what follows them up to the next word.
 
-    The text is cut at its words (case kept), so that separators outside the spans stay as they were.
+    The text is cut at its words (case kept) and put together from the stretches between runs of hit words, so that
+    separators outside the runs stay as they were; the work is linear in the text.
     """
-    # Bound as one element, so that the text is cut once and not for every word.
-    parts = F.array(F.struct(F.split(text, _ANY_CASE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(_ANY_CASE), F.lit(0)).alias("w"), spans.alias("spans")))
+    # Bound as one element, so that the text is cut once.
+    parts = F.array(F.struct(F.split(text, _ANY_CASE, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(_ANY_CASE), F.lit(0)).alias("w"), hit.alias("hit")))
+
+    def runs(b: Column) -> Column:
+        first = F.filter(b["hit"], lambda x, i: (i == 0) | (F.get(b["hit"], i - 1) < x - 1))
+        last = F.filter(b["hit"], lambda x, i: (i == F.size(b["hit"]) - 1) | (F.get(b["hit"], i + 1) > x + 1))
+        spaced = F.zip_with(F.slice(b["gaps"], 1, F.size(b["w"])), b["w"], lambda g, x: F.concat(g, x))
+        return F.struct(b["gaps"].alias("gaps"), b["w"].alias("w"), spaced.alias("spaced"), F.concat(F.array(F.lit(0)), F.transform(last, lambda x: x + 1)).alias("lo"), F.concat(first, F.array(F.size(b["w"]))).alias("hi"))
 
     def rebuilt(b: Column) -> Column:
-        hit = lambda i: F.exists(b["spans"], lambda s: (s["at"] <= i) & (i < s["at"] + s["size"]))
-        gap = lambda i: F.when((i > 0) & hit(i - 1), F.lit("")).otherwise(F.get(b["gaps"], i))
-        kept = F.transform(b["w"], lambda x, i: F.concat(gap(i), F.when(hit(i), F.lit("")).otherwise(x)))
-        return F.concat(F.array_join(kept, ""), F.element_at(b["gaps"], -1))
+        def stretch(lo: Column, k: Column) -> Column:
+            hi = F.get(b["hi"], k)
+            rest = F.array_join(F.slice(b["spaced"], lo + 2, F.greatest(hi - lo - 1, F.lit(0))), "")
+            head = F.when(k == 0, F.get(b["gaps"], 0)).otherwise("")
+            tail = F.when(hi < F.size(b["w"]), F.get(b["gaps"], hi)).otherwise("")
+            return F.concat(head, F.when(lo < hi, F.concat(F.get(b["w"], lo), rest, tail)).otherwise(""))
+
+        return F.concat(F.array_join(F.transform(b["lo"], stretch), ""), F.element_at(b["gaps"], -1))
 
-    return F.get(F.transform(parts, rebuilt), 0)
+    return F.get(F.transform(F.transform(parts, runs), rebuilt), 0)
 
 
 #: The words' pattern before the change to lower case.
 _ANY_CASE = WORD_PATTERN.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.5, n: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.5, n: int = WINDOW, max_set: int = MAX_SET) -> DataFrame:
     """``docs`` without contamination: hit spans are cut out; a text of which over ``max_share`` is hit goes.
 
-    Clean rows come back unchanged, with null and empty texts. Each row is judged by its own text: rows
-    that share an id, or have none, are told apart by 96 bits of hash of id and text.
+    Clean rows come back unchanged, with null and empty texts.
     """
-    own, own2, share, spans = (fresh(docs, x) for x in ("row", "row2", "share", "spans"))
-    keyed = docs.withColumns(dict(zip((own, own2), text_key(id_col, text_col), strict=True)))
-    found = find_hits(keyed.select(F.struct(F.col(own), F.col(own2)).alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text", n).where("n_hit > 0")
-    hits = found.groupBy(F.col("key")[own].alias(own), F.col("key")[own2].alias(own2)).agg(F.first(F.col("n_hit") / F.col("n_words")).alias(share), F.first("spans").alias(spans))
-    joined = keyed.join(hits, [own, own2], "left").where(F.col(share).isNull() | (F.col(share) <= max_share))
-    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(remove_spans(F.col(text_col), F.col(spans)))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    own, own2, share, hit = (fresh(docs, x) for x in ("row", "row2", "share", "hit"))
+    texts, hits = find_windows(docs, benchmark, id_col, text_col, n, max_set)
+    found = gather(hits).join(texts.drop("id"), ROW).groupBy(*[F.col(c).alias(x) for c, x in zip(ROW, (own, own2), strict=True)])
+    marks = found.agg(F.first(F.size("hit") / F.col("n_words")).alias(share), F.first("hit").alias(hit))  # equal rows are equal in both
+    joined = docs.withColumns(dict(zip((own, own2), text_key(id_col, text_col), strict=True))).join(marks, [own, own2], "left")
+    kept = joined.where(F.col(share).isNull() | (F.col(share) <= max_share))
+    text = F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(remove_words(F.col(text_col), F.col(hit)))
+    return kept.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
