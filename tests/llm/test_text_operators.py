@@ -291,11 +291,42 @@ def test_token_totals(spark, docs, no_docs, tmp_path):
         totals.apply("../x", batch)
 
 
+def plain_totals(batches):
+    """Totals by (source, lang, version) after batches of (change, id, source, lang, version, n, seq), one change after another."""
+    state = []
+    for changes in batches:
+        kind = {"insert": 0, "revise": 1, "delete": 2}
+        once = [c for k, c in enumerate(changes) if c[0] != "revise" or c not in changes[:k]]
+        for c in sorted(once, key=lambda c: (c[6] or 0, kind[c[0]], *((c[2] or "", c[3] or "", c[5] or 0) if c[0] == "revise" else ()))):
+            if c[0] != "insert":
+                state = [x for x in state if x[0] != c[1] or not (x[3] == c[4] or (c[0] == "delete" and c[4] is None))]
+            if c[0] != "delete":
+                state.append((c[1], c[2], c[3], c[4], c[5] or 0))
+    out = defaultdict(lambda: [0, 0])
+    for x in state:
+        out[x[1:4]][0] += 1
+        out[x[1:4]][1] += x[4]
+    return {k: tuple(v) for k, v in out.items() if any(v)}
+
+
+def test_token_totals_inside_a_batch(spark, tmp_path):
+    rng = random.Random(11)
+    fixed = [[("insert", 1, "s", "l", "v", 5, None), ("delete", 1, None, None, None, None, None)], [("insert", 2, "s", "l", "v", 5, None), ("revise", 2, "s", "l", "v", 9, None)]]
+    drawn = [[(rng.choice(["insert", "insert", "revise", "delete"]), rng.choice([None, 1, 2, 3, 4]), rng.choice(["s", None]), "l", rng.choice(["v", "w", None]), rng.choice([None, 3, 8]), rng.choice([None, 0, 1, 2])) for _ in range(30)] for _ in range(3)]
+    totals, done = token_counts.Totals(spark, str(tmp_path / "order")), []
+    for k, batch in enumerate([*fixed, *drawn]):
+        # A deletion has no counts of its own, and a null version of an insert is a version like any other.
+        done.append(batch)
+        totals.apply(f"b{k}", spark.createDataFrame(batch, f"{token_counts.CHANGES}, seq long"))
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in totals.totals().collect()} == plain_totals(done)
+    assert plain_totals(fixed) == {("s", "l", "v"): (1, 9)}
+
+
 def test_token_totals_after_a_lost_driver(spark, docs, tmp_path):
     totals = token_counts.Totals(spark, str(tmp_path / "t"))
     changes = token_counts.count_words(docs, "v")
     # Entries of a batch that was never committed count for nothing, and are written over.
-    changes.limit(3).select("doc_id", *token_counts.KEYS, F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens")).write.parquet(str(tmp_path / "t/entries/batch=a"))
+    changes.limit(3).select("doc_id", *token_counts.KEYS, F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), F.lit(3).alias("bucket")).write.partitionBy("bucket").parquet(str(tmp_path / "t/entries/batch=a"))
     assert totals.totals().count() == 0
     totals.apply("a", changes)
     assert totals.totals().agg(F.sum("n_docs")).first()[0] == docs.count()
