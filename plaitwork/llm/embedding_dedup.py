@@ -1,22 +1,25 @@
 """Embedding near-dedup: cover-tree dual traversal over unit vectors.
 
-On unit vectors, cosine >= c is distance <= sqrt(2 - 2c). The tree's upper levels are nested nets
-with halving radii (1, 1/2, 1/4) over at most ``net_rows`` vectors, those of least hashed id; this documented
-sample only places the nodes. Every vector goes to its nearest leaf of the net, and each leaf's
-covering radius is the largest distance found among all its vectors, so the bounds hold for all rows. The levels above
-the leaves only order the leaves, so that blocks are tight; no pair of their nodes is visited or pruned.
-
-Pairs of leaves are pruned when d(p, q) - r_p - r_q exceeds the threshold's distance: first between all leaves (at
-most ``net_rows ** 2`` bounds), then, inside a task, between the nodes of the two blocks it compares, whose
-lower levels are halved again where a node holds many vectors. What is left is compared in double
-precision. Leaves are joined into, or split over, blocks of at most ``block_bytes``; a pair of blocks is a task's work
-and returns each vector's number of links and one link of a spanning forest, never the pairs.
-
-Where vectors have structure, blocks are tight and most pairs of blocks are pruned; vectors spread evenly over a
-sphere of many dimensions can't be pruned by any metric bound, and every pair of blocks is then computed.
-
-Equal vectors are one representative with a number of rows. Vectors that are null, empty, zero or hold null or
-non-finite components link with nothing, and vectors of different lengths don't link. Rows that
+On unit vectors, cosine >= c is distance <= sqrt(2 - 2c), the reach. A tree has nested nets as levels, with halving radii
+1, 1/2, 1/4, ...: each centre of a level is one of the next, and every centre has its parent, the nearest centre of the level
+above. A node's covering radius is the largest distance from its centre to any vector under it, so its bounds hold
+for all vectors, not for a sample. The dual traversal takes pairs of nodes from the top: a pair is pruned, with all
+below it, when d(p, q) - r_p - r_q is over the reach; else its children's pairs follow.
+
+1. The upper tree of a dimension is made of at most ``net_rows`` vectors, those of least hashed id, and of no more than an
+   eighth of all. This documented sample only places the centres: every vector goes to its nearest leaf, and radii
+   come from all vectors. Its traversal leaves pairs of leaves, far fewer than pairs of vectors.
+2. Neighbouring leaves are joined into, or large ones split over, blocks of at most ``block_bytes``. A pair of blocks with an
+   open pair of leaves is a task's work: each block's vectors get the lower levels of the tree, from their leaf on, and the
+   traversal goes on down to nodes of a few vectors; what is left is compared in double precision. A task returns
+   each vector's number of links and one link of a spanning forest, never the pairs.
+
+Where vectors have structure, most pairs are pruned high up; vectors spread evenly over a sphere of many dimensions can't be
+pruned by any metric bound, and every pair of blocks is then computed.
+
+The most frequent ``TREES`` dimensions have trees; vectors of all other dimensions are compared exactly in blocks by
+dimension, without pruning. Equal vectors are one representative with a number of rows. Vectors that are null, empty, zero
+or hold null or non-finite components link with nothing, and vectors of different dimensions don't link. Rows that
 repeat an id count as rows.
 """
 
@@ -26,14 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaitwork.llm._util import components, prepare, staged
 from plaitwork.llm.jaccard import forest
 
-THRESHOLD, NET_ROWS, BLOCK_BYTES, NODE_ROWS = 0.9, 2_048, 2_097_152, 64
-RADII = (1.0, 0.5, 0.25)
+THRESHOLD, NET_ROWS, BLOCK_BYTES, NODE_ROWS, TREES = 0.9, 2_048, 4_194_304, 32, 8
 #: Rounding of distances between unit vectors in double precision is far below this.
 SLACK = 1e-6
 
@@ -49,72 +51,104 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
-def build_net(x: np.ndarray, radii: tuple[float, ...] = RADII) -> np.ndarray:
-    """Rows of ``x`` that are leaves: nested nets of halving radii, ordered so that subtrees are neighbours."""
-    if not len(x):
-        return np.empty(0, np.int64)
-    chosen = [0]
-    near = distances(x, x[[0]])[:, 0]
-    path = np.zeros((len(x), 0), np.int64)
-    for r in radii:
-        while near.max() > r:
-            k = int(near.argmax())
-            chosen.append(k)
-            near = np.minimum(near, distances(x, x[[k]])[:, 0])
-        # The nearest node of this level for every row: the way down the tree.
-        path = np.c_[path, np.concatenate([distances(x[i : i + 512], x[chosen]).argmin(axis=1) for i in range(0, len(x), 512)])]
-    leaves = np.array(chosen)
-    return leaves[np.lexsort(path[leaves].T[::-1])]
-
-
-def split_nodes(x: np.ndarray, leaf: np.ndarray, most: int = NODE_ROWS) -> list[np.ndarray]:
-    """Nodes of a block: its rows by leaf; a node of many rows is cut at half its radius, again and again."""
-    todo = [np.flatnonzero(leaf == k) for k in np.unique(leaf)]
-    nodes = []
-    while todo:
-        rows = todo.pop()
-        d = distances(x[rows], x[rows[:1]])[:, 0] if len(rows) > most else None
-        if d is None or d.max() < 0.05:
-            nodes.append(rows)
-            continue
-        centres, near, own = [0], d, np.zeros(len(rows), np.int64)
-        while near.max() > d.max() / 2 and len(centres) < most:
-            k = int(near.argmax())
-            new = distances(x[rows], x[rows[[k]]])[:, 0]
-            own[new < near] = len(centres)
-            centres.append(k)
-            near = np.minimum(near, new)
-        parts = [rows[own == k] for k in range(len(centres))]
-        parts = [p for p in parts if len(p)]
-        if len(parts) == 1:
-            nodes.append(rows)
-        elif max(map(len, parts)) > 0.9 * len(rows) or np.median([len(p) for p in parts]) <= 2:
-            nodes.extend(parts)  # scattered: halving again wouldn't help
+def reach_of(threshold: float) -> float:
+    return float(np.sqrt(2.0 - 2.0 * threshold)) + SLACK
+
+
+class Tree:
+    """Nested nets over ``x``: ``centres[l]``, rows of x, and ``parents[l]``, places in ``centres[l - 1]``.
+
+    Leaves are in the order of their paths from the top, so that subtrees are neighbours. ``radii[l]`` are covering
+    radii, from the rows of x until ``widen`` puts in those of all vectors.
+    """
+
+    def __init__(self, x: np.ndarray, radius: float = 1.0, levels: int = 3, most: int = NET_ROWS) -> None:
+        chosen, near, sizes = [0], distances(x, x[:1])[:, 0], []
+        for level in range(levels):
+            while near.max() > radius / 2**level and len(chosen) < most:
+                k = int(near.argmax())
+                chosen.append(k)
+                near = np.minimum(near, distances(x, x[[k]])[:, 0])
+            sizes.append(len(chosen))
+        ids = np.array(chosen)
+        near = [distances(x[ids[: sizes[max(0, k - 1)]]], x[ids[:n]]).T.argmin(axis=1) for k, n in enumerate(sizes)]
+        # Order by path from the top: a level's centres lie where their parents do.
+        self.centres, self.parents, place = [], [], None
+        for k, n in enumerate(sizes):
+            parent = np.zeros(n, np.int64) if k == 0 else place[near[k]]
+            order = np.lexsort((np.arange(n), parent))
+            self.centres.append(ids[:n][order])
+            self.parents.append(parent[order])
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+        self.points = [x[c] for c in self.centres]
+        self.leaf = np.concatenate([distances(x[i : i + 1_024], self.points[-1]).argmin(axis=1) for i in range(0, len(x), 1_024)])
+        self.widen(self.leaf, self.gaps(x, self.leaf))
+
+    def ancestors(self, leaf: np.ndarray) -> list[np.ndarray]:
+        """For each level, the places of the nodes above these leaves."""
+        out = [leaf]
+        for parents in reversed(self.parents[1:]):
+            out.append(parents[out[-1]])
+        return out[::-1]
+
+    def gaps(self, x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """For each row, the distances to the centres above it, a column for each level."""
+        return np.stack([np.sqrt(np.maximum(2.0 - 2.0 * np.einsum("ij,ij->i", x, self.points[k][at]), 0.0)) for k, at in enumerate(self.ancestors(leaf))], axis=1)
+
+    def widen(self, leaf: np.ndarray, gaps: np.ndarray) -> None:
+        """Covering radii from leaves and largest distances, by level, of what is under them; -1 for nodes without any."""
+        self.radii = [np.full(len(c), -1.0) for c in self.centres]
+        for k, at in enumerate(self.ancestors(leaf)):
+            np.maximum.at(self.radii[k], at, gaps[:, k])
+
+
+def open_leaves(a: Tree, b: Tree, reach: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The dual traversal of two trees of as many levels: pairs of leaves that no bound prunes, and how many bounds were looked at."""
+    i, j, looked = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    for level in range(len(a.centres)):
+        if level == 0:
+            i, j = (k.ravel() for k in np.meshgrid(np.arange(len(a.centres[0])), np.arange(len(b.centres[0])), indexing="ij"))
         else:
-            todo.extend(parts)
-    return nodes
-
-
-def traverse(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (rows of a, rows of b) of cosine ``threshold`` or more, in lots."""
-    reach = float(np.sqrt(2.0 - 2.0 * threshold)) + SLACK
-    na, nb = split_nodes(a, la), split_nodes(b, lb)
-    ca, cb = (np.stack([x[n].mean(axis=0) for n in nodes]) for x, nodes in ((a, na), (b, nb)))
-    gap = lambda x, c: np.sqrt(np.maximum(np.einsum("ij,ij->i", x - c, x - c), 0.0))
-    ra = np.array([gap(a[n], c).max() for n, c in zip(na, ca, strict=True)])
-    rb = np.array([gap(b[n], c).max() for n, c in zip(nb, cb, strict=True)])
-    between = np.sqrt(np.maximum((ca**2).sum(1)[:, None] + (cb**2).sum(1)[None, :] - 2 * ca @ cb.T, 0.0))
-    open_pairs = between <= ra[:, None] + rb[None, :] + reach + SLACK
-    sizes_a, sizes_b = np.array([len(n) for n in na]), np.array([len(n) for n in nb])
-    if sizes_a @ open_pairs @ sizes_b > 0.3 * len(a) * len(b):
-        jobs = ((np.arange(i, min(i + 512, len(a))), np.arange(len(b))) for i in range(0, len(a), 512))
-    else:
-        jobs = ((n, np.concatenate([nb[k] for k in np.flatnonzero(row)])) for n, row in zip(na, open_pairs, strict=True) if row.any())
-    for rows, cols in jobs:
-        for at in range(0, len(rows), 512):
-            i, j = np.nonzero(a[rows[at : at + 512]] @ b[cols].T >= threshold)
-            if len(i):
-                yield rows[at : at + 512][i], cols[j]
+            # All pairs of children of the open pairs: parents are sorted, so children are ranges.
+            lo_a, lo_b = (np.searchsorted(t.parents[level], np.arange(len(t.centres[level - 1]) + 1)) for t in (a, b))
+            n_a, n_b = lo_a[i + 1] - lo_a[i], lo_b[j + 1] - lo_b[j]
+            pair = np.repeat(np.arange(len(i)), n_a * n_b)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(n_a * n_b) - n_a * n_b, n_a * n_b)
+            i, j = lo_a[i[pair]] + at // n_b[pair], lo_b[j[pair]] + at % n_b[pair]
+        looked += len(i)
+        kept = []
+        for k in range(0, len(i), 262_144):
+            p, q = i[k : k + 262_144], j[k : k + 262_144]
+            apart = np.sqrt(np.maximum(2.0 - 2.0 * np.einsum("ij,ij->i", a.points[level][p], b.points[level][q]), 0.0))
+            r, s = a.radii[level][p], b.radii[level][q]
+            kept.append((apart <= r + s + reach + SLACK) & (r >= 0) & (s >= 0))
+        keep = np.concatenate(kept) if kept else np.zeros(0, bool)
+        i, j = i[keep], j[keep]
+    return i, j, looked
+
+
+def lower_tree(x: np.ndarray, most: int = NODE_ROWS) -> Tree:
+    """A block's own levels, halving from its widest distance to nodes of about ``most`` vectors."""
+    return Tree(x, 1.0, 4, max(1, len(x) // most))
+
+
+def traverse(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows of x, rows of y) of cosine ``threshold`` or more, in lots; a and b are trees over x and y."""
+    i, j, _ = open_leaves(a, b, reach_of(threshold))
+    rows = [np.flatnonzero(a.leaf == k) for k in range(len(a.centres[-1]))]
+    cols = [np.flatnonzero(b.leaf == k) for k in range(len(b.centres[-1]))]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    for p, q in zip(*(np.split(v, np.flatnonzero(np.diff(i)) + 1) for v in (i, j)), strict=True):
+        if not len(p):
+            continue
+        right = np.concatenate([cols[k] for k in q])
+        left = rows[p[0]]
+        for at in range(0, len(left), 512):
+            m, n = np.nonzero(x[left[at : at + 512]] @ y[right].T >= threshold)
+            if len(m):
+                yield left[at : at + 512][m], right[n]
 
 
 def compare_blocks(left: dict, right: dict, same: bool, threshold: float) -> pd.DataFrame:
@@ -128,7 +162,9 @@ def compare_blocks(left: dict, right: dict, same: bool, threshold: float) -> pd.
             x = tree[x]
         return x
 
-    for i, j in traverse(left["x"], right["x"], left["leaf"], right["leaf"], threshold):
+    a = lower_tree(left["x"])
+    b = a if same else lower_tree(right["x"])
+    for i, j in traverse(a, b, left["x"], right["x"], threshold):
         if same:
             i, j = i[i != j], j[i != j]
         np.add.at(links[0], i, right["copies"][j])
@@ -144,78 +180,102 @@ def compare_blocks(left: dict, right: dict, same: bool, threshold: float) -> pd.
     return pd.DataFrame({"rep": reps, "links": n, "root": [find(x) for x in reps.tolist()]})
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, net_rows: int = NET_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def vector_key(v: Column) -> list[Column]:
+    """128 bits of hash of a vector, in two columns."""
+    return [F.xxhash64(v), F.xxhash64(F.lit(7), v)]
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, net_rows: int = NET_ROWS, block_bytes: int = BLOCK_BYTES, trees: int = TREES) -> DataFrame:
     """(``id_col``, n_links, component_id, kept) for each row of ``vectors``; ids are whole numbers."""
-    spark = vectors.sparkSession
-    prepare(spark)
+    prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     # x - x is 0 for finite numbers only.
     fine = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (x - x == 0)) & F.exists("v", lambda x: x != 0)
     valid = F.coalesce(fine, F.lit(False)) & F.col("id").isNotNull()
-    classes = staged(rows.where(valid).groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v")), "vectors")
-    dims = [r["dim"] for r in classes.select("dim").distinct().limit(1_000).collect()]
-    found = [x for d in dims if (x := _links(classes.where(F.col("dim") == d), d, threshold, net_rows, block_bytes)) is not None]
-    if not found:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    h, h2 = vector_key(F.col("v"))
+    # Rows that link with nothing get keys of their own, so that they don't meet in one task.
+    keyed = rows.withColumns({"h": F.when(valid, h).otherwise(F.xxhash64("id", F.lit(1))), "h2": F.when(valid, h2), "valid": valid})
+    classes = keyed.where("valid").groupBy("h", "h2").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = staged(classes.withColumn("dim", F.size("v")), "vectors")
+    common = [(r["dim"], r["count"]) for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(trees).collect()]
+    found = [_links(classes.where(F.col("dim") == d), d, n, threshold, net_rows, block_bytes) for d, n in common]
+    found.append(_rare_links(classes.where(~F.col("dim").isin([d for d, _ in common])), threshold, block_bytes))
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
     links = staged(links, "vector-links")
     degree = links.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
-    ranked = classes.join(degree, "rep", "left").join(parts, "rep", "left").select(
-        "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
-    out = rows.withColumn("v", F.when(valid, F.col("v"))).join(ranked, "v", "left")
+    ranked = classes.select("h", "h2", "rep", "copies").join(degree, "rep", "left").join(parts, "rep", "left").where("copies > 1 or links is not null")
+    ranked = staged(ranked.select("h", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "ranked")
+    out = keyed.select("id", "h", "h2").join(ranked, ["h", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _links(classes: DataFrame, dim: int, threshold: float, net_rows: int, block_bytes: int) -> DataFrame | None:
-    """(rep, links, root) of the classes of one dimension."""
+def _links(classes: DataFrame, dim: int, count: int, threshold: float, net_rows: int, block_bytes: int) -> DataFrame:
+    """(rep, links, root) of the classes of one dimension, by the tree."""
     spark = classes.sparkSession
-    most = max(16, min(net_rows, 4_194_304 // dim))  # the net's bound: 4 Mi numbers
+    most = max(1, min(net_rows, count // 8, 4_194_304 // dim))  # the net's bound: 4 Mi numbers
     sample = classes.orderBy(F.xxhash64("rep"), "rep").select("v").limit(most).collect()
-    x = units([r["v"] for r in sample])
-    net = x[build_net(x)]
-    sent = spark.sparkContext.broadcast(net)
+    tree = Tree(units([r["v"] for r in sample]), most=most)
+    sent = spark.sparkContext.broadcast(tree)
 
     def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 2_048):
                 part = pdf.iloc[at : at + 2_048]
                 u = units(part["v"].tolist())
-                d = distances(u, sent.value)
-                leaf = d.argmin(axis=1)
-                yield pd.DataFrame({"rep": part["rep"], "copies": part["copies"], "leaf": leaf.astype(np.int32), "d": d[np.arange(len(u)), leaf], "x": [r.tobytes() for r in u]})
-
-    placed = staged(classes.select("rep", "copies", "v").mapInPandas(descend, "rep long, copies long, leaf int, d double, x binary"), "leaves")
-    stats = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r")).orderBy("leaf").toPandas()  # a row for each leaf of the net
+                leaf = distances(u, sent.value.points[-1]).argmin(axis=1)
+                yield pd.DataFrame({"rep": part["rep"], "copies": part["copies"], "leaf": leaf.astype(np.int32), "gaps": sent.value.gaps(u, leaf).tolist(), "x": [r.tobytes() for r in u]})
+
+    placed = staged(classes.select("rep", "copies", "v").mapInPandas(descend, "rep long, copies long, leaf int, gaps array<double>, x binary"), "leaves")
+    widest = [F.max(F.get("gaps", k)).alias(f"r{k}") for k in range(len(tree.centres))]
+    stats = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *widest).orderBy("leaf").toPandas()  # a row for each leaf of the net
+    leaves = stats["leaf"].to_numpy(np.int64)
+    tree.widen(leaves, stats[[f"r{k}" for k in range(len(tree.centres))]].to_numpy())
     per_block = max(16, block_bytes // (8 * dim))
     # Neighbouring leaves share a lot until it has a block's rows; a leaf of more rows has blocks of its own.
-    lots, lot, size = [], [], 0
+    lot_of, size = np.zeros(len(leaves), np.int64), 0
     for k, n in enumerate(stats["n"]):
-        if lot and size + n > per_block:
-            lots.append(lot)
-            lot, size = [], 0
-        lot.append(k)
-        size += int(n)
-    lots.append(lot)
-    parts = [-(-int(stats["n"].iloc[lot].sum()) // per_block) for lot in lots]
-    centre, radius = net[stats["leaf"]], stats["r"].to_numpy()
-    reach = float(np.sqrt(2.0 - 2.0 * threshold)) + SLACK
-    open_leaves = distances(centre, centre) <= radius[:, None] + radius[None, :] + reach
-    open_lots = [(i, j) for i in range(len(lots)) for j in range(i, len(lots)) if open_leaves[np.ix_(lots[i], lots[j])].any()]
-    place = [(int(stats["leaf"].iloc[k]), i, parts[i]) for i, lot in enumerate(lots) for k in lot]
-    places = spark.createDataFrame(place, "leaf int, lot int, parts int")
-    blocks = placed.join(F.broadcast(places), "leaf").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    packed = staged(blocks.groupBy("lot", "part").applyInPandas(_pack, "lot int, part int, rep binary, copies binary, leaf binary, x binary"), "blocks")
-    pairs = spark.createDataFrame(open_lots, "i int, j int").repartition(spark.sparkContext.defaultParallelism)
-    count = F.broadcast(places.groupBy("lot").agg(F.first("parts").alias("parts")))
-    pairs = pairs.join(count.select(F.col("lot").alias("i"), F.col("parts").alias("m")), "i").join(count.select(F.col("lot").alias("j"), F.col("parts").alias("n")), "j")
-    pairs = pairs.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("i < j or p <= q")
-    side = lambda s, lot, part: packed.select(F.col("lot").alias(lot), F.col("part").alias(part), *[F.col(c).alias(f"{s}_{c}") for c in ("rep", "copies", "leaf", "x")])
-    work = pairs.select("i", "p", "j", "q").join(side("a", "i", "p"), ["i", "p"]).join(side("b", "j", "q"), ["j", "q"])
+        new = k > 0 and size + n > per_block
+        lot_of[k] = lot_of[k - 1] + new if k else 0
+        size = int(n) if new else size + int(n)
+    parts = -(-np.bincount(lot_of, weights=stats["n"]).astype(np.int64) // per_block)
+    i, j, _ = open_leaves(tree, tree, reach_of(threshold))
+    lot_at = np.full(len(tree.centres[-1]), -1)
+    lot_at[leaves] = lot_of
+    a, b = lot_at[i], lot_at[j]
+    open_lots = np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)], axis=0)
+    places = spark.createDataFrame(pd.DataFrame({"leaf": leaves.astype(np.int32), "lot": lot_of, "parts": parts[lot_of].astype(np.int32)}))
+    blocks = placed.join(F.broadcast(places), "leaf")
+    pairs = spark.createDataFrame(pd.DataFrame({"i": open_lots[:, 0], "j": open_lots[:, 1], "m": parts[open_lots[:, 0]].astype(np.int32), "n": parts[open_lots[:, 1]].astype(np.int32)}))
+    return _compared(blocks.select("lot", "parts", "rep", "copies", "x", F.lit(dim).alias("dim")), pairs, threshold)
+
+
+def _rare_links(classes: DataFrame, threshold: float, block_bytes: int) -> DataFrame:
+    """(rep, links, root) of the classes of all other dimensions: a lot for each dimension, blocks against blocks."""
+
+    def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                yield part[["rep", "copies", "dim"]].assign(x=[units([v])[0].tobytes() for v in part["v"]])
+
+    placed = classes.select("rep", "copies", "dim", "v").mapInPandas(scaled, "rep long, copies long, dim int, x binary")
+    sizes = staged(classes.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.greatest(F.lit(16), F.floor(F.lit(block_bytes) / (8 * F.col("dim"))))).cast("int").alias("parts")), "dimensions")
+    pairs = sizes.select(F.col("dim").cast("long").alias("i"), F.col("dim").cast("long").alias("j"), F.col("parts").alias("m"), F.col("parts").alias("n"))
+    return _compared(placed.join(sizes, "dim").select(F.col("dim").cast("long").alias("lot"), "parts", "rep", "copies", "x", "dim"), pairs, threshold)
+
+
+def _compared(rows: DataFrame, lots: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links, root): rows (lot, parts, rep, copies, x, dim) of pairs of lots (i, j, m, n), m and n their parts, block by block."""
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    packed = staged(rows.withColumn("part", part).groupBy("lot", "part").applyInPandas(_pack, "lot long, part int, dim int, rep binary, copies binary, x binary"), "blocks")
+    each = lots.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("i < j or p <= q")
+    each = each.select("i", "p", "j", "q").repartition(rows.sparkSession.sparkContext.defaultParallelism * 4, "i", "p", "j", "q")
+    side = lambda s, lot, at: packed.select(F.col("lot").alias(lot), F.col("part").alias(at), *[F.col(c).alias(f"{s}_{c}") for c in ("dim", "rep", "copies", "x")])
+    work = each.join(side("a", "i", "p"), ["i", "p"]).join(side("b", "j", "q"), ["j", "q"])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -223,7 +283,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, net_rows: int, block_
         for batch in batches:
             for r in range(batch.num_rows):
                 got = {c: batch.column(c)[r] for c in batch.schema.names}
-                left, right = (_unpack(got, s, dim) for s in "ab")
+                left, right = (_unpack(got, s) for s in "ab")
                 same = got["i"].as_py() == got["j"].as_py() and got["p"].as_py() == got["q"].as_py()
                 yield pa.RecordBatch.from_pandas(compare_blocks(left, right, same, threshold).astype("int64"), preserve_index=False)
 
@@ -232,9 +292,9 @@ def _links(classes: DataFrame, dim: int, threshold: float, net_rows: int, block_
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep")
-    return pd.DataFrame({"lot": pdf["lot"].iloc[:1].to_numpy(), "part": pdf["part"].iloc[:1].to_numpy(), **{c: [pdf[c].to_numpy(np.int64).tobytes()] for c in ("rep", "copies", "leaf")}, "x": [b"".join(pdf["x"])]})
+    return pd.DataFrame({**{c: pdf[c].iloc[:1].to_numpy() for c in ("lot", "part", "dim")}, **{c: [pdf[c].to_numpy(np.int64).tobytes()] for c in ("rep", "copies")}, "x": [b"".join(pdf["x"])]})
 
 
-def _unpack(got: dict, side: str, dim: int) -> dict:
-    out = {c: np.frombuffer(got[f"{side}_{c}"].as_buffer(), np.int64) for c in ("rep", "copies", "leaf")}
-    return out | {"x": np.frombuffer(got[f"{side}_x"].as_buffer(), float).reshape(-1, dim)}
+def _unpack(got: dict, side: str) -> dict:
+    out = {c: np.frombuffer(got[f"{side}_{c}"].as_buffer(), np.int64) for c in ("rep", "copies")}
+    return out | {"x": np.frombuffer(got[f"{side}_x"].as_buffer(), float).reshape(len(out["rep"]), -1)}

@@ -39,11 +39,11 @@ def vectors(seed=2):
     return rows
 
 
-@pytest.mark.parametrize(("net", "block"), [(2_048, 2_097_152), (20, 16 * 8 * 16)])
-def test_vectors(spark, net, block):
+@pytest.mark.parametrize(("net", "block", "trees"), [(2_048, 2_097_152, 8), (20, 16 * 8 * 16, 8), (20, 16 * 8 * 16, 1)])
+def test_vectors(spark, net, block, trees):
     rows = [(k, v, 1, "x") for k, v in vectors()]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, v string").repartition(3)
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df, net_rows=net, block_bytes=block).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df, net_rows=net, block_bytes=block, trees=trees).collect()}
     want = plain_vectors(vectors())
     want[308] = (2, 306, False)  # tiny numbers, whose squares a plain product loses
     want[306], want[307] = (2, 306, True), (2, 306, False)
@@ -59,11 +59,17 @@ def test_no_vectors(spark):
 
 def test_traversal_prunes_and_loses_nothing():
     rng = np.random.default_rng(1)
-    x = np.concatenate([c + rng.normal(size=(80, 16)) * 0.05 for c in rng.normal(size=(8, 16))])
+    x = np.concatenate([c + rng.normal(size=(80, 16)) * 0.05 for c in rng.normal(size=(20, 16))])
     x /= np.linalg.norm(x, axis=1)[:, None]
-    leaf = np.repeat(np.arange(8), 80)
-    got = {(int(i), int(j)) for a, b in embedding_dedup.traverse(x, x, leaf, leaf, 0.97) for i, j in zip(a, b, strict=True)}
-    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.97), strict=True)}
+    for tree in (embedding_dedup.Tree(x, levels=4), embedding_dedup.Tree(x, levels=4, most=30), embedding_dedup.lower_tree(x)):
+        for level, (up, parents) in enumerate(zip(tree.centres, tree.parents[1:], strict=False)):
+            assert set(up) <= set(tree.centres[level + 1]) and (np.diff(parents) >= 0).all()
+        got = {(int(i), int(j)) for a, b in embedding_dedup.traverse(tree, tree, x, x, 0.97) for i, j in zip(a, b, strict=True)}
+        assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(x @ x.T >= 0.97), strict=True)}
+    tree = embedding_dedup.Tree(x, levels=4)
+    i, _, looked = embedding_dedup.open_leaves(tree, tree, embedding_dedup.reach_of(0.97))
+    leaves = len(tree.centres[-1]) ** 2
+    assert len(i) < 0.15 * leaves and looked < 0.5 * leaves  # pairs pruned above aren't looked at below
 
 
 def test_components(spark):
