@@ -197,9 +197,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keyed = rows.withColumns({"h": F.when(valid, h).otherwise(F.xxhash64("id", F.lit(1))), "h2": F.when(valid, h2), "valid": valid})
     classes = keyed.where("valid").groupBy("h", "h2").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = staged(classes.withColumn("dim", F.size("v")), "vectors")
-    common = [(r["dim"], r["count"]) for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(trees).collect()]
-    found = [_links(classes.where(F.col("dim") == d), d, n, threshold, net_rows, block_bytes) for d, n in common]
-    found.append(_rare_links(classes.where(~F.col("dim").isin([d for d, _ in common])), threshold, block_bytes))
+    common = [(r["dim"], r["count"]) for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(trees + 1).collect()]
+    found = [_links(classes.where(F.col("dim") == d), d, n, threshold, net_rows, block_bytes) for d, n in common[:trees]]
+    if len(common) != len(found) or not found:
+        found.append(_rare_links(classes.where(~F.col("dim").isin([d for d, _ in common[:trees]])), threshold, block_bytes))
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)

@@ -10,16 +10,18 @@ together. One row a suffix would be some ten times the text, so the suffixes are
   only row.
 * Pass 2, on the same deal, compares the whole runs of windows, by hash and length: a run that occurs again is
   repeated throughout. This settles the insides of copies.
-* Pass 3 takes the last digits: what is left, the edges where copies part, is compared window by window
-  inside each anchor's group, with the bytes themselves at hand. One copy of each different run is enough
-  there. A group with over ``BIG_GROUP`` of them is never brought together: the task that cuts its runs from the
-  texts sends one row for each window, by window hash, and repeats are counted by that hash alone.
+* Pass 3 takes the digits of the bytes themselves: what is left, the edges where copies part, are the suffixes of
+  each anchor's group, ordered by most-significant-digit passes of 8 bytes through ``span`` bytes. A pass orders inside the
+  groups of the pass before and drops the suffixes that are alone; the groups left at the end are exactly the
+  repeated windows. One copy of each different run is enough there. A group with over ``BIG_GROUP`` of them is never
+  brought together: the task that cuts its runs from the texts sends one row for each window, by window hash, and
+  repeats are counted by that hash alone.
 
 Before the deal, a task settles the runs that it holds twice: it sends one of them under their anchor, marked
 as repeated, and the others under keys of their own, so a passage in a third of all texts gives its
 anchor a row for each lot of texts only. A run ends where another place in the text becomes the (last) least one, so no two
 windows of one run are equal, and copies inside one text, overlapping or not, are found like any other.
-Matches never cross texts. Runs are compared by 64 bits of anchor and 64 of content, windows by 128-bit polynomial
+Matches never cross texts. Runs are compared by 64 bits of anchor and 64 of content, windows of big groups by 128-bit polynomial
 hashes over random odd bases, drawn once and fixed. Long texts are hashed in segments; a run cut there
 is settled in pass 3.
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from plaitwork.llm._util import prepare, staged
 
-SPAN, GRAM, BIG_GROUP, SEGMENT = 200, 32, 20_000, 1_000_000
+SPAN, GRAM, BIG_GROUP, SEGMENT = 200, 32, 1_000, 1_000_000
 
 _RNG = np.random.default_rng(77)
 _TABLES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -142,12 +144,38 @@ def hashed_windows(blobs: list[bytes], span: int) -> tuple[np.ndarray, np.ndarra
     return owner, at - (ends - sizes)[owner], h[at], _mix(h2[at])
 
 
-def repeated_windows(blobs: list[bytes], copies: np.ndarray, span: int) -> list[np.ndarray]:
-    """For each blob, a mask of its windows that are there again, in it or another; copies: how often a blob is there."""
-    owner, _, h, h2 = hashed_windows(blobs, span)
-    _, code = np.unique(h ^ h2, return_inverse=True)
-    mask = np.bincount(code, weights=copies[owner])[code] > 1 if len(code) else np.empty(0, bool)
-    return np.split(mask, np.cumsum([len(b) - span + 1 for b in blobs])[:-1])
+def repeated_windows(blobs: list[bytes], copies: np.ndarray, anchors: np.ndarray, span: int) -> list[np.ndarray]:
+    """For each blob, a mask of its windows that are there again, in it or another; copies: how often a blob is there.
+
+    A most-significant-digit radix sort of the windows' suffixes, stopped at ``span`` bytes: the first digit is the anchor, the
+    others are 8 bytes each (the last may overlap the one before).
+    """
+    data = np.frombuffer(b"".join(blobs), np.uint8)
+    sizes = np.array([len(b) for b in blobs], np.int64)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(blobs)), sizes)
+    at = np.flatnonzero(np.arange(len(data)) + span <= ends[owner])
+    digits, padded = np.zeros(len(data), np.uint64), np.concatenate([data, np.zeros(8, np.uint8)])
+    for k in range(8):
+        digits = (digits << np.uint64(8)) | padded[k : k + len(data)]
+    group = np.unique(anchors, return_inverse=True)[1][owner[at]]
+    order = np.argsort(group, kind="stable")
+    live, group = at[order], group[order]
+    for depth in (*range(0, span - 8, 8), span - 8):
+        digit = digits[live + depth]
+        new = np.r_[True, group[1:] != group[:-1]][: len(live)]
+        # Only groups in which the digit differs are ordered by it.
+        differs = np.r_[False, digit[1:] != digit[:-1]][: len(live)] & ~new
+        number = np.cumsum(new) - 1
+        k = np.flatnonzero((np.bincount(number, weights=differs) > 0)[number]) if len(live) else number
+        order = np.lexsort((digit[k], number[k]))
+        live[k], digit[k] = live[k][order], digit[k][order]
+        group = np.cumsum(new | np.r_[True, digit[1:] != digit[:-1]][: len(live)]) - 1
+        keep = np.bincount(group, weights=copies[owner[live]])[group] > 1 if len(live) else np.zeros(0, bool)
+        live, group = live[keep], group[keep]
+    found = np.zeros(len(data), bool)
+    found[live] = True
+    return np.split(found[at], np.cumsum(sizes - span + 1)[:-1])
 
 
 def window_rows(pdf: pd.DataFrame, span: int) -> pd.DataFrame:
@@ -253,7 +281,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, 8_192):
-            masks = repeated_windows(pdf["blob"].tolist(), pdf["copies"].to_numpy(), span)
+            masks = repeated_windows(pdf["blob"].tolist(), pdf["copies"].to_numpy(), pdf["anchor"].to_numpy(), span)
             out = [(r, r2, a, b) for r, r2, f, c, m in zip(pdf["row"], pdf["row2"], pdf["first"], pdf["copies"], masks, strict=True) if c == 1 for a, b in _intervals(m, int(f), span)]
             yield pd.DataFrame(out, columns=[*row, "a", "b"])
 
