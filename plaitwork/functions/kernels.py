@@ -1,13 +1,15 @@
 """The recurrences, for a lot of pairs or chains at once.
 
-A lot is a pair of code matrices, a column for each pair, so that one numpy step advances one query symbol of all
-pairs. In a row of the matrix the dependence on the left neighbour is a running maximum:
-with t[j] the best of the two cells above (and the floor), H[j] = max over k <= j of (t[k] + k), minus j.
+A lot is a pair of code matrices, a column for each pair. Scores and matrices go by anti-diagonals: all cells of one
+depend on the two before only, so one numpy step advances all pairs by a diagonal, in 16 bits where scores fit. Lots hold
+pairs of like lengths on both sides and are bounded by the longer side, so that they stay in a core's cache. Single
+long pairs go by rows, where the dependence on the left neighbour is a running maximum: with t[j] the best of the two cells
+above, H[j] = max over k <= j of (t[k] + k), minus j.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -16,7 +18,8 @@ MATCH, MISMATCH, GAP = 1, -1, 1
 #: Fixed values of the chaining scheme; the gap weight is a 32-bit float.
 ANCHOR_SCORE, GAP_WEIGHT = 15, np.float32(0.01)
 
-LOT_CELLS = 2_000_000
+#: Values a side of a lot: pairs times the longer length. Matrices of a lot have as many cells at most.
+LOT_CELLS, MATRIX_CELLS = 250_000, 2_000_000
 
 
 def codes(text: str | bytes | None) -> np.ndarray:
@@ -26,165 +29,350 @@ def codes(text: str | bytes | None) -> np.ndarray:
     return np.frombuffer(text, np.uint8).astype(np.int32) if isinstance(text, (bytes, bytearray)) else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
 
 
-def lots(queries: list[np.ndarray], refs: list[np.ndarray], most: int = LOT_CELLS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of like lengths together: (places, Q, R, query lengths, ref lengths), Q and R padded by -1 and -2."""
-    m, n = np.array([len(x) for x in queries], np.int64), np.array([len(x) for x in refs], np.int64)
-    order = np.lexsort((m, n))
-    at = 0
-    while at < len(order):
-        to, width = at + 1, n[order[at]] + 1
-        while to < len(order) and (to - at) * (n[order[to]] + 1) < most and n[order[to]] + 1 <= 1.25 * width + 8:
-            to += 1
-        own = order[at:to]
-        q, r = np.full((m[own].max(), len(own)), -1, np.int32), np.full((n[own].max(), len(own)), -2, np.int32)
-        for k, i in enumerate(own):
-            q[: m[i], k], r[: n[i], k] = queries[i], refs[i]
-        yield own, q, r, m[own], n[own]
-        at = to
+class Texts:
+    """Many texts' symbols in one array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat, self.sizes = flat, sizes.astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    @classmethod
+    def of(cls, values: Texts | list) -> Texts:
+        """From strings, binaries or arrays of symbols."""
+        if isinstance(values, Texts):
+            return values
+        sizes = np.fromiter(map(len, values), np.int64, len(values))
+        if all(isinstance(x, str) for x in values):
+            return cls(codes("".join(values)), sizes)
+        if all(isinstance(x, (bytes, bytearray)) for x in values):
+            return cls(codes(b"".join(values)), sizes)
+        return cls(np.concatenate([np.empty(0, np.int32), *values]).astype(np.int32), sizes)
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.starts[k] : self.starts[k] + self.sizes[k]]
+
+    def columns(self, own: np.ndarray, pad: int) -> np.ndarray:
+        """The texts at ``own`` as columns, padded at the end."""
+        size = self.sizes[own]
+        at = np.arange(size.max())[:, None]
+        if not len(self.flat):
+            return np.full((len(at), len(own)), pad, np.int32)
+        return np.where(at < size, self.flat[np.minimum(self.starts[own] + at, len(self.flat) - 1)], np.int32(pad))
+
+    def turned(self) -> Texts:
+        """Each text reversed."""
+        return self.slices(np.arange(len(self)), np.zeros(len(self), np.int64), self.sizes, True)
+
+    def slices(self, which: np.ndarray, lo: np.ndarray, hi: np.ndarray, turn: bool = False) -> Texts:
+        """Text ``which[k]`` from ``lo[k]`` to ``hi[k]``, for every k."""
+        size = hi - lo
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        first = self.starts[which] + lo
+        return Texts(self.flat[np.repeat(first + size - 1, size) - at if turn else np.repeat(first, size) + at], size)
+
+
+Lot = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _cut(queries: Texts, refs: Texts, count: Callable[[int, int], int]) -> Iterator[np.ndarray]:
+    """Places of pairs whose lengths are alike on both sides, ``count(m, n)`` at a time."""
+    m, n = queries.sizes, refs.sizes
+    kind = np.floor(np.log(np.c_[m, n] + 1) / np.log(1.25)).astype(np.int64)
+    order = np.lexsort((m, n, kind[:, 0], kind[:, 1]))
+    for own in np.split(order, np.flatnonzero((np.diff(kind[order], axis=0) != 0).any(axis=1)) + 1):
+        if len(own):
+            step = max(1, count(int(m[own].max()), int(n[own].max())))
+            yield from (own[k : k + step] for k in range(0, len(own), step))
+
+
+def lots(queries: Texts | list, refs: Texts | list, most: int | None = None, cells: bool = False) -> Iterator[Lot]:
+    """(places, Q, R, query lengths, ref lengths), Q and R padded by -1 and -2; ``cells``: bounded by whole matrices."""
+    queries, refs = Texts.of(queries), Texts.of(refs)
+    most = most or (MATRIX_CELLS if cells else LOT_CELLS)
+    size = (lambda m, n: (m + 1) * (n + 1)) if cells else (lambda m, n: max(m, n) + 1)
+    for own in _cut(queries, refs, lambda m, n: most // size(m, n)):
+        yield own, queries.columns(own, -1), refs.columns(own, -2), queries.sizes[own], refs.sizes[own]
+
+
+def diagonals(q: np.ndarray, r: np.ndarray, local: bool, band: int | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(d, lo, hi, h) for d = 0, 1, ...: h[i] is cell (i, d - i) of all pairs for lo <= i <= hi; h is valid until the next.
+
+    With ``band``, only inner cells with 0 <= j - i < band exist, others read as 0, and lo to hi are those that exist.
+    """
+    (m, count), n = q.shape, len(r)
+    kind = np.int16 if 2 * (m + n) < 30_000 else np.int32
+    before, last, new = (np.zeros((m + 1, count), kind) for _ in range(3))
+    equal, step, turned = np.empty((m, count), bool), np.empty((m, count), kind), r[::-1]
+    yield 0, 0, 0, new
+    for d in range(1, m + n + 1):
+        before, last, new = last, new, before
+        lo, hi = max(1, d - n), min(m, d - 1)
+        if band is not None:
+            lo, hi = max(lo, (d - band) // 2 + 1), min(hi, d // 2)
+            if lo > hi:
+                new[:] = 0
+                continue
+        if lo <= hi:
+            same = np.equal(q[lo - 1 : hi], turned[n - d + lo : n - d + hi + 1], out=equal[: hi - lo + 1])
+            diagonal, h = step[: hi - lo + 1], new[lo : hi + 1]
+            # Gaps cost what a mismatch does: all three ways lose 1, and a match then wins 2.
+            np.multiply(same.view(np.int8), np.int8(MATCH - MISMATCH), out=diagonal, casting="unsafe")
+            diagonal += before[lo - 1 : hi]
+            np.maximum(last[lo - 1 : hi], last[lo : hi + 1], out=h)
+            np.maximum(h, diagonal, out=h)
+            h -= kind(GAP)
+            if local:
+                np.maximum(h, 0, out=h)
+        if band is not None:
+            new[max(0, lo - 2) : lo] = 0
+            new[hi + 1 : hi + 3] = 0
+            yield d, lo, hi, new
+            continue
+        if d <= n:
+            new[0] = 0 if local else -d * GAP
+        if d <= m:
+            new[d] = 0 if local else -d * GAP
+        yield d, max(0, d - n), min(m, d), new
 
 
 def rows(q: np.ndarray, r: np.ndarray, local: bool) -> Iterator[np.ndarray]:
-    """Rows 0, 1, ... of the matrices of a lot, (ref length + 1) x pairs; each is valid until the next."""
-    step = (np.arange(len(r) + 1, dtype=np.int32) * GAP)[:, None]
-    h = np.zeros((len(r) + 1, r.shape[1]), np.int32) if local else np.repeat(-step, r.shape[1], axis=1)
+    """Rows 0, 1, ... of one pair's matrix."""
+    step = np.arange(len(r) + 1, dtype=np.int32) * GAP
+    h = np.zeros(len(r) + 1, np.int32) if local else -step
     yield h
     for i in range(len(q)):
-        t = np.empty_like(h)
-        t[0] = 0 if local else -(i + 1) * GAP
-        np.add(h[:-1], np.where(r == q[i], np.int32(MATCH), np.int32(MISMATCH)), out=t[1:])
-        np.maximum(t[1:], h[1:] - GAP, out=t[1:])
-        if local:
-            np.maximum(t, 0, out=t)
-        t += step
-        np.maximum.accumulate(t, axis=0, out=t)
-        t -= step
-        h = t
+        h = _next_row(h, q[i], r, i + 1, local, step)
         yield h
 
 
-def local_scores(queries: list[np.ndarray], refs: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(queries), np.int32)
-    for own, q, r, _, _ in lots(queries, refs):
-        best = np.zeros(len(own), np.int32)
-        for h in rows(q, r, True):
-            np.maximum(best, h.max(axis=0), out=best)
-        out[own] = best
-    return out
+def _next_row(h: np.ndarray, symbol: int, r: np.ndarray, i: int, local: bool, step: np.ndarray) -> np.ndarray:
+    t = np.empty_like(h)
+    t[0] = 0 if local else -i * GAP
+    np.maximum(h[:-1] + np.where(r == symbol, np.int32(MATCH), np.int32(MISMATCH)), h[1:] - GAP, out=t[1:])
+    if local:
+        np.maximum(t, 0, out=t)
+    return np.maximum.accumulate(t + step) - step
 
 
-def local_scores_wavefront(queries: list[np.ndarray], refs: list[np.ndarray]) -> np.ndarray:
-    """The same scores by anti-diagonals: all cells of a diagonal depend on the two before only."""
+def _best(queries: Texts | list, refs: Texts | list, band: int | None = None) -> np.ndarray:
     out = np.zeros(len(queries), np.int32)
     for own, q, r, _, _ in lots(queries, refs):
-        m, n = len(q), len(r)
-        before, last = (np.zeros((n + 1, len(own)), np.int32) for _ in range(2))
-        best = np.zeros(len(own), np.int32)
-        for d in range(2, m + n + 1):
-            lo, hi = max(1, d - m), min(n, d - 1)
-            new = np.zeros_like(last)
-            if lo <= hi:
-                j = np.arange(lo, hi + 1)
-                s = np.where(q[d - j - 1] == r[j - 1], np.int32(MATCH), np.int32(MISMATCH))
-                cell = np.maximum(before[lo - 1 : hi] + s, np.maximum(last[lo : hi + 1], last[lo - 1 : hi]) - GAP)
-                new[lo : hi + 1] = np.maximum(cell, 0)
-                np.maximum(best, new.max(axis=0), out=best)
-            before, last = last, new
-        out[own] = best
+        best = None
+        for _, lo, hi, h in diagonals(q, r, True, band):
+            best = np.zeros_like(h) if best is None else best
+            np.maximum(best[lo : hi + 1], h[lo : hi + 1], out=best[lo : hi + 1])
+        out[own] = best.max(axis=0)
     return out
 
 
-def banded_scores(queries: list[np.ndarray], refs: list[np.ndarray], band: int) -> np.ndarray:
+def local_scores(queries: Texts | list, refs: Texts | list) -> np.ndarray:
+    return _best(queries, refs)
+
+
+def local_scores_by_rows(queries: Texts | list, refs: Texts | list) -> np.ndarray:
+    """The same scores, pair by pair and row by row."""
+    queries, refs = Texts.of(queries), Texts.of(refs)
+    return np.array([max(int(h.max()) for h in rows(queries[k], refs[k], True)) for k in range(len(queries))], np.int32)
+
+
+def banded_scores(queries: Texts | list, refs: Texts | list, band: int) -> np.ndarray:
     """Local scores where only cells with 0 <= j - i < band exist, and all others read as 0."""
-    out = np.zeros(len(queries), np.int32)
-    for own, q, r, _, _ in lots(queries, refs):
-        n = len(r)
-        h, best = np.zeros((n + 1, len(own)), np.int32), np.zeros(len(own), np.int32)
-        for i in range(min(len(q), n)):
-            to = min(n, i + band)
-            step = (np.arange(to - i, dtype=np.int32) * GAP)[:, None]
-            t = h[i:to] + np.where(r[i:to] == q[i], np.int32(MATCH), np.int32(MISMATCH))
-            t = np.maximum(np.maximum(t, h[i + 1 : to + 1] - GAP), 0) + step
-            t = np.maximum.accumulate(t, axis=0) - step
-            h = np.zeros_like(h)
-            h[i + 1 : to + 1] = t
-            np.maximum(best, t.max(axis=0), out=best)
-        out[own] = best
-    return out
+    return _best(queries, refs, band)
 
 
-def local_argmax(queries: list[np.ndarray], refs: list[np.ndarray]) -> np.ndarray:
+def local_argmax(queries: Texts | list, refs: Texts | list) -> np.ndarray:
     """(score, i, j) of the first cell by rows that has the largest score; zeros if nothing matches."""
     out = np.zeros((len(queries), 3), np.int32)
     for own, q, r, _, _ in lots(queries, refs):
-        best = np.zeros((len(own), 3), np.int32)
-        for i, h in enumerate(rows(q, r, True)):
-            top = h.max(axis=0)
-            k = np.flatnonzero(top > best[:, 0])
-            if len(k):
-                best[k] = np.c_[top[k], np.full(len(k), i - 1), h[:, k].argmax(axis=0) - 1]
-        out[own] = best
+        best = at = None
+        for d, lo, hi, h in diagonals(q, r, True):
+            if best is None:
+                best, at = np.zeros_like(h), np.zeros(h.shape, np.int32)
+            # A row's first cell of its largest score comes first: its columns grow with the diagonals.
+            better = h[lo : hi + 1] > best[lo : hi + 1]
+            np.copyto(at[lo : hi + 1], (d - np.arange(lo, hi + 1, dtype=np.int32))[:, None], where=better)
+            np.maximum(best[lo : hi + 1], h[lo : hi + 1], out=best[lo : hi + 1])
+        row = best.argmax(axis=0)
+        k = np.arange(len(own))
+        score = best[row, k]
+        out[own] = np.where((score > 0)[:, None], np.c_[score, row - 1, at[row, k] - 1], 0)
     return out
 
 
-def global_scores(queries: list[np.ndarray], refs: list[np.ndarray]) -> np.ndarray:
+def global_scores(queries: Texts | list, refs: Texts | list) -> np.ndarray:
     out = np.zeros(len(queries), np.int32)
     for own, q, r, m, n in lots(queries, refs):
-        for i, h in enumerate(rows(q, r, False)):
-            k = np.flatnonzero(m == i)
-            out[own[k]] = h[n[k], k]
+        for d, _, _, h in diagonals(q, r, False):
+            k = np.flatnonzero(m + n == d)
+            out[own[k]] = h[m[k], k]
     return out
 
 
-def last_columns(queries: list[np.ndarray], refs: list[np.ndarray]) -> list[np.ndarray]:
+def last_columns(queries: Texts | list, refs: Texts | list) -> list[np.ndarray]:
     """For each pair the global scores of every query prefix with the whole ref."""
     out: list = [None] * len(queries)
     for own, q, r, m, n in lots(queries, refs):
-        got = np.stack([h[n, np.arange(len(own))] for h in rows(q, r, False)])
+        got = np.empty((len(q) + 1, len(own)), np.int32)
+        for d, _, _, h in diagonals(q, r, False):
+            k = np.flatnonzero((d >= n) & (d - n <= m))
+            got[d - n[k], k] = h[d - n[k], k]
         for k, i in enumerate(own):
             out[i] = got[: m[k] + 1, k]
     return out
 
 
-def global_matrix(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return np.stack([h[:, 0] for h in rows(q[:, None], r[:, None], False)])
+def matrices(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The global matrices of a lot: (rows, columns, pairs)."""
+    out = None
+    for d, lo, hi, h in diagonals(q, r, False):
+        if out is None:
+            out = np.empty((len(q) + 1, len(r) + 1, q.shape[1]), h.dtype)
+        i = np.arange(lo, hi + 1)
+        out[i, d - i] = h[lo : hi + 1]
+    return out
 
 
-def suffix_matrix(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+def global_matrices(queries: Texts | list, refs: Texts | list) -> list[np.ndarray]:
+    out: list = [None] * len(queries)
+    for own, q, r, m, n in lots(queries, refs, cells=True):
+        made = matrices(q, r)
+        for k, i in enumerate(own):
+            out[i] = made[: m[k] + 1, : n[k] + 1, k].astype(np.int32)
+    return out
+
+
+def suffix_matrices(queries: Texts | list, refs: Texts | list) -> list[np.ndarray]:
     """Cell (i, j): the global score of q[i:] with r[j:]."""
-    return global_matrix(q[::-1], r[::-1])[::-1, ::-1]
+    return [x[::-1, ::-1] for x in global_matrices(Texts.of(queries).turned(), Texts.of(refs).turned())]
 
 
-def envelope_path(q: np.ndarray, r: np.ndarray, most: int = 4_000_000) -> tuple[int, np.ndarray]:
-    """(score, path): for each ref column the smallest query index on any best path.
+def envelope_paths(queries: Texts | list, refs: Texts | list, most: int = MATRIX_CELLS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(scores, paths): for each ref column the smallest query index on any best path.
 
-    Columns are walked from the last one back. Forward columns are kept whole if they fit ``most`` cells,
-    else one in each block is, and a block's are computed again: memory grows with L to the power 1.5.
+    Pairs of up to ``most`` cells go by lots, longer ones one by one in blocks of columns.
+    """
+    queries, refs = Texts.of(queries), Texts.of(refs)
+    scores, paths = np.zeros(len(queries), np.int32), [np.empty(0, np.int32)] * len(queries)
+    small = (queries.sizes + 1) * (refs.sizes + 1) <= most
+    for i in np.flatnonzero(~small):
+        scores[i], paths[i] = envelope_path(queries[i], refs[i])
+    at = np.flatnonzero(small)
+    some = [x.slices(at, np.zeros(len(at), np.int64), x.sizes[at]) for x in (queries, refs)]
+    for own, q, r, m, n in lots(*some, most=min(most, MATRIX_CELLS), cells=True):
+        f = matrices(q, r)
+        # Reversed texts are padded at their end, too: cell (i, j) of a pair's suffix matrix is at (m - i, n - j).
+        back = matrices(*(x.turned().columns(own, pad) for x, pad in zip(some, (-1, -2), strict=True)))
+        k = np.arange(len(own))
+        best = f[m, n, k]
+        i, j = np.arange(len(q) + 1)[:, None, None], np.arange(len(r) + 1)[None, :, None]
+        on = (f + back[np.maximum(m - i, 0), np.maximum(n - j, 0), k] == best) & (i <= m)
+        first = on.argmax(axis=0).astype(np.int32)
+        scores[at[own]] = best
+        for c, place in enumerate(at[own]):
+            paths[place] = first[: n[c], c]
+    return scores, paths
+
+
+def envelope_path(q: np.ndarray, r: np.ndarray) -> tuple[int, np.ndarray]:
+    """(score, path) of one pair, in memory that grows with L to the power 1.5.
+
+    Columns are walked from the last one back; one forward column in each block is kept, and a block's are computed again.
     """
     m, n = len(q), len(r)
-    block = max(1, min(n + 1, n + 1 if (m + 1) * (n + 1) <= most else int(np.sqrt(n + 1)) + 1))
+    block = int(np.sqrt(n + 1)) + 1
     # Columns of (q, r) are rows of (r, q).
-    kept = {j: h[:, 0].copy() for j, h in enumerate(rows(r[:, None], q[:, None], False)) if j % block == 0}
-    back = rows(r[::-1][:, None], q[::-1][:, None], False)
+    kept = {j: h.copy() for j, h in enumerate(rows(r, q, False)) if j % block == 0}
+    back = rows(r[::-1], q[::-1], False)
     path, score = np.empty(n, np.int32), 0
     for top in range(n - n % block, -1, -block):
-        columns = list(_columns_from(kept[top], q, r, top, min(block, n + 1 - top)))
+        columns = _block(kept[top], r, q, top, min(block, n + 1 - top))
         for j in range(top + len(columns) - 1, top - 1, -1):
-            total = columns[j - top] + next(back)[::-1, 0]
+            total = columns[j - top] + next(back)[::-1]
             score = int(total.max())
             if j < n:
                 path[j] = int((total == score).argmax())
     return score, path
 
 
-def _columns_from(column: np.ndarray, q: np.ndarray, r: np.ndarray, at: int, count: int) -> Iterator[np.ndarray]:
-    step = np.arange(len(q) + 1, dtype=np.int32) * GAP
-    yield column
-    for j in range(at, at + count - 1):
-        t = np.empty_like(column)
-        t[0] = -(j + 1) * GAP
-        t[1:] = np.maximum(column[:-1] + np.where(q == r[j], MATCH, MISMATCH), column[1:] - GAP)
-        column = (np.maximum.accumulate(t + step) - step).astype(np.int32)
-        yield column
+def _block(row: np.ndarray, q: np.ndarray, r: np.ndarray, at: int, count: int) -> list[np.ndarray]:
+    """Rows at, at + 1, ... of a pair's global matrix, from row ``at``."""
+    step, out = np.arange(len(r) + 1, dtype=np.int32) * GAP, [row]
+    for i in range(at, at + count - 1):
+        out.append(_next_row(out[-1], q[i], r, i + 1, False, step))
+    return out
+
+
+#: The letters of an alignment's steps (equal, other symbol, query symbol alone, ref symbol alone).
+EQUAL, OTHER, QUERY_ONLY, REF_ONLY = b"=XID"
+
+
+def alignments(queries: Texts | list, refs: Texts | list, most: int = MATRIX_CELLS) -> tuple[np.ndarray, list[bytes], list[np.ndarray]]:
+    """(scores, steps, paths): one best path for each pair, traced from its end with ties diagonal, then up, then left.
+
+    Paths: for each ref column the smallest query index of the traced path. Pairs of up to ``most`` cells go by lots.
+    """
+    queries, refs = Texts.of(queries), Texts.of(refs)
+    scores, steps = np.zeros(len(queries), np.int32), [b""] * len(queries)
+    small = (queries.sizes + 1) * (refs.sizes + 1) <= most
+    for i in np.flatnonzero(~small):
+        scores[i], steps[i] = alignment(queries[i], refs[i])
+    at = np.flatnonzero(small)
+    some = [x.slices(at, np.zeros(len(at), np.int64), x.sizes[at]) for x in (queries, refs)]
+    for own, q, r, m, n in lots(*some, most=min(most, MATRIX_CELLS), cells=True):
+        f = matrices(q, r)
+        i, j, k, made = m.copy(), n.copy(), np.arange(len(own)), []
+        scores[at[own]] = f[m, n, k]
+        while (i > 0).any() or (j > 0).any():
+            h = f[i, j, k]
+            inner = (i > 0) & (j > 0)
+            same = inner & (q[i - 1, k] == r[j - 1, k]) if len(q) and len(r) else np.zeros(len(own), bool)
+            diagonal = inner & (h == f[i - 1, j - 1, k] + np.where(same, MATCH, MISMATCH))
+            up = ~diagonal & (i > 0) & ((j == 0) | (h == f[i - 1, j, k] - GAP))
+            left = ~diagonal & ~up & (j > 0)
+            made.append(np.select([diagonal & same, diagonal, up, left], [EQUAL, OTHER, QUERY_ONLY, REF_ONLY], 0).astype(np.uint8))
+            i, j = i - (diagonal | up), j - (diagonal | left)
+        grid = np.stack(made[::-1], axis=1) if made else np.zeros((len(own), 0), np.uint8)
+        for c, place in enumerate(at[own]):
+            steps[place] = grid[c][grid[c] > 0].tobytes()
+    return scores, steps, [step_path(x) for x in steps]
+
+
+def alignment(q: np.ndarray, r: np.ndarray) -> tuple[int, bytes]:
+    """The same trace for one pair: a row in each block is kept, and a block's rows are computed again."""
+    m, n = len(q), len(r)
+    block = int(np.sqrt(m + 1)) + 1
+    kept = {i: h.copy() for i, h in enumerate(rows(q, r, False)) if i % block == 0}
+    i, j, made, score = m, n, bytearray(), 0
+    for top in range(m - m % block, -1, -block):
+        f = _block(kept[top], q, r, top, min(block, m + 1 - top))
+        if top + len(f) - 1 == m:
+            score = int(f[-1][n])
+        elif i == top + len(f):  # the step into this block needs its last row only
+            f.append(_next_row(f[-1], q[i - 1], r, i, False, np.arange(n + 1, dtype=np.int32) * GAP))
+        while i > top or (top == 0 and j > 0):
+            own, above = f[i - top], f[i - top - 1] if i > top else None
+            same = above is not None and j > 0 and q[i - 1] == r[j - 1]
+            if above is not None and j > 0 and own[j] == above[j - 1] + (MATCH if same else MISMATCH):
+                made.append(EQUAL if same else OTHER)
+                i, j = i - 1, j - 1
+            elif above is not None and (j == 0 or own[j] == above[j] - GAP):
+                made.append(QUERY_ONLY)
+                i -= 1
+            else:
+                made.append(REF_ONLY)
+                j -= 1
+    return score, bytes(made[::-1])
+
+
+def step_path(steps: bytes) -> np.ndarray:
+    """For each ref column the smallest query index of a traced path."""
+    x = np.frombuffer(steps, np.uint8)
+    moves = np.cumsum(np.r_[0, x != REF_ONLY])  # the query index after each step
+    entered = np.r_[True, x != QUERY_ONLY]  # the first cell of each column
+    return moves[entered][: int((x != QUERY_ONLY).sum())].astype(np.int32)
 
 
 #: What is wrong with a path, in the order of the tests.
@@ -196,37 +384,87 @@ PATH_ERRORS = (
 )
 
 
-def check_path(q: np.ndarray, r: np.ndarray, path: np.ndarray) -> tuple[bool, int, int, int, int, str | None]:
-    """(valid, bad_ref, bad_query, point_count, score, error) of any path; -1 in it means no checkpoint."""
-    f = global_matrix(q, r)
-    s = suffix_matrix(q, r)
-    best, score, points, last_i, last_j = int(f[-1, -1]), 0, 0, 0, 0
-    segment = lambda i, j: int(global_scores([q[last_i:i]], [r[last_j:j]])[0])
-    for j, i in enumerate(path.tolist()):
-        if i == -1:
-            continue
-        if not 0 <= i <= len(q) or i < last_i:
-            return False, j, i, points, score, PATH_ERRORS[0]
-        if int(f[i, j]) + int(s[i, j]) != best:
-            return False, j, i, points, score, PATH_ERRORS[1]
-        score += segment(i, j)
-        if score != int(f[i, j]):
-            return False, j, i, points, score, PATH_ERRORS[2]
-        points, last_i, last_j = points + 1, i, j
-    score += segment(len(q), len(r))
-    if score != best:
-        return False, -1, -1, points, score, PATH_ERRORS[3]
-    return True, -1, -1, points, score, None
+def cell_scores(queries: Texts, refs: Texts, which: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Global scores of the first i[k] symbols of query which[k] with the first j[k] of its ref, by one sweep of each pair."""
+    out = np.zeros(len(which), np.int32)
+    order = np.argsort(which, kind="stable")
+    first = np.searchsorted(which[order], np.arange(len(queries) + 1))
+    for own, q, r, _, _ in lots(queries, refs):
+        counts = first[own + 1] - first[own]
+        lane = np.repeat(np.arange(len(own)), counts)
+        at = order[np.repeat(first[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+        by = np.argsort(i[at] + j[at], kind="stable")
+        at, lane = at[by], lane[by]
+        edge = np.searchsorted((i + j)[at], np.arange(len(q) + len(r) + 2))
+        for d, _, _, h in diagonals(q, r, False):
+            k = slice(edge[d], edge[d + 1])
+            out[at[k]] = h[i[at[k]], lane[k]]
+    return out
+
+
+def check_paths(queries: Texts | list, refs: Texts | list, paths: Texts | list) -> dict[str, np.ndarray]:
+    """valid, bad_ref, bad_query, point_count, score, error (a place in PATH_ERRORS, or -1) of any paths; -1 in one means no checkpoint.
+
+    All pairs are swept together: forward and backward scores are read off at the checkpoints only, and all segments between
+    them are scored at once.
+    """
+    queries, refs, paths = Texts.of(queries), Texts.of(refs), Texts.of(paths)
+    count, m, n = len(queries), queries.sizes, refs.sizes
+    which = np.repeat(np.arange(count), paths.sizes)
+    i = paths.flat.astype(np.int64)
+    j = np.arange(len(i)) - np.repeat(paths.starts, paths.sizes)
+    real = i != -1
+    which, i, j = which[real], i[real], j[real]
+    new = np.r_[True, which[1:] != which[:-1]][: len(which)]
+    shifted = lambda x: np.where(new, 0, np.r_[0, x[:-1]][: len(x)])
+    last_i, last_j = shifted(i), shifted(j)
+    # A point after a bad one doesn't count, so the point before is in order wherever it is looked at.
+    bad_a = (i < 0) | (i > m[which]) | (j > n[which]) | (i < last_i)
+    seen = np.cumsum(bad_a) - np.repeat(np.r_[np.cumsum(bad_a)[new] - bad_a[new]], np.diff(np.r_[np.flatnonzero(new), len(which)])) if len(which) else np.zeros(0, int)
+    fine = seen == 0
+    w, a, b, la, lb = (x[fine] for x in (which, i, j, last_i, last_j))
+    best = global_scores(queries, refs)
+    forward = cell_scores(queries, refs, w, a, b)
+    backward = cell_scores(queries.turned(), refs.turned(), w, m[w] - a, n[w] - b)
+    parts = global_scores(queries.slices(w, la, a), refs.slices(w, lb, b)).astype(np.int64)
+    first = np.searchsorted(w, np.arange(count + 1))
+    upto = np.r_[0, np.cumsum(parts)]
+    traced = upto[1:] - upto[first[w]]
+    error = np.where(forward + backward != best[w], 1, np.where(traced != forward, 2, -1))
+    out = {c: np.full(count, -1, np.int64) for c in ("bad_ref", "bad_query", "error")} | {c: np.zeros(count, np.int64) for c in ("point_count", "score")}
+    # The first bad point of each path: among those in order, else the first out of order.
+    wrong = np.flatnonzero(error >= 0)
+    owner, k = np.unique(w[wrong], return_index=True)
+    hit = np.full(count, -1)
+    hit[owner] = wrong[k]
+    stop = np.where(hit >= 0, hit, first[1:])  # points that count
+    out["point_count"] = stop - first[:-1]
+    out["score"] = upto[stop] - upto[first[:-1]]
+    at = hit[owner]
+    out["bad_ref"][owner], out["bad_query"][owner], out["error"][owner] = b[at], a[at], error[at]
+    out["score"][owner] += np.where(error[at] == 2, parts[at], 0)
+    disordered = np.flatnonzero(bad_a & (seen == 1))
+    owner, k = np.unique(which[disordered], return_index=True)
+    k, owner = disordered[k][hit[owner] < 0], owner[hit[owner] < 0]
+    out["bad_ref"][owner], out["bad_query"][owner], out["error"][owner] = j[k], i[k], 0
+    rest = np.flatnonzero(out["error"] < 0)
+    some = out["point_count"][rest] > 0
+    end_i, end_j = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
+    end_i[some], end_j[some] = a[stop[rest][some] - 1], b[stop[rest][some] - 1]
+    out["score"][rest] += global_scores(queries.slices(rest, end_i, m[rest]), refs.slices(rest, end_j, n[rest]))
+    lost = rest[out["score"][rest] != best[rest]]
+    out["bad_ref"][lost], out["bad_query"][lost], out["error"][lost] = n[lost], m[lost], 3
+    return out | {"valid": out["error"] < 0}
 
 
 def step_scores(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
-    """What a step adds to a chain: its gain less its gap cost, which is truncated from a 32-bit float."""
+    """What a step adds to a chain: its gain less its gap cost, which is truncated from a 32-bit float; dx and dy are whole numbers."""
     cost = (GAP_WEIGHT * np.float32(ANCHOR_SCORE) * np.abs(dy - dx).astype(np.float32)).astype(np.int64)
     return np.minimum(np.minimum(dx, dy), ANCHOR_SCORE) - cost
 
 
-def chain_scores(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, known: np.ndarray, done: np.ndarray, lookback: int) -> np.ndarray:
-    """Scores of anchors, a row for each chain and a column for each place; NaN coordinates never chain.
+def chain_scores(x: np.ndarray, y: np.ndarray, there: np.ndarray, lengths: np.ndarray, known: np.ndarray, done: np.ndarray, lookback: int) -> np.ndarray:
+    """Scores of anchors, a row for each chain and a column for each place; those that aren't there never chain.
 
     ``known[c, :done[c]]`` are scores from before. Chains are in order of falling length.
     """
@@ -236,8 +474,9 @@ def chain_scores(x: np.ndarray, y: np.ndarray, lengths: np.ndarray, known: np.nd
         lo = max(0, i - lookback)
         new = np.full(c, ANCHOR_SCORE, np.int64)
         if lo < i and c:
-            dx, dy = x[:c, [i]] - x[:c, lo:i], y[:c, [i]] - y[:c, lo:i]
-            ok = (dx > 0) & (dy > 0)
+            # Compared first: a difference of far numbers may not fit, and is then huge.
+            ok = (x[:c, [i]] > x[:c, lo:i]) & (y[:c, [i]] > y[:c, lo:i]) & there[:c, [i]] & there[:c, lo:i]
+            dx, dy = (np.where(v[:c, [i]] - v[:c, lo:i] < 0, np.iinfo(np.int64).max, v[:c, [i]] - v[:c, lo:i]) for v in (x, y))
             gain = step_scores(np.where(ok, dx, 0), np.where(ok, dy, 0))
             new = np.maximum(new, np.where(ok, f[:c, lo:i] + gain, ANCHOR_SCORE).max(axis=1))
         f[:c, i] = np.where(i < done[:c], f[:c, i], new)

@@ -39,6 +39,11 @@ def lcg_lengths(seed: Column, n: Column, lo: Column, hi: Column, quantum: Column
     return F.when(low == high, F.array_repeat(low, n)).otherwise(drawn)
 
 
+def copied_length(query_length: Column) -> Column:
+    """A ref's length where it is drawn once for both sides of a pair."""
+    return query_length.cast("int")
+
+
 def pad_tail(text: Column, length: Column, symbol: str) -> Column:
     return F.rpad(text, length, symbol)
 
@@ -47,14 +52,6 @@ def team_size(length: Column, threshold: Column, tiles: Column) -> Column:
     return F.least(F.greatest(ceil_div(length, threshold), F.lit(1)), tiles).cast("int")
 
 
-def core_of(x: Column, y: Column, tiles_y: int) -> Column:
-    return (x * tiles_y + y).cast("int")
-
-
-def core_place(core: Column, tiles_y: int) -> Column:
-    return F.struct(F.floor(core / tiles_y).cast("int").alias("x"), F.pmod(core, F.lit(tiles_y)).cast("int").alias("y"))
-
-
 def owned_columns(length: Column, threshold: Column, lane: Column) -> Column:
     """struct(lo, hi): the half-open range of ref columns that a lane of the team works on."""
     return F.struct(F.least(lane * threshold, length).cast("int").alias("lo"), F.least((lane + 1) * threshold, length).cast("int").alias("hi"))

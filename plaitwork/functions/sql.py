@@ -15,7 +15,7 @@ def _both(kernel):
         full = query.notna() & ref.notna()
         out = pd.Series([None] * len(query), dtype="object")
         if full.any():
-            made = kernel([K.codes(x) for x in query[full]], [K.codes(x) for x in ref[full]])
+            made = kernel(K.Texts.of([*query[full]]), K.Texts.of([*ref[full]]))
             out[full.to_numpy()] = pd.Series(list(made), index=out.index[full.to_numpy()], dtype="object")
         return out
 
@@ -23,7 +23,7 @@ def _both(kernel):
 
 
 def register(spark: SparkSession) -> None:
-    """sw_score, nw_score, sw_banded_score(query, ref, band), nw_path and nw_last_column for ``spark.sql``."""
+    """sw_score, nw_score, sw_banded_score(query, ref, band), nw_path, nw_steps and nw_last_column for ``spark.sql``."""
     prepare(spark)
 
     def scalar(kernel):
@@ -31,7 +31,8 @@ def register(spark: SparkSession) -> None:
 
     spark.udf.register("sw_score", scalar(K.local_scores))
     spark.udf.register("nw_score", scalar(K.global_scores))
-    spark.udf.register("nw_path", F.pandas_udf(_typed(_both(lambda q, r: [K.envelope_path(a, b)[1].tolist() for a, b in zip(q, r, strict=True)])), "array<int>"))
+    spark.udf.register("nw_path", F.pandas_udf(_typed(_both(lambda q, r: [x.tolist() for x in K.envelope_paths(q, r)[1]])), "array<int>"))
+    spark.udf.register("nw_steps", F.pandas_udf(_typed(_both(lambda q, r: [x.decode() for x in K.alignments(q, r)[1]])), "string"))
     spark.udf.register("nw_last_column", F.pandas_udf(_typed(_both(lambda q, r: [x.tolist() for x in K.last_columns(q, r)])), "array<int>"))
 
     def banded(query: pd.Series, ref: pd.Series, band: pd.Series) -> pd.Series:

@@ -6,9 +6,12 @@ import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from plaitwork.functions.kernels import Texts
+
 BATCH = 4_096
 
 
@@ -20,32 +23,65 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
-def with_results(df: DataFrame, inputs: list[str], fields: str, kernel: Callable[[list], list]) -> DataFrame:
-    """``df`` with the columns ``fields`` that ``kernel`` makes from lists of the input columns' values.
+def rows_of(values: list[np.ndarray]):
+    """An Arrow array of lists from arrays of whole numbers."""
+    import pyarrow as pa
+
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    flat = np.concatenate([np.empty(0, np.int32), *values]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat))
+
+
+def grids_of(values: list[np.ndarray]):
+    """An Arrow array of lists of lists from matrices."""
+    import pyarrow as pa
+
+    inner = rows_of([row for x in values for row in x])
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), inner)
+
 
-    The columns of ``df`` pass through tasks unchanged. A row with a null input gets nulls.
+def unclashing(df: DataFrame, names: list[str]) -> None:
+    """Raises if ``df`` has one of the columns that an operator adds."""
+    if taken := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"columns are there already: {', '.join(sorted(taken))}; rename them or choose other names")
+
+
+def with_results(df: DataFrame, inputs: list[str], fields: str, kernel: Callable[[list[Texts]], list]) -> DataFrame:
+    """``df`` with the columns ``fields`` that ``kernel`` makes from the input columns' texts, a numpy or Arrow array each.
+
+    The columns of ``df`` pass through tasks unchanged; one that has the name of a new one is an error. A row with a
+    null input gets nulls.
     """
     prepare(df.sparkSession)
     added = StructType.fromDDL(fields)
     names = added.names
+    unclashing(df, names)
+
+    def texts(column) -> Texts:
+        import pyarrow as pa
+
+        if pa.types.is_list(column.type):
+            return Texts(column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()))
+        return Texts.of(column.to_pylist())
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = [to_arrow_schema(added).field(n).type for n in names]
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                values = [batch.column(c).to_pylist() for c in inputs]
-                full = [k for k, row in enumerate(zip(*values, strict=True)) if None not in row]
-                made = kernel([[v[k] for k in full] for v in values]) if full else [[] for _ in names]
-                out = []
-                for column, kind in zip(made, kinds, strict=True):
-                    spread: list = [None] * batch.num_rows
-                    for k, x in zip(full, column, strict=True):
-                        spread[k] = x
-                    out.append(pa.array(spread, kind))
+                full = np.ones(batch.num_rows, bool)
+                for c in inputs:
+                    full &= pc.is_valid(batch.column(c)).to_numpy(zero_copy_only=False)
+                some = batch.filter(pa.array(full)) if not full.all() else batch
+                made = kernel([texts(some.column(c)) for c in inputs])
+                # A null place gives a null result.
+                places = pa.array(np.cumsum(full) - 1, pa.int64(), mask=~full)
+                out = [(x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x)).cast(kind).take(places) for x, kind in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *added.fields]))

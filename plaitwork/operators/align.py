@@ -1,6 +1,6 @@
 """Pairwise alignment over DataFrames: one row a pair, parallel over pairs.
 
-Each operator adds its result to the columns of ``pairs``. Texts are strings, compared by code point, or
+Each operator adds its result to the columns of ``pairs``; a column of that name already there is an error. Texts are strings, compared by code point, or
 binaries, compared by byte. A null side gives a null result; an empty side a local score of 0 or a global score
 of the other's length below zero.
 """
@@ -12,56 +12,50 @@ from pyspark.sql import functions as F
 
 from plaitwork.functions import kernels as K
 from plaitwork.functions import native
-from plaitwork.operators._workers import with_results
+from plaitwork.operators._workers import grids_of, rows_of, unclashing, with_results
 
 
-def _coded(sides: list) -> list:
-    return [[K.codes(x) for x in side] for side in sides]
-
-
-def sw_scores(pairs: DataFrame, query: str = "query", ref: str = "ref", out: str = "score", method: str = "rows") -> DataFrame:
-    """Best local score. ``method``: "rows", "wavefront" (same answer by anti-diagonals) or "native" (a SQL fold)."""
+def sw_scores(pairs: DataFrame, query: str = "query", ref: str = "ref", out: str = "score", method: str = "wavefront") -> DataFrame:
+    """Best local score. ``method``: "wavefront" (lots by anti-diagonals), "rows" (same answer pair by pair) or "native" (a SQL fold)."""
     if method == "native":
+        unclashing(pairs, [out])
         return pairs.withColumn(out, native.sw_score(F.col(query), F.col(ref)))
-    score = {"rows": K.local_scores, "wavefront": K.local_scores_wavefront}[method]
-    return with_results(pairs, [query, ref], f"{out} int", lambda v: [score(*_coded(v)).tolist()])
+    score = {"rows": K.local_scores_by_rows, "wavefront": K.local_scores}[method]
+    return with_results(pairs, [query, ref], f"{out} int", lambda v: [score(*v)])
 
 
 def sw_banded_scores(pairs: DataFrame, band: int, query: str = "query", ref: str = "ref", out: str = "score") -> DataFrame:
     """Best local score inside the band 0 <= j - i < ``band``."""
     if band < 1:
         raise ValueError("a band has 1 or more diagonals")
-    return with_results(pairs, [query, ref], f"{out} int", lambda v: [K.banded_scores(*_coded(v), band).tolist()])
+    return with_results(pairs, [query, ref], f"{out} int", lambda v: [K.banded_scores(*v, band)])
 
 
 def sw_argmax(pairs: DataFrame, query: str = "query", ref: str = "ref") -> DataFrame:
     """score, i and j of the first best cell by rows, from 0."""
-    return with_results(pairs, [query, ref], "score int, i int, j int", lambda v: K.local_argmax(*_coded(v)).T.tolist())
+    return with_results(pairs, [query, ref], "score int, i int, j int", lambda v: [*K.local_argmax(*v).T])
 
 
-def nw_scores(pairs: DataFrame, query: str = "query", ref: str = "ref", out: str = "score", method: str = "rows") -> DataFrame:
-    """Global score; ``method``: "rows" or "native"."""
+def nw_scores(pairs: DataFrame, query: str = "query", ref: str = "ref", out: str = "score", method: str = "wavefront") -> DataFrame:
+    """Global score; ``method``: "wavefront" or "native"."""
     if method == "native":
+        unclashing(pairs, [out])
         return pairs.withColumn(out, native.nw_score(F.col(query), F.col(ref)))
-    return with_results(pairs, [query, ref], f"{out} int", lambda v: [K.global_scores(*_coded(v)).tolist()])
+    return with_results(pairs, [query, ref], f"{out} int", lambda v: [K.global_scores(*v)])
 
 
 def _matrices(pairs: DataFrame, query: str, ref: str, kernel) -> DataFrame:
-    def run(v: list) -> list:
-        q, r = _coded(v)
-        return [[kernel(a, b).tolist() for a, b in zip(q, r, strict=True)]]
-
-    return with_results(pairs, [query, ref], "matrix array<array<int>>", run)
+    return with_results(pairs, [query, ref], "matrix array<array<int>>", lambda v: [grids_of(kernel(*v))])
 
 
 def nw_matrix(pairs: DataFrame, query: str = "query", ref: str = "ref") -> DataFrame:
     """The whole global matrix, boundary row and column included; its size is the product of the lengths."""
-    return _matrices(pairs, query, ref, K.global_matrix)
+    return _matrices(pairs, query, ref, K.global_matrices)
 
 
 def nw_suffix_matrix(pairs: DataFrame, query: str = "query", ref: str = "ref") -> DataFrame:
     """Cell (i, j): the global score of what follows query index i with what follows ref index j."""
-    return _matrices(pairs, query, ref, K.suffix_matrix)
+    return _matrices(pairs, query, ref, K.suffix_matrices)
 
 
 def cells(matrices: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,22 +68,35 @@ def nw_paths(pairs: DataFrame, query: str = "query", ref: str = "ref") -> DataFr
     """score and path: for each ref column the smallest query index on any best path."""
 
     def run(v: list) -> list:
-        q, r = _coded(v)
-        done = [K.envelope_path(a, b) for a, b in zip(q, r, strict=True)]
-        return [[x[0] for x in done], [x[1].tolist() for x in done]]
+        scores, paths = K.envelope_paths(*v)
+        return [scores, rows_of(paths)]
 
     return with_results(pairs, [query, ref], "score int, path array<int>", run)
 
 
+def nw_alignments(pairs: DataFrame, query: str = "query", ref: str = "ref") -> DataFrame:
+    """score, steps and path of one best alignment, traced from the end with ties diagonal, then up, then left.
+
+    steps has a letter for each step: = for equal symbols, X for others, I for a query symbol alone, D for a ref symbol
+    alone. path: for each ref column the smallest query index of the traced path. Long pairs take memory of L to the power 1.5.
+    """
+
+    def run(v: list) -> list:
+        scores, steps, paths = K.alignments(*v)
+        return [scores, [x.decode() for x in steps], rows_of(paths)]
+
+    return with_results(pairs, [query, ref], "score int, steps string, path array<int>", run)
+
+
 def nw_last_columns(pairs: DataFrame, query: str = "query", ref: str = "ref", out: str = "column") -> DataFrame:
     """Global scores of every query prefix, the empty one first, with the whole ref."""
-    return with_results(pairs, [query, ref], f"{out} array<int>", lambda v: [[x.tolist() for x in K.last_columns(*_coded(v))]])
+    return with_results(pairs, [query, ref], f"{out} array<int>", lambda v: [rows_of(K.last_columns(*v))])
 
 
 def nw_split(pairs: DataFrame, query: str = "query", ref: str = "ref", at: Column | None = None) -> DataFrame:
     """score and split: the query index that a best path crosses at ref index ``at`` (its middle); ties take the smallest."""
+    unclashing(pairs, ["score", "split", "__left", "__right", "__query", "__forward", "__backward"])
     middle = F.floor(F.length(ref) / 2).cast("int") if at is None else at
-    # Held through a generator, so that the kernels' inputs are plain columns.
     cut = pairs.withColumn("__left", F.substring(F.col(ref), F.lit(1), middle)).withColumn("__right", F.substring(F.col(ref), middle + 1, F.length(ref)))
     turned = cut.withColumn("__query", F.reverse(F.col(query))).withColumn("__right", F.reverse("__right"))
     both = nw_last_columns(nw_last_columns(turned, query, "__left", "__forward"), "__query", "__right", "__backward")
@@ -99,6 +106,7 @@ def nw_split(pairs: DataFrame, query: str = "query", ref: str = "ref", at: Colum
 
 def nw_segment_scores(pairs: DataFrame, query_from: Column, query_to: Column, ref_from: Column, ref_to: Column, query: str = "query", ref: str = "ref") -> DataFrame:
     """Global score of the half-open slices of both sides; slices can be empty."""
+    unclashing(pairs, ["score", "__q", "__r"])
     part = lambda c, lo, hi: F.substring(F.col(c), (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
     cut = pairs.withColumn("__q", part(query, query_from, query_to)).withColumn("__r", part(ref, ref_from, ref_to))
     return nw_scores(cut, "__q", "__r").drop("__q", "__r")

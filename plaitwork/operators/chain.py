@@ -2,7 +2,8 @@
 
 A chain's score depends on its last ``lookback`` anchors only. Anchors are sorted within partitions by chain and
 idx and streamed through tasks, which carry those few anchors from one batch to the next: no chain, however
-long, is ever held whole. Null coordinates never chain; rows that tie on idx are in order of x and y.
+long, is ever held whole. Coordinates are 64-bit whole numbers. Null coordinates never chain; rows that tie on idx are in
+order of x and y.
 """
 
 from __future__ import annotations
@@ -19,15 +20,15 @@ from plaitwork.functions import native
 from plaitwork.operators._workers import prepare
 
 
-def scored_runs(ids: np.ndarray, x: np.ndarray, y: np.ndarray, carry: tuple | None, lookback: int) -> tuple[np.ndarray, tuple | None]:
+def scored_runs(ids: np.ndarray, x: np.ndarray, y: np.ndarray, there: np.ndarray, carry: tuple | None, lookback: int) -> tuple[np.ndarray, tuple | None]:
     """Scores of anchors sorted by chain, and what the next batch needs of the last chain.
 
-    carry: (chain, x, y, scores) of the last anchors before these.
+    there: whether both coordinates are. carry: (chain, x, y, there, scores) of the last anchors before these.
     """
     n_old = 0
     if carry is not None and len(ids) and carry[0] == ids[0]:
         n_old = len(carry[1])
-        ids, x, y = np.r_[np.full(n_old, carry[0]), ids], np.r_[carry[1], x], np.r_[carry[2], y]
+        ids, x, y, there = np.r_[np.full(n_old, carry[0]), ids], np.r_[carry[1], x], np.r_[carry[2], y], np.r_[carry[3], there]
     if not len(ids):
         return np.empty(0, np.int64), carry
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
@@ -46,12 +47,12 @@ def scored_runs(ids: np.ndarray, x: np.ndarray, y: np.ndarray, carry: tuple | No
         places = np.where(inside, places, 0)
         known, done = np.zeros(places.shape, np.int64), np.zeros(len(own), np.int64)
         if n_old and (k := np.flatnonzero(own == 0)).size:
-            known[k[0], :n_old], done[k[0]] = carry[3], n_old
-        f = K.chain_scores(x[places], y[places], lengths[own], known, done, lookback)
+            known[k[0], :n_old], done[k[0]] = carry[4], n_old
+        f = K.chain_scores(x[places], y[places], there[places], lengths[own], known, done, lookback)
         score[places[inside]] = f[inside]
         at = to
     keep = slice(max(starts[-1], len(ids) - lookback), len(ids))
-    return score[n_old:], (ids[-1], x[keep], y[keep], score[keep])
+    return score[n_old:], (ids[-1], x[keep], y[keep], there[keep], score[keep])
 
 
 def chain_scores(anchors: DataFrame, lookback: int) -> DataFrame:
@@ -63,16 +64,18 @@ def chain_scores(anchors: DataFrame, lookback: int) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         carry = None
         for batch in batches:
-            ids, x, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("code", "x", "y"))
-            score, carry = scored_runs(ids, x, y, carry, lookback)
+            there = pc.and_(pc.is_valid(batch.column("x")), pc.is_valid(batch.column("y"))).to_numpy(zero_copy_only=False)
+            ids, x, y = (batch.column(c).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False) for c in ("code", "x", "y"))
+            score, carry = scored_runs(ids, x, y, there, carry, lookback)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chain_id", "idx", "x", "y")), pa.array(score, pa.int32())], names=["chain_id", "idx", "x", "y", "score"])
 
-    # Chains are told apart by 52 bits of their id's hash, exact as a float; only neighbours in the order are compared.
+    # Chains are told apart by their id's hash; only neighbours in the order are compared.
     dealt = anchors.select("chain_id", "idx", "x", "y").repartition("chain_id").sortWithinPartitions("chain_id", "idx", "x", "y")
-    numbered = dealt.withColumn("code", F.xxhash64("chain_id").bitwiseAND(F.lit(2**52 - 1)))
+    numbered = dealt.withColumn("code", F.xxhash64("chain_id"))
     return numbered.mapInArrow(run, schema)
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaitwork.functions import kernels as K
-from plaitwork.operators._workers import with_results
+from plaitwork.operators._workers import unclashing, with_results
+from plaitwork.operators.align import nw_scores
 
 
 def mismatches(actual: DataFrame, expected: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -24,13 +24,27 @@ def verdict(actual: DataFrame, expected: DataFrame, keys: list[str], value: str)
 
 
 def check_paths(paths: DataFrame, query: str = "query", ref: str = "ref", path: str = "path") -> DataFrame:
-    """``paths`` with struct ``check``: valid, bad_ref, bad_query, point_count, score, error. Any best path is valid."""
+    """``paths`` with struct ``check``: valid, bad_ref, bad_query, point_count, score, error. Any best path is valid.
+
+    -1 in a path means no checkpoint there. bad_ref and bad_query are -1 for a valid path, and the two lengths where
+    the whole trace isn't a best one. A null checkpoint counts as none.
+    """
 
     def run(v: list) -> list:
-        out = []
-        for q, r, p in zip(*v, strict=True):
-            done = K.check_path(K.codes(q), K.codes(r), np.asarray(p, np.int64))
-            out.append(dict(zip(("valid", "bad_ref", "bad_query", "point_count", "score", "error"), done, strict=True)))
-        return [out]
+        import pyarrow as pa
+
+        done = K.check_paths(*v)
+        whole = lambda c: pa.array(done[c], pa.int32())
+        error = pa.array([*K.PATH_ERRORS, None]).take(pa.array(done["error"] % (len(K.PATH_ERRORS) + 1)))
+        columns = [pa.array(done["valid"]), *map(whole, ("bad_ref", "bad_query", "point_count", "score")), error]
+        return [pa.StructArray.from_arrays(columns, ["valid", "bad_ref", "bad_query", "point_count", "score", "error"])]
+
+    fields = "check struct<valid: boolean, bad_ref: int, bad_query: int, point_count: int, score: int, error: string>"
+    unclashing(paths, ["__path"])
+    filled = paths.withColumn("__path", F.transform(path, lambda x: F.coalesce(x, F.lit(-1)).cast("int")))
+    return with_results(filled, [query, ref, "__path"], fields, run).drop("__path")
+
 
-    return with_results(paths, [query, ref, path], "check struct<valid: boolean, bad_ref: int, bad_query: int, point_count: int, score: int, error: string>", run)
+def suboptimal_paths(paths: DataFrame, query: str = "query", ref: str = "ref", path: str = "path") -> DataFrame:
+    """The rows of ``paths`` whose traced score isn't the optimum, with ``check`` and ``expected``, the optimum."""
+    return nw_scores(check_paths(paths, query, ref, path), query, ref, "expected").where(F.col("check.score") != F.col("expected"))

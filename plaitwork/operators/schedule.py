@@ -12,15 +12,23 @@ def round_robin(pairs: DataFrame, groups: int) -> DataFrame:
     return pairs.repartition(groups)
 
 
-def by_cost(pairs: DataFrame, groups: int, query: str = "query", ref: str = "ref") -> DataFrame:
+def spread(pairs: DataFrame, keys: list[str], groups: int | None = None) -> DataFrame:
+    """``pairs`` dealt by hash of ``keys``, which tell pairs apart: by content, so a task that runs again gets the same rows.
+
+    A stated number of groups (four for each core by default) is not merged into fewer tasks.
+    """
+    return pairs.repartition(groups or 4 * pairs.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def by_cost(pairs: DataFrame, groups: int, query: str = "query", ref: str = "ref", keys: list[str] | None = None) -> DataFrame:
     """``pairs`` dealt so that groups have about the same number of cells, and many groups for few tasks.
 
-    Cost classes, by powers of two of the cells, are spread over all groups each, so long pairs never gather
-    in one; nothing is sorted or counted first.
+    Cost classes, by powers of two of the cells, are spread over all groups each by hash of ``keys`` (by default the
+    texts), so long pairs never gather in one; nothing is sorted or counted first, and the deal depends on content alone.
     """
     cost = (F.length(query).cast("bigint") + 1) * (F.length(ref).cast("bigint") + 1)
-    spread = F.xxhash64(F.floor(F.log2(cost.cast("double"))), F.monotonically_increasing_id())
-    return pairs.withColumn("__deal", spread).repartition(groups, "__deal").drop("__deal")
+    deal = F.xxhash64(F.floor(F.log2(cost.cast("double"))), *(keys or [query, ref]))
+    return pairs.repartition(groups, deal)
 
 
 def team_sizes(pairs: DataFrame, length: Column, threshold: int, tiles: int) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-RECORD_PAIRS = """d as (select doc_id, text t from documents where text is not null),
-p0 as (select doc_id, cast(i as int) rec, substr(t, 32 * i + 1, 32) query, substr(t, 32 * i + 33, 32) ref
-  from (select doc_id, t, unnest(range(0, (length(t) - 1) // 32)) i from d where length(t) > 32))"""
+
+
+def record_pairs(size: int) -> str:
+    return f"""d as (select doc_id, text t from documents where text is not null),
+p0 as (select doc_id, cast(i as int) rec, substr(t, {size} * i + 1, {size}) query, substr(t, {size} * (i + 1) + 1, {size}) ref
+  from (select doc_id, t, unnest(range(0, (length(t) - 1) // {size})) i from d where length(t) > {size}))"""
+
+
+RECORD_PAIRS = record_pairs(32)
 TURN_PAIRS = """p0 as (select a.conv_id, a.turn, coalesce(a.text, '') query, coalesce(b.text, '') ref
   from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"""
 PART_PAIRS = "p0 as (select p_partkey, p_name query, lower(p_type) ref from part)"
@@ -132,3 +138,42 @@ def edges_sql(lookback: int) -> str:
     return f"""with {ANCHORS}, n as (select *, row_number() over (partition by chain_id order by idx) k from a)
 select b.chain_id, b.idx, c.idx prev, cast(least(b.x - c.x, b.y - c.y, 15) as int) gain, cast({_COST.format(dx='(b.x - c.x)', dy='(b.y - c.y)')} as int) cost
 from n b join n c on b.chain_id = c.chain_id and c.k between b.k - {lookback} and b.k - 1 and b.x > c.x and b.y > c.y"""
+
+
+def alignment_sql(source: str, keys: str) -> str:
+    """Traced from the end, with ties diagonal, up, left."""
+    same = "p.q[t.i] = p.r[t.j]"
+    diagonal = f"t.i > 0 and t.j > 0 and t.h = d.h + case when {same} then 1 else -1 end"
+    up = "t.i > 0 and (t.j = 0 or t.h = u.h - 1)"
+    step = f"case when {diagonal} then case when {same} then '=' else 'X' end when {up} then 'I' else 'D' end"
+    return f"""{matrix_cte(source)},
+t(id, i, j, h, steps) as (select f.id, i, j, h, '' from f join p using (id) where i = m and j = n
+  union all select id, i, j, f.h, steps from (
+    select t.id, t.i - case when step = 'D' then 0 else 1 end i, t.j - case when step = 'I' then 0 else 1 end j, step || t.steps steps from (
+      select t.*, {step} step from t join p using (id) left join f d on d.id = t.id and d.i = t.i - 1 and d.j = t.j - 1 left join f u on u.id = t.id and u.i = t.i - 1 and u.j = t.j
+      where t.i > 0 or t.j > 0) t) join f using (id, i, j))
+select {keys}, o.h score, t.steps from t join p using (id) join f o on o.id = p.id and o.i = m and o.j = n where t.i = 0 and t.j = 0"""
+
+
+#: Checkpoints that are changed, by key: none, every second one left out, one out of range, one moved down, all turned around.
+CHANGED = """case p_partkey % 5 when 0 then i when 1 then case when j % 2 = 1 then -1 else i end when 2 then case when j = n // 2 then m + 3 else i end
+  when 3 then case when j = n // 2 then i + 1 else i end else turned end"""
+
+
+def changed_paths_sql(source: str, where: str = "true") -> str:
+    """The rules on changed paths; paths of which every second point is left out are right, all others have a point in each column."""
+    seg = "case when j = 0 then -i when i = prev then -1 when list_contains(q[prev + 1:i], r[j]) then 2 - (i - prev) else -(i - prev) end"
+    return f"""{both_cte(source)}{_PATH},
+x as (select id, p_partkey, j, n, m, q, r, opt, cast({CHANGED} as int) i from (
+  select e.*, p_partkey, n, m, q, r, opt,
+    y.i turned from e join p using (id) join o using (id) join e y on y.id = e.id and y.j = n - 1 - e.j where e.j < n)),
+y as (select *, coalesce(lag(i) over (partition by id order by j), 0) prev from x where p_partkey % 5 <> 1),
+z as (select *, {seg} seg from y),
+c as (select z.*, sum(seg) over (partition by id order by j) traced, i < 0 or i > m or i < prev bad_a, f.h + s.h <> opt bad_b, f.h fh from z left join f using (id, i, j) left join s using (id, i, j)),
+g as (select *, case when bad_a then 0 when bad_b then 1 when traced <> fh then 2 end err from c),
+b as (select id, min(j) j from g where err is not null group by id),
+k as (select g.id, g.j, g.i, g.err, cast(coalesce(g.traced, 0) - case when g.err = 2 then 0 else g.seg end as int) score from b join g using (id, j))
+select * from (select p_partkey, k.id is null valid, cast(coalesce(k.j, -1) as int) bad_ref, cast(coalesce(k.i, -1) as int) bad_query,
+  cast(case when k.id is not null then k.j when p_partkey % 5 = 1 then (n + 1) // 2 else n end as int) point_count, coalesce(k.score, opt) score,
+  ['checkpoint is out of range or not monotonic', 'checkpoint is not on an optimal full-matrix path', 'checkpoint chain does not trace through the dp matrix'][k.err + 1] error, opt expected
+from p join o using (id) left join k using (id)) where {where}"""

@@ -1,35 +1,39 @@
-"""The test tables as pairs and anchors. Whole tables and whole texts are used."""
+"""The test tables as pairs and anchors. Whole tables and whole texts are used.
+
+Pairs are dealt by their keys before they are scored, so that one file, or one long document, is not one task's work.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaitwork.sources.records import cut
+from plaitwork.operators.schedule import spread
+from plaitwork.sources.records import RECORD, cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def record_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, rec, query, ref): every 32-symbol record of every text with the one that follows it."""
-    held = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(cut(F.col("text")))).alias("recs"))
+def record_pairs(spark: SparkSession, sf_dir: str, size: int = RECORD) -> DataFrame:
+    """(doc_id, rec, query, ref): every ``size``-symbol record of every text with the one that follows it."""
+    held = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(cut(F.col("text"), size))).alias("recs"))
     nexts = F.transform("recs", lambda x, i: F.struct(x.alias("query"), F.get("recs", i + 1).alias("ref")))
     each = held.select("doc_id", F.posexplode(nexts).alias("rec", "p"))
-    return each.select("doc_id", "rec", "p.query", "p.ref").where("ref is not null")
+    return spread(each.select("doc_id", "rec", "p.query", "p.ref").where("ref is not null"), ["doc_id", "rec"])
 
 
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, query, ref): the whole text of every turn with that of the next turn, by an equi-join."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("query"))
     later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("query").alias("ref"))
-    return turns.join(later, ["conv_id", "turn"])
+    return spread(turns.join(later, ["conv_id", "turn"]), ["conv_id", "turn"])
 
 
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p_partkey, query, ref): every part's name with its type in lower case, of different lengths."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("query"), F.lower("p_type").alias("ref"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("query"), F.lower("p_type").alias("ref")), ["p_partkey"])
 
 
 def event_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

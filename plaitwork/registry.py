@@ -40,6 +40,7 @@ def sw_score_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(O.sw_sql(O.RECORD_PAIRS, O.RECORD_KEYS))
 def sw_score_wavefront(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default method, under its name."""
     return align.sw_scores(record_pairs(spark, sf_dir), method="wavefront").select(*RECORD, "score")
 
 
@@ -75,6 +76,15 @@ for _band in (8, 16, 64):
     QUERIES[f"sw_banded_b{_band}"], SQL[f"sw_banded_b{_band}"] = _banded(_band), O.banded_sql(O.RECORD_PAIRS, O.RECORD_KEYS, _band)
 
 
+def _banded_long(band: int) -> Query:
+    return lambda spark, sf_dir: align.sw_banded_scores(record_pairs(spark, sf_dir, 128), band).select(*RECORD, "score")
+
+
+for _band in (32, 64):
+    # Records of 128 symbols, of which a band leaves a part out.
+    QUERIES[f"sw_banded_long_b{_band}"], SQL[f"sw_banded_long_b{_band}"] = _banded_long(_band), O.banded_sql(O.record_pairs(128), O.RECORD_KEYS, _band)
+
+
 @_query(O.argmax_sql(O.RECORD_PAIRS, O.RECORD_KEYS))
 def sw_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.sw_argmax(record_pairs(spark, sf_dir)).select(*RECORD, "score", "i", "j")
@@ -106,6 +116,35 @@ def nw_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select(*PART, "score", F.posexplode("path").alias("ref_idx", "query_idx"))
 
 
+@_query(O.alignment_sql(O.PART_PAIRS, O.PART_KEYS))
+def nw_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.nw_alignments(part_pairs(spark, sf_dir)).select(*PART, "score", "steps")
+
+
+@_query()
+def nw_path_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best paths of whole conversation turns; long pairs go by blocks."""
+    paths = align.nw_paths(turn_pairs(spark, sf_dir))
+    return paths.select(*TURN, "score", F.posexplode("path").alias("ref_idx", "query_idx"))
+
+
+@_query()
+def nw_alignment_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.nw_alignments(turn_pairs(spark, sf_dir)).select(*TURN, "score", "steps")
+
+
+@_query()
+def nw_split_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.nw_split(turn_pairs(spark, sf_dir)).select(*TURN, "score", "split")
+
+
+@_query(O.nw_sql(O.TURN_PAIRS, O.TURN_KEYS).replace("cast(w.h1[n + 1] as int) score", "true valid, cast(n as int) point_count, cast(w.h1[n + 1] as int) score, cast(null as varchar) error"))
+def check_path_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths traced by the alignments of whole turns, under the rules."""
+    checked = checks.check_paths(align.nw_alignments(turn_pairs(spark, sf_dir)).drop("score"))
+    return checked.select(*TURN, *[F.col(f"check.{c}").alias(c) for c in ("valid", "point_count", "score", "error")])
+
+
 @_query(O.split_sql(O.PART_PAIRS, O.PART_KEYS))
 def nw_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.nw_split(part_pairs(spark, sf_dir)).select(*PART, "score", "split")
@@ -136,19 +175,25 @@ def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.chain_edges(event_anchors(spark, sf_dir), 8)
 
 
+_DRAWN = f"""with recursive g(c_custkey, nr, s) as (select c_custkey, -1, cast(xor(c_custkey, {prep.SEED_MASK}) as ubigint) from customer
+  union all select c_custkey, nr + 1, (s * {prep.LCG_A} + {prep.LCG_C}) % {prep.LCG_M} from g where nr < 7),
+l as (select c_custkey, cast(nr as int) nr, 64 + s % 449 len from g where nr >= 0)"""
 _QUANTISED = "cast(greatest(64, least(((len + 7) // 8) * 8, 512)) as int)"
 
 
-@_query(
-    f"""with recursive g(c_custkey, nr, s) as (select c_custkey, -1, cast(xor(c_custkey, {prep.SEED_MASK}) as ubigint) from customer
-  union all select c_custkey, nr + 1, (s * {prep.LCG_A} + {prep.LCG_C}) % {prep.LCG_M} from g where nr < 7),
-l as (select c_custkey, cast(nr as int) nr, 64 + s % 449 len from g where nr >= 0) select c_custkey, nr, {_QUANTISED} len from l"""
-)
+@_query(f"{_DRAWN} select c_custkey, nr, {_QUANTISED} len from l")
 def lcg_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight lengths for each customer, whose key is the seed."""
     return generators.lengths(table(spark, sf_dir, "customer"), "c_custkey", "c_custkey", **LENGTHS)
 
 
+@_query(f"{_DRAWN} select c_custkey, nr, {_QUANTISED} qry_len, {_QUANTISED} ref_len from l")
+def copied_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn lengths as those of both sides of pairs."""
+    drawn = lcg_lengths(spark, sf_dir).withColumnRenamed("len", "qry_len")
+    return drawn.withColumn("ref_len", prep.copied_length(F.col("qry_len")))
+
+
 @_query(
     "select doc_id, cast(greatest(1, least(((n + 31) // 32) * 32, greatest(32, (4096 // 32) * 32))) as int) padded from (select doc_id, length(text) n from documents)"
 )
@@ -235,6 +280,17 @@ def records_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.wrap_records(recs, "doc_id", F.col("n"), 64)
 
 
+@_query(
+    r"""with t as (select list_filter(flatten(list(regexp_split_to_array(text, '\s+') order by doc_id)), lambda x: x <> '') t from documents where text is not null)
+select cast(k as bigint) rec_no, t[2 * k + 1] label, substr(t[2 * k + 2], 1, 32) seq from (select t, unnest(range(0, len(t) // 2)) k from t)"""
+)
+def records_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts written as record files, and read back as one stream of records that span lines, splits and files."""
+    path = sinks.scratch_folder(spark, "records")
+    sinks.write_texts(table(spark, sf_dir, "documents"), "text", "doc_id", path)
+    return records.read_records(spark, path)
+
+
 @_query(
     f"""{O.sw_cte(O.PART_PAIRS)}, {O.diagonals(O.banded_cell(4), '0', ', greatest(w.best, coalesce(list_max(w.h), 0))', 'best:0', name='v')}
 select p_partkey, cast(v.best as int) actual, cast(w.best as int) expected from w join p using (id) join v using (id) where w.k = m + n and v.k = m + n and v.best <> w.best"""
@@ -259,6 +315,29 @@ def check_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select(*PART, *[F.col(f"check.{c}").alias(c) for c in ("valid", "point_count", "score", "error")])
 
 
+def _changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best paths with some checkpoints changed, in five ways by part: none, every second one left out, one out of range, one moved, all turned around."""
+    middle = lambda x: F.transform("path", lambda i, j: F.when(j == F.floor(F.size("path") / 2), x(i)).otherwise(i))
+    kind = F.col("p_partkey") % 5
+    changed = F.when(kind == 0, F.col("path")).when(kind == 1, F.transform("path", lambda i, j: F.when(j % 2 == 1, -1).otherwise(i)))
+    changed = changed.when(kind == 2, middle(lambda i: F.length("query") + 3)).when(kind == 3, middle(lambda i: i + 1)).otherwise(F.reverse("path"))
+    return align.nw_paths(part_pairs(spark, sf_dir)).withColumn("path", changed).drop("score")
+
+
+_CHECKED = ("valid", "bad_ref", "bad_query", "point_count", "score", "error")
+
+
+@_query(f"select * exclude (expected) from ({O.changed_paths_sql(O.PART_PAIRS)})")
+def check_path_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.check_paths(_changed_paths(spark, sf_dir)).select(*PART, *[F.col(f"check.{c}").alias(c) for c in _CHECKED])
+
+
+@_query(f"select p_partkey, score, expected from ({O.changed_paths_sql(O.PART_PAIRS, 'score <> expected')})")
+def path_score_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed paths whose traced score isn't the optimum."""
+    return checks.suboptimal_paths(_changed_paths(spark, sf_dir)).select(*PART, "check.score", "expected")
+
+
 @_query(
     f"""with recursive {O.ANCHORS}, {O.chain_cte(2)}, {O.chain_cte(8, 'e')}
 select chain_id, idx, cast(cs.score as int) actual, cast(es.score as int) expected from cs join es using (chain_id, idx) where cs.score <> es.score"""

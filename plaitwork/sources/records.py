@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A fixed value of the format.
@@ -24,15 +24,34 @@ def records(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, need: int | None = None) -> DataFrame:
-    """(rec_no, label, seq) of one record file; raises if it has fewer than ``need`` records.
+    """(rec_no, label, seq) of one record file, or of a folder's files in order of name as one; raises if it has fewer than ``need`` records.
 
-    The file is one text, whatever its lines: a record can span two of them.
+    Files are read in splits, a line a row. The order of lines is that of file, split and row; tokens are counted by split,
+    so a record can span lines and splits, and no file is ever one row or one task's work. The last token of an odd number is left out.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.lit(0).alias("file"), "value")
-    found = records(whole, "file", "value").drop("file")
-    if need is not None and (n := found.count()) < need:
+    lines = spark.read.text(path).select(
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("part"),
+        F.monotonically_increasing_id().alias("line"),  # grows along a split
+        F.filter(F.split("value", r"\s+"), lambda t: t != "").alias("t"),
+    ).where("size(t) > 0")
+    counted = lines.groupBy("part").agg(F.sum(F.size("t")).alias("n"), F.max_by(F.element_at("t", -1), "line").alias("last"))
+    # A row for each split: what stands before it.
+    order = Window.orderBy("part")
+    splits = counted.select("part", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("last").over(order).alias("last"))
+    if need is not None and (n := counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2) < need:
         raise ValueError(f"{path} has {n} records; {need} are needed")
-    return found
+    within = Window.partitionBy("part").orderBy("line")
+    placed = lines.join(splits, "part").select(
+        "t",
+        (F.col("before") + F.coalesce(F.sum(F.size("t")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("at"),
+        F.coalesce(F.lag(F.element_at("t", -1)).over(within), F.col("last")).alias("label"),
+    )
+    # A line that starts with a sequence brings its label from the line before.
+    whole = F.when(F.col("at") % 2 == 1, F.concat(F.array("label"), F.col("t"))).otherwise(F.col("t"))
+    held = placed.select(F.floor(F.col("at") / 2).alias("first"), F.explode(F.array(whole)).alias("t"))
+    starts = F.when(F.size("t") >= 2, F.sequence(F.lit(0), F.size("t") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    each = held.select("first", "t", F.posexplode(starts).alias("k", "i"))
+    return each.select((F.col("first") + F.col("k")).cast("bigint").alias("rec_no"), F.get("t", F.col("i")).alias("label"), F.substring(F.get("t", F.col("i") + 1), 1, RECORD).alias("seq"))
 
 
 def cut(text: Column, size: int = RECORD) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,3 +22,20 @@ def write_results(df: DataFrame, path: str, by: list[str] | None = None) -> None
 def run_status(bad: str = "n_bad"):
     """passed, or failed with the number of differences."""
     return F.when(F.col(bad) == 0, "passed").otherwise(F.concat(F.lit("failed("), F.col(bad).cast("string"), F.lit(")")))
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; only a local master without that setting gets a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-plaitwork-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write_texts(df: DataFrame, text: str, order: str, path: str) -> None:
+    """The texts in order, as text files whose names are in that order; nulls are left out."""
+    placed = df.where(F.col(text).isNotNull()).repartitionByRange(order).sortWithinPartitions(order)
+    placed.select(text).write.mode("overwrite").text(path)

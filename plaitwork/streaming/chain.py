@@ -31,11 +31,12 @@ def chain_scores_online(anchors: DataFrame, lookback: int, idle_ms: int | None =
         got = pd.concat(batches).sort_values(["idx", "x", "y"])
         carry = None
         if state.exists:
-            x, y, score = state.get
-            carry = (0.0, np.array(x, float), np.array(y, float), np.array(score, np.int64))
-        ids = np.zeros(len(got))
-        score, carry = scored_runs(ids, got["x"].to_numpy(float), got["y"].to_numpy(float), carry, lookback)
-        state.update(([*map(float, carry[1])], [*map(float, carry[2])], [*map(int, carry[3])]))
+            x, y, there, score = state.get
+            carry = (0, np.array(x, np.int64), np.array(y, np.int64), np.array(there, bool), np.array(score, np.int64))
+        there = (got["x"].notna() & got["y"].notna()).to_numpy(bool)
+        whole = lambda c: got[c].astype("Int64").fillna(0).to_numpy(np.int64)
+        score, carry = scored_runs(np.zeros(len(got), np.int64), whole("x"), whole("y"), there, carry, lookback)
+        state.update(([*map(int, carry[1])], [*map(int, carry[2])], [*map(bool, carry[3])], [*map(int, carry[4])]))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"chain_id": key[0], "idx": got["idx"], "x": got["x"], "y": got["y"], "score": score.astype(np.int32)})
@@ -43,7 +44,7 @@ def chain_scores_online(anchors: DataFrame, lookback: int, idle_ms: int | None =
     return anchors.groupBy("chain_id").applyInPandasWithState(
         step,
         "chain_id long, idx long, x long, y long, score int",
-        "x array<double>, y array<double>, score array<long>",
+        "x array<long>, y array<long>, there array<boolean>, score array<long>",
         "append",
         GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )

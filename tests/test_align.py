@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import plain
@@ -43,29 +44,33 @@ def expected(pairs, f):
 @pytest.mark.parametrize("v", VECTORS)
 def test_hand_vectors(v):
     q, r = K.codes(v[0]), K.codes(v[1])
-    assert K.local_scores([q], [r])[0] == K.local_scores_wavefront([q], [r])[0] == v[2]
+    assert K.local_scores([q], [r])[0] == K.local_scores_by_rows([q], [r])[0] == v[2]
     assert tuple(K.local_argmax([q], [r])[0]) == (v[2], *v[3])
     assert K.global_scores([q], [r])[0] == v[4]
     assert [K.banded_scores([q], [r], b)[0] for b in (1, 2, 4, 8)] == [*v[5]]
-    score, path = K.envelope_path(q, r)
+    score, path = (x[0] for x in K.envelope_paths([q], [r]))
     assert (score, path.tolist()) == (v[4], v[6])
-    assert K.check_path(q, r, path)[0]
+    assert K.check_paths([q], [r], [path])["valid"][0]
 
 
 @settings(max_examples=150, deadline=None)
 @given(TEXT, TEXT)
 def test_kernels_against_loops(q, r):
     a, b = K.codes(q), K.codes(r)
-    assert K.local_scores([a], [b])[0] == plain.sw(q, r) == K.local_scores_wavefront([a], [b])[0]
+    assert K.local_scores([a], [b])[0] == plain.sw(q, r) == K.local_scores_by_rows([a], [b])[0]
     assert K.global_scores([a], [b])[0] == plain.nw(q, r)
-    assert K.global_matrix(a, b).tolist() == plain.matrix(q, r, False)
+    assert K.global_matrices([a], [b])[0].tolist() == plain.matrix(q, r, False)
     assert tuple(K.local_argmax([a], [b])[0]) == plain.argmax(q, r)
     for band in (1, 3, 20):
         assert K.banded_scores([a], [b], band)[0] == plain.banded(q, r, band)
-    whole, blocks = K.envelope_path(a, b), K.envelope_path(a, b, most=1)
+    whole, blocks = [(x[0], y[0]) for x, y in (K.envelope_paths([a], [b]), K.envelope_paths([a], [b], most=0))]
     assert whole[1].tolist() == blocks[1].tolist() == plain.path(q, r)
     assert whole[0] == blocks[0] == plain.nw(q, r)
-    assert K.check_path(a, b, whole[1])[:3] == (True, -1, -1)
+    done = K.check_paths([a], [b], [whole[1]])
+    assert (done["valid"][0], done["bad_ref"][0], done["bad_query"][0]) == (True, -1, -1)
+    for most in (2_000_000, 0):
+        scores, steps, paths = K.alignments([a], [b], most=most)
+        assert (scores[0], steps[0].decode(), paths[0].tolist()) == plain.trace(q, r)
 
 
 @settings(max_examples=40, deadline=None)
@@ -119,7 +124,7 @@ def test_matrix_path_split_segment(pairs):
 
 def test_suffix_matrix():
     q, r = K.codes("GATTACA"), K.codes("GCAT")
-    s = K.suffix_matrix(q, r)
+    s = K.suffix_matrices([q], [r])[0]
     assert all(s[i, j] == plain.nw("GATTACA"[i:], "GCAT"[j:]) for i in range(8) for j in range(5))
 
 
@@ -128,8 +133,66 @@ def test_suffix_matrix():
     [([0, 9, 1, 2, 3, 4, 6], 0), ([3, 2, 3, 3, 4, 5, 6], 1), ([0, 2, 1, 2, 3, 4, 6], 1), ([0, 1, 1, 2, 4, 5, 6], None), ([-1] * 7, None)],
 )
 def test_path_rules(path, error):
-    done = K.check_path(K.codes("GATTACA"), K.codes("GCATGCU"), np.array(path))
-    assert done[-1] == (None if error is None else K.PATH_ERRORS[error])
+    done = K.check_paths([K.codes("GATTACA")], [K.codes("GCATGCU")], [np.array(path)])
+    assert done["error"][0] == (-1 if error is None else error)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(TEXT, TEXT, st.lists(st.integers(-1, 6), max_size=16), st.booleans()), max_size=6))
+def test_path_checks_against_loops(rows):
+    """Any paths, right ones with some points changed among them."""
+    q, r = [x[0] for x in rows], [x[1] for x in rows]
+    paths = [(x[2] + [-1] * len(x[1]))[: len(x[1])] if x[3] else [v if k % 3 else w for k, (v, w) in enumerate(zip(plain.path(x[0], x[1]), (x[2] + [-1] * 20), strict=False))] for x in rows]
+    done = K.check_paths(q, r, [np.array(p, np.int32) for p in paths])
+    columns = ("valid", "bad_ref", "bad_query", "point_count", "score", "error")
+    got = [tuple(int(done[c][k]) for c in columns) for k in range(len(rows))]
+    assert got == [plain.check(*x) for x in zip(q, r, paths, strict=True)]
+
+
+def test_lots_are_bounded_on_both_sides():
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 4, n).astype(np.int32)
+    q, r = [draw(20_000), *(draw(5) for _ in range(4_000))], [draw(5) for _ in range(4_001)]
+    made = [*K.lots(q, r)]
+    assert sorted(i for x in made for i in x[0]) == [*range(4_001)]
+    assert max(max(x[1].size, x[2].size) for x in made) <= K.LOT_CELLS + 20_001
+    tracemalloc.start()
+    scores = K.local_scores(q, r)
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    assert scores[7] == K.local_scores([q[7]], [r[7]])[0] and scores[0] == K.local_scores_by_rows(q[:1], r[:1])[0]
+
+
+def test_long_pairs_go_by_blocks():
+    rng = random.Random(9)
+    q = "".join(rng.choices("ACGT", k=1_500))
+    r = "".join(c for c in q if rng.random() > 0.1) + "".join(rng.choices("ACGT", k=200))
+    a, b = K.codes(q), K.codes(r)
+    (whole,), (steps,), (path,) = K.alignments([a], [b], most=10**7)
+    assert K.alignment(a, b) == (whole, steps) and whole == K.global_scores([a], [b])[0]
+    assert len(path) == len(r) and K.check_paths([a], [b], [path])["valid"][0]
+    score, low = K.envelope_path(a, b)
+    assert score == whole and (low <= path).all() and (low == K.envelope_paths([a], [b], most=10**7)[1][0]).all()
+
+
+def test_alignments(pairs):
+    got = by_id(align.nw_alignments(pairs), "score", "steps", "path")
+    assert {k: None if v[0] is None else (v[0], v[1], v[2]) for k, v in got.items()} == expected(pairs, plain.trace)
+
+
+def test_paths_that_are_no_best_ones(pairs):
+    found = align.nw_paths(pairs).withColumn("path", F.when(F.col("seq_id") % 2 == 0, F.col("path")).otherwise(F.transform("path", lambda x: F.length("query") - x)))
+    checked = checks.check_paths(found)
+    assert checked.where("path is null and check is not null").count() == 0
+    bad = checks.suboptimal_paths(found)
+    assert bad.where("seq_id % 2 = 0").count() == 0 and bad.where("not check.valid and check.score <> expected").count() == bad.count() > 5
+
+
+def test_clashing_names_are_an_error(pairs):
+    for f in (align.sw_scores, align.nw_scores, align.nw_paths, align.nw_alignments, align.nw_split):
+        with pytest.raises(ValueError, match="score"):
+            f(pairs.withColumn("Score", F.lit(1)))
+    assert align.sw_scores(pairs.withColumn("score", F.lit(1)), out="best").columns[-2:] == ["score", "best"]
 
 
 def test_invariants(pairs):

@@ -40,10 +40,10 @@ def test_random_chains_with_nulls(spark):
 @pytest.mark.parametrize("size", [1, 3, 7, 1000])
 def test_batches_carry_on(size):
     made = chains(8)
-    ids, x, y = (np.array(v, float) for v in zip(*[(c, *p) for c, own in made.items() for p in own], strict=True))
+    ids, x, y = (np.array(v, np.int64) for v in zip(*[(c, *p) for c, own in made.items() for p in own], strict=True))
     got, carry = [], None
     for at in range(0, len(ids), size):
-        s, carry = chain.scored_runs(ids[at : at + size], x[at : at + size], y[at : at + size], carry, 4)
+        s, carry = chain.scored_runs(ids[at : at + size], x[at : at + size], y[at : at + size], np.ones(len(ids[at : at + size]), bool), carry, 4)
         got += s.tolist()
     assert got == [s for own in made.values() for s in plain.chain([p[0] for p in own], [p[1] for p in own], 4)]
 
@@ -81,3 +81,11 @@ def test_online_equals_batch(spark, tmp_path):
     got = {(r["chain_id"], r["idx"]): r["score"] for r in spark.table("online").collect()}
     want = {(r["chain_id"], r["idx"]): r["score"] for r in chain.chain_scores(spark.createDataFrame(rows, schema), 4).collect()}
     assert got == want
+
+
+def test_far_coordinates_are_whole_numbers(spark):
+    big = 2**60
+    rows = [(1, 0, big, big), (1, 1, big + 1, big + 1), (2, 0, -(2**62), 5), (2, 1, 2**62, 9), (3, 0, None, 1), (3, 1, 4, 2), (3, 2, 5, 3)]
+    got = chain.chain_scores(spark.createDataFrame(rows, "chain_id long, idx long, x long, y long"), 4)
+    scores = {(r["chain_id"], r["idx"]): r["score"] for r in got.collect()}
+    assert scores == {(1, 0): 15, (1, 1): 16, (2, 0): 15, (2, 1): 15, (3, 0): 15, (3, 1): 15, (3, 2): 16}

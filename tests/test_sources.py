@@ -43,8 +43,6 @@ def test_rank(spark):
 def test_prep(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("v")).first()["v"]
-    assert value(prep.core_of(F.lit(3), F.lit(5), 8)) == 29
-    assert tuple(value(prep.core_place(F.lit(29), 8))) == (3, 5)
     assert tuple(value(prep.band_limits(F.lit(30), F.lit(32), 8))) == (30, 32)
     assert [value(x) for x in prep.clamp_bounds(F.lit(0), F.lit(-4))] == [1, 1]
     assert value(prep.quantise(F.lit(13), F.lit(1), F.lit(4), F.lit(16))) == 13
