@@ -20,6 +20,7 @@ are documents of their own, in the order of their texts.
 from __future__ import annotations
 
 import array
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from plaitwork.llm._util import prepare
 #: Fixed values of the file format.
 SKIPPABLE, MAGIC, NULL_ID = 0x184D2A5E, b"TOKSEEK1", -(2**63)
 FRAME, DOC, FOOTER = struct.Struct("<III"), struct.Struct("<qI"), struct.Struct("<IIB8s")
-FRAME_IDS, BATCH, MEMO = 65_536, 256, 800_000
+FRAME_IDS, BATCH, MEMO = 65_536, 256, 300_000
 
 
 @lru_cache(maxsize=1)
@@ -53,7 +54,13 @@ def _newer_letters():
                 runs[-1][1] = i
             else:
                 runs.append([i, i])
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"), chr(runs[0][0])
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+
+
+@lru_cache(maxsize=4)
+def id_width(json_path: str) -> int:
+    with open(json_path, encoding="utf-8") as f:
+        return 2 if len(json.load(f)["model"]["vocab"]) + 16 < 65_536 else 4
 
 
 @lru_cache(maxsize=4)
@@ -78,15 +85,24 @@ def encoder(json_path: str, pattern: str | None, width: int):
     special = [t.content for t in full.get_added_tokens_decoder().values()]
     # The library's white space is Unicode's.
     pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-    newer, first = _newer_letters()
     # The byte-level alphabet: printable bytes stand for themselves, others for the code points from 256 on.
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     alphabet = dict(zip((x for x in range(256) if x not in shown), map(chr, range(256, 512)), strict=False))
     model = full.model.tokenize
     memo: dict[str, bytes] = {}
 
+    def settled(text: str) -> bool:
+        """Whether all tables agree on the text's letters; nothing below U+0530 is new."""
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return max(text) < "\u0530" or not _newer_letters().search(text)
+        return True
+
     def plain(text: str) -> bool:
-        return (text.isascii() or max(text) < first or not newer.search(text)) and not any(s in text for s in special)
+        return settled(text) and not any(s in text for s in special)
 
     def run(texts: list[str]) -> list[bytes]:
         cut = [pieces(t) if plain(t) else None for t in texts]
@@ -178,10 +194,7 @@ def write(df: DataFrame, folder: str, json_path: str, end_id: int = 0, id_col: s
     src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        with open(json_path, encoding="utf-8") as f:
-            width = 2 if len(json.load(f)["model"]["vocab"]) + 16 < 65_536 else 4
+        width = id_width(json_path)
         run, task, end = encoder(json_path, pattern, width), TaskContext.get(), end_id.to_bytes(width, "little")
         fs, top = _open(folder)
         fs.create_dir(top, recursive=True)
