@@ -9,7 +9,8 @@ has no seam (a huge run without white space), the two chunks are encoded as one
 exact for any text. Decoding concatenates the bytes of the ids.
 
 Texts of one chunk never leave the task that read them; only chunks of longer ones are shuffled, so
-that a giant text is encoded by many tasks. Null text counts as empty; an empty text has no ids.
+that a giant text is encoded by many tasks. These are known by 96 bits of hash of row and text, so that a task that runs
+again makes the same rows; long rows that are equal in all columns are encoded once and counted. Null text counts as empty; an empty text has no ids.
 Rows with equal ids are separate rows.
 """
 
@@ -97,7 +98,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
                 part = pdf.iloc[at : at + BATCH]
-                yield part[own].assign(ids=[_ids(enc.encode_ordinary(t)) for t in part["text"]])
+                yield part[[*named]].assign(ids=[_ids(enc.encode_ordinary(t)) for t in part["text"]])
 
     short = src.where(F.length("text") <= chunk).mapInPandas(whole, f"{types}, ids binary")
 
@@ -124,9 +125,12 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             ids = [_ids(enc.encode_ordinary(text[lo:hi])) for text, lo, hi in zip(pdf["text"], pdf["lo"], pdf["hi"], strict=True)]
             yield pdf[["row", *own, "k"]].assign(ids=ids)
 
-    long = src.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-    dealt = long.mapInPandas(windows, f"row long, {types}, k int, last boolean, text string").repartition(F.col("row"), F.col("k"))
-    seen = staged(dealt.mapInPandas(pretokenise, f"row long, {types}, k int, last boolean, text string, heads array<int>, tails array<int>"), "bpe-chunks")
+    hashed = src.where(F.length("text") > chunk).groupBy(F.concat_ws("-", F.xxhash64(*own, "text"), F.hash(*own, "text")).alias("row"))
+    long = hashed.agg(*[F.first(c).alias(c) for c in (*own, "text")], F.count(F.lit(1)).alias("copies"))
+    long = long.select("row", *own, "copies", "text")
+    own, types = [*own, "copies"], f"{types}, copies long"
+    dealt = long.mapInPandas(windows, f"row string, {types}, k int, last boolean, text string").repartition(F.col("row"), F.col("k"))
+    seen = staged(dealt.mapInPandas(pretokenise, f"row string, {types}, k int, last boolean, text string, heads array<int>, tails array<int>"), "bpe-chunks")
     # The seam before chunk k: the first place that chunk k - 1 (tails) and chunk k (heads) both list.
     seam = (
         seen.select("row", (F.col("k") + 1).alias("k"), "tails")
@@ -159,12 +163,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
             (F.lit(chunk) * (F.size("parts") - 1) + F.coalesce(F.element_at("parts", -1)["next_seam"] + chunk, F.lit(chunk + overlap))).alias("hi"),
         )
     )
-    encoded = whole_runs.mapInPandas(pieces, f"row long, {types}, k int, ids binary")
+    encoded = whole_runs.mapInPandas(pieces, f"row string, {types}, k int, ids binary")
     joined = (
         encoded.groupBy("row")
         .agg(*[F.first(c).alias(c) for c in own], F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
         .select(*own, F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["ids"])).alias("ids"))
     )
+    joined = joined.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*named, "ids")
     return short.unionByName(joined).select(*[F.col(k).alias(c) for k, c in named.items()], "ids")
 
 
