@@ -5,7 +5,8 @@ pairs of neighbouring words, and its pairs with one or two words between them. W
 Spark; a task combines the hashes with numpy.
 
 The model is fitted on at most ``max_rows`` labelled texts, a documented bound: the rows of least hashed
-id. Shards of at most ``shard_rows`` of them are fitted in tasks of their own by FTRL-proximal with a learning
+id. Each text is made into its different feature slots before texts meet. Shards of about ``shard_rows`` of them, and of about
+``shard_slots`` slots, so that long texts make more shards, are fitted in tasks of their own by FTRL-proximal with a learning
 rate for each coordinate and L1 sparsity; their weights are averaged. Only weights other than zero are sent
 out, at most ``2 ** bits`` of them whatever the input. Scoring reads every whole text; ids, languages,
 sources and labels are never features.
@@ -25,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaitwork.llm._util import fresh, prepare, word_hashes
+from plaitwork.llm._util import fresh, prepare, staged, word_hashes
 
-BITS, MAX_ROWS, SHARD_ROWS, LOT_ROWS = 20, 16_384, 8_192, 256
+BITS, MAX_ROWS, SHARD_ROWS, SHARD_SLOTS, LOT_ROWS = 20, 16_384, 8_192, 32_000_000, 256
 ALPHA, BETA, L1, L2, EPOCHS, THRESHOLD = 2.0, 1.0, 8.0, 0.0, 4, 0.7
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -70,24 +71,31 @@ def fit(examples: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int =
     return weights(np.arange(size))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BITS, max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = BITS, max_rows: int = MAX_ROWS, shard_rows: int = SHARD_ROWS, shard_slots: int = SHARD_SLOTS) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights) other than zero, learned from the rows of ``labels`` for which ``learn`` holds."""
     prepare(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1)) if learn is None else labels.where(learn & F.col(label_col).isin(0, 1))
     known = known.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # the bound
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    ready = texts.select(F.xxhash64("id").alias("h"), "y", word_hashes(F.col("text")).alias("wh"))
-    n = sample.count()
-    if not n:
+    hashed = texts.select(F.xxhash64("id").alias("h"), "y", word_hashes(F.col("text")).alias("wh"))
+
+    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, LOT_ROWS):
+                part = batch.slice(at, LOT_ROWS)
+                rows = [np.unique(np.concatenate([*features(x.values.to_numpy(zero_copy_only=False), bits), [1 << bits]])).astype(np.int32) for x in part.column("wh")]
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("y"), pa.array(rows, pa.list_(pa.int32()))], names=["h", "y", "slots"])
+
+    ready = staged(hashed.mapInArrow(slots_of, "h long, y double, slots array<int>"), "toxicity-slots")
+    sizes = ready.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("slots")), F.lit(0)).alias("slots")).first()
+    if not sizes["rows"]:
         return np.empty(0, np.int64), np.empty(0)
-    shards = -(-n // shard_rows)
+    shards = max(-(-sizes["rows"] // shard_rows), -(-sizes["slots"] // shard_slots))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h")
-        bias = np.array([1 << bits])
-        rows = [np.concatenate([np.unique(np.concatenate(features(np.asarray(x, np.int64), bits))), bias]).astype(np.int32) for x in pdf["wh"]]
-        w = fit(rows, pdf["y"].to_numpy(), bits)
+        w = fit([np.asarray(x) for x in pdf["slots"]], pdf["y"].to_numpy(), bits)
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": at, "w": w[at]})
 
