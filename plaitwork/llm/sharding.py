@@ -4,7 +4,8 @@ Each row is hashed by its text into one of ``SLOTS`` fixed slots, and by its id
 of the slot. Bytes and rows are aggregated by slot and part, at most ``SLOTS * PARTS`` rows whatever the
 input. A slot is one item to place, so equal texts share a shard; only a slot that outweighs an
 even share of all bytes is placed part by part, so one text in a third of all rows can't overload a
-shard. Items go, largest first, to the shard that has the fewest bytes. The map is written with
+shard; at most as many slots as there are shards weigh that much, so the items to place are ``SLOTS`` and ``PARTS`` for each
+shard at most. Items go, largest first, to the shard that has the fewest bytes. The map is written with
 a version; ``rebalance`` edits it for a new number of shards or new bytes by moving few items.
 
 A null text counts as empty: its size is 1. Rows that repeat an id or text are placed like any other.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLOTS, PARTS = 4_096, 64
+SLOTS, PARTS = 4_096, 512
 
 
 def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
