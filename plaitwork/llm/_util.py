@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,11 +33,15 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-plaitwork-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return root.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-plaitwork-")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     _made.append((spark, path))
@@ -50,13 +55,29 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more; without any, all of this session's scratch tables.
+
+    Call it without tables once a query's result is written: until then the result may still read them.
+    """
+    gone = {p for t in tables for p in _paths(t)} if tables else {p for s, p in _made if s is spark}
+    for path in gone:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made[:] = [(s, p) for s, p in _made if p not in gone]
+
+
+def _paths(table: DataFrame) -> list[str]:
+    """The scratch folders that a staged table's files are in."""
+    own = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in table.inputFiles()}
+    return [p for _, p in _made if p.split(":", 1)[-1].lstrip("/") in own]
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for spark in {s for s, _ in _made}:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            drop_scratch(spark)
         except Exception:  # the session is gone
             return
 
@@ -110,17 +131,19 @@ def components(edges: DataFrame) -> DataFrame:
         hook = once.join(once.select(F.col("n").alias("p"), F.col("p").alias("pp")), "p").select("n", F.col("pp").alias("p"))
         hook = staged(hook, "hooks")
         left, right = hook.select(F.col("n").alias("a"), F.col("p").alias("pa")), hook.select(F.col("n").alias("b"), F.col("p").alias("pb"))
-        e = staged(
+        before, e = e, staged(
             e.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
             "edges",
         )
         if labels is None:
             labels = hook.select(F.col("n").alias("node"), F.col("p").alias("label"))
+            drop_scratch(e.sparkSession, before, once)
         else:
-            labels = staged(
+            old, labels = labels, staged(
                 labels.join(hook, labels.label == hook.n, "left").select("node", F.coalesce("p", "label").alias("label")),
                 "labels",
             )
+            drop_scratch(e.sparkSession, before, once, hook, old)
         turn += 1
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
