@@ -51,8 +51,15 @@ def texts(seed=1, n=60):
 
 
 def rows(seed=1, n=60):
-    """Ordinary rows, then a null text, an empty one, white space, a very long one, and repeated rows."""
+    """Ordinary rows, then a null text, an empty one, white space, a very long one, repeated rows, rows without an id, and
+    rows that share an id with another text."""
     made = [row(k, t) for k, t in enumerate(texts(seed, n))]
     long = prose(random.Random(9), 12_000)
     odd = [row(1_000, None), row(1_001, ""), row(1_002, " \n\t\n "), row(1_003, long), row(1_004, "x"), row(1_005, "éé 日本語 𝄞"), row(1_006, "one two three")]
-    return [*made, *odd, made[3], made[3], row(1_000, None), row(1_001, "")]
+    shared = [row(None, made[3][1]), row(None, "no id at all"), row(None, None), row(3, made[9][1]), row(9, "another text of nine"), row(1_003, long + " end")]
+    return [*made, *odd, made[3], made[3], row(1_000, None), row(1_001, ""), *shared]
+
+
+def order(k):
+    """Ids in order, null first."""
+    return k is not None, k or 0

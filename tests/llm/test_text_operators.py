@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -206,28 +207,35 @@ def test_suffix_dedup_never_gathers_a_big_group(spark, monkeypatch, tmp_path):
 
 
 def plain_neighbours(rows, n=5, threshold=0.8):
+    """{(id, text): (links, least id reached, kept)}, a document for each different row; null ids come last."""
     sets = {}
     for k, text, *_ in rows:
         w = corpus.words(text)
-        sets[k] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+        sets[k, text] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
     links = {a: {b for b in sets if a != b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])} for a in sets}
-    least = {}
+    found = {}
     for a in sets:
         seen, todo = {a}, [a]
         while todo:
             todo += links[(x := todo.pop())] - seen
             seen |= links[x]
-        least[a] = min(seen)
-    return {a: (len(links[a]), least[a], least[a] == a) for a in sets}
+        found[a] = (len(links[a]), min((k for k, _ in seen if k is not None), default=None), seen)
+    return found
+
+
+def plain_kept(found, kept):
+    """Whether ``kept`` has one document of each group, one of its least id."""
+    groups = {frozenset(x[2]): x[1] for x in found.values()}
+    return len(kept) == len(groups) and all(len(own := g & kept) == 1 and next(iter(own))[0] == least for g, least in groups.items())
 
 
 @pytest.mark.parametrize("block", [128, 2])
-def test_jaccard(docs, no_docs, block):
-    got = {r["doc_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in jaccard.near_duplicates(docs, block_docs=block).collect()}
-    want = plain_neighbours(corpus.rows())
-    assert got == want and max(v[0] for v in want.values()) > 1
-    kept = [r["doc_id"] for r in jaccard.keep_one(docs).collect()]
-    assert set(kept) == {k for k, v in want.items() if v[2]}
+def test_jaccard(spark, docs, no_docs, block):
+    found = plain_neighbours(corpus.rows())
+    got = Counter(tuple(r)[:3] for r in jaccard.near_duplicates(docs, block_docs=block).collect())
+    assert got == Counter((r[0], *found[r[0], r[1]][:2]) for r in corpus.rows()) and max(v[0] for v in found.values()) > 1
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.keep_one(docs).collect())
+    assert plain_kept(found, {*kept}) and all(n == sum((k, t) == (r[0], r[1]) for r in corpus.rows()) for (k, t), n in kept.items())
     assert jaccard.near_duplicates(no_docs).count() == 0
 
 
@@ -248,8 +256,8 @@ def test_jaccard_compares_only_blocks_that_share_a_bucket(spark):
         chain.append(chain[-1][2:] + [str(rng.random()) for _ in range(2)])
     group = [own[5][:k] + ["other"] + own[5][k:] for k in range(0, 40, 2)]
     rows = [(k, " ".join(w)) for k, w in enumerate([*chain, *group, *own[6:]])]
-    got = {r["doc_id"]: tuple(r)[1:] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=3).collect()}
-    assert got == plain_neighbours(rows)
+    got = {r["doc_id"]: tuple(r)[1:3] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block_docs=3).collect()}
+    assert got == {k: v[:2] for (k, _), v in plain_neighbours(rows).items()}
 
 
 def test_jaccard_plan():
@@ -342,16 +350,16 @@ def test_token_files(spark, docs, no_docs, tmp_path):
     full = Tokenizer.from_file(tokens.path("byte_bpe_50k.json"))
     folder = f"file://{tmp_path}/files"
     token_files.write(docs, folder, **file_options())
-    got = sorted((r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in token_files.read(spark, folder).collect())
+    got = sorted((corpus.order(r["doc_id"]), r["start"], r["n_tokens"], bytes(r["ids"])) for r in token_files.read(spark, folder).collect())
     start, want = 0, []
-    for k, text in sorted((r[0], r[1] or "") for r in corpus.rows()):
+    for k, text in sorted(((r[0], r[1] or "") for r in corpus.rows()), key=lambda x: (corpus.order(x[0]), x[1].encode())):
         ids = [*full.encode(text, add_special_tokens=False).ids, 0]
-        want.append((k, start, len(ids), bpe._ids(ids)))
+        want.append((corpus.order(k), start, len(ids), bpe._ids(ids)))
         start += len(ids)
     assert got == sorted(want)
-    some = spark.createDataFrame([(3,), (1_003,), (1_000,), (99_999,)], "doc_id long")
-    asked = sorted((r["doc_id"], r["start"], r["n_tokens"], bytes(r["ids"])) for r in token_files.read(spark, folder, some).collect())
-    assert asked == sorted(x for x in want if x[0] in (3, 1_003, 1_000))
+    some = spark.createDataFrame([(3,), (1_003,), (1_000,), (99_999,), (None,)], "doc_id long")
+    asked = sorted((corpus.order(r["doc_id"]), r["start"], r["n_tokens"], bytes(r["ids"])) for r in token_files.read(spark, folder, some).collect())
+    assert asked == sorted(x for x in want if x[0] in {*map(corpus.order, (3, 1_003, 1_000, None))})
     token_files.write(no_docs, f"{folder}-none", **file_options())
     assert token_files.read(spark, f"{folder}-none").count() == 0
 
@@ -407,6 +415,21 @@ def test_digests_of_queries(spark, docs, tmp_path):
     got = {r["doc_id"]: (r["decoded_sha256"], r["n_tokens"]) for r in registry.op2_bpe(spark, str(tmp_path)).collect()}
     assert got[1_000] == (hashlib.sha256(b"").hexdigest(), 0)
     totals = registry.op4_token_counts(spark, str(tmp_path))
-    left = {min(r[0] for r in corpus.rows() if (r[1] or "") == t) for t in {r[1] or "" for r in corpus.rows()}}
-    n = sum(1 for r in corpus.rows() if r[0] in left)
-    assert totals.where("tokenizer_version = 'words-1'").agg(F.sum("n_docs")).first()[0] == n
+    # All are inserted; copies of a smaller id's text go, by id, once.
+    least = {}
+    for r in corpus.rows():
+        if r[0] is not None:
+            least[r[1] or ""] = min(least.get(r[1] or "", r[0]), r[0])
+    gone = {r[0] for r in corpus.rows() if r[0] is not None and least[r[1] or ""] != r[0]}
+    enc = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    closed = lambda t: re.sub("[ \\t]{2,}", " ", t)
+    want = defaultdict(lambda: [0, 0])
+    revised = {(r[0], r[3], r[2], len(enc.encode_ordinary(closed(r[1])))) for r in corpus.rows() if r[1] and closed(r[1]) != r[1]}
+    entries = [(r[0], r[3], r[2], "words-1", len(corpus.words(r[1]))) for r in corpus.rows()]
+    entries += [(r[0], r[3], r[2], "bpe-multi-50k", len(enc.encode_ordinary(r[1] or ""))) for r in corpus.rows() if r[0] not in {x[0] for x in revised}]
+    entries += [(k, source, lang, "bpe-multi-50k", n) for k, source, lang, n in revised]
+    for k, source, lang, version, n in entries:
+        if k not in gone:
+            want[source, lang, version][0] += 1
+            want[source, lang, version][1] += n
+    assert {tuple(r)[:3]: list(r)[3:] for r in totals.collect()} == dict(want) and gone
