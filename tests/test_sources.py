@@ -1,3 +1,4 @@
+import random
 import pytest
 from plaitwork.functions import prep
 from plaitwork.operators import schedule
@@ -87,3 +88,32 @@ def test_summary_file(spark, tmp_path):
     text = "".join(p.read_text() for p in (tmp_path / "s").glob("*.csv"))
     assert text.splitlines()[0].split("\t") == ["batch", "app", "test", "status", "log"]
     assert "passed" in text and "failed(2)" in text
+
+
+def test_record_files_are_read_in_splits(spark, tmp_path):
+    """Records that span lines and splits, and files read in order of name."""
+    rng = random.Random(2)
+    tokens = [f"t{i}" + "x" * rng.randint(0, 60) for i in range(701)]
+    text = "".join(t + rng.choice([" ", "\n", "\n\n", "\t "]) for t in tokens)
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/a.txt").write_text(text[:9_000])
+    (tmp_path / "r/b.txt").write_text(text[9_000:] if text[8_999].isspace() or text[9_000].isspace() else " " + text[9_000:])
+    left, right = ((tmp_path / f"r/{n}.txt").read_text().split() for n in "ab")
+    tokens = [*left, *right]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = sorted(tuple(r) for r in records.read_records(spark, str(tmp_path / "r")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert got == [(k, tokens[2 * k], tokens[2 * k + 1][:32]) for k in range(len(tokens) // 2)]
+
+
+def test_written_results_are_read_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "sw", 5), (2, "nw", -3)], "seq_id long, app string, score int")
+    sinks.write_results(df, str(tmp_path / "scores"), by=["app"])
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "scores")).select("seq_id", "app", "score").collect()} == {(1, "sw", 5), (2, "nw", -3)}
+    sinks.write_texts(spark.createDataFrame([(2, "b c"), (1, "a"), (3, None)], "k int, t string"), "t", "k", str(tmp_path / "texts"))
+    assert [(r["label"], r["seq"]) for r in records.read_records(spark, str(tmp_path / "texts")).collect()] == [("a", "b")]
