@@ -35,18 +35,28 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW, id_col: str = "item_id",
 
 
 def text_windows(docs: DataFrame, id_col: str, text_col: str, sizes: list[int]) -> DataFrame:
-    """(id, row, row2, w, at, size, h): every window of the sizes of every text; at is its first word, from 0.
+    """(id, row, row2, w, pos, h): the hashes of every window of the sizes of every text, size by size; w are all its words.
 
-    A row of at -1 and h 0 stands for the text itself, so that texts without windows are there too.
+    A row of pos 0 and h 0 stands for the text itself, so that texts without windows are there too. The hashes are made
+    before they are exploded: rows then have the words by reference, and only those that are used copy any.
     """
     keys = [k.alias(c) for k, c in zip(text_key(id_col, text_col), ROW, strict=True)]
     cut = docs.select(F.struct(F.col(id_col).alias("id"), *keys).alias("own"), words(F.col(text_col)).alias("words"))
     src = held(held(cut, "w", F.col("words")).drop("words"), "wh", F.transform("w", lambda x: F.xxhash64(x)))
-    each = [F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("h")))]
+    each = [F.array(F.lit(0).cast("long"))]
     for k in sizes:
-        starts = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k)).otherwise(F.array().cast("array<int>"))
-        each.append(F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(k).alias("size"), F.xxhash64(F.slice("wh", i + 1, k)).alias("h"))))  # noqa: B023
-    return src.select("own", "w", F.explode(F.concat(*each)).alias("p")).select("own.*", "w", "p.*")
+        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - k + 1)).otherwise(F.array().cast("array<int>"))
+        each.append(F.transform(starts, lambda i: F.xxhash64(F.slice("wh", i, k))))  # noqa: B023
+    return held(src, "hashes", F.concat(*each)).drop("wh").select("own", "w", F.posexplode("hashes").alias("pos", "h")).select("own.*", "w", "pos", "h")
+
+
+def window_place(sizes: list[int]) -> tuple[Column, Column]:
+    """(at, size) of ``text_windows``' pos: its first word, from 0, and its words; -1 and 0 for the text itself."""
+    at, size, before = F.when(F.col("pos") == 0, -1), F.when(F.col("pos") == 0, 0), F.lit(1)
+    for k in sizes:
+        until = before + F.greatest(F.size("w") - k + 1, F.lit(0))
+        at, size, before = at.when(F.col("pos") < until, F.col("pos") - before), size.when(F.col("pos") < until, k), until
+    return at.alias("at"), size.alias("size")
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, n: int, max_set: int) -> tuple[DataFrame, DataFrame]:
@@ -55,18 +65,20 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: s
     grams = staged(item_windows(benchmark, n), "benchmark-windows")
     sizes = [r["size"] for r in grams.select("size").distinct().orderBy("size").collect()]  # at most n
     known = grams.select("h").distinct()
-    each = text_windows(docs, id_col, text_col, sizes)
-    keep = [F.size("w").cast("long").alias("n_words"), F.when(F.col("at") >= 0, F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.greatest("size", F.lit(1))))).alias("gram")]
+    each, place = text_windows(docs, id_col, text_col, sizes), window_place(sizes)
+    full = lambda rows: rows.select("id", *ROW, "w", *place).select(
+        "id", *ROW, "at", "size", F.size("w").cast("long").alias("n_words"), F.when(F.col("at") >= 0, F.concat_ws(" ", F.slice("w", F.col("at") + 1, F.greatest("size", F.lit(1))))).alias("gram")
+    )
     if known.count() <= max_set:
         own = known.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("h"))).distinct()
-        passed = each.join(F.broadcast(own), "h").select("id", *ROW, "at", "size", *keep)
+        passed = full(each.join(F.broadcast(own), "h"))
     else:
-        rest = each.where("at < 0").select("id", *ROW, "at", "size", *keep)
         # Windows meet without their words, which are fetched for those that pass.
-        met = each.where("at >= 0").select(*ROW, "at", "size", "h").join(known.hint("merge"), "h").groupBy(*ROW).agg(F.collect_set(F.struct("at", "size")).alias("own"))
+        met = each.where("pos > 0").select(*ROW, "pos", "h").join(known.hint("merge"), "h").groupBy(*ROW).agg(F.collect_set("pos").alias("own"))
         texts = docs.select(F.col(id_col).alias("id"), *[k.alias(c) for k, c in zip(text_key(id_col, text_col), ROW, strict=True)], F.col(text_col).alias("text"))
-        asked = texts.join(met, ROW).select("id", *ROW, words(F.col("text")).alias("w"), F.explode("own").alias("p"))
-        passed = rest.unionByName(asked.select("id", *ROW, "w", "p.*").select("id", *ROW, "at", "size", *keep))
+        asked = texts.join(met, ROW).select("id", *ROW, words(F.col("text")).alias("words"), "own")
+        asked = held(asked, "w", F.col("words")).select("id", *ROW, "w", F.explode("own").alias("pos"))
+        passed = full(each.where("pos = 0")).unionByName(full(asked))
     passed = staged(passed, "benchmark-hits")
     items = staged(grams.groupBy("gram").agg(F.collect_set("item").alias("items")), "benchmark-items")
     hits = passed.where("at >= 0").select(*ROW, "at", "size", "gram").join(items, "gram").drop("gram")
