@@ -14,8 +14,8 @@ together. One row a suffix would be some ten times the text, so the suffixes are
   each anchor's group, ordered by most-significant-digit passes of 8 bytes through ``span`` bytes. A pass orders inside the
   groups of the pass before and drops the suffixes that are alone; the groups left at the end are exactly the
   repeated windows. One copy of each different run is enough there. A group with over ``BIG_GROUP`` of them is never
-  brought together: the task that cuts its runs from the texts sends one row for each window, by window hash, and
-  repeats are counted by that hash alone.
+  brought together: the task that cuts its runs from the texts settles what is repeated there, and deals the rest by window
+  hash, packed in a row for each of as many buckets as there are ``BUCKET`` windows; a bucket counts repeats by hash.
 
 Before the deal, a task settles the runs that it holds twice: it sends one of them under their anchor, marked
 as repeated, and the others under keys of their own, so a passage in a third of all texts gives its
@@ -40,7 +40,10 @@ from pyspark.sql import functions as F
 
 from plaitwork.llm._util import prepare, staged
 
-SPAN, GRAM, BIG_GROUP, SEGMENT = 200, 32, 1_000, 1_000_000
+SPAN, GRAM, BIG_GROUP, BUCKET, SEGMENT = 200, 32, 1_000, 500_000, 1_000_000
+
+#: A window of a big group: its hash, its text's key, its start, and 2 where it speaks for windows that are settled, else 1.
+WINDOW = np.dtype([("h", "<u8"), ("h2", "<u8"), ("row", "<i8"), ("row2", "<i4"), ("a", "<i4"), ("n", "<i4")])
 
 _RNG = np.random.default_rng(77)
 _TABLES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -178,11 +181,10 @@ def repeated_windows(blobs: list[bytes], copies: np.ndarray, anchors: np.ndarray
     return np.split(found[at], np.cumsum(sizes - span + 1)[:-1])
 
 
-def window_rows(pdf: pd.DataFrame, span: int) -> pd.DataFrame:
-    """A row for each different window of a lot of runs, by its hash, and one for each stretch repeated in the lot.
+def window_rows(pdf: pd.DataFrame, span: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Rows (bucket, windows, row, row2, a, b) of a lot of runs, others null: packed windows for a bucket, or a text's stretches that are settled.
 
-    n is 1 for the only window of its kind here, which is open; 2 for one that speaks for settled windows; 3 for
-    a settled stretch of windows, which has a key of its own.
+    A window is sent once, however often it is in the lot; windows that are there twice are settled but for one that speaks for them.
     """
     copies = pdf["copies"].to_numpy()
     owner, offset, h, h2 = hashed_windows(pdf["blob"].tolist(), span)
@@ -190,15 +192,39 @@ def window_rows(pdf: pd.DataFrame, span: int) -> pd.DataFrame:
     n = np.minimum(np.bincount(code, weights=copies[owner]), 2).astype(np.int32)
     row, row2 = (pdf[c].to_numpy()[owner] for c in ("row", "row2"))
     a = pdf["first"].to_numpy()[owner] + offset
-    made = [pd.DataFrame({"h": h[lead], "h2": h2[lead], "row": row[lead], "row2": row2[lead], "a": a[lead], "b": a[lead] + span, "n": n})]
-    at = np.flatnonzero((n[code] > 1) & (copies[owner] == 1))
-    if len(at):
-        new = np.flatnonzero(np.r_[True, (owner[at][1:] != owner[at][:-1]) | (offset[at][1:] != offset[at][:-1] + 1)])
-        x, last = at[new], at[np.r_[new[1:] - 1, len(at) - 1]]
-        key = _mix(row[x].view(np.uint64) + _mix(a[x].astype(np.uint64)))
-        made.append(pd.DataFrame({"h": key, "h2": _mix(key + row2[x].astype(np.uint64)), "row": row[x], "row2": row2[x], "a": a[x], "b": a[last] + span, "n": 3}))
-    out = pd.concat(made, ignore_index=True)
-    return out.assign(h=out["h"].to_numpy(np.uint64).view(np.int64), h2=out["h2"].to_numpy(np.uint64).view(np.int64))
+    packed = np.empty(len(lead), WINDOW)
+    for c, x in (("h", h[lead]), ("h2", h2[lead]), ("row", row[lead]), ("row2", row2[lead]), ("a", a[lead]), ("n", n)):
+        packed[c] = x
+    bucket = (packed["h"] % np.uint64(buckets)).astype(np.int64)
+    own = np.unique(bucket)
+    none = lambda k: [None] * k
+    yield pd.DataFrame({"bucket": own, "windows": [packed[bucket == k].tobytes() for k in own], **{c: none(len(own)) for c in ("row", "row2", "a", "b")}})
+    settled = np.flatnonzero((n[code] > 1) & (copies[owner] == 1))
+    if len(settled):
+        found = stretches(row[settled], row2[settled], a[settled], span)
+        yield pd.DataFrame({"bucket": none(len(found)), "windows": none(len(found)), **{c: found[c] for c in ("row", "row2", "a", "b")}})
+
+
+def stretches(row: np.ndarray, row2: np.ndarray, a: np.ndarray, span: int) -> pd.DataFrame:
+    """(row, row2, a, b) for each text: the starts and ends of its maximal stretches of windows, as lists."""
+    order = np.lexsort((a, row2, row))
+    row, row2, a = row[order], row2[order], a[order]
+    other = np.r_[True, (row[1:] != row[:-1]) | (row2[1:] != row2[:-1])]
+    new = np.flatnonzero(other | np.r_[True, a[1:] > a[:-1] + 1])
+    last = np.r_[new[1:] - 1, len(a) - 1]
+    texts = np.flatnonzero(other)
+    cut = np.searchsorted(new, texts[1:])
+    return pd.DataFrame({"row": row[texts], "row2": row2[texts], "a": np.split(a[new].astype(np.int32), cut), "b": np.split((a[last] + span).astype(np.int32), cut)})
+
+
+def repeated_in_bucket(parts: list[bytes], span: int) -> pd.DataFrame:
+    """The stretches of the windows of a bucket that are there again."""
+    w = np.frombuffer(b"".join(parts), WINDOW)
+    w = w[np.lexsort((w["h2"], w["h"]))]
+    new = np.flatnonzero(np.r_[True, (w["h"][1:] != w["h"][:-1]) | (w["h2"][1:] != w["h2"][:-1])])
+    total = np.repeat(np.add.reduceat(w["n"], new), np.diff(np.r_[new, len(w)]))
+    w = w[(total > 1) & (w["n"] == 1)]
+    return stretches(w["row"], w["row2"], w["a"], span) if len(w) else pd.DataFrame({"row": [], "row2": [], "a": [], "b": []})
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
@@ -288,15 +314,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 2_048):
-                yield window_rows(pdf.iloc[at : at + 2_048], span)
+                yield from window_rows(pdf.iloc[at : at + 2_048], span, buckets)
 
     edge = blobs(edges.where(F.col("kinds") <= big_group)).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(settle, "row long, row2 int, a int, b int")
+    each = full.unionByName(edge).select(*row, F.array(F.struct("a", "b")).alias("spans"))
     big = edges.where(F.col("kinds") > big_group)
-    if not big.isEmpty():
-        sent = blobs(big).mapInPandas(scatter, "h long, h2 long, row long, row2 int, a int, b int, n int")
-        total = sent.withColumn("total", F.sum("n").over(Window.partitionBy("h", "h2")))
-        edge = edge.unionByName(total.where("n = 3 or n = 1 and total > 1").select(*row, "a", "b"))
-    spans = full.unionByName(edge).groupBy(*row).agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # bounded by the text
+    windows = big.agg(F.sum("count")).first()[0]
+    if windows:
+        buckets = -(-windows // BUCKET)
+        pairs = "row long, row2 int, a array<int>, b array<int>"
+        sent = staged(blobs(big).mapInPandas(scatter, f"bucket long, windows binary, {pairs}"), "windows")
+        met = sent.where("bucket is not null").groupBy("bucket").applyInPandas(lambda pdf: repeated_in_bucket(pdf["windows"].tolist(), span), pairs)
+        settled = sent.where("bucket is null").select(*row, "a", "b").unionByName(met)
+        each = each.unionByName(settled.select(*row, F.arrays_zip("a", "b").alias("spans")))
+    spans = each.groupBy(*row).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # bounded by the text
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
