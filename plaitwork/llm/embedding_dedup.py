@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from plaitwork.llm._util import components, prepare, staged
 from plaitwork.llm.jaccard import forest
 
-THRESHOLD, NET_ROWS, BLOCK_BYTES, NODE_ROWS, TREES = 0.9, 2_048, 4_194_304, 32, 8
+THRESHOLD, NET_ROWS, BLOCK_BYTES, NODE_ROWS, TREES, LOOKED = 0.9, 1_024, 4_194_304, 32, 8, 131_072
 #: Rounding of distances between unit vectors in double precision is far below this.
 SLACK = 1e-6
 
@@ -105,26 +105,28 @@ class Tree:
 
 def open_leaves(a: Tree, b: Tree, reach: float) -> tuple[np.ndarray, np.ndarray, int]:
     """The dual traversal of two trees of as many levels: pairs of leaves that no bound prunes, and how many bounds were looked at."""
-    i, j, looked = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    i, j, looked = np.zeros(1, np.int32), np.zeros(1, np.int32), 0  # the root above both tops
     for level in range(len(a.centres)):
-        if level == 0:
-            i, j = (k.ravel() for k in np.meshgrid(np.arange(len(a.centres[0])), np.arange(len(b.centres[0])), indexing="ij"))
-        else:
-            # All pairs of children of the open pairs: parents are sorted, so children are ranges.
-            lo_a, lo_b = (np.searchsorted(t.parents[level], np.arange(len(t.centres[level - 1]) + 1)) for t in (a, b))
-            n_a, n_b = lo_a[i + 1] - lo_a[i], lo_b[j + 1] - lo_b[j]
-            pair = np.repeat(np.arange(len(i)), n_a * n_b)
-            at = np.arange(len(pair)) - np.repeat(np.cumsum(n_a * n_b) - n_a * n_b, n_a * n_b)
-            i, j = lo_a[i[pair]] + at // n_b[pair], lo_b[j[pair]] + at % n_b[pair]
-        looked += len(i)
-        kept = []
-        for k in range(0, len(i), 262_144):
-            p, q = i[k : k + 262_144], j[k : k + 262_144]
+        # Children of the open pairs, ``LOOKED`` at a time: parents are sorted, so children are ranges.
+        lo_a, lo_b = (np.searchsorted(t.parents[level], np.arange((len(t.centres[level - 1]) if level else 1) + 1)) for t in (a, b))
+        count = np.diff(lo_a)[i]
+        left = (np.repeat(lo_a[i] - (np.cumsum(count) - count), count) + np.arange(count.sum())).astype(np.int32)
+        up = np.repeat(j, count)
+        size = np.diff(lo_b)[up]
+        upto = np.cumsum(size)
+        kept_i, kept_j, at = [], [], 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + LOOKED, side="right")))
+            n = size[at:to]
+            p = np.repeat(left[at:to], n)
+            q = np.repeat(lo_b[up[at:to]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             apart = np.sqrt(np.maximum(2.0 - 2.0 * np.einsum("ij,ij->i", a.points[level][p], b.points[level][q]), 0.0))
             r, s = a.radii[level][p], b.radii[level][q]
-            kept.append((apart <= r + s + reach + SLACK) & (r >= 0) & (s >= 0))
-        keep = np.concatenate(kept) if kept else np.zeros(0, bool)
-        i, j = i[keep], j[keep]
+            keep = (apart <= r + s + reach + SLACK) & (r >= 0) & (s >= 0)
+            kept_i.append(p[keep].astype(np.int32))
+            kept_j.append(q[keep].astype(np.int32))
+            looked, at = looked + len(p), to
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (kept_i, kept_j))
     return i, j, looked
 
 
@@ -247,7 +249,8 @@ def _links(classes: DataFrame, dim: int, count: int, threshold: float, net_rows:
     lot_at = np.full(len(tree.centres[-1]), -1)
     lot_at[leaves] = lot_of
     a, b = lot_at[i], lot_at[j]
-    open_lots = np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)], axis=0)
+    width = int(lot_of.max(initial=0)) + 1
+    open_lots = np.stack(np.divmod(np.unique(np.minimum(a, b) * width + np.maximum(a, b)), width), axis=1)
     places = spark.createDataFrame(pd.DataFrame({"leaf": leaves.astype(np.int32), "lot": lot_of, "parts": parts[lot_of].astype(np.int32)}))
     blocks = placed.join(F.broadcast(places), "leaf")
     pairs = spark.createDataFrame(pd.DataFrame({"i": open_lots[:, 0], "j": open_lots[:, 1], "m": parts[open_lots[:, 0]].astype(np.int32), "n": parts[open_lots[:, 1]].astype(np.int32)}))
