@@ -78,9 +78,13 @@ Lot = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _cut(queries: Texts, refs: Texts, count: Callable[[int, int], int]) -> Iterator[np.ndarray]:
-    """Places of pairs whose lengths are alike on both sides, ``count(m, n)`` at a time."""
+    """Places of pairs whose lengths are alike on both sides, ``count(m, n)`` at a time.
+
+    Few pairs share a lot more freely: a step over a narrow lot costs more than the padding of a wider one.
+    """
     m, n = queries.sizes, refs.sizes
-    kind = np.floor(np.log(np.c_[m, n] + 1) / np.log(1.25)).astype(np.int64)
+    ratio = 1.25 if len(m) >= 4_096 else 2.0 if len(m) >= 1_000 else 3.0
+    kind = np.floor(np.log(np.c_[m, n] + 1) / np.log(ratio)).astype(np.int64)
     order = np.lexsort((m, n, kind[:, 0], kind[:, 1]))
     for own in np.split(order, np.flatnonzero((np.diff(kind[order], axis=0) != 0).any(axis=1)) + 1):
         if len(own):
