@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from plaitwork.llm._util import components, prepare, staged
 from plaitwork.llm.jaccard import forest
 
-THRESHOLD, NET_ROWS, BLOCK_BYTES, NODE_ROWS, TREES, LOOKED = 0.9, 1_024, 4_194_304, 32, 8, 131_072
+THRESHOLD, NET_ROWS, BLOCK_BYTES, NODE_ROWS, TREES, LOOKED = 0.9, 1_024, 2_097_152, 32, 8, 131_072
 #: Rounding of distances between unit vectors in double precision is far below this.
 SLACK = 1e-6
 
