@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaitwork.llm import bpe, decontaminate, embedding_dedup, jaccard, line_dedup, sharding, suffix_dedup, token_counts, token_files, toxicity
+from plaitwork.llm import bpe, conversation, decontaminate, embedding_dedup, jaccard, line_dedup, sharding, spelling, suffix_dedup, token_counts, token_files, toxicity
 from plaitwork.llm._util import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,6 +189,86 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation.repair(conversation.damage(turns), turns)
+
+
+#: DuckDB has no crc32: its table by the rule, and the fold over a text's bytes.
+_CRC_TABLE = """crc as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end), b)) crc)"""
+
+
+def _crc(hexed: str) -> str:
+    bytes_of = f"list_transform(range(length({hexed}) // 2), lambda i: cast('0x' || substr({hexed}, 2 * i + 1, 2) as bigint))"
+    return f"xor(list_reduce({bytes_of}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _edit(edit: str, cost: str, after: str) -> str:
+    """Costs are eight digits before the edits, so that the least string is the cheapest, then the ASCII-least."""
+    return f"lpad(cast(cast(substr({after}, 1, 8) as int) + {cost} as varchar), 8, '0') || '{edit}' || substr({after}, 9)"
+
+
+def _way(state: int) -> str:
+    following = (2, 2, 3, 2)[state]
+    kept = {0: "case r when 's' then v1 when 'u' then v2 end", 2: "case r when 'a' then v3 end"}.get(state, "case r when 'u' then v2 end")
+    stay = f"case when f in (0, 3) then coalesce({_edit('K', 'cut', f'({kept})')}, '~') else '~' end, case when f in (0, 3) then {_edit('R', '3 + cut', f'v{following}')} else '~' end"
+    return f"least({_edit('D', '4', f'v{state}')}, {stay}) b{state}"
+
+
+_INSERTED = ", ".join(f"least(b{s}, {_edit('I', '3', f'b{t}')}, {_edit('II', '6', f'b{u}')}, {_edit('III', '9', f'b{w}')}) v{s}" for s, t, u, w in ((0, 2, 3, 2), (1, 2, 3, 2), (2, 3, 2, 3), (3, 2, 3, 2)))
+
+OP11_SQL = rf"""
+with recursive {_CRC_TABLE},
+h as (select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, hex(encode(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '))) x from conversations),
+k as (select conv_id, turn, role, text, {_crc('x')} % 20 k from h, crc),
+d as (select conv_id, turn, case when k = 4 then 'user' else role end role, case k when 1 then '' when 2 then translate(text, '.!?', '') else text end text,
+  unnest(range(case k when 0 then 0 when 3 then 2 else 1 end)) copy from k),
+c as (select conv_id, row_number() over () c from (select distinct conv_id from conversations)),
+o as (select c, turn, role, text, substr(role, 1, 1) r, row_number() over (partition by c order by turn nulls first, role, md5(text), copy) i from d join c on d.conv_id is not distinct from c.conv_id),
+t as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when row_number() over (partition by c, role, text order by i) > 1 then 2
+  when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 3 else 0 end f, lag(r) over (partition by c order by i) before from o),
+s as (select c, count(*) n, max(turn) - min(turn) + 1 - count(distinct turn) gaps, count(*) filter (f = 1) blank, count(*) filter (f = 2) dup, count(*) filter (f = 3) cut,
+  count(*) filter (i > 1 and before || r not in ('su', 'ua', 'au')) illegal from t group by c),
+w(c, i, v0, v1, v2, v3) as (select c, n, '00000000', '00000006II', '00000003I', '00000000' from s
+  union all select c, i - 1, {_INSERTED} from (
+    select c, i, {', '.join(map(_way, range(4)))} from (select w.*, r, f, case when f = 3 then 3 else 0 end cut from w join t using (c, i)) w) w),
+a as (select c, cast(substr(v0, 1, 8) as bigint) cost, substr(v0, 9) audit from w where i = 0),
+g(c, p, i, s, lines) as (select c, 0, 0, 0, cast([] as varchar[]) from a
+  union all select c, p + 1, case when e = 'I' then i else i + 1 end,
+    case when e = 'D' then s when e = 'K' then case substr(role, 1, 1) when 's' then 1 when 'u' then 2 else 3 end when s = 2 then 3 else 2 end,
+    case when e = 'D' then lines else list_append(lines, case when e = 'K' then role when s = 2 then 'assistant' else 'user' end || ':' || case when e = 'I' then '' else text end) end
+  from (select g.*, substr(audit, p + 1, 1) e, t.role, t.text from g join a using (c) left join t on t.c = g.c and t.i = g.i + 1 where p < length(audit)))
+select c.conv_id, cast(coalesce(gaps, 0) as bigint) gaps, coalesce(blank, 0) blank, coalesce(dup, 0) duplicate, coalesce(cut, 0) truncated, coalesce(illegal, 0) illegal,
+  coalesce(cost, 0) cost, coalesce(audit, '') audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) repaired_sha256
+from c left join s using (c) left join a using (c) left join g on g.c = a.c and g.p = length(audit)
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = rf"""
+with recursive {_CRC_TABLE},
+r as (select doc_id, run, count(*) c from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) run from documents)
+  where length(run) >= 5 group by doc_id, run),
+x as (select run, c, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) x from r),
+h as (select run, c, {_crc('x')} h from x, crc),
+w as (select word, cast(sum(c) as bigint) n from (select c, case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2, length(run)) else run end word from h)
+  where length(word) >= 5 group by word having sum(c) >= 3),
+d as (select word, i, substr(word, 1, i) || substr(word, i + 2, length(word)) cut from (select word, unnest(range(length(word))) i from w)),
+p as (select a.word x, b.word y from d a join d b on a.i = b.i and a.cut = b.cut and a.word <> b.word
+  union select d.word, w.word from d join w on d.cut = w.word union select w.word, d.word from d join w on d.cut = w.word),
+b as (select x, count(*) n_near, max(n) n from p join w on p.y = w.word group by x),
+f as (select x word, min(y) form, any_value(b.n) form_n, any_value(b.n) >= 2 * any_value(v.n) led from p join b using (x) join w on w.word = p.y and w.n = b.n join w v on v.word = x group by x),
+l as (select word, form, form_n from f where led),
+z(word, root) as (select word, form from l union all select z.word, l.form from z join l on l.word = z.root),
+e as (select word, root from z where root not in (select word from l))
+select w.word, l.form, coalesce(e.root, w.word) root, w.n, coalesce(b.n_near, 0) n_near, l.form_n
+from w left join b on b.x = w.word left join l on l.word = w.word left join e on e.word = w.word
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
@@ -200,9 +280,19 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
-SQL: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op3_decontamination": OP3_SQL, "op5_suffix_dedup": OP5_SQL, "op6_ngram_jaccard": OP6_SQL, "op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {
+    "op1_embedding_dedup": OP1_SQL,
+    "op3_decontamination": OP3_SQL,
+    "op5_suffix_dedup": OP5_SQL,
+    "op6_ngram_jaccard": OP6_SQL,
+    "op9_line_dedup": OP9_SQL,
+    "op11_conversation_repair": OP11_SQL,
+    "op12_spelling_variants": OP12_SQL,
+}
 
 
 def queries() -> dict[str, Query]:
