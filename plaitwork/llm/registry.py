@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaitwork.llm import bpe, conversation, decontaminate, embedding_dedup, jaccard, line_dedup, sharding, spelling, suffix_dedup, token_counts, token_files, toxicity
+from plaitwork.llm import bpe, conversation, decontaminate, embedding_dedup, html_extract, jaccard, line_dedup, sharding, spelling, suffix_dedup, token_counts, token_files, toxicity
 from plaitwork.llm._util import scratch_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,6 +269,10 @@ from w left join b on b.x = w.word left join l on l.word = w.word left join e on
 """
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_bpe": op2_bpe,
@@ -282,6 +286,7 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 SQL: dict[str, str] = {
