@@ -478,10 +478,45 @@ def chain_scores(x: np.ndarray, y: np.ndarray, there: np.ndarray, lengths: np.nd
         lo = max(0, i - lookback)
         new = np.full(c, ANCHOR_SCORE, np.int64)
         if lo < i and c:
-            # Compared first: a difference of far numbers may not fit, and is then huge.
-            ok = (x[:c, [i]] > x[:c, lo:i]) & (y[:c, [i]] > y[:c, lo:i]) & there[:c, [i]] & there[:c, lo:i]
-            dx, dy = (np.where(v[:c, [i]] - v[:c, lo:i] < 0, np.iinfo(np.int64).max, v[:c, [i]] - v[:c, lo:i]) for v in (x, y))
-            gain = step_scores(np.where(ok, dx, 0), np.where(ok, dy, 0))
-            new = np.maximum(new, np.where(ok, f[:c, lo:i] + gain, ANCHOR_SCORE).max(axis=1))
+            gain = _gains(x[:c], y[:c], there[:c], i, lo)
+            new = np.maximum(new, np.where(gain > NEVER, f[:c, lo:i] + gain, ANCHOR_SCORE).max(axis=1))
         f[:c, i] = np.where(i < done[:c], f[:c, i], new)
     return f
+
+
+#: Less than any score, and far enough from the least 64-bit number to add to.
+NEVER = -(2**60)
+
+
+def chain_transfers(x: np.ndarray, y: np.ndarray, there: np.ndarray, lengths: np.ndarray, lookback: int) -> np.ndarray:
+    """What runs of anchors make of the scores before them: (runs, lookback, lookback + 1).
+
+    A row of each matrix is a run with the ``lookback`` anchors before it in front. [c, k, j] is what the k-th of run c's last ``lookback``
+    anchors gains on the j-th anchor before the run, and [c, k, lookback] its score without any of those. Runs are in order of falling length.
+    """
+    last = np.full((len(x), lookback, lookback + 1), NEVER, np.int64)
+    last[:, np.arange(lookback), np.arange(lookback)] = 0
+    for i in range(lookback, x.shape[1]):
+        c = int(np.searchsorted(-lengths, -i, side="left"))  # runs with more than i anchors
+        if not c:
+            break
+        gain = _gains(x[:c], y[:c], there[:c], i, i - lookback)
+        new = np.where((gain > NEVER)[..., None], last[:c] + gain[..., None], NEVER).max(axis=1)
+        new = np.where(new < NEVER // 2, NEVER, new)
+        new[:, lookback] = np.maximum(new[:, lookback], ANCHOR_SCORE)
+        last[:c, :-1] = last[:c, 1:]
+        last[:c, -1] = new
+    return last
+
+
+def _gains(x: np.ndarray, y: np.ndarray, there: np.ndarray, i: int, lo: int) -> np.ndarray:
+    """What anchor i adds to chains that end in anchors lo to i - 1; ``NEVER`` where it can't follow."""
+    ok = (x[:, [i]] > x[:, lo:i]) & (y[:, [i]] > y[:, lo:i]) & there[:, [i]] & there[:, lo:i]
+    # Compared first: a difference of far numbers may not fit, and is then huge.
+    dx, dy = (np.where(v[:, [i]] - v[:, lo:i] < 0, np.iinfo(np.int64).max, v[:, [i]] - v[:, lo:i]) for v in (x, y))
+    return np.where(ok, step_scores(np.where(ok, dx, 0), np.where(ok, dy, 0)), NEVER)
+
+
+def after_run(transfer: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Scores of a run's last anchors, from those of the anchors before it."""
+    return (transfer + np.r_[scores, 0]).max(axis=1)

@@ -11,11 +11,17 @@ from plaitwork.operators.align import nw_scores
 
 
 def mismatches(actual: DataFrame, expected: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, actual, expected) where the two differ or one has no row; nulls are equal to each other."""
-    a = actual.select(*keys, F.col(value).alias("actual"), F.lit(True).alias("__a"))
-    e = expected.select(*keys, F.col(value).alias("expected"), F.lit(True).alias("__e"))
-    both = a.join(e, keys, "full_outer")
-    return both.where(F.col("__a").isNull() | F.col("__e").isNull() | ~F.col("actual").eqNullSafe(F.col("expected"))).select(*keys, "actual", "expected")
+    """(keys, actual, expected) where the two differ or one has no row; nulls are equal to each other, as keys and as values.
+
+    Rows that repeat a key are compared each with each.
+    """
+    if {k.lower() for k in keys} & {"actual", "expected"}:
+        raise ValueError("actual and expected are columns of the result; rename the keys")
+    side = lambda df, name: df.select(*[F.col(k).alias(f"__{name}{i}") for i, k in enumerate(keys)], F.col(value).alias(name), F.lit(True).alias(f"__{name}"))
+    same = [F.col(f"__actual{i}").eqNullSafe(F.col(f"__expected{i}")) for i in range(len(keys))]
+    both = side(actual, "actual").join(side(expected, "expected"), same, "full_outer")
+    names = [F.coalesce(f"__actual{i}", f"__expected{i}").alias(k) for i, k in enumerate(keys)]
+    return both.where(F.col("__actual").isNull() | F.col("__expected").isNull() | ~F.col("actual").eqNullSafe(F.col("expected"))).select(*names, "actual", "expected")
 
 
 def verdict(actual: DataFrame, expected: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -134,6 +134,18 @@ def chain_sql(lookback: int) -> str:
     return f"with recursive {ANCHORS}, {chain_cte(lookback)} select chain_id, idx, x, y, cast(score as int) score from cs"
 
 
+def one_chain_sql(lookback: int) -> str:
+    """All events as one chain: the recursion carries the last scores only, and each step is a row."""
+    dx, dy = "xs[i + 1] - xs[j]", "ys[i + 1] - ys[j]"
+    step = f"case when {dx} > 0 and {dy} > 0 then f[len(f) - (i - j)] + least({dx}, {dy}, 15) - {_COST.format(dx=f'({dx})', dy=f'({dy})')} else 15 end"
+    new = f"greatest(15, coalesce(list_max(list_transform(range(greatest(1, i - {lookback} + 1), i + 1), lambda j: {step})), 15))"
+    return f"""with recursive {ANCHORS},
+g as (select list(x order by idx) xs, list(y order by idx) ys from a),
+c(i, f) as (select 0, cast([] as bigint[]) union all select i + 1, list_append(case when len(f) >= {lookback} then f[2:] else f end, {new}) from c, g where i < len(xs)),
+n as (select *, row_number() over (order by idx) i from a)
+select 0 chain_id, idx, x, y, f[-1] score from c join n using (i)"""
+
+
 def edges_sql(lookback: int) -> str:
     return f"""with {ANCHORS}, n as (select *, row_number() over (partition by chain_id order by idx) k from a)
 select b.chain_id, b.idx, c.idx prev, cast(least(b.x - c.x, b.y - c.y, 15) as int) gain, cast({_COST.format(dx='(b.x - c.x)', dy='(b.y - c.y)')} as int) cost

@@ -11,7 +11,7 @@ from plaitwork.functions import prep
 from plaitwork.operators import align, chain, checks, schedule
 from plaitwork.plans import oracle as O
 from plaitwork.plans.workload import event_anchors, part_pairs, record_pairs, table, turn_pairs
-from plaitwork.sources import generators, records, sinks
+from plaitwork.sources import generators, records, scratch, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 RECORD, TURN, PART = ["doc_id", "rec"], ["conv_id", "turn"], ["p_partkey"]
@@ -49,13 +49,31 @@ def sw_score_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.sw_scores(turn_pairs(spark, sf_dir)).select(*TURN, "score")
 
 
+@_query(O.sw_sql(O.TURN_PAIRS, O.TURN_KEYS))
+def sw_score_scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with the next, in tasks of about the same number of cells."""
+    dealt = schedule.by_cost(turn_pairs(spark, sf_dir), 4 * spark.sparkContext.defaultParallelism, keys=TURN)
+    return align.sw_scores(dealt).select(*TURN, "score")
+
+
+#: The bins and the buckets of each class of the query that shows the deal.
+BINS, TURN_BUCKETS = 16, 64
+
+
 @_query(
-    f"{O.sw_cte(O.TURN_PAIRS)} select conv_id, turn, cast(best as int) score, cast(least(greatest((n + {THRESHOLD - 1}) // {THRESHOLD}, 1), {TILES}) as int) team_size from w join p using (id) where w.k = m + n"
+    f"""with recursive {O.TURN_PAIRS},
+c as (select (length(query) + 1) * (length(ref) + 1) cells, (conv_id * 31 + turn) % {TURN_BUCKETS} bucket from p0),
+b as (select cast(length(bin(cells)) - 1 as int) class, cast(bucket as int) bucket, count(*) n, cast(sum(cells) as bigint) cells from c group by all),
+o as (select *, row_number() over (order by cells desc, class, bucket) i from b),
+w(i, loads, bin) as (select 0, list_transform(range({BINS}), lambda x: cast(0 as bigint)), cast(null as int)
+  union all select i, list_transform(range({BINS}), lambda x: loads[x + 1] + case when x = spot then cells else 0 end), cast(spot as int)
+  from (select o.i, o.cells, loads, list_position(loads, list_min(loads)) - 1 spot from w join o on o.i = w.i + 1))
+select class, bucket, n, cells, bin from o join w using (i)"""
 )
-def sw_score_scheduled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = schedule.team_sizes(turn_pairs(spark, sf_dir), F.length("ref"), THRESHOLD, TILES)
-    dealt = schedule.by_cost(pairs, 4 * spark.sparkContext.defaultParallelism)
-    return align.sw_scores(dealt).select(*TURN, "score", "team_size")
+def cost_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins of the turns' pairs: each class of cells in buckets by conversation and turn."""
+    own = schedule.cell_buckets(turn_pairs(spark, sf_dir), bucket=F.pmod(F.col("conv_id") * 31 + F.col("turn"), F.lit(TURN_BUCKETS)))
+    return schedule.cost_bins(own, BINS).withColumnsRenamed({"__class": "class", "__bucket": "bucket"})
 
 
 @_query(O.sw_sql(O.PART_PAIRS, O.PART_KEYS))
@@ -170,6 +188,13 @@ for _lookback in (2, 4, 8, 16):
     QUERIES[f"chain_lb{_lookback}"], SQL[f"chain_lb{_lookback}"] = _chain(_lookback), O.chain_sql(_lookback)
 
 
+@_query(O.one_chain_sql(8))
+def chain_events_lb8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, in order, as one chain over all tasks."""
+    anchors = event_anchors(spark, sf_dir).withColumn("chain_id", F.lit(0))
+    return chain.long_chain_scores(anchors, 8)
+
+
 @_query(O.edges_sql(8))
 def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.chain_edges(event_anchors(spark, sf_dir), 8)
@@ -286,7 +311,7 @@ select cast(k as bigint) rec_no, t[2 * k + 1] label, substr(t[2 * k + 2], 1, 32)
 )
 def records_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts written as record files, and read back as one stream of records that span lines, splits and files."""
-    path = sinks.scratch_folder(spark, "records")
+    path = scratch.scratch_folder(spark, "records")
     sinks.write_texts(table(spark, sf_dir, "documents"), "text", "doc_id", path)
     return records.read_records(spark, path)
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 from plaitwork.operators import chain
 from plaitwork.streaming.chain import chain_scores_online
 
@@ -89,3 +90,34 @@ def test_far_coordinates_are_whole_numbers(spark):
     got = chain.chain_scores(spark.createDataFrame(rows, "chain_id long, idx long, x long, y long"), 4)
     scores = {(r["chain_id"], r["idx"]): r["score"] for r in got.collect()}
     assert scores == {(1, 0): 15, (1, 1): 16, (2, 0): 15, (2, 1): 15, (3, 0): 15, (3, 1): 15, (3, 2): 16}
+
+
+@pytest.mark.parametrize(("lookback", "run"), [(4, 5), (2, 2), (8, 16), (16, 1_000)])
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_long_chains_by_runs(spark, lookback, run, merged):
+    """Runs of a few anchors, chains that end at, before and after a run's end, ranges that hold less than a look back."""
+    rng = random.Random(lookback)
+    made = {c: [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(n)] for c, n in enumerate([1, 2, 9, 40, 300, 3, 15, 16, 17, 31, 1])}
+    rows = [(c, i, x, y) for c, own in made.items() for i, (x, y) in enumerate(own)]
+    rows += [(99, 0, None, 3), (99, 1, 5, None), (99, 2, 9, 9), (None, 0, 1, 1), (None, 1, 5, 5), (50, 0, 2**62, 1), (50, 1, -(2**62), 2)]
+    df = spark.createDataFrame(rows, "chain_id long, idx int, x long, y long").repartition(3)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    try:
+        got = {(r["chain_id"], r["idx"]): r["score"] for r in chain.long_chain_scores(df, lookback, run).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    want = {(c, i): s for c, own in made.items() for i, s in enumerate(plain.chain([p[0] for p in own], [p[1] for p in own], lookback))}
+    assert got == want | {(99, 0): 15, (99, 1): 15, (99, 2): 15, (None, 0): 15, (None, 1): got[None, 1], (50, 0): 15, (50, 1): 15} and got[None, 1] > 15
+
+
+def test_long_chain_uses_many_tasks(spark):
+    n = 40_000
+    one = spark.range(n).select(F.lit("a").alias("chain_id"), F.col("id").alias("idx"), (F.col("id") * 3).alias("x"), F.pmod(F.xxhash64("id"), F.lit(90_000)).alias("y"))
+    got = chain.long_chain_scores(one, 8, 1_000)
+    want = chain.chain_scores(one, 8)
+    assert got.join(want.withColumnRenamed("score", "other"), "idx").where("score <> other").count() == 0 and got.count() == n
+    assert got.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+    assert chain.long_chain_scores(one.limit(0), 8).collect() == []
+    with pytest.raises(ValueError):
+        chain.long_chain_scores(one, 8, 4)

@@ -1,8 +1,10 @@
+import os
 import random
+
 import pytest
 from plaitwork.functions import prep
-from plaitwork.operators import schedule
-from plaitwork.sources import generators, records, sinks
+from plaitwork.operators import checks, schedule
+from plaitwork.sources import generators, records, scratch, sinks
 from pyspark.sql import functions as F
 
 
@@ -28,10 +30,28 @@ def test_team_sizes_and_chunks(spark):
 
 
 def test_deal(spark):
-    df = spark.createDataFrame([(i, "x" * (i % 50), "y" * (i % 70)) for i in range(500)], "k int, query string, ref string")
-    dealt = schedule.by_cost(df, 4)
-    assert dealt.columns == df.columns and {r["k"] for r in dealt.collect()} == {*range(500)}
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.choice((0, 5, 60, 700)), "y" * rng.choice((1, 40, 900))) for i in range(3_000)] + [(9_000, None, "y"), (9_001, "x", None)]
+    df = spark.createDataFrame(rows, "k int, query string, ref string").repartition(5)
+    dealt = schedule.by_cost(df, 12, keys=["k"])
+    assert dealt.columns == df.columns and sorted(r["k"] for r in dealt.collect()) == sorted(r[0] for r in rows)
+    cells = F.sum((F.coalesce(F.length("query"), F.lit(0)) + 1).cast("long") * (F.coalesce(F.length("ref"), F.lit(0)) + 1))
+    loads = [r["c"] for r in dealt.groupBy(F.spark_partition_id()).agg(cells.alias("c")).collect()]
+    assert len(loads) == 12 and max(loads) <= 1.2 * sum(loads) / 12
     assert schedule.round_robin(df, 3).rdd.getNumPartitions() == 3
+    assert schedule.by_cost(df.limit(0), 3).collect() == []
+    with pytest.raises(ValueError):
+        schedule.by_cost(df, 0)
+
+
+def test_bins_are_the_greedy_ones(spark):
+    df = spark.createDataFrame([(k, "a" * (k % 37), "b" * (k % 11)) for k in range(400)], "k int, query string, ref string")
+    got = schedule.cost_bins(schedule.cell_buckets(df, bucket=F.col("k") % 20), 5).collect()
+    loads = [0] * 5
+    for r in sorted(got, key=lambda r: (-r["cells"], r["__class"], r["__bucket"])):
+        assert r["bin"] == loads.index(min(loads))
+        loads[r["bin"]] += r["cells"]
+    assert sum(r["n"] for r in got) == 400 and all(r["cells"] < r["n"] * 2 ** (r["__class"] + 1) for r in got)
 
 
 def test_rank(spark):
@@ -41,6 +61,38 @@ def test_rank(spark):
     assert got == {k: n for n, (_, k) in enumerate(sorted((len(t), k) for k, t in rows))}
 
 
+def test_rank_keeps_every_row(spark):
+    """Null lengths and keys come last, keys are of any type, repeated rows have ranks of their own."""
+    rows = [(None, "ab"), ("k1", None), (None, None), ("k2", "ab"), ("k2", "ab"), ("k10", "ab"), ("z", "")] * 40
+    df = spark.createDataFrame(rows, "k string, t string").repartition(4)
+    got = sorted((r["rank"], r["k"], r["t"]) for r in schedule.ranked_by_length(df, F.length("t"), "k").collect())
+    last = lambda v: (v is None, v if v is not None else 0)
+    want = sorted(rows, key=lambda r: (last(None if r[1] is None else len(r[1])), (r[0] is None, r[0] or "")))
+    assert [g[0] for g in got] == [*range(len(rows))] and [g[1:] for g in got] == want
+    assert schedule.ranked_by_length(df.limit(0), F.length("t"), "k").collect() == []
+
+
+def test_mismatches_with_nulls(spark):
+    rows = [(None, None, 1), (None, "b", None), (1, "a", 3), (2, None, 4)]
+    df = spark.createDataFrame(rows, "k int, l string, v int")
+    assert checks.mismatches(df, df, ["k", "l"], "v").collect() == []
+    other = spark.createDataFrame([(None, None, 2), (None, "b", None), (2, None, 4), (3, "a", None)], "k int, l string, v int")
+    got = checks.mismatches(df, other, ["k", "l"], "v")
+    assert got.columns == ["k", "l", "actual", "expected"]
+    assert {tuple(r) for r in got.collect()} == {(None, None, 1, 2), (1, "a", 3, None), (3, "a", None, None)}
+    assert tuple(checks.verdict(df, df, ["k", "l"], "v").first()) == (0, True)
+    with pytest.raises(ValueError):
+        checks.mismatches(df.withColumnRenamed("k", "Actual"), df.withColumnRenamed("k", "Actual"), ["Actual"], "v")
+
+
+def test_scratch_tables_are_deleted(spark):
+    table = scratch.staged(spark.range(3), "some")
+    assert table.count() == 3
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].split(":", 1)[-1]
+    scratch.dropped(spark, table)
+    assert not os.path.exists("/" + folder.lstrip("/"))
+
+
 def test_prep(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("v")).first()["v"]
