@@ -161,6 +161,50 @@ def _next_row(h: np.ndarray, symbol: int, r: np.ndarray, i: int, local: bool, st
     return np.maximum.accumulate(t + step) - step
 
 
+def tile(q: np.ndarray, r: np.ndarray, top: np.ndarray, left: np.ndarray, local: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bottom, right, best) of a rectangle of a pair's matrix, from the row above it and the column before it.
+
+    Borders have the corner in front: ``top[0]`` is ``left[0]``. best is the largest cell inside, or the last one of an empty rectangle.
+    """
+    h, step = top.astype(np.int64), np.arange(len(r) + 1, dtype=np.int64) * GAP
+    right, best = np.empty(len(q) + 1, np.int64), int(h[-1])
+    right[0] = h[-1]
+    for i in range(len(q)):
+        t = np.empty_like(h)
+        t[0] = left[i + 1]
+        np.maximum(h[:-1] + np.where(r == q[i], MATCH, MISMATCH), h[1:] - GAP, out=t[1:])
+        if local:
+            np.maximum(t, 0, out=t)
+        h = np.maximum.accumulate(t + step) - step
+        right[i + 1] = h[-1]
+        if len(r):
+            best = max(best, int(h[1:].max()))
+    return h, right, best
+
+
+def strips(queries: Texts | list, refs: Texts | list, width: int, suffix: bool = False, most: int = MATRIX_CELLS) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(place, i, row) for each row i of each pair's global matrix, or suffix matrix.
+
+    Pairs of up to ``most`` cells go by whole matrices in lots; of longer ones only a row is held at a time, and ``row`` comes in parts of
+    ``width`` cells, in order.
+    """
+    queries, refs = Texts.of(queries), Texts.of(refs)
+    large = (queries.sizes + 1) * (refs.sizes + 1) > most
+    at = np.flatnonzero(~large)
+    some = [x.slices(at, np.zeros(len(at), np.int64), x.sizes[at]) for x in (queries, refs)]
+    for own, q, r, m, n in lots(*([x.turned() for x in some] if suffix else some), most=min(most, MATRIX_CELLS), cells=True):
+        made = matrices(q, r)
+        for k, place in enumerate(own):
+            grid = made[: m[k] + 1, : n[k] + 1, k].astype(np.int32)
+            grid = grid[::-1, ::-1] if suffix else grid
+            for i in range(m[k] + 1):
+                yield int(at[place]), i, grid[i]
+    for place in np.flatnonzero(large):
+        q, r = queries[place], refs[place]
+        for i, h in enumerate(rows(q[::-1], r[::-1], False) if suffix else rows(q, r, False)):
+            yield int(place), len(q) - i if suffix else i, h[::-1] if suffix else h
+
+
 def _best(queries: Texts | list, refs: Texts | list, band: int | None = None) -> np.ndarray:
     out = np.zeros(len(queries), np.int32)
     for own, q, r, _, _ in lots(queries, refs):
@@ -256,57 +300,60 @@ def suffix_matrices(queries: Texts | list, refs: Texts | list) -> list[np.ndarra
 def envelope_paths(queries: Texts | list, refs: Texts | list, most: int = MATRIX_CELLS) -> tuple[np.ndarray, list[np.ndarray]]:
     """(scores, paths): for each ref column the smallest query index on any best path.
 
-    Pairs of up to ``most`` cells go by lots, longer ones one by one in blocks of columns.
+    Pairs of up to ``most`` cells go by whole matrices in lots. Longer ones are divided: at the middle column of the ref the smallest query index
+    that a best path crosses cuts a pair into two, whose envelopes are those of the whole. All parts of a level are scored
+    together, from the last columns of both halves only, until they are small; so memory grows with the lengths, not with their product.
     """
     queries, refs = Texts.of(queries), Texts.of(refs)
     scores, paths = np.zeros(len(queries), np.int32), [np.empty(0, np.int32)] * len(queries)
-    small = (queries.sizes + 1) * (refs.sizes + 1) <= most
-    for i in np.flatnonzero(~small):
-        scores[i], paths[i] = envelope_path(queries[i], refs[i])
-    at = np.flatnonzero(small)
-    some = [x.slices(at, np.zeros(len(at), np.int64), x.sizes[at]) for x in (queries, refs)]
-    for own, q, r, m, n in lots(*some, most=min(most, MATRIX_CELLS), cells=True):
+    large = (queries.sizes + 1) * (refs.sizes + 1) > most
+    at = np.flatnonzero(~large)
+    whole = lambda x, k: x.slices(k, np.zeros(len(k), np.int64), x.sizes[k])
+    for place, score, path in _envelopes(whole(queries, at), whole(refs, at), most):
+        scores[at[place]], paths[at[place]] = score, path
+    for i in np.flatnonzero(large):
+        paths[i] = np.empty(refs.sizes[i], np.int32)
+    # Parts: the pair, where its query and ref parts begin and end.
+    own = np.flatnonzero(large)
+    parts = np.c_[own, np.zeros(len(own), np.int64), queries.sizes[own], np.zeros(len(own), np.int64), refs.sizes[own]]
+    first = True
+    while len(parts):
+        k, i0, i1, j0, j1 = parts.T
+        mid = (j0 + j1) // 2
+        q = queries.slices(k, i0, i1)
+        ahead, back = last_columns(q, refs.slices(k, j0, mid)), last_columns(q.turned(), refs.slices(k, mid, j1).turned())
+        cut = np.empty(len(parts), np.int64)
+        for c, (f, b) in enumerate(zip(ahead, back, strict=True)):
+            total = f + b[::-1]
+            cut[c] = total.argmax()
+            if first:
+                scores[k[c]] = total[cut[c]]
+        first = False
+        halves = np.concatenate([np.c_[k, i0, i0 + cut, j0, mid], np.c_[k, i0 + cut, i1, mid, j1]])
+        k, i0, i1, j0, j1 = halves.T
+        # A part of one column, or without a query, needs no more cutting.
+        small = ((i1 - i0 + 1) * (j1 - j0 + 1) <= most) | (j1 - j0 <= 1)
+        ready = halves[small]
+        for place, _, path in _envelopes(queries.slices(ready[:, 0], ready[:, 1], ready[:, 2]), refs.slices(ready[:, 0], ready[:, 3], ready[:, 4]), most):
+            c, top, _, left, right = ready[place]
+            paths[c][left:right] = path + top
+        parts = halves[~small]
+    return scores, paths
+
+
+def _envelopes(queries: Texts, refs: Texts, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(place, score, path) by whole matrices, for pairs of few cells or one column."""
+    for own, q, r, m, n in lots(queries, refs, most=min(most, MATRIX_CELLS), cells=True):
         f = matrices(q, r)
         # Reversed texts are padded at their end, too: cell (i, j) of a pair's suffix matrix is at (m - i, n - j).
-        back = matrices(*(x.turned().columns(own, pad) for x, pad in zip(some, (-1, -2), strict=True)))
+        back = matrices(*(x.turned().columns(own, pad) for x, pad in ((queries, -1), (refs, -2))))
         k = np.arange(len(own))
         best = f[m, n, k]
         i, j = np.arange(len(q) + 1)[:, None, None], np.arange(len(r) + 1)[None, :, None]
         on = (f + back[np.maximum(m - i, 0), np.maximum(n - j, 0), k] == best) & (i <= m)
         first = on.argmax(axis=0).astype(np.int32)
-        scores[at[own]] = best
-        for c, place in enumerate(at[own]):
-            paths[place] = first[: n[c], c]
-    return scores, paths
-
-
-def envelope_path(q: np.ndarray, r: np.ndarray) -> tuple[int, np.ndarray]:
-    """(score, path) of one pair, in memory that grows with L to the power 1.5.
-
-    Columns are walked from the last one back; one forward column in each block is kept, and a block's are computed again.
-    """
-    m, n = len(q), len(r)
-    block = int(np.sqrt(n + 1)) + 1
-    # Columns of (q, r) are rows of (r, q).
-    kept = {j: h.copy() for j, h in enumerate(rows(r, q, False)) if j % block == 0}
-    back = rows(r[::-1], q[::-1], False)
-    path, score = np.empty(n, np.int32), 0
-    for top in range(n - n % block, -1, -block):
-        columns = _block(kept[top], r, q, top, min(block, n + 1 - top))
-        for j in range(top + len(columns) - 1, top - 1, -1):
-            total = columns[j - top] + next(back)[::-1]
-            score = int(total.max())
-            if j < n:
-                path[j] = int((total == score).argmax())
-    return score, path
-
-
-def _block(row: np.ndarray, q: np.ndarray, r: np.ndarray, at: int, count: int) -> list[np.ndarray]:
-    """Rows at, at + 1, ... of a pair's global matrix, from row ``at``."""
-    step, out = np.arange(len(r) + 1, dtype=np.int32) * GAP, [row]
-    for i in range(at, at + count - 1):
-        out.append(_next_row(out[-1], q[i], r, i + 1, False, step))
-    return out
+        for c, place in enumerate(own):
+            yield int(place), int(best[c]), first[: n[c], c]
 
 
 #: The letters of an alignment's steps (equal, other symbol, query symbol alone, ref symbol alone).
@@ -316,19 +363,44 @@ EQUAL, OTHER, QUERY_ONLY, REF_ONLY = b"=XID"
 def alignments(queries: Texts | list, refs: Texts | list, most: int = MATRIX_CELLS) -> tuple[np.ndarray, list[bytes], list[np.ndarray]]:
     """(scores, steps, paths): one best path for each pair, traced from its end with ties diagonal, then up, then left.
 
-    Paths: for each ref column the smallest query index of the traced path. Pairs of up to ``most`` cells go by lots.
+    Paths: for each ref column the smallest query index of the traced path. Pairs of up to ``most`` cells go by whole matrices in lots. Longer
+    ones are divided where the traced path comes to the ref's middle column, which is carried along with the scores; all parts
+    of a level go together, so memory grows with the lengths, not with their product.
     """
     queries, refs = Texts.of(queries), Texts.of(refs)
     scores, steps = np.zeros(len(queries), np.int32), [b""] * len(queries)
-    small = (queries.sizes + 1) * (refs.sizes + 1) <= most
-    for i in np.flatnonzero(~small):
-        scores[i], steps[i] = alignment(queries[i], refs[i])
-    at = np.flatnonzero(small)
-    some = [x.slices(at, np.zeros(len(at), np.int64), x.sizes[at]) for x in (queries, refs)]
-    for own, q, r, m, n in lots(*some, most=min(most, MATRIX_CELLS), cells=True):
+    own = np.arange(len(queries))
+    # Parts: the pair, where its query and ref parts begin and end.
+    parts = np.c_[own, np.zeros(len(own), np.int64), queries.sizes, np.zeros(len(own), np.int64), refs.sizes]
+    done: dict[int, list] = {}
+    first = True
+    while len(parts):
+        small = ((parts[:, 2] - parts[:, 1] + 1) * (parts[:, 4] - parts[:, 3] + 1) <= most) | (parts[:, 4] - parts[:, 3] <= 1)
+        ready, parts = parts[small], parts[~small]
+        for place, score, made in _traces(queries.slices(*ready[:, :3].T), refs.slices(*ready[:, [0, 3, 4]].T), most):
+            c = int(ready[place, 0])
+            if first:
+                scores[c], steps[c] = score, made
+            else:
+                done.setdefault(c, []).append((int(ready[place, 3]), made))
+        if len(parts):
+            k, i0, i1, j0, j1 = parts.T
+            score, cut = crossings(queries.slices(k, i0, i1), refs.slices(k, j0, j1))
+            if first:
+                scores[k] = score
+            mid = (j1 - j0) // 2 + j0
+            parts = np.concatenate([np.c_[k, i0, i0 + cut, j0, mid], np.c_[k, i0 + cut, i1, mid, j1]])
+        first = False
+    for c, made in done.items():
+        steps[c] = b"".join(x for _, x in sorted(made, key=lambda x: x[0]))
+    return scores, steps, [step_path(x) for x in steps]
+
+
+def _traces(queries: Texts, refs: Texts, most: int) -> Iterator[tuple[int, int, bytes]]:
+    """(place, score, steps) by whole matrices, for pairs of few cells or one column."""
+    for own, q, r, m, n in lots(queries, refs, most=min(most, MATRIX_CELLS), cells=True):
         f = matrices(q, r)
         i, j, k, made = m.copy(), n.copy(), np.arange(len(own)), []
-        scores[at[own]] = f[m, n, k]
         while (i > 0).any() or (j > 0).any():
             h = f[i, j, k]
             inner = (i > 0) & (j > 0)
@@ -339,36 +411,34 @@ def alignments(queries: Texts | list, refs: Texts | list, most: int = MATRIX_CEL
             made.append(np.select([diagonal & same, diagonal, up, left], [EQUAL, OTHER, QUERY_ONLY, REF_ONLY], 0).astype(np.uint8))
             i, j = i - (diagonal | up), j - (diagonal | left)
         grid = np.stack(made[::-1], axis=1) if made else np.zeros((len(own), 0), np.uint8)
-        for c, place in enumerate(at[own]):
-            steps[place] = grid[c][grid[c] > 0].tobytes()
-    return scores, steps, [step_path(x) for x in steps]
+        for c, place in enumerate(own):
+            yield int(place), int(f[m[c], n[c], c]), grid[c][grid[c] > 0].tobytes()
 
 
-def alignment(q: np.ndarray, r: np.ndarray) -> tuple[int, bytes]:
-    """The same trace for one pair: a row in each block is kept, and a block's rows are computed again."""
-    m, n = len(q), len(r)
-    block = int(np.sqrt(m + 1)) + 1
-    kept = {i: h.copy() for i, h in enumerate(rows(q, r, False)) if i % block == 0}
-    i, j, made, score = m, n, bytearray(), 0
-    for top in range(m - m % block, -1, -block):
-        f = _block(kept[top], q, r, top, min(block, m + 1 - top))
-        if top + len(f) - 1 == m:
-            score = int(f[-1][n])
-        elif i == top + len(f):  # the step into this block needs its last row only
-            f.append(_next_row(f[-1], q[i - 1], r, i, False, np.arange(n + 1, dtype=np.int32) * GAP))
-        while i > top or (top == 0 and j > 0):
-            own, above = f[i - top], f[i - top - 1] if i > top else None
-            same = above is not None and j > 0 and q[i - 1] == r[j - 1]
-            if above is not None and j > 0 and own[j] == above[j - 1] + (MATCH if same else MISMATCH):
-                made.append(EQUAL if same else OTHER)
-                i, j = i - 1, j - 1
-            elif above is not None and (j == 0 or own[j] == above[j] - GAP):
-                made.append(QUERY_ONLY)
-                i -= 1
-            else:
-                made.append(REF_ONLY)
-                j -= 1
-    return score, bytes(made[::-1])
+def crossings(queries: Texts | list, refs: Texts | list) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, rows): where each pair's traced path, seen from its end, comes to the column at half the ref. Refs have two symbols or more."""
+    out = np.zeros((2, len(queries)), np.int64)
+    for own, q, r, m, n in lots(queries, refs):
+        mid, turned, size = n // 2, r[::-1], len(r)
+        # A diagonal's rows in the middle column that the cells' traced paths come from, and the two diagonals before.
+        before, last, come = (np.zeros((len(q) + 1, len(own)), np.int32) for _ in range(3))
+        h1 = h2 = None
+        for d, _, _, h in diagonals(q, r, False):
+            before, last, come = last, come, before
+            lo, hi = max(1, d - size), min(len(q), d - 1)
+            if lo <= hi:
+                same = q[lo - 1 : hi] == turned[size - d + lo : size - d + hi + 1]
+                diagonal = h[lo : hi + 1] == h2[lo - 1 : hi] + np.where(same, h.dtype.type(MATCH), h.dtype.type(MISMATCH))
+                up = h[lo : hi + 1] == h1[lo - 1 : hi] - h.dtype.type(GAP)
+                come[lo : hi + 1] = np.where(diagonal, before[lo - 1 : hi], np.where(up, last[lo - 1 : hi], last[lo : hi + 1]))
+            if d <= size:
+                come[0] = 0
+            k = np.flatnonzero((d >= mid) & (d - mid <= m))
+            come[d - mid[k], k] = d - mid[k]
+            k = np.flatnonzero(m + n == d)
+            out[0, own[k]], out[1, own[k]] = h[m[k], k], come[m[k], k]
+            h1, h2 = h, h1
+    return out[0], out[1]
 
 
 def step_path(steps: bytes) -> np.ndarray:

@@ -7,12 +7,15 @@ of the other's length below zero.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from plaitwork.functions import kernels as K
 from plaitwork.functions import native
-from plaitwork.operators._workers import grids_of, rows_of, unclashing, with_results
+from plaitwork.operators._workers import grids_of, prepare, rows_of, unclashing, with_results
 
 
 def sw_scores(pairs: DataFrame, query: str = "query", ref: str = "ref", out: str = "score", method: str = "wavefront") -> DataFrame:
@@ -64,6 +67,53 @@ def cells(matrices: DataFrame, keys: list[str]) -> DataFrame:
     return by_row.select(*keys, "i", F.posexplode("row").alias("j", "h"))
 
 
+def nw_strips(pairs: DataFrame, keys: list[str], query: str = "query", ref: str = "ref", width: int = 4_096, suffix: bool = False) -> DataFrame:
+    """(``keys``, i, j, h): rows of the global matrix, or of the suffix matrix, in strips of at most ``width`` cells from column j on.
+
+    A row of the result is a strip, so no cell of a table holds a matrix; of long pairs a task holds one row of the matrix at a time.
+    Pairs with a null side have no strips.
+    """
+    unclashing(pairs.select(*keys), ["i", "j", "h"])
+    prepare(pairs.sparkSession)
+    own = pairs.select(*keys, F.col(query).alias("__query"), F.col(ref).alias("__ref")).where("__query is not null and __ref is not null")
+    schema = StructType([*own.select(*keys).schema.fields, *StructType.fromDDL("i int, j int, h array<int>").fields])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head = batch.select(keys)
+
+            def done(places: list, i: list, j: list, h: list) -> pa.RecordBatch:
+                taken = head.take(pa.array(places, pa.int64()))
+                return pa.RecordBatch.from_arrays([*taken.columns, pa.array(i, pa.int32()), pa.array(j, pa.int32()), rows_of(h)], names=schema.names)
+
+            texts = [K.Texts.of(batch.column(c).to_pylist()) for c in ("__query", "__ref")]
+            places, rows, columns, made, held = [], [], [], [], 0
+            for place, i, h in K.strips(*texts, width, suffix):
+                for at in range(0, len(h), width):
+                    places.append(place)
+                    rows.append(i)
+                    columns.append(at)
+                    made.append(h[at : at + width].copy())
+                    held += len(made[-1])
+                    if held >= K.LOT_CELLS:
+                        yield done(places, rows, columns, made)
+                        places, rows, columns, made, held = [], [], [], [], 0
+            if made:
+                yield done(places, rows, columns, made)
+
+    return own.mapInArrow(run, schema)
+
+
+def strip_cells(strips: DataFrame, keys: list[str]) -> DataFrame:
+    """A row (``keys``, i, j, h) for each cell of strips."""
+    each = strips.select(*keys, "i", F.col("j").alias("__first"), F.posexplode("h").alias("__k", "h"))
+    return each.select(*keys, "i", (F.col("__first") + F.col("__k")).alias("j"), "h")
+
+
 def nw_paths(pairs: DataFrame, query: str = "query", ref: str = "ref") -> DataFrame:
     """score and path: for each ref column the smallest query index on any best path."""
 
@@ -78,7 +128,7 @@ def nw_alignments(pairs: DataFrame, query: str = "query", ref: str = "ref") -> D
     """score, steps and path of one best alignment, traced from the end with ties diagonal, then up, then left.
 
     steps has a letter for each step: = for equal symbols, X for others, I for a query symbol alone, D for a ref symbol
-    alone. path: for each ref column the smallest query index of the traced path. Long pairs take memory of L to the power 1.5.
+    alone. path: for each ref column the smallest query index of the traced path. Long pairs take memory in proportion to their lengths.
     """
 
     def run(v: list) -> list:

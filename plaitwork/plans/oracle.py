@@ -20,7 +20,7 @@ RECORD_KEYS, TURN_KEYS, PART_KEYS = "doc_id, rec", "conv_id, turn", "p_partkey"
 def _pairs(source: str) -> str:
     """p: the pairs numbered, with arrays of symbols and their lengths."""
     return f"""{source},
-p as (select *, row_number() over () id, case when query = '' then [] else string_split(query, '') end q, case when ref = '' then [] else string_split(ref, '') end r, length(query) m, length(ref) n from p0)"""
+p as materialized (select *, row_number() over () id, case when query = '' then [] else string_split(query, '') end q, case when ref = '' then [] else string_split(ref, '') end r, length(query) m, length(ref) n from p0)"""
 
 
 def diagonals(cell: str, edge: str, extra: str = "", extra_zero: str = "", name: str = "w", pairs: str = "p") -> str:
@@ -77,7 +77,7 @@ def nw_sql(source: str, keys: str) -> str:
 
 
 def _cells(name: str, out: str) -> str:
-    return f"{out} as (select id, cast(k - j as int) i, cast(j as int) j, h from (select id, k, unnest(range(0, len(h1))) j, unnest(h1) h from {name}) where h is not null)"
+    return f"{out} as materialized (select id, cast(k - j as int) i, cast(j as int) j, h from (select id, k, unnest(range(0, len(h1))) j, unnest(h1) h from {name}) where h is not null)"
 
 
 def matrix_cte(source: str) -> str:
@@ -88,7 +88,7 @@ def both_cte(source: str) -> str:
     """f and s: prefix and suffix matrices."""
     turned = "pr as (select id, list_reverse(q) q, list_reverse(r) r, m, n from p)"
     suffix = diagonals(NW_CELL, NW_EDGE, name="v", pairs="pr")
-    return f"{matrix_cte(source)}, {turned}, {suffix}, {_cells('v', 's0')}, s as (select id, cast(m - i as int) i, cast(n - j as int) j, h from s0 join p using (id))"
+    return f"{matrix_cte(source)}, {turned}, {suffix}, {_cells('v', 's0')}, s as materialized (select id, cast(m - i as int) i, cast(n - j as int) j, h from s0 join p using (id))"
 
 
 def matrix_sql(source: str, keys: str) -> str:
@@ -99,8 +99,8 @@ def suffix_sql(source: str, keys: str) -> str:
     return f"{both_cte(source)} select {keys}, i, j, h from s join p using (id)"
 
 
-_PATH = """, o as (select id, h opt from f join p using (id) where i = m and j = n),
-e as (select f.id, f.j, min(f.i) i from f join s using (id, i, j) join o using (id) where f.h + s.h = opt group by f.id, f.j)"""
+_PATH = """, o as materialized (select id, h opt from f join p using (id) where i = m and j = n),
+e as materialized (select f.id, f.j, min(f.i) i from f join s using (id, i, j) join o using (id) where f.h + s.h = opt group by f.id, f.j)"""
 
 
 def path_sql(source: str, keys: str) -> str:
@@ -123,7 +123,7 @@ _COST = "cast(trunc(cast(0.01 as float) * cast(15 as float) * cast(abs({dy} - {d
 def chain_cte(lookback: int, name: str = "c") -> str:
     dx, dy = "xs[i + 1] - xs[j]", "ys[i + 1] - ys[j]"
     step = f"case when {dx} > 0 and {dy} > 0 then f[j] + least({dx}, {dy}, 15) - {_COST.format(dx=f'({dx})', dy=f'({dy})')} else 15 end"
-    return f"""g{name} as (select chain_id, list(idx order by idx) ids, list(x order by idx) xs, list(y order by idx) ys from a group by chain_id),
+    return f"""g{name} as materialized (select chain_id, list(idx order by idx) ids, list(x order by idx) xs, list(y order by idx) ys from a group by chain_id),
 {name}(chain_id, i, f) as (select chain_id, 0, cast([] as bigint[]) from g{name}
   union all select chain_id, i + 1, list_append(f, greatest(15, coalesce(list_max(list_transform(range(greatest(1, i - {lookback} + 1), i + 1), lambda j: {step})), 15)))
   from {name} join g{name} using (chain_id) where i < len(xs)),
@@ -140,7 +140,7 @@ def one_chain_sql(lookback: int) -> str:
     step = f"case when {dx} > 0 and {dy} > 0 then f[len(f) - (i - j)] + least({dx}, {dy}, 15) - {_COST.format(dx=f'({dx})', dy=f'({dy})')} else 15 end"
     new = f"greatest(15, coalesce(list_max(list_transform(range(greatest(1, i - {lookback} + 1), i + 1), lambda j: {step})), 15))"
     return f"""with recursive {ANCHORS},
-g as (select list(x order by idx) xs, list(y order by idx) ys from a),
+g as materialized (select list(x order by idx) xs, list(y order by idx) ys from a),
 c(i, f) as (select 0, cast([] as bigint[]) union all select i + 1, list_append(case when len(f) >= {lookback} then f[2:] else f end, {new}) from c, g where i < len(xs)),
 n as (select *, row_number() over (order by idx) i from a)
 select 0 chain_id, idx, x, y, f[-1] score from c join n using (i)"""
@@ -176,13 +176,13 @@ def changed_paths_sql(source: str, where: str = "true") -> str:
     """The rules on changed paths; paths of which every second point is left out are right, all others have a point in each column."""
     seg = "case when j = 0 then -i when i = prev then -1 when list_contains(q[prev + 1:i], r[j]) then 2 - (i - prev) else -(i - prev) end"
     return f"""{both_cte(source)}{_PATH},
-x as (select id, p_partkey, j, n, m, q, r, opt, cast({CHANGED} as int) i from (
+x as materialized (select id, p_partkey, j, n, m, q, r, opt, cast({CHANGED} as int) i from (
   select e.*, p_partkey, n, m, q, r, opt,
     y.i turned from e join p using (id) join o using (id) join e y on y.id = e.id and y.j = n - 1 - e.j where e.j < n)),
 y as (select *, coalesce(lag(i) over (partition by id order by j), 0) prev from x where p_partkey % 5 <> 1),
 z as (select *, {seg} seg from y),
-c as (select z.*, sum(seg) over (partition by id order by j) traced, i < 0 or i > m or i < prev bad_a, f.h + s.h <> opt bad_b, f.h fh from z left join f using (id, i, j) left join s using (id, i, j)),
-g as (select *, case when bad_a then 0 when bad_b then 1 when traced <> fh then 2 end err from c),
+c as materialized (select z.*, sum(seg) over (partition by id order by j) traced, i < 0 or i > m or i < prev bad_a, f.h + s.h <> opt bad_b, f.h fh from z left join f using (id, i, j) left join s using (id, i, j)),
+g as materialized (select *, case when bad_a then 0 when bad_b then 1 when traced <> fh then 2 end err from c),
 b as (select id, min(j) j from g where err is not null group by id),
 k as (select g.id, g.j, g.i, g.err, cast(coalesce(g.traced, 0) - case when g.err = 2 then 0 else g.seg end as int) score from b join g using (id, j))
 select * from (select p_partkey, k.id is null valid, cast(coalesce(k.j, -1) as int) bad_ref, cast(coalesce(k.i, -1) as int) bad_query,

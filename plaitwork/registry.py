@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaitwork.functions import prep
-from plaitwork.operators import align, chain, checks, schedule
+from plaitwork.operators import align, chain, checks, schedule, tiles
 from plaitwork.plans import oracle as O
 from plaitwork.plans.workload import event_anchors, part_pairs, record_pairs, table, turn_pairs
 from plaitwork.sources import generators, records, scratch, sinks
@@ -38,10 +38,26 @@ def sw_score_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.sw_scores(record_pairs(spark, sf_dir)).select(*RECORD, "score")
 
 
-@_query(O.sw_sql(O.RECORD_PAIRS, O.RECORD_KEYS))
-def sw_score_wavefront(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default method, under its name."""
-    return align.sw_scores(record_pairs(spark, sf_dir), method="wavefront").select(*RECORD, "score")
+#: Symbols of a tile's sides in these queries, so that the parts' short texts have several tiles.
+TILE = 4
+
+
+def _tiled(local: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tiles.wavefront_scores(part_pairs(spark, sf_dir), PART, local=local, size=TILE).withColumn("score", F.col("score").cast("int"))
+
+    return run
+
+
+# Anti-diagonals of tiles, each pair over many tasks.
+QUERIES["sw_score_wavefront"], SQL["sw_score_wavefront"] = _tiled(True), O.sw_sql(O.PART_PAIRS, O.PART_KEYS)
+QUERIES["nw_score_wavefront"], SQL["nw_score_wavefront"] = _tiled(False), O.nw_sql(O.PART_PAIRS, O.PART_KEYS)
+
+
+@_query()
+def sw_score_tiled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns with the next, in tiles of 512 symbols a side."""
+    return tiles.wavefront_scores(turn_pairs(spark, sf_dir), TURN, size=512)
 
 
 @_query(O.sw_sql(O.TURN_PAIRS, O.TURN_KEYS))
@@ -120,12 +136,12 @@ def nw_score_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(O.matrix_sql(O.PART_PAIRS, O.PART_KEYS))
 def nw_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.cells(align.nw_matrix(part_pairs(spark, sf_dir)), PART)
+    return align.strip_cells(align.nw_strips(part_pairs(spark, sf_dir), PART), PART)
 
 
 @_query(O.suffix_sql(O.PART_PAIRS, O.PART_KEYS))
 def nw_suffix_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.cells(align.nw_suffix_matrix(part_pairs(spark, sf_dir)), PART)
+    return align.strip_cells(align.nw_strips(part_pairs(spark, sf_dir), PART, suffix=True), PART)
 
 
 @_query(O.path_sql(O.PART_PAIRS, O.PART_KEYS))

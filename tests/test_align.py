@@ -163,16 +163,33 @@ def test_lots_are_bounded_on_both_sides():
     assert scores[7] == K.local_scores([q[7]], [r[7]])[0] and scores[0] == K.local_scores_by_rows(q[:1], r[:1])[0]
 
 
-def test_long_pairs_go_by_blocks():
+def test_long_pairs_are_divided():
+    """Paths and traces of parts are those of whole matrices, wherever pairs are divided."""
     rng = random.Random(9)
-    q = "".join(rng.choices("ACGT", k=1_500))
+    changed = lambda t: "".join(c if rng.random() < 0.8 else rng.choice(["", "A", "CG"]) for c in t)
+    qs = ["".join(rng.choices("ACG", k=rng.randint(0, 60))) for _ in range(150)]
+    rs = [changed(q) if rng.random() < 0.7 else "".join(rng.choices("ACG", k=rng.randint(0, 50))) for q in qs]
+    scores, paths = K.envelope_paths(qs, rs)
+    traced = K.alignments(qs, rs)
+    for most in (1, 10, 60, 400):
+        some, parts = K.envelope_paths(qs, rs, most)
+        assert (some == scores).all() and all((a == b).all() for a, b in zip(parts, paths, strict=True))
+        some, steps, low = K.alignments(qs, rs, most)
+        assert (some == traced[0]).all() and steps == traced[1] and all((a == b).all() for a, b in zip(low, traced[2], strict=True))
+
+
+def test_long_pairs_take_memory_of_their_length():
+    rng = random.Random(10)
+    q = "".join(rng.choices("ACGT", k=6_000))
     r = "".join(c for c in q if rng.random() > 0.1) + "".join(rng.choices("ACGT", k=200))
-    a, b = K.codes(q), K.codes(r)
-    (whole,), (steps,), (path,) = K.alignments([a], [b], most=10**7)
-    assert K.alignment(a, b) == (whole, steps) and whole == K.global_scores([a], [b])[0]
-    assert len(path) == len(r) and K.check_paths([a], [b], [path])["valid"][0]
-    score, low = K.envelope_path(a, b)
-    assert score == whole and (low <= path).all() and (low == K.envelope_paths([a], [b], most=10**7)[1][0]).all()
+    tracemalloc.start()
+    (score,), (path,) = K.envelope_paths([q], [r], 100_000)
+    (same,), (steps,), _ = K.alignments([q], [r], 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000  # a matrix has 33,000,000 cells
+    tracemalloc.stop()
+    assert score == same == K.global_scores([q], [r])[0] and len(path) == len(r)
+    assert K.check_paths([q], [r], [path])["valid"][0]
+    assert steps.count(b"=") - len(steps.replace(b"=", b"")) == score
 
 
 def test_alignments(pairs):

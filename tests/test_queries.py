@@ -13,7 +13,7 @@ from plaitwork.plans import oracle as O
 TABLES = {
     "documents": ("doc_id long, text string", [(0, "GATTACA " * 9), (1, "Ein zwei éç drei vier fünf sechs sieben acht neun"), (2, "x"), (3, "a b c d " * 12), (4, "tab\there  two\nlines " * 4)]),
     "conversations": ("conv_id long, turn long, text string", [(0, 0, "hello there"), (0, 1, "hello you there"), (0, 2, ""), (1, 0, "alone"), (2, 1, "ab"), (2, 2, None)]),
-    "part": ("p_partkey long, p_name string, p_type string", [(1, "small ring", "ECONOMY"), (2, "red widget", "PROMO RING"), (3, "gear", "REDGEAR")]),
+    "part": ("p_partkey long, p_name string, p_type string", [(1, "small ring", "ECONOMY"), (2, "red widget", "PROMO RING"), (3, "gear", "REDGEAR"), (4, "blue gadget", "BLUE GADGE"), (5, "gasket", "STANDARD GASK"), (9, "tin tin tin", "TINTIN"), (10, "abcabc", "ACBACB")]),
     "customer": ("c_custkey long", [(0,), (1,), (7,)]),
     "events": ("event_id long, user_id long, value double, props string", [(i, i % 3, i * 3.7 % 50, f'{{"k": {i * 7 % 90}}}') for i in range(60)]),
 }
@@ -23,6 +23,7 @@ SLOW = {
     "nw_path_turns": O.path_sql(O.TURN_PAIRS, O.TURN_KEYS),
     "nw_alignment_turns": O.alignment_sql(O.TURN_PAIRS, O.TURN_KEYS),
     "nw_split_turns": O.split_sql(O.TURN_PAIRS, O.TURN_KEYS),
+    "sw_score_tiled_turns": O.sw_sql(O.TURN_PAIRS, O.TURN_KEYS).replace("cast(best as int)", "cast(best as bigint)"),
 }
 
 
