@@ -20,7 +20,7 @@ pruned by any metric bound, and every pair of blocks is then computed.
 The most frequent ``TREES`` dimensions have trees; vectors of all other dimensions are compared exactly in blocks by
 dimension, without pruning. Equal vectors are one representative with a number of rows. Vectors that are null, empty, zero
 or hold null or non-finite components link with nothing, and vectors of different dimensions don't link. Rows that
-repeat an id count as rows.
+repeat an id count as rows, each with the links of its own vector.
 """
 
 from __future__ import annotations
@@ -198,7 +198,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # Rows that link with nothing get keys of their own, so that they don't meet in one task.
     keyed = rows.withColumns({"h": F.when(valid, h).otherwise(F.xxhash64("id", F.lit(1))), "h2": F.when(valid, h2), "valid": valid})
     classes = keyed.where("valid").groupBy("h", "h2").agg(F.first("v").alias("v"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = staged(classes.withColumn("dim", F.size("v")), "vectors")
+    classes = staged(classes.withColumn("dim", F.size("v")).withColumn("least", F.col("rep")), "vectors")
+    # Different vectors under one id are classes of their own, with a hash in place of the id that they share.
+    shared = staged(classes.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared-ids")
+    parted = not shared.isEmpty()
+    if parted:
+        marked = classes.join(shared.withColumn("shared", F.lit(True)), "rep", "left")
+        classes = staged(marked.withColumn("rep", F.when(F.col("shared"), F.xxhash64("rep", "h", "h2")).otherwise(F.col("rep"))).select(*classes.columns), "vectors")
     common = [(r["dim"], r["count"]) for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(trees + 1).collect()]
     found = [_links(classes.where(F.col("dim") == d), d, n, threshold, net_rows, block_bytes) for d, n in common[:trees]]
     if len(common) != len(found) or not found:
@@ -209,8 +215,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = staged(links, "vector-links")
     degree = links.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
-    ranked = classes.select("h", "h2", "rep", "copies").join(degree, "rep", "left").join(parts, "rep", "left").where("copies > 1 or links is not null")
-    ranked = staged(ranked.select("h", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "ranked")
+    if parted:
+        # A component's name is the least id of its classes, not their least stand-in.
+        least = parts.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("name"))
+        parts = parts.join(least, "component").select("rep", F.col("name").alias("component"))
+    ranked = classes.select("h", "h2", "rep", "least", "copies").join(degree, "rep", "left").join(parts, "rep", "left").where("copies > 1 or links is not null")
+    ranked = staged(ranked.select("h", "h2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component_id")), "ranked")
     out = keyed.select("id", "h", "h2").join(ranked, ["h", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

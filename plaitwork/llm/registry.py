@@ -22,14 +22,14 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-with recursive e as (select vec_id, cast(embedding as double[]) v from embeddings),
-f as (select vec_id, v from e where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
-l as (select a.vec_id x, b.vec_id y from f a join f b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.9),
-r(vec_id, c) as (select vec_id, vec_id from e union select r.vec_id, l.y from r join l on l.x = r.c),
-m as (select vec_id, min(c) component_id from r group by vec_id),
-k as (select x vec_id, count(*) n_links from l group by x)
+with recursive e as materialized (select row_number() over () r, vec_id, cast(embedding as double[]) v from embeddings),
+f as materialized (select r, v from e where len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+l as materialized (select a.r x, b.r y from f a join f b on a.r <> b.r and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.9),
+w(r, c) as (select r, r from e union select w.r, l.y from w join l on l.x = w.c),
+m as (select w.r, min(e.vec_id) component_id from w join e on e.r = w.c group by w.r),
+k as (select x r, count(*) n_links from l group by x)
 select vec_id, cast(coalesce(n_links, 0) as bigint) n_links, component_id, vec_id = component_id kept
-from e join m using (vec_id) left join k using (vec_id)
+from e join m using (r) left join k using (r)
 """
 
 
@@ -131,8 +131,8 @@ from d join m using (doc_id) left join k using (doc_id)
 
 
 def learnable() -> Column:
-    """The rows whose labels may be learned from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1
+    """The rows whose labels may be learned from. A null id counts as an empty text, and has no label to learn from."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3)) != 1
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,8 @@ from d left join s using (doc_id)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.slotted(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    rows = sharding.slotted(docs, heavy=staged(sharding.heavy_texts(docs, 16), "heavy-texts"))
     sizes = staged(sharding.slot_bytes(rows), "slot-bytes")
     path = scratch_path(spark, "slot-map")
     sharding.write_map(sharding.slot_map(sizes, 16), path)

@@ -1,14 +1,17 @@
 """Sharding with DataFrame functions only: fixed virtual slots and a versioned slot-to-shard map.
 
-Each row is hashed by its text into one of ``SLOTS`` fixed slots, and by its id into one of ``PARTS`` parts
-of the slot. Bytes and rows are aggregated by slot and part, at most ``SLOTS * PARTS`` rows whatever the
-input. A slot is one item to place, so equal texts share a shard; only a slot that outweighs an
-even share of all bytes is placed part by part, so one text in a third of all rows can't overload a
-shard; at most as many slots as there are shards weigh that much, so the items to place are ``SLOTS`` and ``PARTS`` for each
-shard at most. Items go, largest first, to the shard that has the fewest bytes. The map is written with
-a version; ``rebalance`` edits it for a new number of shards or new bytes by moving few items.
-
-A null text counts as empty: its size is 1. Rows that repeat an id or text are placed like any other.
+Each row is hashed by its text into one of ``SLOTS`` fixed slots and one of ``PARTS`` parts of the slot. Bytes and rows are aggregated by
+slot and part, a bounded number of rows whatever the input. A slot is one item to place; one that outweighs an even share
+of all bytes is placed part by part. Both are hashes of the text, so equal texts share a shard.
+
+Only a text whose own rows outweigh an even share can't: no shard could hold it and stay even. Such texts, fewer than there are shards, leave
+their slot for a slot of their own above ``SLOTS`` and are dealt by id, part by part; the other texts of the slot stay together.
+
+Items go, largest first, to the shard that has the fewest bytes; ties go by slot, then part, the larger first, and to the shard of the least number. The map is
+written with a version; ``rebalance`` edits it for a new number of shards or new bytes by moving few items.
+
+A null text counts as empty: its size is 1. Rows that repeat an id or text are placed like any other. A text that outweighs a share in rows of one id,
+or without ids, is one part.
 """
 
 from __future__ import annotations
@@ -19,16 +22,32 @@ from pyspark.sql import functions as F
 SLOTS, PARTS = 4_096, 512
 
 
-def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, parts: int = PARTS) -> DataFrame:
-    """(id, size, text_crc32, vslot, part); size: UTF-8 bytes of the text plus 1."""
+def heavy_texts(docs: DataFrame, n_shards: int, text_col: str = "text") -> DataFrame:
+    """(print): hashes of the texts whose rows together outweigh an even share of all bytes; fewer than ``n_shards`` rows."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sizes = docs.select(F.xxhash64(text).alias("print"), (F.octet_length(text) + 1).cast("long").alias("size"))
+    by_text = sizes.groupBy("print").agg(F.sum("size").alias("bytes"))
+    share = sizes.agg((F.sum("size") / n_shards).alias("share"))
+    return by_text.join(F.broadcast(share)).where(F.col("bytes") > F.col("share")).select("print")  # one row
+
+
+def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, parts: int = PARTS, heavy: DataFrame | None = None) -> DataFrame:
+    """(id, size, text_crc32, vslot, part); size: UTF-8 bytes of the text plus 1. ``heavy``: what ``heavy_texts`` has found."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(slots)).cast("int").alias("vslot"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(parts)).cast("int").alias("part"),
+        F.xxhash64(text).alias("print"),
+        F.pmod(F.xxhash64(F.lit(7), text), F.lit(parts)).cast("int").alias("part"),
     )
+    vslot = F.pmod("print", F.lit(slots)).cast("int")
+    if heavy is None:
+        return rows.select("id", "size", "text_crc32", vslot.alias("vslot"), "part")
+    marked = rows.join(F.broadcast(heavy.select("print", F.lit(True).alias("heavy"))), "print", "left")  # fewer rows than shards
+    by_id = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(parts)).cast("int")
+    own = F.col("heavy").isNotNull()
+    return marked.select("id", "size", "text_crc32", (vslot + F.when(own, slots).otherwise(0)).alias("vslot"), F.when(own, by_id).otherwise(F.col("part")).alias("part"))
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:

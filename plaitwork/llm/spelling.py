@@ -193,7 +193,10 @@ def near_words(words: DataFrame, block: int = BLOCK) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield done(rest, np.zeros(1, np.int64))
 
-    tiles = _tiles(words, block).repartition(*cell).sortWithinPartitions(*cell)
+    spark = words.sparkSession
+    # A stated number of groups, so that small rows with much work aren't merged into few tasks.
+    groups = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tiles = _tiles(words, block).repartition(groups, *cell).sortWithinPartitions(*cell)
     found = tiles.mapInArrow(run, schema)
     best = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("rank").alias("rank"))
     return best.select("word", "n_near", (-F.col("rank.down")).alias("best_n"), F.col("rank.word").alias("best"))

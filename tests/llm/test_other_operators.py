@@ -57,6 +57,14 @@ def test_no_vectors(spark):
     assert [tuple(r) for r in embedding_dedup.near_duplicates(one).collect()] == [(1, 0, 1, True)]
 
 
+def test_repeated_ids_with_different_vectors(spark):
+    """Rows count by their own vector, and a component has the name of its least id."""
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.02]), (4, [0.0, 0.0, 1.0]), (4, [0.0, 0.0, 1.0]), (5, [1.0, 0.02, 0.0]), (5, None), (0, [0.0, 0.99, 0.03])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == Counter([(1, 2, 1, True), (1, 2, 0, False), (2, 2, 1, False), (3, 2, 0, False), (4, 1, 4, True), (4, 1, 4, True), (5, 2, 1, False), (5, 0, 5, True), (0, 2, 0, True)])
+
+
 def test_traversal_prunes_and_loses_nothing():
     rng = np.random.default_rng(1)
     x = np.concatenate([c + rng.normal(size=(80, 16)) * 0.05 for c in rng.normal(size=(20, 16))])
@@ -172,6 +180,16 @@ def test_toxicity(spark):
     assert dict(zip(*model, strict=True)) == dict(zip(*other, strict=True))
 
 
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    from plaitwork.llm import registry
+
+    docs, labels = toxic_rows(n=60)
+    spark.createDataFrame([*docs, corpus.row(None, "no id"), corpus.row(None, None)], corpus.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([*labels, (None, 1, 1)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    got = registry.op7_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == 62 and all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+
+
 def test_toxicity_without_labels(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, none)
@@ -180,7 +198,7 @@ def test_toxicity_without_labels(spark, docs, no_docs):
 
 
 def plan(rows, n):
-    df = sharding.slotted(rows)
+    df = sharding.slotted(rows, heavy=sharding.heavy_texts(rows, n))
     sizes = sharding.slot_bytes(df)
     return df, sizes, sharding.slot_map(sizes, n)
 
@@ -206,10 +224,13 @@ def test_shards_against_a_plain_deal(docs):
 
     rows, sizes, slots = plan(docs, 4)
     pos = lambda h, n: ((h - 2**64 if h >= 2**63 else h) % n)
-    weight = Counter()
+    weight, own = Counter(), Counter()
+    for r in corpus.rows():
+        own[r[1] or ""] += len((r[1] or "").encode()) + 1
     for r in rows.collect():
         text = next((x[1] or "" for x in corpus.rows() if x[0] == r["id"] and zlib.crc32((x[1] or "").encode()) == r["text_crc32"]))
-        assert r["vslot"] == pos(xxhash.xxh64_intdigest(text.encode(), seed=42), 4_096)
+        heavy = own[text] > sum(own.values()) / 4
+        assert r["vslot"] == pos(xxhash.xxh64_intdigest(text.encode(), seed=42), 4_096) + 4_096 * heavy
         weight[r["vslot"], r["part"]] += r["size"]
     whole = Counter()
     for (v, _), n in weight.items():
@@ -233,6 +254,34 @@ def test_a_text_in_most_rows_is_split(spark):
     assert len(load) == 8 and max(load.values()) - min(load.values()) < 1_500
 
 
+def test_other_texts_of_a_heavy_texts_slot_stay_together(spark):
+    """Few slots, so that each holds many texts: only the text that outweighs a share is dealt by id."""
+    rows = [(k, "same text") for k in range(3_000)] + [(k, f"text {k % 50}") for k in range(1_000)] + [(None, None), (None, "")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df = sharding.slotted(docs, slots=4, heavy=sharding.heavy_texts(docs, 8))
+    sizes = sharding.slot_bytes(df)
+    placed = sharding.assign(df, sharding.slot_map(sizes, 8), sizes)
+    shards = {r["text_crc32"]: r["n"] for r in placed.groupBy("text_crc32").agg(F.count_distinct("shard").alias("n")).collect()}
+    assert shards.pop(zlib.crc32(b"same text")) == 8 and set(shards.values()) == {1} and len(shards) == 51
+    assert placed.count() == len(rows)
+
+
+def test_query_shards_whole_tables(spark, docs, tmp_path):
+    from plaitwork.llm import registry
+
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op10_sharding(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((r[0], zlib.crc32((r[1] or "").encode())) for r in corpus.rows())
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r["text_crc32"], set()).add(r["shard"])
+        assert 0 <= r["shard"] < 16 and r["law"] == "bytes" and r["grown_shard"] is None
+    assert all(len(v) == 1 for v in by_text.values())
+    for shard in {r["shard"] for r in got}:
+        own = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert own == [*range(len(own))]
+
+
 def test_maps_have_versions_and_move_little(spark, tmp_path):
     rows = [(k, f"text number {k} " * (k % 7)) for k in range(4_000)]
     df, sizes, slots = plan(spark.createDataFrame(rows, "doc_id long, text string"), 8)
