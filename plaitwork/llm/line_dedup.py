@@ -1,13 +1,12 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A text's lines are split at ``\\n``; lines of nothing but white space are left out of the windows. A window starts at
-every other line: it is the shortest run of lines from there on that has ``min_words`` words or ``max_lines`` lines; a text
-whose rest has neither has no window there. What is repeated is a run of lines that holds a whole window.
+A text's lines are split at ``\\n``; lines of nothing but white space are left out of the windows. A window is ``max_lines`` consecutive other
+lines, or the shortest run of fewer lines that has ``min_words`` words. What is repeated is a run of lines that holds a whole window.
 
-1. Fingerprints: of each window the position of its least line hash is selected, and kept only where it differs from the
-   window before. Equal runs that hold a window have its least line at the same place, so no repeat is missed.
+1. Fingerprints: of each window the position of its least line hash, the first of equals, is selected. Equal runs that hold a window
+   have that position at the same place in it, so no repeat is missed. A selected position is one row, with the windows that it is the least of.
 2. Positions are joined by fingerprint: only lines selected at two or more places anywhere go on.
-3. Each matched position is extended both ways, over all windows of which it is the least line. These are compared by
+3. Each matched position is extended both ways, over the windows that it stands for. These are compared by
    128 bits of hash; overlapping windows that are there again make up the maximal repeated run. So no pair of
    positions is ever made, and a line in a third of all texts costs a row for each of its places.
 4. The first window of each kind, by document id, hash of the text and line, stays; the lines of later ones are deleted,
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plaitwork.llm._util import fresh, held, staged, text_key
 
-MIN_WORDS, MAX_LINES = 30, 4
+MIN_WORDS, MAX_LINES = 30, 2
 
 ROW = ["row", "row2"]
 
@@ -43,50 +42,54 @@ def line_words(line: Column) -> Column:
     return F.when(F.length(F.trim(F.translate(line, "\t\r", ""))) > 0, F.size(F.split(F.trim(line), " +"))).otherwise(0)
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, min_words: int, max_lines: int) -> DataFrame:
-    """(id, row, row2, a, b, print, new, w1, w2): windows from line a to line b (from 0), their least line's hash, whether its
-    position is another than that of the window before (1 or 0), and the two halves of the windows' hash; row, row2: the text's key."""
+def positions(docs: DataFrame, id_col: str, text_col: str, min_words: int, max_lines: int) -> DataFrame:
+    """(id, row, row2, print, ws): selected lines by their hash, with the windows that each is the least line of; row, row2: the text's key.
+
+    ws: array<struct<a, b, w1, w2>>, windows from line a to line b (from 0), and the two halves of their hash.
+    """
     lines = F.transform(text_lines(F.col(text_col)), lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), line_words(x).alias("n")))
 
-    def length(k: Column) -> Column:
-        """Lines of the window from the k-th line on; null where the text ends first."""
+    def window(k: Column, size: Column) -> Column:
+        """The window of ``size`` lines from the k-th on; null where the size is."""
+        made = F.transform(F.array(F.slice("u", k + 1, size)), lambda part: F.struct(
+            part[0]["i"].alias("a"),
+            F.element_at(part, -1)["i"].alias("b"),
+            (k + F.array_position(part["h"], F.array_min(part["h"])) - 1).cast("int").alias("at"),
+            F.xxhash64(part["h"]).alias("w1"),
+            F.xxhash64(F.lit(7), part["g"]).alias("w2"),
+        ))
+        return F.when(size.isNotNull(), F.get(made, 0))
+
+    def short(k: Column) -> Column:
+        """Lines of the shortest run of fewer than ``max_lines`` lines that has the words, or null."""
         n, found = F.lit(0), None
-        for size in range(1, max_lines + 1):
+        for size in range(1, max_lines):
             n = n + F.get("u", k + (size - 1))["n"]
-            met = (n >= min_words) if size < max_lines else n.isNotNull()
-            found = F.when(met, size) if found is None else found.when(met, size)
-        return found
-
-    cut = F.transform(
-        F.filter(F.transform("u", lambda x, k: F.struct(k.alias("k"), length(k).alias("size"))), lambda p: p["size"].isNotNull()),
-        lambda p: F.struct(p["k"].alias("k"), F.slice("u", p["k"] + 1, p["size"]).alias("part")),
-    )
-    made = F.transform(
-        cut,
-        lambda p: F.struct(
-            p["part"][0]["i"].alias("a"),
-            F.element_at(p["part"], -1)["i"].alias("b"),
-            F.array_min(p["part"]["h"]).alias("print"),
-            (p["k"] + F.array_position(p["part"]["h"], F.array_min(p["part"]["h"]))).alias("at"),
-            F.xxhash64(p["part"]["h"]).alias("w1"),
-            F.xxhash64(F.lit(7), p["part"]["g"]).alias("w2"),
-        ),
-    )
-    other = lambda w, k: F.when(w["at"].eqNullSafe(F.get("ws", k - 1)["at"]), 0).otherwise(1)
-    marked = F.transform("ws", lambda w, k: F.struct(*[w[c].alias(c) for c in ("a", "b", "print", "w1", "w2")], F.when(k == 0, 1).otherwise(other(w, k)).alias("new")))
+            found = F.when(n >= min_words, size) if found is None else found.when(n >= min_words, size)
+        return F.lit(None).cast("int") if found is None else found
+
+    full = F.transform("u", lambda x, k: window(k, F.when(k + max_lines <= F.size("u"), max_lines)))
+    few = F.transform("u", lambda x, k: window(k, short(k)))
+    # A line is in the windows that begin at it or at most max_lines - 1 before.
+    starts = lambda c, k, most: [F.get(c, k - back) for back in range(most)]
+    own = lambda k: F.filter(F.array(*starts("full", k, max_lines), *starts("few", k, max_lines - 1)), lambda w: w["at"] == k)
+    bare = lambda ws: F.transform(ws, lambda w: F.struct(*[w[c].alias(c) for c in ("a", "b", "w1", "w2")]))
+    picked = F.filter(F.transform("u", lambda x, k: F.struct(x["h"].alias("print"), bare(own(k)).alias("ws"))), lambda p: F.size(p["ws"]) > 0)
     keys = [k.alias(c) for k, c in zip(text_key(id_col, text_col), ROW, strict=True)]
-    own = docs.select(F.struct(F.col(id_col).alias("id"), *keys).alias("own"), F.filter(lines, lambda u: u["n"] > 0).alias("units"))
-    units = held(own, "u", F.col("units")).select("own", "u")
-    return held(units, "ws", made).select("own", F.explode(marked).alias("w")).select("own.*", "w.*")
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), *keys).alias("own"), F.filter(lines, lambda u: u["n"] > 0).alias("units"))
+    units = held(texts, "u", F.col("units")).select("own", "u")
+    both = held(held(units, "full", full), "few", few)
+    return both.select("own", F.explode(picked).alias("p")).select("own.*", "p.*")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_lines: int = MAX_LINES) -> DataFrame:
     """(row, row2, spans, main): for each text with later repeated windows, its key, their array<struct<a, b>>, and those of
     them that stand first in the earlier text with the most of them."""
-    all_windows = staged(windows(docs, id_col, text_col, min_words, max_lines), "line-windows")
+    selected = staged(positions(docs, id_col, text_col, min_words, max_lines), "line-positions")
     # Written tables on one side of each join: what is on the other side of a hot key is then split.
-    prints = staged(all_windows.groupBy("print").agg(F.sum("new").alias("n")).where("n > 1").select("print"), "line-prints")
-    matched = staged(all_windows.join(prints, "print").drop("print", "new"), "line-matches")
+    prints = staged(selected.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "line-prints")
+    extended = selected.join(prints, "print").select("id", *ROW, F.explode("ws").alias("w")).select("id", *ROW, "w.*")
+    matched = staged(extended, "line-matches")
     place = F.struct("id", *ROW, "a")
     first = staged(matched.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "line-firsts")
     later = matched.join(first, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))

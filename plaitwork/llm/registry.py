@@ -165,11 +165,9 @@ OP9_SQL = r"""
 with d as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) l from documents),
 u as (select *, len(regexp_split_to_array(trim(x), ' +')) n from (select distinct doc_id, unnest(range(0, len(l))) i, unnest(l) x from d)
   where length(trim(translate(x, chr(9) || chr(13), ''))) > 0),
-v as (select *, lead(i) over q i1, lead(i, 2) over q i2, lead(i, 3) over q i3, lead(n) over q n1, lead(n, 2) over q n2, lead(x) over q x1, lead(x, 2) over q x2, lead(x, 3) over q x3
-  from u window q as (partition by doc_id order by i)),
-w as (select doc_id, i a, case when n >= 30 then i when n + n1 >= 30 then i1 when n + n1 + n2 >= 30 then i2 else i3 end b,
-  case when n >= 30 then x when n + n1 >= 30 then concat_ws(chr(10), x, x1) when n + n1 + n2 >= 30 then concat_ws(chr(10), x, x1, x2) else concat_ws(chr(10), x, x1, x2, x3) end win from v),
-f as (select *, row_number() over (partition by win order by doc_id, a) nr from w where b is not null),
+v as (select *, lead(i) over q j, lead(x) over q y from u window q as (partition by doc_id order by i)),
+w as (select doc_id, i a, j b, concat_ws(chr(10), x, y) win from v where j is not null union all select doc_id, i, i, x from v where n >= 30),
+f as (select *, row_number() over (partition by win order by doc_id, a) nr from w),
 s as (select doc_id, list(distinct k) gone from (select doc_id, unnest(range(a, b + 1)) k from f where nr > 1) group by doc_id)
 select doc_id, case when text is null then 0 else cast(len(l) as bigint) end n_lines, cast(coalesce(len(gone), 0) as bigint) n_removed,
   md5(case when gone is null then coalesce(text, '') else

@@ -74,24 +74,22 @@ def test_decontamination_cuts_spans(spark, docs, no_docs, benchmark):
     assert decontaminate.find_hits(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
-def plain_windows(text, min_words=30, max_lines=4):
+def plain_windows(text, min_words=30, max_lines=2):
     """(a, b, lines) of each window, by the rule."""
     lines = (text or "").split("\n")
     units = [i for i, x in enumerate(lines) if x.replace("\t", "").replace("\r", "").strip(" ")]
+    words = [len([x for x in lines[i].strip(" ").split(" ") if x]) for i in units]
     for k in range(len(units)):
-        words = 0
-        for j in range(k, min(k + max_lines, len(units))):
-            words += len([x for x in lines[units[j]].strip(" ").split(" ") if x])
-            if words >= min_words or j == k + max_lines - 1:
-                yield units[k], units[j], tuple(lines[i] for i in units[k : j + 1])
-                break
+        short = next((n for n in range(1, max_lines) if k + n <= len(units) and sum(words[k : k + n]) >= min_words), None)
+        for n in [*([short] if short else []), *([max_lines] if k + max_lines <= len(units) else [])]:
+            yield units[k], units[k + n - 1], tuple(lines[i] for i in units[k : k + n])
 
 
-def plain_lines(rows, copy_share=None):
+def plain_lines(rows, copy_share=None, **sizes):
     """{(id, text): numbers of deleted lines}"""
     seen, gone, main = defaultdict(list), defaultdict(set), defaultdict(lambda: defaultdict(set))
     for k, text in {(r[0], r[1]) for r in rows}:
-        for a, b, own in plain_windows(text):
+        for a, b, own in plain_windows(text, **sizes):
             seen[own].append(((k is not None, k or 0), text, a, b, k))
     for places in seen.values():
         first, *later = sorted(places)
@@ -119,6 +117,10 @@ def test_line_dedup(docs, no_docs):
         own = gone.get((r[0], r[1]), ())
         want[r[0], plain_cut_lines(r[1], own), len(own)] += 1
     assert got == want and sum(map(bool, gone.values())) > 10
+    for sizes in ({"min_words": 5, "max_lines": 1}, {"min_words": 12, "max_lines": 4}):
+        gone = plain_lines(corpus.rows(), **sizes)
+        other = Counter((r["doc_id"], r["__n_removed"]) for r in line_dedup.dedup_lines(docs, **sizes).collect())
+        assert other == Counter((r[0], len(gone.get((r[0], r[1]), ()))) for r in corpus.rows())
     # Texts that stand mostly in one earlier text are left whole.
     some = plain_lines(corpus.rows(), 0.5)
     left = Counter((r["doc_id"], r["text"], r["__n_removed"]) for r in line_dedup.dedup_lines(docs, copy_share=0.5).collect())
