@@ -1,11 +1,10 @@
 """Sharding with DataFrame functions only: fixed virtual slots and a versioned slot-to-shard map.
 
-Each row is hashed by its text into one of ``SLOTS`` fixed slots and one of ``PARTS`` parts of the slot. Bytes and rows are aggregated by
-slot and part, a bounded number of rows whatever the input. A slot is one item to place; one that outweighs an even share
-of all bytes is placed part by part. Both are hashes of the text, so equal texts share a shard.
+Each row is hashed by its text into one of ``SLOTS`` fixed slots, and by its id into one of ``PARTS`` parts of the slot. Bytes and rows are
+aggregated by slot and part, a bounded number of rows whatever the input. A slot is one item to place, so equal texts share a shard.
 
 Only a text whose own rows outweigh an even share can't: no shard could hold it and stay even. Such texts, fewer than there are shards, leave
-their slot for a slot of their own above ``SLOTS`` and are dealt by id, part by part; the other texts of the slot stay together.
+their slot for one with a number below 0, which is placed part by part; the other texts of the slot stay together.
 
 Items go, largest first, to the shard that has the fewest bytes; ties go by slot, then part, the larger first, and to the shard of the least number. The map is
 written with a version; ``rebalance`` edits it for a new number of shards or new bytes by moving few items.
@@ -39,15 +38,13 @@ def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slo
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("print"),
-        F.pmod(F.xxhash64(F.lit(7), text), F.lit(parts)).cast("int").alias("part"),
+        F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(parts)).cast("int").alias("part"),
     )
     vslot = F.pmod("print", F.lit(slots)).cast("int")
     if heavy is None:
         return rows.select("id", "size", "text_crc32", vslot.alias("vslot"), "part")
     marked = rows.join(F.broadcast(heavy.select("print", F.lit(True).alias("heavy"))), "print", "left")  # fewer rows than shards
-    by_id = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(parts)).cast("int")
-    own = F.col("heavy").isNotNull()
-    return marked.select("id", "size", "text_crc32", (vslot + F.when(own, slots).otherwise(0)).alias("vslot"), F.when(own, by_id).otherwise(F.col("part")).alias("part"))
+    return marked.select("id", "size", "text_crc32", F.when(F.col("heavy"), -1 - vslot).otherwise(vslot).alias("vslot"), "part")
 
 
 def slot_bytes(rows: DataFrame) -> DataFrame:
@@ -68,19 +65,15 @@ def _place(items: Column, n: int, loads: Column) -> Column:
     return F.aggregate(items, zero, add)["placed"]
 
 
-def items(sizes: DataFrame, n_shards: int) -> DataFrame:
-    """(vslot, part, bytes): part is null for a slot that stays whole. At most SLOTS * PARTS rows."""
-    total = F.sum("bytes").over(Window.partitionBy("vslot"))
-    share = sizes.agg((F.sum("bytes") / n_shards).alias("share"))
-    split = sizes.withColumn("slot_bytes", total).join(F.broadcast(share))  # one row
-    part = F.when(F.col("slot_bytes") > F.col("share"), F.col("part"))
-    return split.groupBy("vslot", part.alias("part")).agg(F.sum("bytes").alias("bytes"))
+def items(sizes: DataFrame) -> DataFrame:
+    """(vslot, part, bytes): part is null for a slot, and set for the slots of heavy texts."""
+    return sizes.groupBy("vslot", F.when(F.col("vslot") < 0, F.col("part")).alias("part")).agg(F.sum("bytes").alias("bytes"))
 
 
 def slot_map(sizes: DataFrame, n_shards: int) -> DataFrame:
     """(version 1, vslot, part, shard): the first map, by largest item first."""
     ordered = F.reverse(F.array_sort(F.collect_list(F.struct("bytes", "vslot", "part"))))
-    placed = items(sizes, n_shards).agg(_place(ordered, n_shards, F.array_repeat(F.lit(0).cast("long"), n_shards)).alias("placed"))
+    placed = items(sizes).agg(_place(ordered, n_shards, F.array_repeat(F.lit(0).cast("long"), n_shards)).alias("placed"))
     return placed.select(F.explode("placed").alias("p")).select(F.lit(1).alias("version"), "p.*")
 
 
@@ -90,7 +83,7 @@ def rebalance(old: DataFrame, sizes: DataFrame, n_shards: int, slack: float = 0.
     New shards start empty. The smallest items of an overfull or removed shard leave it, and are placed
     anew, largest first, on the lightest shards; all other items stay where they are.
     """
-    now = items(sizes, n_shards).join(old.select("version", "vslot", F.col("part").alias("old_part"), "shard"), "vslot", "left")
+    now = items(sizes).join(old.select("version", "vslot", F.col("part").alias("old_part"), "shard"), "vslot", "left")
     now = now.where("old_part is null or part is null or old_part = part").groupBy("vslot", "part").agg(F.first("bytes").alias("bytes"), F.min("shard").alias("shard"), F.max("version").alias("version"))
     share = F.sum("bytes").over(Window.partitionBy()) / n_shards
     kept = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "vslot", "part"))
