@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaitwork.functions import prep
+from plaitwork.functions import prep, sql
 from plaitwork.operators import align, chain, checks, schedule, tiles
 from plaitwork.plans import oracle as O
 from plaitwork.plans.workload import event_anchors, part_pairs, record_pairs, table, turn_pairs
@@ -332,6 +332,25 @@ def records_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path)
 
 
+#: Records for each text, more than the texts have on average: the file is read more than once.
+WRAPPED = 400
+
+
+@_query(
+    rf"""with t as materialized (select row_number() over (order by doc_id, k) - 1 i, w from (select doc_id, unnest(x) w, unnest(range(len(x))) k from (
+  select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda y: y <> '') x from documents where text is not null))),
+n as (select count(*) n, (select {WRAPPED} * count(*) from documents) wanted from t),
+p as (select unnest(range(2 * wanted)) p, n from n),
+r as (select p // 2 rec_no, p % 2 odd, w from p join t on t.i = p.p % p.n)
+select rec_no, max(w) filter (odd = 0) label, substr(max(w) filter (odd = 1), 1, 32) seq from r group by rec_no"""
+)
+def records_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts' record files read over and over, until there are 400 records for each text."""
+    docs, path = table(spark, sf_dir, "documents"), scratch.scratch_folder(spark, "records")
+    sinks.write_texts(docs, "text", "doc_id", path)
+    return records.read_wrapped(spark, path, WRAPPED * docs.count())
+
+
 @_query(
     f"""{O.sw_cte(O.PART_PAIRS)}, {O.diagonals(O.banded_cell(4), '0', ', greatest(w.best, coalesce(list_max(w.h), 0))', 'best:0', name='v')}
 select p_partkey, cast(v.best as int) actual, cast(w.best as int) expected from w join p using (id) join v using (id) where w.k = m + n and v.k = m + n and v.best <> w.best"""
@@ -411,3 +430,33 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = F.concat(F.col("n_bad").cast("string"), F.lit(" differences"))
     rows = [df.select(F.lit("local").alias("batch"), F.lit(app).alias("app"), F.lit(test).alias("test"), sinks.run_status().alias("status"), log.alias("log")) for app, test, df in runs]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _in_sql(text: str, oracle: str, name: str) -> None:
+    """A query in Spark SQL over the views part_pairs and anchors, and SQL of another engine for its rows."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql.register(spark)
+        return spark.sql(text, part_pairs=part_pairs(spark, sf_dir), anchors=event_anchors(spark, sf_dir))
+
+    QUERIES[name], SQL[name] = run, oracle
+
+
+_in_sql("select p_partkey, r.* from (select p_partkey, sw_argmax(query, ref) r from {part_pairs}) t", O.argmax_sql(O.PART_PAIRS, O.PART_KEYS), "sw_argmax_sql")
+_in_sql("select p_partkey, r.* from (select p_partkey, nw_split(query, ref) r from {part_pairs}) t", O.split_sql(O.PART_PAIRS, O.PART_KEYS), "nw_split_sql")
+_in_sql(
+    "select p_partkey, nw_score(query, ref) score, c.ref_idx, c.query_idx from {part_pairs} p, lateral nw_path_cells(p.query, p.ref) c",
+    O.path_sql(O.PART_PAIRS, O.PART_KEYS),
+    "nw_path_sql",
+)
+_in_sql(
+    "select p_partkey, i, cast(first + k as int) j, h from (select p_partkey, s.i, s.j first, posexplode(s.h) as (k, h) from {part_pairs} p, lateral nw_strips(p.query, p.ref) s) t",
+    O.matrix_sql(O.PART_PAIRS, O.PART_KEYS),
+    "nw_matrix_sql",
+)
+_in_sql(
+    "select p_partkey, c.valid, c.point_count, c.score, c.error from (select p_partkey, check_path(query, ref, nw_path(query, ref)) c from {part_pairs}) t",
+    O.check_path_sql(O.PART_PAIRS, O.PART_KEYS),
+    "check_path_sql",
+)
+_in_sql("select * from chain_scores(table(select * from {anchors}) partition by chain_id order by (idx, x, y), 8)", O.chain_sql(8), "chain_lb8_sql")

@@ -23,11 +23,11 @@ def records(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key), F.explode(F.array(token_records(F.col(text)))).alias("r")).select(key, F.posexplode("r").alias("rec_no", "r")).select(key, "rec_no", "r.label", "r.seq")
 
 
-def read_records(spark: SparkSession, path: str, need: int | None = None) -> DataFrame:
-    """(rec_no, label, seq) of one record file, or of a folder's files in order of name as one; raises if it has fewer than ``need`` records.
+def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, int, str | None]:
+    """((t, at, label), total, last): each line's tokens, the place of the first in the stream and the token before it; all tokens, and the last.
 
-    Files are read in splits, a line a row. The order of lines is that of file, split and row; tokens are counted by split,
-    so a record can span lines and splits, and no file is ever one row or one task's work. The last token of an odd number is left out.
+    Files are read in splits, a line a row. The order of lines is that of file, split and row; tokens are counted by split, so no file is ever
+    one row or one task's work.
     """
     lines = spark.read.text(path).select(
         F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).alias("part"),
@@ -38,14 +38,24 @@ def read_records(spark: SparkSession, path: str, need: int | None = None) -> Dat
     # A row for each split: what stands before it.
     order = Window.orderBy("part")
     splits = counted.select("part", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lag("last").over(order).alias("last"))
-    if need is not None and (n := counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2) < need:
-        raise ValueError(f"{path} has {n} records; {need} are needed")
+    total, last = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max_by("last", "part")).first()
     within = Window.partitionBy("part").orderBy("line")
     placed = lines.join(splits, "part").select(
         "t",
         (F.col("before") + F.coalesce(F.sum(F.size("t")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("at"),
         F.coalesce(F.lag(F.element_at("t", -1)).over(within), F.col("last")).alias("label"),
     )
+    return placed, int(total), last
+
+
+def read_records(spark: SparkSession, path: str, need: int | None = None) -> DataFrame:
+    """(rec_no, label, seq) of one record file, or of a folder's files in order of name as one; raises if it has fewer than ``need`` records.
+
+    A record can span lines, splits and files. The last token of an odd number is left out.
+    """
+    placed, total, _ = _lines(spark, path)
+    if need is not None and total // 2 < need:
+        raise ValueError(f"{path} has {total // 2} records; {need} are needed")
     # A line that starts with a sequence brings its label from the line before.
     whole = F.when(F.col("at") % 2 == 1, F.concat(F.array("label"), F.col("t"))).otherwise(F.col("t"))
     held = placed.select(F.floor(F.col("at") / 2).alias("first"), F.explode(F.array(whole)).alias("t"))
@@ -54,6 +64,22 @@ def read_records(spark: SparkSession, path: str, need: int | None = None) -> Dat
     return each.select((F.col("first") + F.col("k")).cast("bigint").alias("rec_no"), F.get("t", F.col("i")).alias("label"), F.substring(F.get("t", F.col("i") + 1), 1, RECORD).alias("seq"))
 
 
+def read_wrapped(spark: SparkSession, path: str, wanted: int) -> DataFrame:
+    """(rec_no, label, seq) for records 0 to ``wanted`` - 1 of the files read over and over: after the last token comes the first.
+
+    So with an odd number of tokens every second reading takes labels for sequences. A token gives its records itself, with the token
+    before it, so nothing is joined. Raises where there is nothing to read.
+    """
+    placed, total, last = _lines(spark, path)
+    if wanted > 0 and total == 0:
+        raise ValueError(f"{path} has no records; {wanted} are needed")
+    each = placed.select("at", F.coalesce("label", F.lit(last)).alias("label"), "t", F.posexplode("t").alias("k", "seq"))
+    place, before = F.col("at") + F.col("k"), F.when(F.col("k") == 0, F.col("label")).otherwise(F.get("t", F.col("k") - 1))
+    own = each.select(place.alias("place"), before.alias("label"), "seq").where(F.col("place") < 2 * wanted)
+    laps = own.select("label", "seq", F.explode(F.sequence(F.col("place"), F.lit(2 * wanted - 1).cast("long"), F.lit(max(1, total)).cast("long"))).alias("p")).where("p % 2 = 1")
+    return laps.select(F.floor(F.col("p") / 2).cast("bigint").alias("rec_no"), "label", F.substring("seq", 1, RECORD).alias("seq"))
+
+
 def cut(text: Column, size: int = RECORD) -> Column:
     """array of the consecutive ``size``-symbol parts of a text; the last may be shorter, an empty text has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))

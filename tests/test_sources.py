@@ -169,3 +169,21 @@ def test_written_results_are_read_back(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "scores")).select("seq_id", "app", "score").collect()} == {(1, "sw", 5), (2, "nw", -3)}
     sinks.write_texts(spark.createDataFrame([(2, "b c"), (1, "a"), (3, None)], "k int, t string"), "t", "k", str(tmp_path / "texts"))
     assert [(r["label"], r["seq"]) for r in records.read_records(spark, str(tmp_path / "texts")).collect()] == [("a", "b")]
+
+
+@pytest.mark.parametrize("tokens", [1, 2, 5, 6, 37])
+def test_wrapped_files(spark, tmp_path, tokens):
+    """Past the end comes the first token, so an odd number of tokens turns labels into sequences."""
+    words = [f"w{k}" + "x" * (40 if k == 3 else 0) for k in range(tokens)]
+    (tmp_path / "a.txt").write_text("\n".join(" ".join(words[k : k + 3]) for k in range(0, min(9, tokens), 3)))
+    (tmp_path / "b.txt").write_text(" \n" + "  ".join(words[9:]))
+    for wanted in (0, 1, tokens, 3 * tokens + 1):
+        got = sorted(tuple(r) for r in records.read_wrapped(spark, str(tmp_path), wanted).collect())
+        assert got == [(r, words[2 * r % tokens], words[(2 * r + 1) % tokens][:32]) for r in range(wanted)]
+
+
+def test_nothing_to_wrap(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(" \n")
+    assert records.read_wrapped(spark, str(tmp_path), 0).collect() == []
+    with pytest.raises(ValueError, match="no records"):
+        records.read_wrapped(spark, str(tmp_path), 1)
