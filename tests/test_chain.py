@@ -121,3 +121,38 @@ def test_long_chain_uses_many_tasks(spark):
     assert chain.long_chain_scores(one.limit(0), 8).collect() == []
     with pytest.raises(ValueError):
         chain.long_chain_scores(one, 8, 4)
+
+
+def test_late_anchors_are_scored_in_order(spark, tmp_path):
+    """Anchors in any order inside the delay: the scores are those of a batch; the state holds what waits and a look back."""
+    from datetime import datetime, timedelta, timezone
+
+    from plaitwork.streaming.chain import chain_scores_in_order
+
+    rng = random.Random(11)
+    schema = "chain_id long, at timestamp, idx long, x long, y long"
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    made = {c: [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(30)] for c in range(4)}
+    rows = [(c, start + timedelta(seconds=i), i, x, y if i != 7 else None) for c, own in made.items() for i, (x, y) in enumerate(own)]
+    late = sorted(rows, key=lambda r: (r[1] + timedelta(seconds=rng.uniform(0, 8)), r[0]))
+    parts = [late[k : k + 24] for k in range(0, len(late), 24)] + [[(99, start + timedelta(hours=1), 0, 1, 1)], [(99, start + timedelta(hours=3), 1, 2, 2)], [(0, start, 500, 1, 1)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    import os
+    import time
+
+    for k, f in enumerate(sorted((tmp_path / "in").glob("part-*.parquet"), key=lambda f: f.stat().st_mtime_ns)):
+        os.utime(f, (time.time() - 1_000 + k, time.time() - 1_000 + k))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = chain_scores_in_order(stream, 4, "10 seconds", idle_ms=60_000)
+        query = out.writeStream.format("memory").queryName("in_order").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        got = {(r["chain_id"], r["idx"]): r["score"] for r in spark.table("in_order").collect() if r["chain_id"] != 99}
+    finally:
+        spark.conf.set(key, kept)
+    batch = chain.chain_scores(spark.createDataFrame(rows, schema), 4)
+    assert got == {(r["chain_id"], r["idx"]): r["score"] for r in batch.collect()} and len(got) == 120  # the row after three hours is too late
