@@ -8,7 +8,8 @@ fewer words, but not none, has one run, and a text without words no set: it link
    recall (``plan``). Each class has a hash for each band; the shuffle is on (band, hash). Of a bucket of several
    classes the least is the head.
 3. A class belongs to the least head of its buckets, so that near copies come together; the classes of a head are cut into
-   blocks of a bounded number of texts and n-grams. Two blocks are compared only if a bucket has classes of both; each
+   blocks of a bounded number of texts and n-grams. Two blocks are compared only if a bucket has classes of both, which a join of the
+   buckets' blocks with themselves finds, a bucket of many blocks in many parts; each
    pair of blocks is a task's work: it compares all full sets of the two and returns, for each class, the number of its
    links and one link of a spanning forest. No pair is left out by a cap, and pairs of texts are never a table.
 4. Parts connected by links are the groups of near duplicates.
@@ -33,6 +34,8 @@ from plaitwork.llm._util import components, fresh, prepare, staged, text_key, wo
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK_DOCS, BLOCK_GRAMS = 128, 400_000
+#: Blocks of a bucket that a task pairs with all of the bucket's blocks.
+SQUARE = 64
 
 
 def plan(threshold: float, recall: float, most: int = 512) -> tuple[int, int]:
@@ -185,10 +188,13 @@ def judged(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, thresh
     sizes = staged(cells.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("n") / block_grams)).cast("int").alias("parts")), "cell-sizes")
     block = F.concat("cell", F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64("rep"), F.col("parts"))), 8, "0")))
     members = staged(cells.join(sizes, "cell").select("rep", block.alias("block"), "least.key", "least.key2", "copies"), "members")
-    # The blocks that share a bucket: a bucket's list has an entry for each block, not for each text.
-    shared = met.join(members.select("rep", "block"), "rep").groupBy("band", "h").agg(F.array_sort(F.collect_set("block")).alias("blocks")).where("size(blocks) > 1")
-    left = shared.select(F.posexplode("blocks").alias("at", "i"), "blocks")
-    pairs = left.select("i", F.explode(F.slice("blocks", F.col("at") + 2, F.size("blocks"))).alias("j")).distinct()
+    # The blocks that share a bucket, an entry for each block, not for each text; a bucket of many blocks is cut into squares, a task each.
+    entries = staged(met.join(members.select("rep", "block"), "rep").select("band", "h", "block").distinct(), "bucket-blocks")
+    squares = entries.groupBy("band", "h").agg(F.ceil(F.count(F.lit(1)) / SQUARE).cast("int").alias("squares"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    dealt = staged(entries.join(squares, ["band", "h"]), "bucket-squares")
+    left = dealt.select("band", "h", F.pmod(F.xxhash64("block"), F.col("squares")).cast("int").alias("square"), F.col("block").alias("i"))
+    right = dealt.select("band", "h", F.explode(F.sequence(F.lit(0), F.col("squares") - 1)).alias("square"), F.col("block").alias("j"))
+    pairs = left.join(right, ["band", "h", "square"]).where("i < j").select("i", "j").distinct()
     pairs = staged(members.select(F.col("block").alias("i"), F.col("block").alias("j")).distinct().unionByName(pairs), "block-pairs")
     side = lambda c, k: pairs.select(F.col(c).alias("block"), F.struct("i", "j", F.lit(k).alias("side")).alias("to"))
     ends = side("i", 0).unionByName(side("j", 1).where("to.i <> to.j"))

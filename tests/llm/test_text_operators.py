@@ -262,6 +262,16 @@ def test_jaccard_compares_only_blocks_that_share_a_bucket(spark):
     assert got == {k: v[:2] for (k, _), v in plain_neighbours(rows).items()}
 
 
+def test_jaccard_of_one_bucket_of_many_blocks(spark, monkeypatch):
+    """Near copies of one text, in more blocks than a task pairs at a time: all links are there, and no task makes all pairs of blocks."""
+    base = corpus.words(corpus.prose(random.Random(21), 90))
+    rows = [(k, " ".join([*base, f"tail{k}"])) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "SQUARE", 8)
+    got = {r.doc_id: (r.n_links, r.component_id, r.kept) for r in jaccard.near_duplicates(df, block_docs=4).collect()}
+    assert got == {k: (399, 0, k == 0) for k in range(400)}
+
+
 def test_jaccard_plan():
     bands, rows = jaccard.plan(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 200
