@@ -282,7 +282,7 @@ def template_tokens(tokens: DataFrame, min_pages: int = MIN_PAGES, support: floa
         F.bit_xor(F.xxhash64(F.lit(7), "n", "page")).alias("v2"),
         F.avg("first").alias("at"),
     )
-    frequent = folded.where(F.col("pages") >= min_pages).join(totals, "host").where(F.col("pages") >= support * F.col("total"))
+    frequent = folded.where(F.col("pages") >= min_pages).join(_bounded(totals, BROADCAST_ROWS), "host").where(F.col("pages") >= support * F.col("total"))
     # At most as many tokens a host as its pages have on average, over the support.
     classes = frequent.groupBy("host", "v1", "v2").agg(
         F.array_sort(F.collect_list(F.struct("at", "token", "text"))).alias("members"), (F.max("n") == F.max("total")).alias("once"), (F.max("pages") == F.max("total")).alias("everywhere")
