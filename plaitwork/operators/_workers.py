@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from plaitwork.functions.kernels import Texts
+from plaitwork.functions.kernels import Texts, codes
 
 BATCH = 4_096
 
@@ -47,6 +47,25 @@ def unclashing(df: DataFrame, names: list[str]) -> None:
         raise ValueError(f"columns are there already: {', '.join(sorted(taken))}; rename them or choose other names")
 
 
+def texts_of(column) -> Texts:
+    """The symbols of an Arrow column without nulls: a batch's bytes are decoded at once, no cell becomes a Python string."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    kind = column.type
+    if pa.types.is_list(kind):
+        return Texts(column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()))
+    large, text = pa.types.is_large_string(kind) or pa.types.is_large_binary(kind), pa.types.is_string(kind) or pa.types.is_large_string(kind)
+    if not len(column) or not (text or large or pa.types.is_binary(kind)):
+        return Texts.of(column.to_pylist())
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = memoryview(data)[int(ends[0]) : int(ends[-1])] if data is not None else b""
+    if not text:
+        return Texts(np.frombuffer(raw, np.uint8).astype(np.int32), np.diff(ends))
+    return Texts(codes(str(raw, "utf-8", "surrogatepass")), pc.utf8_length(column).to_numpy())
+
+
 def with_results(df: DataFrame, inputs: list[str], fields: str, kernel: Callable[[list[Texts]], list]) -> DataFrame:
     """``df`` with the columns ``fields`` that ``kernel`` makes from the input columns' texts, a numpy or Arrow array each.
 
@@ -58,13 +77,6 @@ def with_results(df: DataFrame, inputs: list[str], fields: str, kernel: Callable
     names = added.names
     unclashing(df, names)
 
-    def texts(column) -> Texts:
-        import pyarrow as pa
-
-        if pa.types.is_list(column.type):
-            return Texts(column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()))
-        return Texts.of(column.to_pylist())
-
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -78,7 +90,7 @@ def with_results(df: DataFrame, inputs: list[str], fields: str, kernel: Callable
                 for c in inputs:
                     full &= pc.is_valid(batch.column(c)).to_numpy(zero_copy_only=False)
                 some = batch.filter(pa.array(full)) if not full.all() else batch
-                made = kernel([texts(some.column(c)) for c in inputs])
+                made = kernel([texts_of(some.column(c)) for c in inputs])
                 # A null place gives a null result.
                 places = pa.array(np.cumsum(full) - 1, pa.int64(), mask=~full)
                 out = [(x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x)).cast(kind).take(places) for x, kind in zip(made, kinds, strict=True)]

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from plaitwork.functions import kernels as K
 from plaitwork.functions import native
-from plaitwork.operators._workers import grids_of, prepare, rows_of, unclashing, with_results
+from plaitwork.operators._workers import grids_of, prepare, rows_of, texts_of, unclashing, with_results
 
 
 def sw_scores(pairs: DataFrame, query: str = "query", ref: str = "ref", out: str = "score", method: str = "wavefront") -> DataFrame:
@@ -90,7 +90,7 @@ def nw_strips(pairs: DataFrame, keys: list[str], query: str = "query", ref: str
                 taken = head.take(pa.array(places, pa.int64()))
                 return pa.RecordBatch.from_arrays([*taken.columns, pa.array(i, pa.int32()), pa.array(j, pa.int32()), rows_of(h)], names=schema.names)
 
-            texts = [K.Texts.of(batch.column(c).to_pylist()) for c in ("__query", "__ref")]
+            texts = [texts_of(batch.column(c)) for c in ("__query", "__ref")]
             places, rows, columns, made, held = [], [], [], [], 0
             for place, i, h in K.strips(*texts, width, suffix):
                 for at in range(0, len(h), width):

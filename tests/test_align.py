@@ -241,3 +241,19 @@ def test_mismatches(spark):
     e = spark.createDataFrame([(1, 5), (2, 7), (4, 1), (3, None), (6, None)], "k int, v int")
     assert {tuple(r) for r in checks.mismatches(a, e, ["k"], "v").collect()} == {(2, 6, 7), (4, None, 1), (5, None, None), (6, None, None)}
     assert tuple(checks.verdict(a, a, ["k"], "v").first()) == (0, True)
+
+
+def test_columns_become_symbols_at_once():
+    import pyarrow as pa
+    from plaitwork.operators._workers import texts_of
+
+    words = ["", "aé", "日本𝄞", "x" * 70, ""]
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(["drop", *words, "me"], kind)
+        for column in (pa.array(words, kind), whole.slice(1, 5), whole.filter(pa.array([False, *[True] * 5, False]))):
+            got = texts_of(column)
+            assert [got[k].tolist() for k in range(5)] == [[ord(c) for c in w] for w in words]
+    for kind in (pa.binary(), pa.large_binary()):
+        got = texts_of(pa.array([b"ab", b"", b"\xff\x00"], kind).slice(1))
+        assert [got[k].tolist() for k in range(2)] == [[], [255, 0]]
+    assert len(texts_of(pa.array([], pa.string()))) == 0 and texts_of(pa.array([""], pa.string()))[0].tolist() == []
