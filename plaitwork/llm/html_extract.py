@@ -13,7 +13,7 @@ with its path. A block is what stands between two block-level tags.
 4. Slots. What is left between template tokens is a slot. Template texts are no content. A host's main slot is the deepest template
    element with most of its pages' text, without menus, headers, footers and the like.
 5. A page's text comes from its article element, else its main element, else its host's main slot, else, on hosts of few
-   pages, the deepest element with most of its own text. Headings in an article's header stay.
+   pages, the deepest element with most of its own text; of these last two, headings just beside it belong to it. Headings in an article's header stay.
 
 Menus, sidebars, notices, adverts, forms and comments are known by their elements, roles, and words of classes and ids; a class
 doesn't count where nothing else would be left. Scripts, styles and hidden elements are never text. A line break inside a block is
@@ -58,9 +58,11 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 #: Words of classes and ids, and roles, of what isn't the article.
 WORDS = set(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer header masthead topbar toolbar share sharing social related "
+    "newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar share sharing social related "
     "recommended recommendations comment comments commentlist disqus replies respond pagination pager search copyright outbrain taboola paywall".split()
 )
+#: The words that count on elements inside a line, too, and the names of headers.
+INLINE, HEADER = set("ad ads adbox adslot adsbygoogle advert adverts advertisement sponsored".split()), "header"
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[A-Za-z][^>]*(?:>|\Z)", re.S)
@@ -76,15 +78,18 @@ def _hash(*parts) -> int:
 
 
 @lru_cache(maxsize=65_536)
-def _kind(name: str, attributes: str) -> tuple[str, int]:
-    """(name with classes and id, why an element isn't the article)."""
+def _kind(name: str, attributes: str) -> tuple[str, int, bool]:
+    """(name with classes and id, why an element isn't the article, whether it is a header)."""
     found = {m[1].lower() if m[1] else m[5].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
     names = " ".join(found.get(a, "") for a in ("class", "id"))
     hidden = "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", ""), re.I) or found.get("role", "").lower() in ROLES
     label = BY_ELEMENT if name in OUT or hidden else NONE
-    if label == NONE and name in BLOCK and name not in ("html", "body", "main", "article") and WORDS & set(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower().replace("-", " ").replace("_", " ").split()):
+    words = set(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower().replace("-", " ").replace("_", " ").split())
+    if label == NONE and name not in BLOCK and words & INLINE:
+        label = BY_ELEMENT
+    if label == NONE and name in BLOCK and name not in ("html", "body", "main", "article") and words & WORDS:
         label = BY_CLASS
-    return f"{name} {re.sub('[0-9]+', '0', names)}", label
+    return f"{name} {re.sub('[0-9]+', '0', names)}", label, name == HEADER or (label == BY_CLASS and words & WORDS == {HEADER})
 
 
 class Element:
@@ -93,20 +98,16 @@ class Element:
     __slots__ = ("name", "token", "label", "article", "main", "above", "depth", "header")
 
     def __init__(self, name: str, attributes: str, above: Element | None) -> None:
-        kind, label = _kind(name, attributes)
+        kind, label, header = _kind(name, attributes)
         self.name, self.above = name, above
         self.token, self.depth = _path(above.token if above else 0, kind), above.depth + 1 if above else 0
         inside = above is not None and above.article is not None
-        # An article's header keeps its headings.
+        # The header of an article, and of anything else below the page's own elements, keeps its headings.
         self.header = above.header if above else None
-        if name == "header" and inside and (above.label == NONE):
+        if header and above.label == NONE and (inside or above.main is not None or (name != HEADER and name not in HEADINGS)):
             self.header = self
-        if label == BY_ELEMENT and name == "header" and self.header is self:
-            self.label = BY_ELEMENT
-        elif name in HEADINGS and self.header is not None and self.header.above.label == NONE:
-            self.label = NONE
-        else:
-            self.label = max(label, above.label if above else NONE)
+        own = name in HEADINGS and self.header is not None and self.header is not self
+        self.label = NONE if own and label == NONE else max(label, above.label if above else NONE)
         self.article = above.article if inside else self if name == "article" else None
         self.main = above.main if above and above.main else self if name == "main" or "role=main" in attributes.replace('"', "").replace("'", "") else None
 
@@ -222,12 +223,32 @@ def _deepest(blocks: list) -> list:
     return [b for b in blocks if any(e is top for e in b[1].chain())]
 
 
+def _headed(live: list, own: list, template: set[int]) -> list:
+    """``own`` with the headings that stand beside it: as far up as elements add nothing but headings."""
+    shared: set | None = None
+    for b in own:
+        chain = {id(e) for e in b[1].chain()}
+        shared = chain if shared is None else shared & chain
+    held = {id(b) for b in own}
+
+    def meets(element: Element) -> int:
+        """The depth of the lowest element over all of ``own`` that is over this one, too."""
+        while id(element) not in shared:
+            element = element.above
+        return element.depth
+
+    beside = [(b, meets(b[1])) for b in live if id(b) not in held] if own else []
+    limit = max((d for b, d in beside if b[2] not in template and b[1].name not in HEADINGS), default=-1)
+    held |= {id(b) for b, d in beside if d > limit}
+    return [b for b in live if id(b) in held]
+
+
 def main_text(html: str, template: set[int], main: int | None) -> str:
     """The article of a page; ``template``: tokens of template texts, ``main``: the token of the host's main slot."""
     blocks, _ = parse(html)
     live = [b for b in blocks if b[1].label == NONE] or [b for b in blocks if b[1].label == BY_CLASS]
     own = _largest(live, lambda e: e.article) or _largest(live, lambda e: e.main)
-    own = own or _largest(live, lambda e: next((x for x in e.chain() if x.token == main), None)) or _deepest(live)
+    own = own or _headed(live, _largest(live, lambda e: next((x for x in e.chain() if x.token == main), None)) or _deepest(live), template)
     kept = [b for b in own if b[2] not in template] or own
     return "\n".join(b[0] for b in kept)
 

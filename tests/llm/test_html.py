@@ -39,6 +39,9 @@ def one(html):
         ("<article hidden>no</article><article>1 < 2 and a<b c</article>", "1 < 2 and a"),
         ("<article><table><tr><td>a<td>b<tr><td>c</table></article>", "a\nb\nc"),
         ("<article>a b\tc\n\n d</article>", "a b c d"),
+        ("<body><header><h1>Site</h1></header><div id=c><h1>Title</h1><div class=body><p>long text of it all</p><p>and more of it</p></div></div><div>x</div>", "Title\nlong text of it all\nand more of it"),
+        ("<article><div class='entry-header'><h2>T</h2><p>by me</p></div><p>body</p></article>", "T\nbody"),
+        ("<article><p>so <span class='ad'>buy</span> it <ins class='adsbygoogle'>now</ins> is</p><div class=elementor-widget><p>kept</p></div></article>", "so it is\nkept"),
         ("<article>" + "<div>" * 3000 + "deep" + "</article>", "deep"),
     ],
 )
