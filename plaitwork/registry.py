@@ -97,6 +97,13 @@ def sw_score_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.sw_scores(part_pairs(spark, sf_dir)).select(*PART, "score")
 
 
+@_query(O.sw_sql(O.PART_PAIRS, O.PART_KEYS))
+def sw_score_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs dealt in turns, whatever they are."""
+    dealt = schedule.round_robin(part_pairs(spark, sf_dir), 4 * spark.sparkContext.defaultParallelism)
+    return align.sw_scores(dealt).select(*PART, "score")
+
+
 @_query(O.sw_sql(O.PART_PAIRS, O.PART_KEYS))
 def sw_score_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.sw_scores(part_pairs(spark, sf_dir), method="native").select(*PART, "score")
