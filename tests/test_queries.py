@@ -62,3 +62,8 @@ def test_entry_imports():
 
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(registry.SQL) <= set(entry.oracle_sql())
+
+
+def test_scheduled_scores_have_team_sizes(spark, small):
+    got = {(r["conv_id"], r["turn"]): (r["score"], r["team_size"]) for r in registry.QUERIES["sw_score_scheduled"](spark, small[0]).collect()}
+    assert got == {(0, 0): (7, 2), (0, 1): (0, 1), (2, 1): (0, 1)}
