@@ -74,3 +74,31 @@ def test_strips_of_long_pairs_hold_a_row(suffix):
         for place, i, h in K.strips(qs, rs, 5, suffix, most):
             got[place][i] = h.tolist()
         assert [[x[i] for i in range(len(x))] for x in got] == [m.tolist() for m in whole]
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_many_tiles_at_once(local):
+    rng = np.random.default_rng(7)
+    wholes, qs, rs, tops, lefts = [], [], [], [], []
+    for k in range(60):
+        q, r = rng.integers(0, 3, 20).astype(np.int32), rng.integers(0, 3, 30).astype(np.int32)
+        whole = np.array([h for h in K.rows(q, r, local)]) + (0 if local else 40_000 * (k % 2))
+        (i0, i1), (j0, j1) = np.sort(rng.integers(1, 21, 2)), np.sort(rng.integers(1, 31, 2))
+        wholes.append((whole[i1, j0 : j1 + 1], whole[i0 : i1 + 1, j1], whole[i0 + 1 : i1 + 1, j0 + 1 : j1 + 1]))
+        qs, rs = [*qs, q[i0:i1]], [*rs, r[j0:j1]]
+        tops, lefts = [*tops, whole[i0, j0 : j1 + 1]], [*lefts, whole[i0 : i1 + 1, j0]]
+    border = lambda x: (np.concatenate(x).astype(np.int64), np.cumsum([0, *map(len, x)])[:-1], np.zeros(len(x), np.int64))
+    bottom, right, best, corner = K.tiles(K.Texts.of(qs), K.Texts.of(rs), border(tops), border(lefts), local)
+    assert bottom[0].tolist() == np.concatenate([x[0] for x in wholes]).tolist() and right[0].tolist() == np.concatenate([x[1] for x in wholes]).tolist()
+    assert corner.tolist() == [x[0][-1] for x in wholes]
+    if local:
+        assert all(b >= x[2].max() for b, x in zip(best, wholes, strict=True) if x[2].size)
+
+
+def test_tiles_broadcast_nothing(spark):
+    from plaitwork.operators import tiles as T
+
+    df = spark.createDataFrame([(k, "GATTACA" * 2, "GCATGCU") for k in range(50)], "k int, query string, ref string")
+    got = T.wavefront_scores(df, ["k"], size=4)
+    assert got.count() == 50
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
