@@ -257,3 +257,32 @@ def test_columns_become_symbols_at_once():
         got = texts_of(pa.array([b"ab", b"", b"\xff\x00"], kind).slice(1))
         assert [got[k].tolist() for k in range(2)] == [[], [255, 0]]
     assert len(texts_of(pa.array([], pa.string()))) == 0 and texts_of(pa.array([""], pa.string()))[0].tolist() == []
+
+
+@pytest.mark.parametrize("held", [0, 10**9])
+def test_bits_against_matrices(held):
+    from plaitwork.functions import bits
+
+    rng = random.Random(11)
+    both = [["".join(rng.choices("ACGé"[: rng.randint(1, 4)], k=rng.randint(0, 45))) for _ in range(2)] for _ in range(150)]
+    both += [["", ""], ["A", ""], ["", "C"], ["A" * 70, "A" * 65], ["A" * 70, "C" * 65]]
+    for q, r in both:
+        a, b = K.codes(q), K.codes(r)
+        grid = np.array(plain.matrix(q, r, False))
+        assert bits.score(a, b) == grid[-1, -1]
+        assert bits.last_column(a, b).tolist() == grid[:, -1].tolist()
+        i, j = np.array([rng.randint(0, len(q)) for _ in range(9)]), np.array([rng.randint(0, len(r)) for _ in range(9)])
+        assert bits.cells(a, b, i, j).tolist() == grid[i, j].tolist()
+        scores, steps, _ = K.alignments([a], [b], 10**6)
+        assert bits.trace(a, b, False, held) == (scores[0], steps[0])
+        (score,), (path,) = K.envelope_paths([a], [b], 10**6)
+        made = bits.trace(a, b, True, held)
+        assert made[0] == score and K.step_path(made[1]).tolist() == path.tolist()
+
+
+def test_long_rows_are_checked_few_at_a_time(spark, monkeypatch):
+    from plaitwork.operators import _workers
+
+    seen = spark.createDataFrame([(k, "ACGT" * (300 if k % 2 else 1)) for k in range(40)], "k int, t string").coalesce(1)
+    got = _workers.with_results(seen, ["t"], "n int", lambda v: [np.full(len(v[0]), int(v[0].sizes.sum()))], symbols=3_000)
+    assert 1_200 <= max(r["n"] for r in got.collect()) <= 3_000
