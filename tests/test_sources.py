@@ -187,3 +187,22 @@ def test_nothing_to_wrap(spark, tmp_path):
     assert records.read_wrapped(spark, str(tmp_path), 0).collect() == []
     with pytest.raises(ValueError, match="no records"):
         records.read_wrapped(spark, str(tmp_path), 1)
+
+
+def test_lines_are_not_brought_together_by_split(spark, tmp_path):
+    tokens = [f"w{k}" for k in range(3_001)]
+    for n, (lo, hi) in enumerate([(0, 1_000), (1_000, 2_501), (2_501, 3_001)]):
+        (tmp_path / f"part-{n}.txt").write_text("\n".join(" ".join(tokens[k : min(k + 7, hi)]) for k in range(lo, hi, 7)) + "\n")
+    size, rows = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = records.read_records(spark, str(tmp_path))
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString().replace("Window [sum(n", "").replace("Window [lag(last", "")
+        got = sorted((r["rec_no"], r["label"], r["seq"]) for r in df.collect())
+        assert got == [(k, tokens[2 * k], tokens[2 * k + 1]) for k in range(1_500)]
+        wrapped = sorted((r["rec_no"], r["label"], r["seq"]) for r in records.read_wrapped(spark, str(tmp_path), 4_000).collect())
+        assert wrapped == [(k, tokens[2 * k % 3_001], tokens[(2 * k + 1) % 3_001]) for k in range(4_000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
