@@ -20,6 +20,7 @@ are documents of their own, in the order of their texts.
 from __future__ import annotations
 
 import array
+import codecs
 import json
 import struct
 import zlib
@@ -28,6 +29,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +40,9 @@ from plaitwork.llm._util import prepare
 #: Fixed values of the file format.
 SKIPPABLE, MAGIC, NULL_ID = 0x184D2A5E, b"TOKSEEK1", -(2**63)
 FRAME, DOC, FOOTER = struct.Struct("<III"), struct.Struct("<qI"), struct.Struct("<IIB8s")
-FRAME_IDS, BATCH, MEMO = 65_536, 256, 300_000
+FRAME_IDS, LOT, MEMO, LONG = 65_536, 8_000_000, 600_000, 64
+#: The pre-token pattern that ``cuts`` is made for.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=1)
@@ -63,14 +68,49 @@ def id_width(json_path: str) -> int:
         return 2 if len(json.load(f)["model"]["vocab"]) + 16 < 65_536 else 4
 
 
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """A byte's class (mark, white space, letter, digit, not ASCII), and between which two classes pieces always part."""
+    kind = np.zeros(256, np.uint8)
+    kind[[*range(9, 14), 32]], kind[128:] = 1, 4
+    kind[[*range(65, 91), *range(97, 123)]], kind[48:58] = 2, 3
+    parts = np.zeros((5, 5), bool)
+    parts[[0, 2, 3, 4], 1] = parts[2, [0, 3]] = parts[3, [0, 2]] = True
+    return kind, parts.ravel()
+
+
+#: White space past ASCII, as the bytes of its UTF-8.
+WHITE_2, WHITE_3 = ([int.from_bytes(chr(x).encode()) for x in y] for y in ((0x85, 0xA0), (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where to cut texts (UTF-8 on end, beginning at ``starts``): at each start, and where two pre-tokens meet for certain.
+
+    No pre-token has white space after anything else, an ASCII letter before another ASCII character that
+    is none, or a digit before one that is none; and a pre-token depends on nothing before it, and on nothing behind it but
+    whether white space goes on. So white space is never cut inside, and a part's pre-tokens are the text's.
+    """
+    kind, parts = _classes()
+    of = kind[raw]
+    cut = np.zeros(len(raw), bool)
+    cut[1:] = parts[of[:-1] * 5 + of[1:]]
+    after = np.flatnonzero((of[:-1] == 4) & (of[1:] == 1)) + 1
+    last = [raw[after - k].astype(np.int64) for k in (1, 2, 3)]
+    two = last[1] << 8 | last[0]
+    cut[after[np.isin(two, WHITE_2) | np.isin(last[2] << 16 | two, WHITE_3)]] = False
+    cut[starts[starts < len(raw)]] = True
+    return np.flatnonzero(cut)
+
+
 @lru_cache(maxsize=4)
 def encoder(json_path: str, pattern: str | None, width: int):
-    """A function from texts to their packed ids, as the tokenizers library gives them for ``json_path``.
-
-    With ``pattern``, the tokenizer's own pre-token pattern (for one without normaliser and prefix space), the
-    library encodes each different pre-token once, and a text's ids are its pre-tokens' ids in a row; up to
-    ``MEMO`` pre-tokens are kept. Texts with a special token's string, or with letters so new that the
-    pattern could cut them otherwise, go through the library whole, as all do without ``pattern``.
+    """A function from texts (a list or an Arrow array) to their packed ids, as the tokenizers library gives them for ``json_path``.
+
+    With ``PATTERN`` as the tokenizer's own pre-token pattern (for one without normaliser and prefix space), texts are cut by
+    ``cuts``, Arrow finds the different parts, and a text's ids are its parts' ids in a row. A part that isn't kept is
+    cut by the pattern, and the library encodes its pre-tokens. Up to ``MEMO`` parts are kept, the last used; of a part of more
+    than ``LONG`` characters its pre-tokens are, up to the same length. Parts with letters so new that the pattern could
+    cut them otherwise, and texts with a special token's string, go through the library whole, as all do with
+    another pattern or none.
     """
     import os
 
@@ -79,45 +119,83 @@ def encoder(json_path: str, pattern: str | None, width: int):
     from tokenizers import Tokenizer
 
     full, kind = Tokenizer.from_file(json_path), {2: "H", 4: "I"}[width]
-    encode = lambda texts: [array.array(kind, e.ids).tobytes() for e in full.encode_batch_fast(texts, add_special_tokens=False)]
-    if pattern is None:
+
+    def encode(texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        return [array.array(kind, e.ids).tobytes() for e in full.encode_batch_fast(texts, add_special_tokens=False)]
+
+    if pattern != PATTERN:
         return encode
     special = [t.content for t in full.get_added_tokens_decoder().values()]
     # The library's white space is Unicode's.
     pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
     # The byte-level alphabet: printable bytes stand for themselves, others for the code points from 256 on.
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    alphabet = dict(zip((x for x in range(256) if x not in shown), map(chr, range(256, 512)), strict=False))
+    other = iter(range(256, 512))
+    alphabet = "".join(chr(x if x in shown else next(other)) for x in range(256))
     model = full.model.tokenize
-    memo: dict[str, bytes] = {}
+    memo: list[dict[str, bytes]] = [{}, {}]  # the parts used last, and those before
 
     def settled(text: str) -> bool:
         """Whether all tables agree on the text's letters; nothing below U+0530 is new."""
-        if text.isascii():
-            return True
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return max(text) < "\u0530" or not _newer_letters().search(text)
-        return True
-
-    def plain(text: str) -> bool:
-        return settled(text) and not any(s in text for s in special)
-
-    def run(texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) if plain(t) else None for t in texts]
-        seen = set().union(*(c for c in cut if c))
-        new = [*(seen - memo.keys())]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = [*seen]
-        for piece in new:
-            memo[piece] = array.array(kind, [x.id for x in model(piece.encode().decode("latin-1").translate(alphabet))]).tobytes()
-        return [b"".join(map(memo.__getitem__, c)) if c is not None else encode([t])[0] for c, t in zip(cut, texts, strict=True)]
+        return text.isascii() or max(text) < "\u0530" or not _newer_letters().search(text)
+
+    def ids_of_part(part: str) -> bytes:
+        if not settled(part):
+            return encode([part])[0]
+        return array.array(kind, [x.id for piece in pieces(part) for x in model(codecs.charmap_decode(piece.encode(), "strict", alphabet)[0])]).tobytes()
+
+    def known(parts: list[str]) -> list[bytes]:
+        out = [*map(memo[0].get, parts)]
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            part = parts[k]
+            if len(part) > LONG:
+                cut = pieces(part) if settled(part) else [part]
+                out[k] = b"".join(known(cut)) if len(cut) > 1 else ids_of_part(part)
+                continue
+            out[k] = memo[1].get(part) or ids_of_part(part)
+            if len(memo[0]) >= MEMO // 2:
+                memo[:] = [{}, memo[0]]
+            memo[0][part] = out[k]
+        return out
+
+    def run(texts: list[str] | pa.Array) -> list[bytes]:
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        if not len(texts):
+            return []
+        _, offsets, raw = texts.buffers()
+        starts = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(raw or b"", np.uint8)[starts[0] : starts[-1]]
+        starts = starts - starts[0]
+        at = cuts(raw, starts)
+        found = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        ids, of = known(found.dictionary.to_pylist()), found.indices.to_numpy()
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        packed, first, n = np.frombuffer(b"".join(ids), kind), (np.cumsum(n) - n)[of], n[of]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        where = np.repeat(first - ends[:-1], n)
+        where += np.arange(len(where))
+        packed = packed[where]
+        ends = ends[np.searchsorted(at, starts)].tolist()
+        out = [packed[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for text in special:
+            for k in np.flatnonzero(pc.match_substring(texts, text)).tolist():
+                out[k] = encode([texts[k].as_py()])[0]
+        return out
 
     return run
 
 
+def lots(texts: pa.Array) -> Iterator[slice]:
+    """Runs of about ``LOT`` bytes of text, of a text at least."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, LOT + (ends[at - 1] if at else 0), "right")))
+        yield slice(at, to)
+        at = to
+
+
 def _open(uri: str):
     """The file system and path of a folder; any scheme that pyarrow knows."""
     from pyarrow import fs
@@ -193,7 +271,7 @@ def write(df: DataFrame, folder: str, json_path: str, end_id: int = 0, id_col: s
     prepare(spark)
     src = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = id_width(json_path)
         run, task, end = encoder(json_path, pattern, width), TaskContext.get(), end_id.to_bytes(width, "little")
         fs, top = _open(folder)
@@ -202,16 +280,15 @@ def write(df: DataFrame, folder: str, json_path: str, end_id: int = 0, id_col: s
         draft = f"{top}/.{name}.{task.taskAttemptId()}"
         with fs.open_output_stream(draft) as sink:
             out = Writer(sink, width)
-            for pdf in batches:
-                for at in range(0, len(pdf), BATCH):
-                    part = pdf.iloc[at : at + BATCH]
-                    for doc, ids in zip(part["id"], run(part["text"].tolist()), strict=True):
+            for batch in batches:
+                for lot in lots(batch["text"]):
+                    for doc, ids in zip(batch["id"][lot].to_pylist(), run(batch["text"][lot]), strict=True):
                         out.add(doc, ids + end)
             out.close()
         fs.move(draft, f"{top}/{name}")
-        yield pd.DataFrame({"file": [name], "n_docs": [len(out.docs)], "n_ids": [out.total]})
+        yield pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(out.docs)], "n_ids": [out.total]})
 
-    made = src.repartitionByRange("id").sortWithinPartitions("id", "text").mapInPandas(save, "file string, n_docs long, n_ids long")
+    made = src.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(save, "file string, n_docs long, n_ids long")
     made.write.mode("overwrite").parquet(f"{folder}/manifest.parquet")
     return spark.read.schema(made.schema).parquet(f"{folder}/manifest.parquet")
 

@@ -396,6 +396,65 @@ def test_encoders_agree_on_every_code_point():
         assert fast(made) == full(made)
 
 
+def test_encoder_cuts_where_pieces_meet(monkeypatch):
+    rng = random.Random(8)
+    options = file_options()
+    fast, full = token_files.encoder(options["json_path"], options["pattern"], 2), token_files.encoder(options["json_path"], None, 2)
+    signs = ["a", "B ", "é", "и", "漢", "½", "٣", "7", "'", "'s", "'re ", "’", ".", "<|", "|>", "endoftext", "\u0301", "\u088f", *" \t\n\r\x0b\x0c\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\u180e\x00"]
+    made = ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(4_000)]
+    made += ["漢字、" * 90 + "x" * 200, "x" * 200 + "\u088f" * 100, " " * 200 + "a" + "\n" * 200, "a" * 100 + "<|endoftext|>" + " " * 100]
+    assert fast(made) == full(made)
+    monkeypatch.setattr(token_files, "LONG", 3)
+    assert fast(made[::-1]) == full(made)[::-1]
+    assert token_files.encoder(options["json_path"], r"\w+|\W+", 2)(made[:9]) == full(made[:9])
+
+
+def test_encoder_cuts_by_the_pattern_only_what_is_new(monkeypatch):
+    import regex
+
+    scanned, compiled = [], regex.compile
+
+    class Counted:
+        def __init__(self, pattern):
+            self.own = compiled(pattern)
+
+        def findall(self, text):
+            scanned.append(len(text))
+            return self.own.findall(text)
+
+    monkeypatch.setattr(regex, "compile", Counted)
+    options = file_options()
+    run = token_files.encoder.__wrapped__(options["json_path"], options["pattern"], 2)
+    made = ["Words come back, 12 times: it's their habit.\n" * k for k in range(1, 60)]
+    assert run(made) == token_files.encoder(options["json_path"], None, 2)(made)
+    assert 0 < sum(scanned) < len(made[0]) * 3
+    assert run(made[5:]) and sum(scanned) < len(made[0]) * 3
+
+
+def test_encoder_keeps_what_was_used_last(monkeypatch):
+    import regex
+
+    scanned, compiled = [], regex.compile
+    monkeypatch.setattr(regex, "compile", lambda p: type("Counted", (), {"findall": lambda _, text, own=compiled(p): scanned.append(text) or own.findall(text)})())
+    options = file_options()
+    run = token_files.encoder.__wrapped__(options["json_path"], options["pattern"], 2)
+    monkeypatch.setattr(token_files, "MEMO", 20)
+    for k in range(300):
+        run([f"often used {k}"])
+    assert scanned.count("often") == 1 and len(scanned) == 302
+
+
+def test_lots_hold_every_text(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "LOT", 10)
+    made = ["", "abc", "é" * 40, "", "", "x" * 10, "y", "zz" * 5, "", "q" * 11, ""]
+    for kind in (pa.string(), pa.large_string()):
+        parts = [pa.array(made, kind)[lot].to_pylist() for lot in token_files.lots(pa.array(made, kind))]
+        assert sum(parts, []) == made and all(len(x) == 1 or sum(len(t.encode()) for t in x) <= 10 for x in parts)
+        assert [*token_files.lots(pa.array([], kind))] == []
+
+
 def test_damaged_frames_are_found(tmp_path):
     from pyarrow import fs
 
